@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.operators.asof import forward_session
+from eventide.operators.asof import backward_state, nearest_session
 
 # Estimation window, event windows and guards of the study.
 EST_START, EST_END = -250, -30
@@ -108,40 +108,60 @@ def _measures(span: str) -> dict[str, tuple[Column, str | None]]:
     }
 
 
-def match_events(events: DataFrame, measures: DataFrame, priced: DataFrame) -> DataFrame:
-    """Attach the matched session and the guard status to each event.
+def match_events(events: DataFrame, measures: DataFrame, bars: DataFrame) -> DataFrame:
+    """Attach the matched session's measures and the guard status to each event.
 
-    `events` needs catalyst_id, ticker, announcement_date; `priced` is one row per ticker with bars.
+    Sessions, distinct (ticker, date) probes and one marker per priced ticker form a single timeline
+    per ticker; one pass from the latest date back carries the next session's payload to each probe.
+    The calendar bounds that timeline however many events share a ticker.
     """
-    with_session = forward_session(
-        events, measures, "ticker", "announcement_date", "date", "session_date"
+    payload = ["idx", "n_est", *_COEFS, "spans"]
+    sessions = measures.select(
+        "ticker",
+        "date",
+        F.struct(F.col("date").alias("session_date"), *payload).alias("_s"),
+        F.lit(0).alias("_kind"),
     )
-    per_ticker = priced.select("ticker", F.lit(True).alias("has_bars")).distinct()
-    lengths = measures.groupBy("ticker").agg(F.count(F.lit(1)).alias("len"))
-    at_session = measures.select(
-        "ticker", F.col("date").alias("session_date"), "idx", "n_est", *_COEFS, "spans"
+    probes = (
+        events.select("ticker", F.col("announcement_date").alias("date"))
+        .where("date is not null")
+        .distinct()
+        .withColumn("_kind", F.lit(1))
     )
-    joined = (
-        with_session.join(per_ticker, "ticker", "left")
-        .join(lengths, "ticker", "left")
-        .join(at_session, ["ticker", "session_date"], "left")
+    priced = bars.groupBy("ticker").agg(F.count("adj_close").alias("_n")).filter("_n > 0")
+    markers = priced.select("ticker", F.lit(2).alias("_kind"))
+    line = sessions.unionByName(probes, allowMissingColumns=True).unionByName(
+        markers, allowMissingColumns=True
+    )
+    whole = Window.partitionBy("ticker")
+    back = whole.orderBy(F.col("date").desc_nulls_first(), "_kind").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    gap = F.abs(F.datediff("session_date", "announcement_date"))
+    found = line.select(
+        "ticker",
+        F.col("date").alias("announcement_date"),
+        "_kind",
+        F.last("_s", ignorenulls=True).over(back).alias("_s"),
+        F.count("_s").over(whole).alias("_len"),
+        (F.max("_kind").over(whole) == 2).alias("_priced"),
+    ).filter("_kind = 1")
+    gap = F.abs(F.datediff("_s.session_date", "announcement_date"))
     status = (
-        F.when(F.col("has_bars").isNull(), "no_price_data")
-        .when(F.coalesce(F.col("len"), F.lit(0)) < MIN_ALIGNED, "insufficient_history")
-        .when(F.col("session_date").isNull(), "no_event_date_match")
-        .when(F.col("idx") < -EST_START, "insufficient_pre_event_history")
+        F.when(~F.col("_priced"), "no_price_data")
+        .when(F.col("_len") < MIN_ALIGNED, "insufficient_history")
+        .when(F.col("_s").isNull(), "no_event_date_match")
+        .when(F.col("_s.idx") < -EST_START, "insufficient_pre_event_history")
         .when(gap > MAX_GAP_DAYS, "event_date_outside_price_range")
-        .when(F.col("n_est") < MIN_EST, "short_estimation_window")
+        .when(F.col("_s.n_est") < MIN_EST, "short_estimation_window")
         .otherwise("ok")
     )
-    return joined.withColumn("price_status", status)
+    keyed = found.select("ticker", "announcement_date", "_s.*", status.alias("price_status"))
+    return events.join(keyed, ["ticker", "announcement_date"])
 
 
-def event_study(events: DataFrame, aligned: DataFrame, priced: DataFrame) -> DataFrame:
+def event_study(events: DataFrame, aligned: DataFrame, bars: DataFrame) -> DataFrame:
     """Long result: 25 rows (window × benchmark) per usable event, one row per failed event."""
-    matched = match_events(events, session_measures(aligned), priced)
+    matched = match_events(events, session_measures(aligned), bars)
     ok = F.col("price_status") == "ok"
     base = [*events.columns, "price_status"]
     spans = matched.select(*base, *_COEFS, F.explode_outer(F.when(ok, F.col("spans"))).alias("w"))
@@ -162,10 +182,10 @@ def event_study(events: DataFrame, aligned: DataFrame, priced: DataFrame) -> Dat
     ).select(*base, "window_label", "x.*")
 
 
-def primary_car(events: DataFrame, aligned: DataFrame, priced: DataFrame) -> DataFrame:
+def primary_car(events: DataFrame, aligned: DataFrame, bars: DataFrame) -> DataFrame:
     """One row per usable event with its market-model CAR over [-1,+1]; the other 24 measures are
     never materialised."""
-    matched = match_events(events, session_measures(aligned), priced)
+    matched = match_events(events, session_measures(aligned), bars)
     pos = list(EVENT_WINDOWS).index("[-1,+1]")
     car, _ = _measures("w")["MARKET_MODEL"]
     return (
@@ -173,3 +193,39 @@ def primary_car(events: DataFrame, aligned: DataFrame, priced: DataFrame) -> Dat
         .withColumn("w", F.col("spans")[pos])
         .select(*events.columns, car.alias("car"))
     )
+
+
+def legacy_study(events: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Older variant: estimation on every date more than 30 calendar days before the event (at least
+    30 of 60 aligned), the nearest session as event day, CAR over the session before to the one after.
+
+    Coefficients depend only on the last session inside the estimation span, so running sums at that
+    session, found by a backward as-of pass, replace a range join.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    whole = Window.partitionBy("ticker")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    r, m = F.col("ret"), F.col("spy")
+    run = aligned.select(
+        "ticker", "date",
+        (F.row_number().over(w) - 1).alias("idx"), F.count(F.lit(1)).over(whole).alias("len"),
+        F.sum(F.lit(1.0)).over(upto).alias("n"), F.sum(m).over(upto).alias("m"), F.sum(r).over(upto).alias("r"),
+        F.sum(r * m).over(upto).alias("rm"), F.sum(m * m).over(upto).alias("mm"),
+        F.sum(r).over(w.rowsBetween(-1, 1)).alias("r3"), F.sum(m).over(w.rowsBetween(-1, 1)).alias("m3"),
+    )
+    alpha, beta = _line(F.col("n"), F.col("m"), F.col("r"), F.col("rm"), F.col("mm"))
+    run = run.withColumns({"alpha": alpha, "beta": beta})
+    probes = events.select("ticker", "announcement_date").distinct().withColumn(
+        "est_until", F.date_sub("announcement_date", 30)
+    )
+    with_est = backward_state(
+        probes, run, ["ticker"], "est_until", "date", F.col("date"), ["n", "alpha", "beta"], "e", strict=True
+    )
+    near = nearest_session(with_est, run, "ticker", "announcement_date", "date", "session_date")
+    at = run.select("ticker", F.col("date").alias("session_date"), "idx", "len", "r3", "m3")
+    ok = near.join(at, ["ticker", "session_date"]).filter(
+        (F.col("len") >= 60) & (F.col("e.n") >= MIN_EST) & (F.col("idx") >= 1) & (F.col("idx") < F.col("len") - 1)
+    )
+    car = F.col("r3") - 3 * F.col("e.alpha") - F.col("e.beta") * F.col("m3")
+    keyed = ok.select("ticker", "announcement_date", car.alias("car"), "e.alpha", "e.beta")
+    return events.join(keyed, ["ticker", "announcement_date"])

@@ -8,6 +8,7 @@ from eventide.functions.rounding import rnd
 from eventide.operators import asof, eventstudy, series
 from eventide.operators.ordered import quantiles
 from eventide.plans import inputs
+from eventide.session import stable
 from eventide.plans.oracle_base import ALIGNED, BARS, BENCH, CUTS, EVTS, FACTS, RETURNS, r
 
 QUERIES, ORACLE = {}, {}
@@ -128,7 +129,7 @@ def event_study_by_outcome(spark, sf, key="p_brand"):
 
 def outcome_summary(cars):
     """Count, mean, exact median and sample deviation of CAR per outcome."""
-    labelled = cars.filter(F.col("clinical_success").isNotNull())
+    labelled = stable(cars.filter(F.col("clinical_success").isNotNull()).select("clinical_success", "car"))
     stats = labelled.groupBy("clinical_success").agg(
         F.count("car").alias("n"), F.avg("car").alias("m"), F.stddev_samp("car").alias("s")
     )
