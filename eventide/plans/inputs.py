@@ -144,3 +144,41 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").alias("face_validity"),
         F.to_date("l_shipdate").alias("publication_date"),
     )
+
+
+PHRASES = (
+    "Overall survival at two years",
+    "Progression-free survival (PFS) by review",
+    "Objective response rate",
+    "Safety and tolerability; MTD",
+    "Change in tumour size",
+    "Adverse event count and OS",
+    "Complete response, ORR",
+    "cosy closs of response ratex",
+)
+DESIGNS = (
+    ("PHASE2", "RANDOMIZED", "DOUBLE", '["drug a","drug b"]'),
+    ("phase3", "Randomized", "NONE", '["drug a plus drug b"]'),
+    ("PHASE1/PHASE2", "NON_RANDOMIZED", "Open Label", '["drug a"]'),
+    (None, None, None, None),
+    ("PHASE9", "NA", "QUADRUPLE", "not json"),
+)
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trial record per order, design and outcome text picked by key."""
+    key = F.col("o_orderkey")
+    designs = F.array(
+        *[
+            F.struct(*[F.lit(v).cast("string").alias(n) for n, v in
+                       zip(("phase", "allocation", "masking", "intervention"), d)])
+            for d in DESIGNS
+        ]
+    )
+    texts = F.array(*[F.lit(p) for p in PHRASES])
+    return table(spark, sf_dir, "orders").select(
+        key.alias("catalyst_id"),
+        F.element_at(designs, (key % 5 + 1).cast("int")).alias("d"),
+        F.element_at(texts, (key % 8 + 1).cast("int")).alias("outcome_text"),
+        F.when(key % 10 != 0, F.floor(F.col("o_totalprice") / 1000.0).cast("int")).alias("enrollment"),
+    ).select("catalyst_id", "d.*", "outcome_text", "enrollment")

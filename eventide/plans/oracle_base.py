@@ -17,12 +17,13 @@ xbi AS (SELECT * FROM (SELECT date, px / lag(px) OVER (ORDER BY date) - 1 AS xbi
   (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS px FROM lineitem
    WHERE l_returnflag = 'A' GROUP BY 1)) WHERE xbi IS NOT NULL)"""
 
-ALIGNED = RETURNS + ",\n" + BENCH + """,
-aligned AS (SELECT ticker, date, ret, spy, xbi,
+ALIGNED_ONLY = """aligned AS (SELECT ticker, date, ret, spy, xbi,
     row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS idx,
     count(*) OVER (PARTITION BY ticker) AS len
   FROM rets JOIN spy USING (date) JOIN xbi USING (date))"""
 
+ALIGNED = ",\n".join((RETURNS, BENCH, ALIGNED_ONLY))
+
 EVTS = """evts AS (
   SELECT o_orderkey AS catalyst_id, 'Brand#' || CAST(c_nationkey + 1 AS VARCHAR) AS ticker,
     CAST(o_orderdate AS DATE) AS announcement_date,
@@ -70,3 +71,68 @@ STUDIES = """studies AS (
 def r(expr: str, places: int = 6) -> str:
     """Rounded double without negative zero."""
     return f"(round(CAST({expr} AS DOUBLE), {places}) + 0e0)"
+
+
+def _trial_rows() -> str:
+    from eventide.plans.inputs import DESIGNS, PHRASES
+
+    def q(v):
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+    d = ", ".join(f"({i}, {', '.join(q(v) for v in row)})" for i, row in enumerate(DESIGNS))
+    p = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(PHRASES))
+    return f"""designs(k, phase, allocation, masking, intervention) AS (VALUES {d}),
+phrases(k, outcome_text) AS (VALUES {p}),
+trials AS (SELECT o_orderkey AS catalyst_id, phase, allocation, masking, intervention, outcome_text,
+    CASE WHEN o_orderkey % 10 <> 0 THEN CAST(floor(o_totalprice / 1000e0) AS INTEGER) END AS enrollment
+  FROM orders JOIN designs d ON d.k = o_orderkey % 5 JOIN phrases p ON p.k = o_orderkey % 8)"""
+
+
+TRIALS = _trial_rows()
+
+# Word boundaries spelled out for an engine whose \b only knows ASCII letters.
+_B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+def words(text: str, *alts: str) -> str:
+    """0/1 expression: any alternative occurs as whole words in lower(text)."""
+    body = "|".join(alts)
+    return f"CAST(regexp_matches(lower(coalesce({text}, '')), '{_B}({body}){_E}') AS INTEGER)"
+
+
+def endpoint_sql(text: str) -> str:
+    return f"""{words(text, 'overall survival', 'os')} AS endpoint_os,
+  {words(text, 'progression.free survival', 'pfs', 'progression free')} AS endpoint_pfs,
+  {words(text, 'objective response', 'orr', 'response rate', 'overall response')} AS endpoint_orr,
+  {words(text, 'safety', 'tolerability', 'adverse event', 'mtd', 'mtbd', 'mt', 'mtb')} AS endpoint_safety"""
+
+
+FEATURES = RETURNS + ",\n" + BENCH + """,
+f0 AS (SELECT *, row_number() OVER w AS n, adj_close / lag(adj_close) OVER w - 1 AS ret,
+    adj_close / lag(adj_close, 5) OVER w - 1 AS return_5d, adj_close / lag(adj_close, 20) OVER w - 1 AS return_20d,
+    adj_close / lag(adj_close, 60) OVER w - 1 AS return_60d, adj_close / lag(adj_close, 120) OVER w - 1 AS return_120d,
+    max(adj_close) OVER (w ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hi,
+    avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rec,
+    avg(volume) OVER (w ROWS BETWEEN 59 PRECEDING AND 5 PRECEDING) AS b60,
+    avg(volume) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING) AS ball
+  FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+feats AS (SELECT *, CASE WHEN n >= 21 THEN stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY date
+      ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) END AS realized_vol_20d,
+    CASE WHEN hi > 0 THEN adj_close / hi - 1 END AS distance_from_52w_high,
+    CASE WHEN n >= 20 AND (CASE WHEN n >= 60 THEN b60 ELSE ball END) > 0
+      THEN rec / (CASE WHEN n >= 60 THEN b60 ELSE ball END) END AS volume_ratio_20d FROM f0),
+com AS (SELECT ticker, date, ret, xbi, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n
+  FROM rets JOIN xbi USING (date)),
+abn AS (SELECT ticker, date,
+    CASE WHEN n >= 25 THEN product(1 + ret) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+      - product(1 + xbi) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS a20,
+    CASE WHEN n >= 60 THEN product(1 + ret) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)
+      - product(1 + xbi) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS a60
+  FROM com WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+probe AS (SELECT DISTINCT ticker, cutoff FROM cuts),
+mf AS (SELECT p.ticker, p.cutoff, f.date AS as_of_date, f.adj_close AS price_at_cutoff, f.ret AS return_1d,
+    f.return_5d, f.return_20d, f.return_60d, f.return_120d, a.a20 AS abnormal_return_20d_xbi,
+    a.a60 AS abnormal_return_60d_xbi, f.distance_from_52w_high, f.realized_vol_20d, f.volume_ratio_20d,
+    f.return_60d AS pre_catalyst_runup_60d
+  FROM probe p ASOF JOIN feats f ON f.ticker = p.ticker AND p.cutoff > f.date
+  ASOF LEFT JOIN abn a ON a.ticker = p.ticker AND p.cutoff > a.date WHERE f.n >= 30)"""

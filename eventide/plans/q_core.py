@@ -56,8 +56,7 @@ def aligned_returns(spark, sf):
     )
 
 
-_MATCHED = ALIGNED + ",\n" + EVTS + """,
-matched AS (SELECT e.*, (SELECT min(a.date) FROM aligned a WHERE a.ticker = e.ticker
+MATCHED_ONLY = """matched AS (SELECT e.*, (SELECT min(a.date) FROM aligned a WHERE a.ticker = e.ticker
     AND a.date >= e.announcement_date) AS session_date FROM
     (SELECT DISTINCT ticker, announcement_date FROM evts) e),
 guarded AS (SELECT m.ticker, m.announcement_date, m.session_date, a.idx, a.len,
@@ -92,6 +91,9 @@ long AS (
   UNION ALL SELECT ticker, announcement_date, window_label, 'XBI_MODEL', NULL, car_x, a_x, b_x FROM meas)"""
 
 
+_MATCHED = ",\n".join((ALIGNED, EVTS, MATCHED_ONLY))
+
+
 def _study_events(spark, sf):
     return inputs.catalysts(spark, sf).select(
         "catalyst_id", "ticker", "announcement_date", "clinical_success", "drug_name"

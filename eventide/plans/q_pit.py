@@ -413,7 +413,7 @@ def provider_fallback(spark, sf):
 q AS (SELECT DISTINCT ticker, DATE '1995-01-01' + CAST(substr(ticker, 7) AS INTEGER) AS s, DATE '2000-06-30' AS e FROM b),
 c AS (SELECT q.*, coalesce((SELECT min(date) FROM b WHERE b.ticker = q.ticker AND prov = 'F') <= q.s, false) AS cov FROM q)
 SELECT b.ticker, cov AS covered, count(*) AS n_bars, CAST(min(date) AS VARCHAR) AS first_date,
-  CAST(max(date) AS VARCHAR) AS last_date, {r('sum(px)', 1)} AS total
+  CAST(max(date) AS VARCHAR) AS last_date, {r('avg(px)', 5)} AS mean_close
 FROM b JOIN c ON c.ticker = b.ticker AND CASE WHEN cov THEN prov = 'F' AND date <= e
   ELSE prov = 'O' AND date BETWEEN s AND e END GROUP BY 1, 2""")
 def cache_coverage(spark, sf):
@@ -425,7 +425,7 @@ def cache_coverage(spark, sf):
     out = lookup.cached_or_fetched(b.filter("provider = 'F'"), b.filter("provider = 'O'"), req)
     return out.groupBy("ticker", "covered").agg(
         F.count(F.lit(1)).alias("n_bars"), F.min("date").cast("string").alias("first_date"),
-        F.max("date").cast("string").alias("last_date"), rnd(F.sum("adj_close"), 1).alias("total"))
+        F.max("date").cast("string").alias("last_date"), rnd(F.avg("adj_close"), 5).alias("mean_close"))
 
 
 @register("coverage_requirements", f"""WITH {EVTS} SELECT ticker, CAST(min(announcement_date) - 400 AS VARCHAR)

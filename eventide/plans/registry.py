@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventide.plans import q_core, q_pit
+from eventide.plans import q_core, q_features, q_pit
 
-_MODULES = (q_core, q_pit)
+_MODULES = (q_core, q_pit, q_features)
 
 
 def queries():
