@@ -136,3 +136,48 @@ mf AS (SELECT p.ticker, p.cutoff, f.date AS as_of_date, f.adj_close AS price_at_
     f.return_60d AS pre_catalyst_runup_60d
   FROM probe p ASOF JOIN feats f ON f.ticker = p.ticker AND p.cutoff > f.date
   ASOF LEFT JOIN abn a ON a.ticker = p.ticker AND p.cutoff > a.date WHERE f.n >= 30)"""
+
+
+def draw(seed: int, b: str, i: str) -> str:
+    """The counter-based draw in SQL: four integer steps in a lateral chain."""
+    p = 2147483647
+    u0 = f"((CAST({i} AS BIGINT) * 48271 + CAST({b} AS BIGINT) * 69621 + {seed * 16807 + 12345}) % {p})"
+    u1 = f"(({u0} * {u0} + {i} + 7) % {p})"
+    u2 = f"(({u1} * {u1} + {b} * 7919 + 1) % {p})"
+    return f"(({u2} * {u2} + {u0}) % {p})"
+
+
+def boot(src: str, value: str, order: str, n_boot: int = 500, seed: int = 42, name: str = "boot",
+         group: str | None = None) -> str:
+    """CTEs `<name>(group, b, mean)`: bootstrap means of `value` over rows of `src` ordered by `order`."""
+    g = group or "1"
+    return f"""{name}_v AS (SELECT {g} AS g, {value} AS v, row_number() OVER (PARTITION BY {g} ORDER BY {order}) - 1 AS pos,
+    count(*) OVER (PARTITION BY {g}) AS n FROM {src} WHERE {value} IS NOT NULL),
+{name}_d AS (SELECT g, b, n, pos AS i FROM {name}_v, (SELECT unnest(range({n_boot})) AS b)),
+{name}_u AS (SELECT g, b, {draw(seed, 'b', 'i')} % n AS pos FROM {name}_d),
+{name} AS (SELECT u.g, u.b, avg(v.v) AS mean FROM {name}_u u JOIN {name}_v v ON v.g = u.g AND v.pos = u.pos GROUP BY 1, 2)"""
+
+
+SIGNALS = LEDGER + """,
+pct AS (SELECT *, (rank() OVER (PARTITION BY test_year ORDER BY expected_car)
+    + (count(*) OVER (PARTITION BY test_year, expected_car) - 1) / 2e0) / count(*) OVER (PARTITION BY test_year)
+    AS expected_car_pct FROM ledger),
+sig AS (SELECT *, expected_car AS expected_car_adj, CASE WHEN expected_car_pct >= 0.90::DOUBLE THEN 'STRONG LONG'
+    WHEN expected_car_pct >= 0.75::DOUBLE THEN 'LONG' WHEN expected_car_pct <= 0.10::DOUBLE THEN 'STRONG SHORT'
+    WHEN expected_car_pct <= 0.25::DOUBLE THEN 'SHORT' ELSE 'NO TRADE' END AS trade_signal FROM pct),
+sided AS (SELECT *, CASE WHEN trade_signal IN ('LONG', 'STRONG LONG') THEN 1
+    WHEN trade_signal IN ('SHORT', 'STRONG SHORT') THEN -1 ELSE 0 END AS side FROM sig),
+traded AS (SELECT *, side * realized_car AS gross_return, side * realized_car - 2e0 * (25e0 / 10000e0) AS net_return
+  FROM sided WHERE side <> 0)"""
+
+_COST = "2e0 * (25e0 / 10000e0) - (300e0 / 10000e0) * (3e0 / 252e0)"
+
+SHORT = LEDGER + f""",
+short AS (SELECT *, -expected_car - {_COST} AS nesr, -realized_car - {_COST} AS rsr,
+    p_failure AS p_major_drop, 0.35::DOUBLE + (test_year % 5) * 0.1::DOUBLE AS major_drop_threshold,
+    CASE WHEN clinical_success = 0 THEN 1 ELSE 0 END AS clinical_failure,
+    CASE WHEN realized_car <= (-0.20)::DOUBLE THEN 1 ELSE 0 END AS major_negative_event FROM ledger),
+top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_year ORDER BY nesr DESC, catalyst_id) AS rn,
+    count(*) OVER (PARTITION BY test_year) AS cnt FROM short) WHERE rn <= greatest(1, ceil(cnt * 0.2::DOUBLE))),
+top10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_year ORDER BY nesr DESC, catalyst_id) AS rn,
+    count(*) OVER (PARTITION BY test_year) AS cnt FROM short) WHERE rn <= greatest(1, ceil(cnt * 0.1::DOUBLE)))"""
