@@ -150,3 +150,25 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str,
     )
     lost = counted.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
     return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_bad")).select(F.lit(rule).alias("rule"), "n_bad")
+
+
+def volume_audit(counts: DataFrame) -> DataFrame:
+    """Pass/partial/fail per data volume check, from one row of counts."""
+
+    def grade(value: Column, full: Column | float, part: Column | float) -> Column:
+        return F.when(value >= full, "pass").when(value >= part, "partial").otherwise("fail")
+
+    n, es, mf = F.col("n_catalysts"), F.col("n_event_study"), F.col("n_market_features")
+    wf, tr = F.col("n_ledger"), F.col("n_trades")
+    checks = {
+        "catalysts": (F.when(n >= 100, "pass").otherwise("fail"), n),
+        "event_study": (grade(es, n * 0.60, n * 0.50), es),
+        "price_coverage": (grade(es, n * 0.95, n * 0.75), es),
+        "market_features": (F.when(mf >= es, "pass").otherwise("partial"), mf),
+        "oos_ledger": (grade(wf, F.lit(20), F.lit(1)), wf),
+        "oos_trades": (grade(tr, F.lit(20), F.lit(5)), tr),
+    }
+    rows = F.array(*[
+        F.struct(F.lit(k).alias("check"), s.alias("status"), v.alias("value")) for k, (s, v) in checks.items()
+    ])
+    return counts.select(F.explode(rows).alias("c")).select("c.*")

@@ -27,13 +27,23 @@ POISSON_CDF = (
 )
 
 
-def draw(seed: int, replicate: Column, position: Column) -> Column:
-    """Pseudo-random integer in [0, PRIME)."""
-    i, b = position.cast("long"), replicate.cast("long")
-    u0 = (i * 48271 + b * 69621 + (seed * 16807 + 12345)) % PRIME
-    u1 = (u0 * u0 + i + 7) % PRIME
-    u2 = (u1 * u1 + b * 7919 + 1) % PRIME
-    return (u2 * u2 + u0) % PRIME
+def with_draw(df: DataFrame, seed: int, replicate: str, position: str, out: str) -> DataFrame:
+    """Add a pseudo-random integer in [0, PRIME). The steps stay separate projections so that no
+    intermediate value is evaluated twice."""
+    i, b = F.col(position).cast("long"), F.col(replicate).cast("long")
+    return (
+        df.withColumn("_u0", (i * 48271 + b * 69621 + (seed * 16807 + 12345)) % PRIME)
+        .withColumn("_u1", (F.col("_u0") * F.col("_u0") + i + 7) % PRIME)
+        .withColumn("_u2", (F.col("_u1") * F.col("_u1") + b * 7919 + 1) % PRIME)
+        .withColumn(out, (F.col("_u2") * F.col("_u2") + F.col("_u0")) % PRIME)
+        .drop("_u0", "_u1", "_u2")
+    )
+
+
+def _spread(pos: DataFrame) -> DataFrame:
+    """Few rows expand into many replicates, so use every core even when the rows fit one partition."""
+    cores = pos.sparkSession.sparkContext.defaultParallelism
+    return pos.repartition(cores) if pos.rdd.getNumPartitions() < cores else pos
 
 
 def positions(df: DataFrame, group: Sequence[str], id_col: str, keep: Sequence[str]) -> DataFrame:
@@ -51,18 +61,21 @@ def _replicates(n_boot: int) -> Column:
 def resampled(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Rows of every replicate, drawn with replacement inside each group: (group, b, keep…, w)."""
     if pos.count() <= EXACT_ROWS:
-        slots = pos.select(*group, "n", "pos", _replicates(n_boot).alias("b")).select(
-            *group, "b", (draw(seed, F.col("b"), F.col("pos")) % F.col("n")).alias("pos")
-        )
+        slots = _spread(pos.select(*group, "n", "pos")).withColumn("b", _replicates(n_boot))
+        slots = with_draw(slots, seed, "b", "pos", "_d").select(*group, "b", (F.col("_d") % F.col("n")).alias("pos"))
         values = F.broadcast(pos.select(*group, "pos", *keep))
         return slots.join(values, [*group, "pos"]).select(*group, "b", *keep, F.lit(1).alias("w"))
-    u = draw(seed, F.col("b"), F.col("pos")) / F.lit(float(PRIME))
+    return poisson_weights(pos, group, keep, n_boot, seed)
+
+
+def poisson_weights(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Each row once per replicate with its Poisson(1) weight `w`."""
+    each = _spread(pos.select(*group, "pos", *keep)).withColumn("b", _replicates(n_boot))
+    u = F.col("_d") / F.lit(float(PRIME))
     weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON_CDF), F.lit(0))
-    return (
-        pos.select(*group, "pos", *keep, _replicates(n_boot).alias("b"))
-        .select(*group, "b", *keep, weight.alias("w"))
-        .filter("w > 0")
-    )
+    drawn = with_draw(each, seed, "b", "pos", "_d").withColumn("w", weight)
+    # A filter on w would be pushed below the draw and evaluate it many times over.
+    return drawn.select(*group, "b", *keep, "w")
 
 
 def bootstrap_means(
@@ -107,11 +120,10 @@ def bootstrap_correlations(
 def sign_permutation(df: DataFrame, value: str, id_col: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
     """Share of sign-flipped means at least as large as the observed mean."""
     pos = positions(df.filter(F.col(value).isNotNull()), [], id_col, [value])
-    sign = F.when(draw(seed, F.col("b"), F.col("pos")) % 2 == 0, 1.0).otherwise(-1.0)
+    each = _spread(pos.select("pos", value)).withColumn("b", _replicates(n_perm))
+    sign = F.when(F.col("_d") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     means = (
-        pos.select("pos", value, _replicates(n_perm).alias("b"))
-        .groupBy("b")
-        .agg(F.avg(F.col(value) * sign).alias("mean"))
+        with_draw(each, seed, "b", "pos", "_d").groupBy("b").agg(F.avg(F.col(value) * sign).alias("mean"))
     )
     observed = pos.agg(F.avg(value)).scalar()
     return means.agg(F.avg((F.col("mean") >= observed).cast("double")).alias("permutation_p"))
@@ -129,9 +141,8 @@ def block_bootstrap(
             (F.row_number().over(w.orderBy(block)) - 1).alias("pos"), F.count(F.lit(1)).over(w).alias("n"), "s", "c"
         )
     )
-    slots = numbered_years.select("n", "pos", _replicates(n_boot).alias("b")).select(
-        "b", (draw(seed, F.col("b"), F.col("pos")) % F.col("n")).alias("pos")
-    )
+    slots = numbered_years.select("n", "pos", _replicates(n_boot).alias("b"))
+    slots = with_draw(slots, seed, "b", "pos", "_d").select("b", (F.col("_d") % F.col("n")).alias("pos"))
     drawn = slots.join(F.broadcast(numbered_years.select("pos", "s", "c")), "pos")
     return drawn.groupBy("b").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
@@ -148,8 +159,9 @@ def residual_intervals(
     n = pos.count()
     values = pos.select("pos", residual)
     values = F.broadcast(values) if n <= EXACT_ROWS else values
-    slots = preds.select(id_col, estimate, _replicates(n_boot).alias("b")).select(
-        id_col, estimate, (draw(seed, F.col("b"), F.col(id_col)) % F.lit(max(n, 1))).alias("pos")
+    slots = _spread(preds.select(id_col, estimate)).withColumn("b", _replicates(n_boot))
+    slots = with_draw(slots, seed, "b", id_col, "_d").select(
+        id_col, estimate, (F.col("_d") % F.lit(max(n, 1))).alias("pos")
     )
     noise = slots.join(values, "pos", "left").withColumn(
         "v", F.col(estimate) + F.coalesce(F.col(residual), F.lit(0.0))
