@@ -18,6 +18,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CLIP = 1e-6
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation, null when either side has no variance."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _clip(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
 
@@ -64,8 +69,11 @@ def calibration_line(df: DataFrame, y: str, p: str) -> DataFrame:
     ok = (F.count(F.lit(1)) >= 10) & (F.count_distinct(y) == 2)
     x = df.select(F.col(y).cast("double").alias("_y"), logit.alias("_x"), y)
     return x.agg(
-        F.when(ok, F.regr_slope("_y", "_x")).alias("calibration_slope"),
-        F.when(ok, F.regr_intercept("_y", "_x")).alias("calibration_intercept"),
+        F.when(ok, F.try_divide(F.covar_pop("_x", "_y"), F.var_pop("_x"))).alias("calibration_slope"),
+        F.avg("_x").alias("_mx"),
+        F.avg("_y").alias("_my"),
+    ).select(
+        "calibration_slope", (F.col("_my") - F.col("calibration_slope") * F.col("_mx")).alias("calibration_intercept")
     )
 
 
@@ -98,34 +106,35 @@ def welch(df: DataFrame, flag: str, value: str) -> DataFrame:
         x = F.when(F.col(flag) == k, v)
         parts += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"m{k}"), F.var_samp(x).alias(f"v{k}")]
     s = df.agg(*parts)
-    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    div = F.try_divide
+    a, b = div(F.col("v1"), F.col("n1")), div(F.col("v0"), F.col("n0"))
     pooled = F.sqrt(
-        ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2)
+        div((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2)
     )
     return s.select(
         F.col("n1").alias("n_failure"), F.col("n0").alias("n_success"),
         F.col("m1").alias("failure_mean"), F.col("m0").alias("success_mean"),
-        ((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t_stat"),
-        ((a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("df"),
-        ((F.col("m1") - F.col("m0")) / pooled).alias("cohens_d"),
+        div(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t_stat"),
+        div((a + b) * (a + b), div(a * a, F.col("n1") - 1) + div(b * b, F.col("n0") - 1)).alias("df"),
+        div(F.col("m1") - F.col("m0"), pooled).alias("cohens_d"),
     )
 
 
 def one_sample_t(df: DataFrame, value: str) -> DataFrame:
     s = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return s.select("n", "mean", (F.col("mean") / (F.col("sd") / F.sqrt(F.col("n")))).alias("t_stat"),
+    return s.select("n", "mean", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt(F.col("n"))).alias("t_stat"),
                     (F.col("n") - 1).cast("double").alias("df"))
 
 
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation with its t statistic; null below five complete pairs."""
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    s = ok.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    s = ok.agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("r"))
     r, n = F.col("r"), F.col("n")
     return s.select(
         "n",
         F.when(n >= 5, r).alias("correlation"),
-        F.when(n >= 5, r * F.sqrt((n - 2) / (1 - r * r))).alias("t_stat"),
+        F.when(n >= 5, r * F.sqrt(F.try_divide(n - 2, 1 - r * r))).alias("t_stat"),
         (n - 2).cast("double").alias("df"),
     )
 

@@ -49,22 +49,39 @@ class Scaler:
         }
 
 
+def fit_scalers(df: DataFrame, subsets: dict[str, Column], cols: Sequence[str]) -> dict[str, Scaler]:
+    """Scalers of several row subsets in two passes: exact medians over (subset, column, value), then
+    means and deviations of the imputed columns per subset.
+
+    A column without values is imputed with 0 and a constant column is scaled by 1.
+    """
+    cols = list(dict.fromkeys(cols))
+    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in subsets.items()]))
+    each = df.select(F.explode(tags).alias("_s"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("v")) for i in range(len(cols))])
+    long = each.select("_s", F.explode(pairs).alias("p")).select("_s", "p.*").filter("v is not null")
+    found = {(r["_s"], r["i"]): float(r["m"]) for r in quantiles(long, ["_s", "i"], "v", {"m": 0.5}).collect()}
+    median = {s: [found.get((s, i), 0.0) for i in range(len(cols))] for s in subsets}
+    fill = F.create_map(*[x for s, m in median.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in m]))])
+    filled = each.withColumn("_m", fill[F.col("_s")]).select(
+        "_s", *[F.coalesce(F.col(f"_v{i}"), F.col("_m")[i]).alias(f"_v{i}") for i in range(len(cols))])
+    stats = filled.groupBy("_s").agg(
+        F.array(*[F.avg(f"_v{i}") for i in range(len(cols))]).alias("mean"),
+        F.array(*[F.stddev_pop(f"_v{i}") for i in range(len(cols))]).alias("sd"),
+    )
+    out = {
+        r["_s"]: Scaler(
+            cols, dict(zip(cols, median[r["_s"]])), dict(zip(cols, r["mean"])),
+            {c: (sd if sd and sd > 1e-12 else 1.0) for c, sd in zip(cols, r["sd"])},
+        )
+        for r in stats.collect()
+    }
+    blank = Scaler(cols, dict.fromkeys(cols, 0.0), dict.fromkeys(cols, 0.0), dict.fromkeys(cols, 1.0))
+    return {s: out.get(s, blank) for s in subsets}
+
+
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
-    """Exact medians of all columns in one pass over (column, value) pairs; a column without values is
-    imputed with 0 and a constant column is scaled by 1."""
-    cols = list(cols)
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = df.select(F.explode(pairs).alias("p")).select("p.*").filter("v is not null")
-    med = {r["c"]: r["m"] for r in quantiles(long, ["c"], "v", {"m": 0.5}).collect()}
-    median = {c: float(med.get(c, 0.0)) for c in cols}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(median[c])) for c in cols}
-    row = df.agg(
-        *[F.avg(e).alias(f"m_{i}") for i, e in enumerate(filled.values())],
-        *[F.stddev_pop(e).alias(f"s_{i}") for i, e in enumerate(filled.values())],
-    ).first()
-    mean = {c: float(row[f"m_{i}"] or 0.0) for i, c in enumerate(cols)}
-    sd = {c: float(row[f"s_{i}"] or 0.0) for i, c in enumerate(cols)}
-    return Scaler(cols, median, mean, {c: (s if s > 1e-12 else 1.0) for c, s in sd.items()})
+    return fit_scalers(df, {"all": F.lit(True)}, cols)["all"]
 
 
 def _vectors(df: DataFrame, scaler: Scaler, keep: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +107,8 @@ class LinearScore:
 
 
 def fit_logistic(
-    df: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, balanced: bool = True
+    df: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, balanced: bool = True,
+    scaler: Scaler | None = None,
 ) -> LinearScore:
     """L2 logistic with balanced class weights n / (2·n_k); the weights sum to n, so the penalty per
     weighted row is 1 / (C·n)."""
@@ -102,25 +120,27 @@ def fit_logistic(
     weight = F.lit(1.0)
     if balanced:
         weight = F.when(F.col(label) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
-    scaler = fit_scaler(rows, cols)
+    scaler = scaler or fit_scaler(rows, cols)
     data = _vectors(rows.select(*dict.fromkeys([*cols, label])), scaler).select(
         "_x", F.col(label).cast("double").alias("_y"), weight.cast("double").alias("_w")
     )
     model = LogisticRegression(
         featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-9,
+        standardization=False, maxIter=max_iter, tol=1e-7,
     ).fit(data)
     return LinearScore(scaler, [float(v) for v in model.coefficients], float(model.intercept))
 
 
-def fit_ridge(df: DataFrame, cols: Sequence[str], label: str, alpha: float) -> LinearScore:
+def fit_ridge(
+    df: DataFrame, cols: Sequence[str], label: str, alpha: float, scaler: Scaler | None = None
+) -> LinearScore:
     """Ridge with an unpenalised intercept, by one pass of normal equations.
 
     Spark divides the target by its deviation, hence regParam = alpha · sd(y) / n.
     """
     rows = df.filter(F.col(label).isNotNull())
     n, sd, mean = rows.agg(F.count(label), F.stddev_pop(label), F.avg(label)).first()
-    scaler = fit_scaler(rows, cols)
+    scaler = scaler or fit_scaler(rows, cols)
     if not sd:
         return LinearScore(scaler, [0.0] * len(list(cols)), float(mean or 0.0))
     data = _vectors(rows.select(*dict.fromkeys([*cols, label])), scaler).select(
@@ -159,14 +179,22 @@ class ExpectedCar:
     metrics: dict = field(default_factory=dict)
 
 
-def fit_expected_car(train: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str]) -> ExpectedCar:
+def fit_expected_car(
+    train: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], scalers: dict[str, Scaler] | None = None
+) -> ExpectedCar:
+    """`scalers`: optional pre-computed ones under p, 1 and 0 (success model, successes, failures)."""
     y, car = F.col("clinical_success"), "realized_car"
+    sc_of = scalers or {}
     n1, n0 = train.agg(F.count(F.when(y == 1, F.col(car))), F.count(F.when(y == 0, F.col(car)))).first()
     parts = {}
     for k, n in ((1, n1), (0, n0)):
-        parts[k] = fit_ridge(train.filter(y == k), car_cols, car, RETURN_ALPHA) if n >= MIN_RETURN_ROWS else None
+        parts[k] = (
+            fit_ridge(train.filter(y == k), car_cols, car, RETURN_ALPHA, sc_of.get(str(k)))
+            if n >= MIN_RETURN_ROWS else None
+        )
     s, f = outcome_means(train, "clinical_success", car, SUCCESS_DEFAULT, FAILURE_DEFAULT)
-    return ExpectedCar(fit_logistic(train, p_cols, "clinical_success"), parts[1], parts[0], s, f, PROVENANCE)
+    p_model = fit_logistic(train, p_cols, "clinical_success", scaler=sc_of.get("p"))
+    return ExpectedCar(p_model, parts[1], parts[0], s, f, PROVENANCE)
 
 
 def predict_expected_car(df: DataFrame, m: ExpectedCar) -> DataFrame:
@@ -200,16 +228,19 @@ class TailRisk:
     fallback_magnitude: float
 
 
-def fit_tail_risk(train: DataFrame, cols: Sequence[str], threshold: float = MAJOR_DROP) -> TailRisk:
+def fit_tail_risk(
+    train: DataFrame, cols: Sequence[str], threshold: float = MAJOR_DROP, scalers: dict[str, Scaler] | None = None
+) -> TailRisk:
     """Drop classifier (a constant rate when the fold has one class) and drop magnitude (the training
     mean when there are fewer than five drops)."""
+    sc_of = scalers or {}
     drop = F.col("realized_car") <= threshold
     n, k, mean = train.agg(
         F.count("realized_car"), F.count(F.when(drop, 1)), F.avg(F.when(drop, F.col("realized_car")))
     ).first()
     flagged = train.withColumn("_drop", drop.cast("int"))
-    clf = fit_logistic(flagged, cols, "_drop", max_iter=2000) if 0 < k < n else None
-    mag = fit_ridge(train.filter(drop), cols, "realized_car", SHORT_ALPHA) if k >= MIN_TAIL_ROWS else None
+    clf = fit_logistic(flagged, cols, "_drop", max_iter=2000, scaler=sc_of.get("all")) if 0 < k < n else None
+    mag = fit_ridge(train.filter(drop), cols, "realized_car", SHORT_ALPHA, sc_of.get("drop")) if k >= MIN_TAIL_ROWS else None
     return TailRisk(clf, mag, k / n if n else 0.0, threshold if mean is None else float(mean))
 
 
@@ -230,13 +261,15 @@ class ConditionalCar:
     success_mean: float
 
 
-def fit_conditional_car(train: DataFrame, cols: Sequence[str]) -> ConditionalCar:
-    y = F.col("clinical_failure")
+def fit_conditional_car(
+    train: DataFrame, cols: Sequence[str], scalers: dict[str, Scaler] | None = None
+) -> ConditionalCar:
+    y, sc_of = F.col("clinical_failure"), scalers or {}
     n1, n0 = train.agg(
         F.count(F.when(y == 1, F.col("realized_car"))), F.count(F.when(y == 0, F.col("realized_car")))
     ).first()
-    fail = fit_ridge(train.filter(y == 1), cols, "realized_car", SHORT_ALPHA) if n1 >= MIN_SHORT_ROWS else None
-    ok = fit_ridge(train.filter(y == 0), cols, "realized_car", SHORT_ALPHA) if n0 >= MIN_SHORT_ROWS else None
+    fail = fit_ridge(train.filter(y == 1), cols, "realized_car", SHORT_ALPHA, sc_of.get("1")) if n1 >= MIN_SHORT_ROWS else None
+    ok = fit_ridge(train.filter(y == 0), cols, "realized_car", SHORT_ALPHA, sc_of.get("0")) if n0 >= MIN_SHORT_ROWS else None
     f, s = outcome_means(train, "clinical_failure", "realized_car", SHORT_FAILURE_DEFAULT, SHORT_SUCCESS_DEFAULT)
     return ConditionalCar(fail, ok, f, s)
 
@@ -248,7 +281,10 @@ def conditional_columns(m: ConditionalCar) -> tuple[Column, Column]:
     return f, s
 
 
-def nested_threshold(train: DataFrame, cols: Sequence[str], year: str = "catalyst_year") -> float:
+def nested_threshold(
+    train: DataFrame, cols: Sequence[str], year: str = "catalyst_year",
+    scalers: dict[int, dict[str, Scaler]] | None = None,
+) -> float:
     """P(drop) threshold with the best mean short return over the last three training years.
 
     Each inner fold is scored once and judged at all five thresholds in one aggregate; the smallest
@@ -263,7 +299,7 @@ def nested_threshold(train: DataFrame, cols: Sequence[str], year: str = "catalys
         n, k = inner.agg(F.count(F.lit(1)), F.count(F.when(F.col("realized_car") <= MAJOR_DROP, 1))).first()
         if n < MIN_SHORT_TRAIN or k < 2:
             continue
-        part = predict_tail_risk(test, fit_tail_risk(inner, cols))
+        part = predict_tail_risk(test, fit_tail_risk(inner, cols, scalers=(scalers or {}).get(y - 1)))
         scored.append(part.select(F.lit(y).alias("_y"), "p_major_drop", "realized_car"))
     if not scored:
         return THRESHOLDS[0]
@@ -287,14 +323,30 @@ def folds(df: DataFrame, first_train_end: int, step: int, minimum: int, year: st
         end += step
 
 
+def fold_scalers(
+    frame: DataFrame, ends: Sequence[int], parts: dict[str, Column], cols: Sequence[str], year: str = "catalyst_year"
+) -> dict[int, dict[str, Scaler]]:
+    """Scalers of every training window (rows up to each end year) and part of it, computed together."""
+    subsets = {f"{e}:{name}": (F.col(year) <= e) & cond for e in ends for name, cond in parts.items()}
+    flat = fit_scalers(frame, subsets, cols)
+    return {e: {name: flat[f"{e}:{name}"] for name in parts} for e in ends}
+
+
 def walk_forward(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1,
     keep: Sequence[str] = ("catalyst_id", "ticker", "clinical_success", "realized_car", "company_dependency"),
 ) -> DataFrame:
     """Out-of-sample expected CAR per test year. `frame` should be materialised: every fold reads it."""
+    plan = list(folds(frame, first_train_end, step, MIN_TRAIN))
+    if not plan:
+        raise ValueError("no usable fold")
+    ends, y = [f[0] for f in plan], F.col("clinical_success")
+    p_scalers = fold_scalers(frame, ends, {"p": F.lit(True)}, p_cols)
+    car_scalers = fold_scalers(frame, ends, {"1": y == 1, "0": y == 0}, car_cols)
     parts = []
-    for end, test_year, train, test in folds(frame, first_train_end, step, MIN_TRAIN):
-        pred = predict_expected_car(test, fit_expected_car(train, p_cols, car_cols))
+    for end, test_year, train, test in plan:
+        model = fit_expected_car(train, p_cols, car_cols, {**p_scalers[end], **car_scalers[end]})
+        pred = predict_expected_car(test, model)
         dep = F.coalesce("company_dependency", F.lit(0.9))
         parts.append(
             pred.withColumns({
@@ -304,8 +356,6 @@ def walk_forward(
             }).select(*keep, "p_success", "expected_car", "expected_car_adj", "train_end_year", "test_year",
                       "model_version")
         )
-    if not parts:
-        raise ValueError("no usable fold")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -313,11 +363,20 @@ def short_walk_forward(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1
 ) -> DataFrame:
     """Out-of-sample failure, conditional-return and tail predictions with costs applied."""
+    plan = list(folds(frame, first_train_end, step, MIN_SHORT_TRAIN))
+    if not plan:
+        raise ValueError("no usable fold")
+    ends, y = [f[0] for f in plan], F.col("clinical_failure")
+    inner = sorted({e - back for e in ends for back in range(4)})
+    drop = F.coalesce(F.col("realized_car") <= MAJOR_DROP, F.lit(False))
+    p_scalers = fold_scalers(frame, inner, {"all": F.lit(True), "drop": drop}, p_cols)
+    car_scalers = fold_scalers(frame, ends, {"1": y == 1, "0": y == 0}, car_cols)
     parts = []
-    for end, test_year, train, test in folds(frame, first_train_end, step, MIN_SHORT_TRAIN):
-        p_fail = fit_logistic(train, p_cols, "clinical_failure", max_iter=2000).probability()
-        car_f, car_s = conditional_columns(fit_conditional_car(train, car_cols))
-        tail = predict_tail_risk(test, fit_tail_risk(train, p_cols))
+    for end, test_year, train, test in plan:
+        p_fail = fit_logistic(train, p_cols, "clinical_failure", max_iter=2000, scaler=p_scalers[end]["all"]).probability()
+        car_f, car_s = conditional_columns(fit_conditional_car(train, car_cols, car_scalers[end]))
+        tail = predict_tail_risk(test, fit_tail_risk(train, p_cols, scalers=p_scalers[end]))
+        threshold = nested_threshold(train, p_cols, scalers=p_scalers)
         exp = sc.expected_car(F.col("p_failure"), F.col("car_failure_pred"), F.col("car_success_pred"),
                               F.col("company_dependency"))
         parts.append(
@@ -329,15 +388,12 @@ def short_walk_forward(
                 "p_failure", (1 - F.col("p_failure")).alias("p_success"), "car_failure_pred", "car_success_pred",
                 "expected_car", (-F.col("expected_car")).alias("expected_short_return"),
                 sc.short_return(F.col("expected_car")).alias("net_expected_short_return"),
-                "p_major_drop", "tail_risk_score",
-                F.lit(float(nested_threshold(train, p_cols))).alias("major_drop_threshold"),
+                "p_major_drop", "tail_risk_score", F.lit(float(threshold)).alias("major_drop_threshold"),
                 "company_dependency", "realized_car",
                 sc.short_return(F.col("realized_car")).alias("realized_short_return"),
                 "clinical_failure", "major_negative_event", F.lit(f"short_wf_{end}").alias("model_version"),
             )
         )
-    if not parts:
-        raise ValueError("no usable fold")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -25,7 +25,7 @@ def simple_returns(bars: DataFrame, key: str = "ticker", price: str = "adj_close
         "_px",
         F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     )
-    ret = F.col("_px") / F.lag("_px").over(w) - F.lit(1.0)
+    ret = F.try_divide(F.col("_px"), F.lag("_px").over(w)) - F.lit(1.0)
     return padded.select(key, "date", ret.alias("ret")).filter(F.col("ret").isNotNull())
 
 
@@ -59,7 +59,7 @@ def trailing_features(bars: DataFrame, bench_wide: DataFrame) -> DataFrame:
     px = F.col("adj_close")
     n = F.row_number().over(w)
     high = F.max(px).over(w.rowsBetween(-251, 0))
-    ret = px / F.lag(px).over(w) - 1
+    ret = F.try_divide(px, F.lag(px).over(w)) - 1
     base = bars.withColumns({"n_bars": n, "ret": ret, "high_52w": high})
     vol20 = F.when(
         F.col("n_bars") >= 21, F.stddev_samp("ret").over(w.rowsBetween(-19, 0)) * F.sqrt(F.lit(252.0))
@@ -70,7 +70,7 @@ def trailing_features(bars: DataFrame, bench_wide: DataFrame) -> DataFrame:
     vol_base = F.when(F.col("n_bars") >= 60, base_long).otherwise(base_all)
     own = base.withColumns(
         {
-            **{f"return_{k}d": px / F.lag(px, k).over(w) - 1 for k in TRAILING_DAYS},
+            **{f"return_{k}d": F.try_divide(px, F.lag(px, k).over(w)) - 1 for k in TRAILING_DAYS},
             "realized_vol_20d": vol20,
             "distance_from_52w_high": F.when(F.col("high_52w") > 0, px / F.col("high_52w") - 1),
             "volume_ratio_20d": F.when(

@@ -221,7 +221,7 @@ def leave_one_out(trades: DataFrame, ret: str) -> DataFrame:
     """Mean without each trade and its change, from the overall sum and count."""
     total = trades.agg(F.sum(ret)).scalar()
     n = trades.agg(F.count(ret)).scalar()
-    without = (total - F.col(ret)) / (n - 1)
+    without = F.try_divide(total - F.col(ret), n - 1)
     return trades.withColumns({"mean_without": without, "delta_mean": without - total / n})
 
 
@@ -238,7 +238,7 @@ def equity_path(
     rows = trades.select(id_col, date, pnl.alias("pnl"))
     summed = running(rows, [], [date, id_col], sums={"cum_pnl": "pnl"})
     cap = F.lit(start) + F.col("cum_pnl")
-    path = summed.withColumns({"capital_after": cap, "ret": F.col("pnl") / (cap - F.col("pnl"))})
+    path = summed.withColumns({"capital_after": cap, "ret": F.try_divide(F.col("pnl"), cap - F.col("pnl"))})
     peaked = running(path, [], [date, id_col], maxes={"peak_after": "capital_after"})
     return peaked.withColumn("peak", F.greatest("peak_after", F.lit(start))).drop("peak_after")
 

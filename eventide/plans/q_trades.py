@@ -159,7 +159,7 @@ def walk_forward_summary(spark, sf):
     led = signal_ledger(spark, sf).withColumn("side", sc.side_of(F.col("trade_signal")))
     car = F.col("realized_car")
     s = led.agg(
-        F.count(F.lit(1)).alias("n"), F.corr("expected_car", "realized_car").alias("corr"),
+        F.count(F.lit(1)).alias("n"), metrics.correlation("expected_car", "realized_car").alias("corr"),
         F.avg(F.when(F.col("side") == 1, car)).alias("long_mean"),
         F.avg(F.when(F.col("side") == -1, car)).alias("short_mean"),
         F.count(F.when(F.col("side") == 1, 1)).alias("n_long"), F.count(F.when(F.col("side") == -1, 1)).alias("n_short"))
@@ -186,7 +186,7 @@ def holdout_summary(spark, sf):
     ci = stable(resample.interval(resample.bootstrap_correlations(hold, "expected_car", "realized_car", "catalyst_id")))
     e, car = F.col("expected_car"), F.col("realized_car")
     s = hold.agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.corr(e, car)).alias("corr"),
+        F.count(F.lit(1)).alias("n"), rnd(metrics.correlation(e, car)).alias("corr"),
         F.count(F.when(e > 0.03, 1)).alias("n_long"), F.count(F.when(e < -0.03, 1)).alias("n_short"),
         rnd(F.avg(F.when(e > 0.03, car))).alias("long_mean"), rnd(F.avg(F.when(e < -0.03, car))).alias("short_mean"))
     return s.withColumns({"corr_lo": rnd(ci.select("ci_lo").scalar(), 5), "corr_hi": rnd(ci.select("ci_hi").scalar(), 5)})

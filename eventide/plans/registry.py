@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventide.plans import q_core, q_features, q_pit, q_registry, q_sources, q_stats, q_trades
+from eventide.plans import q_core, q_features, q_models, q_pit, q_registry, q_sources, q_stats, q_trades
 
-_MODULES = (q_core, q_pit, q_features, q_trades, q_stats, q_registry, q_sources)
+_MODULES = (q_core, q_pit, q_features, q_trades, q_stats, q_registry, q_sources, q_models)
 
 
 def queries():
