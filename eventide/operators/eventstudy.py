@@ -229,3 +229,18 @@ def legacy_study(events: DataFrame, aligned: DataFrame) -> DataFrame:
     car = F.col("r3") - 3 * F.col("e.alpha") - F.col("e.beta") * F.col("m3")
     keyed = ok.select("ticker", "announcement_date", car.alias("car"), "e.alpha", "e.beta")
     return events.join(keyed, ["ticker", "announcement_date"])
+
+
+def recovery_delta(events: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Counts of events with a CAR in the first and second run, gained, and still missing."""
+    flags = (
+        events.select("catalyst_id")
+        .join(before.select("catalyst_id", F.lit(1).alias("b")), "catalyst_id", "left")
+        .join(after.select("catalyst_id", F.lit(1).alias("a")), "catalyst_id", "left")
+    )
+    return flags.agg(
+        F.count("b").alias("n_before"),
+        F.count("a").alias("n_after"),
+        F.count(F.when(F.col("a").isNotNull() & F.col("b").isNull(), 1)).alias("n_recovered"),
+        F.count(F.when(F.col("a").isNull(), 1)).alias("n_still_missing"),
+    )

@@ -403,3 +403,57 @@ def short_edge_frame_query(spark, sf):
     df = features.risk_flags(stable(short_edge_frame(spark, sf)))
     return df.select("catalyst_id", "company_dependency", F.col("feature_as_of_date").cast("string"),
                      "high_volatility", "major_negative_event")
+
+
+@register("enrich_missing", f"WITH {_RISK} SELECT catalyst_id, test_year, phase_2, phase_3, is_small_cap FROM risk")
+def enrich_missing(spark, sf):
+    """Columns the predictions lack are brought from the flagged frame; those they have stay."""
+    preds = inputs.ledger(spark, sf).select("catalyst_id", "test_year")
+    wanted = ["test_year", "phase_2", "phase_3", "is_small_cap", "not_there"]
+    out = features.enrich_missing(preds, risk_frame(spark, sf), "catalyst_id", wanted)
+    return out.select("catalyst_id", "test_year", "phase_2", "phase_3", "is_small_cap")
+
+
+@register("expected_short_return", f"""WITH {LEDGER}, x AS (SELECT catalyst_id, coalesce(company_dependency, 0.9::DOUBLE) AS d, p_failure AS p,
+    realized_car * 0.5::DOUBLE - 0.1::DOUBLE AS f, realized_car * 0.5::DOUBLE + 0.1::DOUBLE AS s FROM ledger)
+SELECT catalyst_id, {r('p * f + (1 - p) * s', 10)} AS expected_car, {r('p * f * d + (1 - p) * s * d', 10)} AS expected_car_exposed,
+  {r('-(p * f * d + (1 - p) * s * d) - 2e0 * (25e0 / 10000e0) - (300e0 / 10000e0) * (3e0 / 252e0)', 10)} AS net_expected_short_return FROM x""")
+def expected_short_return(spark, sf):
+    x = inputs.ledger(spark, sf).select(
+        "catalyst_id", F.coalesce("company_dependency", F.lit(0.9)).alias("d"), F.col("p_failure").alias("p"),
+        (F.col("realized_car") * 0.5 - 0.1).alias("f"), (F.col("realized_car") * 0.5 + 0.1).alias("s"))
+    p, f, s, d = (F.col(c) for c in "pfsd")
+    exposed = sc.expected_car(p, f, s, d)
+    return x.select("catalyst_id", rnd(sc.expected_car(p, f, s), 10).alias("expected_car"),
+                    rnd(exposed, 10).alias("expected_car_exposed"),
+                    rnd(sc.short_return(exposed), 10).alias("net_expected_short_return"))
+
+
+
+
+def _study_sql(where):
+    from eventide.plans.oracle_base import ALIGNED
+
+    cut = ALIGNED.replace("FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
+                          f"FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where} GROUP BY 1, 2", 1)
+    return f"""(WITH {cut}, {EVTS}, {MATCHED_ONLY} SELECT catalyst_id FROM evts JOIN guarded USING (ticker, announcement_date) WHERE price_status = 'ok')"""
+
+
+@register("recovery_delta", f"""WITH a AS {_study_sql("l_linestatus = 'F' AND l_shipdate < TIMESTAMP '1999-01-01'")}, b AS {_study_sql('true')}
+SELECT (SELECT count(*) FROM a) AS n_before, (SELECT count(*) FROM b) AS n_after,
+  (SELECT count(*) FROM b WHERE catalyst_id NOT IN (SELECT catalyst_id FROM a)) AS n_recovered,
+  (SELECT count(*) FROM orders) - (SELECT count(*) FROM b) AS n_still_missing""")
+def recovery_delta(spark, sf):
+    """Events with a CAR before and after late bars are merged into the stored history."""
+    def daily(df):
+        p = inputs.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+        return df.join(p, df.l_partkey == p.p_partkey).groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(
+            F.avg("l_extendedprice").alias("adj_close"))
+
+    li = inputs.table(spark, sf, "lineitem")
+    old = daily(li.filter("l_linestatus = 'F' and l_shipdate < '1999-01-01'"))
+    bench, ev = _bench(spark, sf), _study_events(spark, sf)
+    before, after = (
+        eventstudy.primary_car(ev, series.align(series.simple_returns(b), bench), b).select("catalyst_id")
+        for b in (old, daily(li)))
+    return eventstudy.recovery_delta(ev, before, after)
