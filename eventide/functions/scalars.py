@@ -16,13 +16,14 @@ PHASE_NUMERIC = {
     "PHASE4": 4.0,
 }
 
-# Endpoint families recognised in outcome texts (lower case).
-ENDPOINT_PATTERNS = {
-    "endpoint_os": r"(?U)\boverall survival\b|\bos\b",
-    "endpoint_pfs": r"(?U)\bprogression.free survival\b|\bpfs\b|\bprogression free\b",
-    "endpoint_orr": r"(?U)\bobjective response\b|\borr\b|\bresponse rate\b|\boverall response\b",
-    "endpoint_safety": r"(?U)\bsafety\b|\btolerability\b|\badverse event\b|\bmtb?d\b",
+# Endpoint families recognised as whole words in outcome texts (lower case, as patterns).
+ENDPOINT_PHRASES = {
+    "endpoint_os": ("overall survival", "os"),
+    "endpoint_pfs": ("progression.free survival", "pfs", "progression free"),
+    "endpoint_orr": ("objective response", "orr", "response rate", "overall response"),
+    "endpoint_safety": ("safety", "tolerability", "adverse event", "mtb?d"),
 }
+_WORD = r"[\p{L}\p{N}_]"
 
 # Words that mark a combination regimen, and masking values that mean not blinded.
 COMBO_MARKERS = (" plus ", " + ", " in combination", "combined with", " and ")
@@ -42,10 +43,16 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def whole_words(phrases: tuple[str, ...]) -> str:
+    """Pattern for any phrase between word boundaries in any alphabet. The phrase comes first and its
+    surroundings are checked after, which is far cheaper than testing a boundary at every character."""
+    return "|".join(f"{p}(?!{_WORD})(?<!{_WORD}{p})" for p in phrases)
+
+
 def endpoint_flags(text: Column) -> dict[str, Column]:
     """Binary flag per endpoint family; `text` is the joined outcome text."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return {name: low.rlike(p).cast("int") for name, p in ENDPOINT_PATTERNS.items()}
+    return {name: low.rlike(whole_words(p)).cast("int") for name, p in ENDPOINT_PHRASES.items()}
 
 
 def phase_numeric(phase: Column) -> Column:

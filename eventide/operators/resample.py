@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.ordered import numbered
-from eventide.session import stable
+from eventide.session import spread, stable
 
 EXACT_ROWS = 200_000
 # A prime modulus and odd multipliers of the mix.
@@ -40,12 +40,6 @@ def with_draw(df: DataFrame, seed: int, replicate: str, position: str, out: str)
     )
 
 
-def _spread(pos: DataFrame) -> DataFrame:
-    """Few rows expand into many replicates, so use every core even when the rows fit one partition."""
-    cores = pos.sparkSession.sparkContext.defaultParallelism
-    return pos.repartition(cores) if pos.rdd.getNumPartitions() < cores else pos
-
-
 def positions(df: DataFrame, group: Sequence[str], id_col: str, keep: Sequence[str]) -> DataFrame:
     """0-based position by id and group size `n`, materialised once."""
     rows = numbered(df.select(*group, id_col, *keep), group, [id_col], "_no", totals=True)
@@ -61,7 +55,7 @@ def _replicates(n_boot: int) -> Column:
 def resampled(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Rows of every replicate, drawn with replacement inside each group: (group, b, keep…, w)."""
     if pos.count() <= EXACT_ROWS:
-        slots = _spread(pos.select(*group, "n", "pos")).withColumn("b", _replicates(n_boot))
+        slots = spread(pos.select(*group, "n", "pos")).withColumn("b", _replicates(n_boot))
         slots = with_draw(slots, seed, "b", "pos", "_d").select(*group, "b", (F.col("_d") % F.col("n")).alias("pos"))
         values = F.broadcast(pos.select(*group, "pos", *keep))
         return slots.join(values, [*group, "pos"]).select(*group, "b", *keep, F.lit(1).alias("w"))
@@ -70,7 +64,7 @@ def resampled(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot:
 
 def poisson_weights(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Each row once per replicate with its Poisson(1) weight `w`."""
-    each = _spread(pos.select(*group, "pos", *keep)).withColumn("b", _replicates(n_boot))
+    each = spread(pos.select(*group, "pos", *keep)).withColumn("b", _replicates(n_boot))
     u = F.col("_d") / F.lit(float(PRIME))
     weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON_CDF), F.lit(0))
     drawn = with_draw(each, seed, "b", "pos", "_d").withColumn("w", weight)
@@ -120,7 +114,7 @@ def bootstrap_correlations(
 def sign_permutation(df: DataFrame, value: str, id_col: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
     """Share of sign-flipped means at least as large as the observed mean."""
     pos = positions(df.filter(F.col(value).isNotNull()), [], id_col, [value])
-    each = _spread(pos.select("pos", value)).withColumn("b", _replicates(n_perm))
+    each = spread(pos.select("pos", value)).withColumn("b", _replicates(n_perm))
     sign = F.when(F.col("_d") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     means = (
         with_draw(each, seed, "b", "pos", "_d").groupBy("b").agg(F.avg(F.col(value) * sign).alias("mean"))
@@ -159,7 +153,7 @@ def residual_intervals(
     n = pos.count()
     values = pos.select("pos", residual)
     values = F.broadcast(values) if n <= EXACT_ROWS else values
-    slots = _spread(preds.select(id_col, estimate)).withColumn("b", _replicates(n_boot))
+    slots = spread(preds.select(id_col, estimate)).withColumn("b", _replicates(n_boot))
     slots = with_draw(slots, seed, "b", id_col, "_d").select(
         id_col, estimate, (F.col("_d") % F.lit(max(n, 1))).alias("pos")
     )

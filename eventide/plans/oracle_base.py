@@ -104,7 +104,7 @@ def endpoint_sql(text: str) -> str:
     return f"""{words(text, 'overall survival', 'os')} AS endpoint_os,
   {words(text, 'progression.free survival', 'pfs', 'progression free')} AS endpoint_pfs,
   {words(text, 'objective response', 'orr', 'response rate', 'overall response')} AS endpoint_orr,
-  {words(text, 'safety', 'tolerability', 'adverse event', 'mtd', 'mtbd', 'mt', 'mtb')} AS endpoint_safety"""
+  {words(text, 'safety', 'tolerability', 'adverse event', 'mtb?d')} AS endpoint_safety"""
 
 
 FEATURES = RETURNS + ",\n" + BENCH + """,
@@ -147,6 +147,11 @@ def draw(seed: int, b: str, i: str) -> str:
     return f"(({u2} * {u2} + {u0}) % {p})"
 
 
+def r_wide(expr: str) -> str:
+    """Six places, or whole units where the magnitude leaves no room for decimals."""
+    return f"CASE WHEN abs({expr}) < 1e5 THEN {r(expr)} ELSE {r(expr, 0)} END"
+
+
 def boot(src: str, value: str, order: str, n_boot: int = 500, seed: int = 42, name: str = "boot",
          group: str | None = None) -> str:
     """CTEs `<name>(group, b, mean)`: bootstrap means of `value` over rows of `src` ordered by `order`."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as sc
-from eventide.functions.rounding import rnd
+from eventide.functions.rounding import rnd, rnd_wide
 from eventide.operators import audits, cutoffs, eventstudy, features, lookup, series, studies
 from eventide.operators.ordered import quantiles
 from eventide.plans import inputs
-from eventide.plans.oracle_base import ALIGNED_ONLY, CUTS, EVTS, FEATURES, LEDGER, STUDIES, TRIALS, endpoint_sql, r, words
+from eventide.plans.oracle_base import ALIGNED_ONLY, CUTS, EVTS, FEATURES, LEDGER, STUDIES, TRIALS, endpoint_sql, r, r_wide
 from eventide.plans.q_core import _MATCHED, MATCHED_ONLY, _aligned, _study_events
+from eventide.session import spread, stable
 from eventide.plans.q_pit import _PROG, _programs, _publications, _with_cutoff
 
 QUERIES, ORACLE = {}, {}
@@ -34,11 +35,11 @@ _MF_COLS = ("price_at_cutoff", *features.MARKET)
 
 
 @register("trailing_features", f"""WITH {CUTS}, {FEATURES} SELECT catalyst_id, CAST(as_of_date AS VARCHAR) AS as_of_date,
-  {', '.join(r(c) + ' AS ' + c for c in _MF_COLS)} FROM cuts JOIN mf USING (ticker, cutoff)""")
+  {', '.join(r_wide(c) + ' AS ' + c for c in _MF_COLS)} FROM cuts JOIN mf USING (ticker, cutoff)""")
 def trailing_features(spark, sf):
     ev = _with_cutoff(spark, sf).select("catalyst_id", "ticker", "cutoff")
     mf = features.market_features(ev, inputs.bars(spark, sf), _bench(spark, sf))
-    return mf.select("catalyst_id", F.col("as_of_date").cast("string"), *[rnd(c).alias(c) for c in _MF_COLS])
+    return mf.select("catalyst_id", F.col("as_of_date").cast("string"), *[rnd_wide(c).alias(c) for c in _MF_COLS])
 
 
 @register("prior_success", f"""WITH {EVTS}, d AS (SELECT drug_name, announcement_date, count(clinical_success) AS n,
@@ -79,7 +80,7 @@ def trial_design(spark, sf):
 
 @register("endpoint_flags", f"SELECT doc_id, {endpoint_sql('text')} FROM documents")
 def endpoint_flags(spark, sf):
-    d = inputs.table(spark, sf, "documents")
+    d = spread(inputs.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", *[c.alias(n) for n, c in sc.endpoint_flags(F.col("text")).items()])
 
 
@@ -398,8 +399,6 @@ SELECT catalyst_id, coalesce(dep, 0.9::DOUBLE) AS company_dependency,
   CASE WHEN coalesce(vol, 0) > m THEN 1 ELSE 0 END AS high_volatility,
   CASE WHEN car <= (-0.20)::DOUBLE THEN 1 ELSE 0 END AS major_negative_event FROM z, m""")
 def short_edge_frame_query(spark, sf):
-    from eventide.session import stable
-
     df = features.risk_flags(stable(short_edge_frame(spark, sf)))
     return df.select("catalyst_id", "company_dependency", F.col("feature_as_of_date").cast("string"),
                      "high_volatility", "major_negative_event")

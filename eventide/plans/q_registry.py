@@ -11,6 +11,7 @@ from eventide.operators import audits, cutoffs, features, fuzzy, registry
 from eventide.plans import inputs
 from eventide.plans.inputs import DESIGNS, PHRASES
 from eventide.plans.oracle_base import CUTS, EVTS, TRIALS, r
+from eventide.session import spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -420,7 +421,7 @@ def literature_gap(spark, sf):
   md5(substr(text, 1, 200)) AS sentence_md5 FROM documents""")
 def abstract_cues(spark, sf):
     cues = registry.abstract_cues(F.col("text"))
-    return inputs.table(spark, sf, "documents").select(
+    return spread(inputs.table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", *[cues[c].alias(c) for c in ("species", "disease_model", "extraction_confidence")],
         F.md5(cues["source_sentence"]).alias("sentence_md5"))
 

@@ -74,7 +74,7 @@ def src_stooq(spark, sf):
 @register("src_polygon", _bars_sql("adj_close", "polygon", "ticker <> 'Brand#3'"))
 def src_polygon(spark, sf):
     """Daily payloads per ticker; one ticker's payload is an error and yields nothing."""
-    bar = F.struct(F.unix_millis(F.col("date").cast("timestamp")).alias("t"), F.col("low").alias("o"), F.col("high").alias("h"),
+    bar = F.struct((F.unix_date("date").cast("long") * 86400000).alias("t"), F.col("low").alias("o"), F.col("high").alias("h"),
                    F.col("low").alias("l"), F.col("adj_close").alias("c"), F.col("volume").alias("v"))
     docs = _daily(spark, sf).groupBy("ticker").agg(F.collect_list(bar).alias("results"))
     status = F.when(F.col("ticker") == "b3", "ERROR").otherwise("OK").alias("status")
@@ -208,9 +208,10 @@ def src_company_facts(spark, sf):
     day = F.date_format("ts", "yyyy-MM-dd")
     entry = F.struct(F.col("value").alias("val"), day.alias("end"), day.alias("filed"), F.lit("10-Q").alias("form"))
     unit = F.when(F.col("event_id") % 2 == 0, "USD").otherwise("shares").alias("unit")
-    lists = e.groupBy("user_id", "event_type", unit).agg(F.collect_list(entry).alias("l"))
-    tags = lists.groupBy("user_id", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("unit", "l"))).alias("u"))
-    docs = tags.groupBy(F.col("user_id").alias("cik")).agg(
+    part = F.floor(F.col("event_id") / 10000).alias("part")  # documents of bounded size, several per issuer
+    lists = e.groupBy("user_id", part, "event_type", unit).agg(F.collect_list(entry).alias("l"))
+    tags = lists.groupBy("user_id", "part", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("unit", "l"))).alias("u"))
+    docs = tags.groupBy(F.col("user_id").alias("cik"), "part").agg(
         F.map_from_entries(F.collect_list(F.struct("event_type", F.struct(F.col("u").alias("units"))))).alias("t"))
     path = staging_path(spark, "facts")
     docs.select("cik", F.create_map(F.lit("us-gaap"), F.col("t")).alias("facts")).write.json(path)
@@ -338,14 +339,14 @@ UNION ALL SELECT 'animal_study_features', count(*) FROM lineitem UNION ALL SELEC
 UNION ALL SELECT 'program_financial_events', count(*) FROM orders WHERE o_orderstatus <> 'P'""")
 def snk_bundle(spark, sf):
     ev = inputs.catalysts(spark, sf)
-    st = inputs.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("program_id")).agg(
-        F.collect_list(F.struct(F.col("l_partkey").alias("pmid"), F.col("l_returnflag").alias("species"),
-                                F.col("l_discount").alias("effect_size"))).alias("studies"))
+    st = inputs.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("program_id"), F.col("l_partkey").alias("pmid"), F.col("l_returnflag").alias("species"),
+        F.col("l_discount").alias("effect_size"))
     k = F.col("catalyst_id")
     b = ev.select(k.alias("program_id"), "ticker", F.col("ticker").alias("company_name"), "drug_name", "indication",
                   F.col("announcement_date").alias("t0_date"), F.when(k % 2 == 0, F.concat(F.lit("NCT"), k.cast("string"))).alias("nct_id"),
                   "clinical_success", F.when(F.col("clinical_success").isNotNull(), F.col("announcement_date")).alias("event_date"))
-    tables = sinks.bundle_tables(b.join(st, "program_id", "left"))
+    tables = sinks.bundle_tables(b, st)
     out = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")

@@ -51,3 +51,10 @@ def stable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and fixes the rows against re-evaluation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy work on an input with fewer partitions than cores (a few large row
+    groups, or few rows about to expand); larger inputs pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -75,12 +75,13 @@ def read_stooq(spark: SparkSession, path: str, pattern: str = FILE_NAME) -> Data
 
 
 def read_polygon(spark: SparkSession, path: str, pattern: str = FILE_NAME) -> DataFrame:
-    """One payload per ticker; error payloads and payloads without results are empty."""
+    """One payload per ticker; error payloads and payloads without results are empty. Epoch milliseconds
+    are UTC whatever the session time zone."""
     docs = spark.read.schema(schemas.POLYGON).json(path, multiLine=True).select(
         "status", "results", _ticker(F.col("_metadata.file_path"), pattern).alias("ticker"))
     bars = docs.filter(F.coalesce("status", F.lit("")) != "ERROR").select("ticker", F.explode("results").alias("b"))
     return bars.select(
-        "ticker", F.timestamp_millis("b.t").cast("date").alias("date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"),
+        "ticker", F.date_from_unix_date(F.floor(F.col("b.t") / 86400000).cast("int")).alias("date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"),
         F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.c").alias("adj_close"), F.col("b.v").alias("volume"),
         F.lit("polygon").alias("provider"))
 

@@ -62,15 +62,15 @@ def key_of(*cols: str):
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
 
 
-def bundle_tables(bundles: DataFrame) -> dict[str, DataFrame]:
-    """Fan a curated record out to its normalised tables.
+def bundle_tables(bundles: DataFrame, studies: DataFrame) -> dict[str, DataFrame]:
+    """Fan curated records out to their normalised tables.
 
     `bundles`: program_id, ticker, company_name, drug_name, indication, t0_date, nct_id, clinical_success,
-    studies (array of structs with pmid, species, effect_size), event_date.
+    event_date. `studies`, one row each: program_id, pmid, species, effect_size.
     """
     company = bundles.groupBy(F.upper("ticker").alias("ticker")).agg(F.min_by("company_name", "program_id").alias("name"))
-    studies = bundles.select("program_id", F.explode("studies").alias("s"))
-    source = studies.select("s.pmid").distinct()
+    source = studies.select("pmid").distinct()
+    counts = studies.groupBy("program_id").agg(F.count(F.lit(1)).alias("_n"))
     return {
         "companies": company.select(key_of("ticker").alias("company_id"), "ticker", "name"),
         "programs": bundles.withColumn("ticker", F.upper("ticker")).select(
@@ -80,14 +80,14 @@ def bundle_tables(bundles: DataFrame) -> dict[str, DataFrame]:
         "trial_outcomes": bundles.select("program_id", F.lit("PHASE2").alias("outcome_level"), "clinical_success"),
         "source_records": source.select(key_of("pmid").alias("source_record_id"), F.lit("PUBMED").alias("source_type"), "pmid"),
         "publications": source.select(key_of("pmid").alias("publication_id"), key_of("pmid").alias("source_record_id"), "pmid"),
-        "publication_program_links": studies.select("program_id", "s.pmid").distinct().select(
+        "publication_program_links": studies.select("program_id", "pmid").distinct().select(
             key_of("program_id", "pmid").alias("link_id"), "program_id", key_of("pmid").alias("publication_id")),
-        "animal_studies": studies.select("program_id", "s.pmid", "s.species").select(
+        "animal_studies": studies.select("program_id", "pmid", "species").select(
             key_of("program_id", "pmid").alias("study_id"), "program_id", key_of("pmid").alias("publication_id"), "species"),
-        "animal_study_features": studies.select("program_id", "s.pmid", "s.effect_size").select(
+        "animal_study_features": studies.select("program_id", "pmid", "effect_size").select(
             key_of("program_id", "pmid").alias("study_id"), "effect_size"),
-        "program_preclinical_features": bundles.select(
-            "program_id", F.coalesce(F.size("studies"), F.lit(0)).alias("n_animal_studies")),
+        "program_preclinical_features": bundles.join(counts, "program_id", "left").select(
+            "program_id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_animal_studies")),
         "program_financial_events": bundles.filter("event_date is not null").select(
             key_of("program_id", "event_date").alias("event_id"), "program_id", "event_date"),
     }
