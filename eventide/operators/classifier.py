@@ -84,3 +84,22 @@ def ordinal_codes(df: DataFrame, cats: Sequence[str]) -> DataFrame:
     indexer: StringIndexerModel = StringIndexer(
         inputCols=list(cats), outputCols=outs, stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
     return indexer.transform(filled)
+
+
+def fit_sets(
+    train: DataFrame, validation: DataFrame | None, sets: dict[str, tuple[Sequence[str], Sequence[str]]], label: str
+) -> tuple[dict[str, Classifier], dict[str, str]]:
+    """Fit one classifier per named (numeric, categorical) feature set; a set that cannot be fitted is
+    recorded with its reason and does not stop the others."""
+    fitted: dict[str, Classifier] = {}
+    failed: dict[str, str] = {}
+    for name, (nums, cats) in sets.items():
+        missing = [c for c in (*nums, *cats) if c not in train.columns]
+        if missing or not (nums or cats):
+            failed[name] = f"missing columns: {', '.join(missing)}" if missing else "no features"
+            continue
+        try:
+            fitted[name] = fit(train, validation, nums, cats, label)
+        except ValueError as e:
+            failed[name] = str(e)
+    return fitted, failed

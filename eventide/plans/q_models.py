@@ -207,3 +207,20 @@ def holdout_models(spark, sf):
         F.avg("expected_car").alias("mean_expected"), F.avg("realized_car").alias("mean_realized"))
     brier = metrics.probability_scores(scored, "clinical_success", "p_success", ["model"]).select("model", "brier", "log_loss")
     return _out(m.join(brier, "model"))
+
+
+@register("classifier_sets")
+def classifier_sets(spark, sf):
+    """Several feature sets in one run: test metrics of those that fit, the reason for those that do not."""
+    df = stable(_docs(spark, sf).filter("label is not null"))
+    part = F.pmod(F.col("doc_id"), F.lit(10))
+    train, test = df.filter(part < 7), df.filter(part >= 7)
+    sets = {"size": (["n_chars", "n_words"], []), "shape": (["chars_per_word", "n_lines"], ["lang"]), "absent": (["nope"], [])}
+    fitted, failed = classifier.fit_sets(train, None, sets, "label")
+    scored = reduce(DataFrame.unionByName, [
+        classifier.score(test, m, ["label"]).withColumn("feature_set", F.lit(n)) for n, m in fitted.items()])
+    s = metrics.probability_scores(scored, "label", "p", ["feature_set"]).withColumn("failure", F.lit(None).cast("string"))
+    for name, reason in failed.items():
+        s = s.unionByName(s.limit(0).unionByName(
+            spark.createDataFrame([(name, reason)], "feature_set string, failure string"), allowMissingColumns=True))
+    return _out(s)
