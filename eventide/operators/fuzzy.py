@@ -51,9 +51,18 @@ def _year_block(date: str) -> Column:
     return F.floor(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) / (WINDOW_DAYS + 1))
 
 
-def scored_names(left: DataFrame, right: DataFrame, ratio=name_ratio, dated: bool = True) -> DataFrame:
+def possible(a: Column, b: Column, floor: float) -> Column:
+    """False only where lengths alone rule the floor out: no ratio exceeds 2·min/(sum) of the lengths."""
+    la, lb = F.length(a), F.length(b)
+    return a.contains(b) | b.contains(a) | (F.lit(2.0) * F.least(la, lb) >= F.lit(floor) * (la + lb))
+
+
+def scored_names(
+    left: DataFrame, right: DataFrame, ratio=name_ratio, dated: bool = True, floor: float = MIN_SCORE
+) -> DataFrame:
     """(ticker, name, other, score) for distinct names sharing a ticker (and, when dated, lying within
-    neighbouring year blocks). Left names are salted so that one busy ticker spreads over tasks."""
+    neighbouring year blocks). Left names are salted so that one busy ticker spreads over tasks; pairs
+    whose lengths rule out `floor` are dropped before they are scored."""
     cols_l, cols_r = ["ticker", "name"], ["ticker", "other"]
     if dated:
         near = F.explode(F.array(*[_year_block("event_date") + d for d in (-1, 0, 1)]))
@@ -66,7 +75,8 @@ def scored_names(left: DataFrame, right: DataFrame, ratio=name_ratio, dated: boo
         cols = ["ticker"]
     l = l.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int"))
     r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    pairs = l.join(r, [*cols, "salt"]).select(*cols_l, cols_r[1]).distinct()
+    near_enough = possible(F.col("name"), F.col("other"), floor)
+    pairs = l.join(r, [*cols, "salt"]).filter(near_enough).select(*cols_l, cols_r[1]).distinct()
     return pairs.withColumn("score", similarity(F.col("name"), F.col("other"), ratio))
 
 
@@ -135,7 +145,7 @@ def new_candidates(events: DataFrame, registry: DataFrame, cap: int | None, rati
         F.upper("ticker").alias("ticker"), normalize_name(F.col("drug")).alias("name"), "event_date", "event_id", "drug")
     once = dedupe_first(ext, ["ticker", "name", "event_date"], ["event_id"])
     reg = registry.select(F.upper("ticker").alias("ticker"), normalize_name(F.col("drug_name")).alias("name")).distinct()
-    pairs = scored_names(once, reg, ratio, dated=False)
+    pairs = scored_names(once, reg, ratio, dated=False, floor=DUPLICATE_SCORE)
     a, b = F.col("name"), F.col("other")
     known = pairs.filter((F.col("score") >= DUPLICATE_SCORE) | a.contains(b) | b.contains(a)).select("ticker", "name").distinct()
     fresh = once.join(known, ["ticker", "name"], "left_anti")

@@ -131,7 +131,7 @@ def sync_delist(history: DataFrame, meta: DataFrame) -> DataFrame:
         pick(F.coalesce("_d", F.lit(0)), "delisted").alias("delisted"),
         pick(F.col("_dd"), "delist_date").alias("delist_date"),
         pick(F.col("_s"), "successor_ticker").alias("successor_ticker"),
-        pick(F.lit("ticker_delist_map"), "map_source").alias("map_source"),
+        pick(F.lit("delist_map"), "map_source").alias("map_source"),
     )
 
 

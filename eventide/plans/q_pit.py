@@ -394,14 +394,13 @@ def price_coverage_audit(spark, sf):
 
 
 @register("provider_fallback", """WITH b AS (SELECT l_partkey AS ticker, CASE l_linenumber WHEN 1 THEN 'local_csv'
-    WHEN 2 THEN 'stooq' WHEN 3 THEN 'eodhd' WHEN 4 THEN 'polygon' ELSE 'crsp' END AS provider FROM lineitem
-    WHERE l_quantity < 10),
+    WHEN 2 THEN 'stooq' WHEN 3 THEN 'eodhd' WHEN 4 THEN 'polygon' ELSE 'crsp' END AS provider FROM lineitem),
 rk AS (SELECT ticker, provider, CASE provider WHEN 'local_csv' THEN 2 WHEN 'stooq' THEN 3 WHEN 'eodhd' THEN 4
   WHEN 'polygon' THEN 5 END AS rank FROM b WHERE provider <> 'crsp')
 SELECT ticker, provider FROM (SELECT DISTINCT ticker, provider, rank, min(rank) OVER (PARTITION BY ticker) AS m FROM rk)
 WHERE rank = m""")
 def provider_fallback(spark, sf):
-    li = inputs.table(spark, sf, "lineitem").filter("l_quantity < 10")
+    li = inputs.table(spark, sf, "lineitem")
     names = F.create_map(*[F.lit(x) for kv in ((1, "local_csv"), (2, "stooq"), (3, "eodhd"), (4, "polygon")) for x in kv])
     bars = li.select(F.col("l_partkey").alias("ticker"),
                      F.coalesce(names[F.col("l_linenumber")], F.lit("crsp")).alias("provider"))

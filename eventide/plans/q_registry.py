@@ -36,16 +36,17 @@ _O = """o AS (SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS status
     CAST(o_orderdate AS DATE) AS d, o_orderpriority AS prio FROM orders)"""
 
 _UP = _O + """,
-old AS (SELECT k, price AS v, status AS s FROM o WHERE k % 2 = 0),
-new AS (SELECT k, CASE WHEN k % 5 <> 0 THEN price * 2 END AS v, CASE WHEN k % 7 <> 0 THEN 'N' END AS s FROM o WHERE k % 3 = 0)"""
+old AS (SELECT k, price AS v, status AS s FROM o WHERE status <> 'P'),
+new AS (SELECT l_orderkey AS k, CASE WHEN max(l_quantity) < 45 THEN max(l_extendedprice) END AS v,
+    CASE WHEN count(*) > 3 THEN max(l_returnflag) END AS s FROM lineitem GROUP BY 1)"""
 
 
 def _upsert_sides(spark, sf):
-    """Two overlapping halves of the table: even keys are stored, multiples of three arrive."""
-    o, k = _orders(spark, sf), F.col("k")
-    old = o.filter(k % 2 == 0).select("k", F.col("price").alias("v"), F.col("status").alias("s"))
-    new = o.filter(k % 3 == 0).select("k", F.when(k % 5 != 0, F.col("price") * 2).alias("v"), F.when(k % 7 != 0, "N").alias("s"))
-    return old, new
+    """Stored: settled orders. Arriving: one row per order with line items, some values missing."""
+    old = _orders(spark, sf).filter("status <> 'P'").select("k", F.col("price").alias("v"), F.col("status").alias("s"))
+    new = inputs.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("px"), F.count(F.lit(1)).alias("n"), F.max("l_returnflag").alias("rf"))
+    return old, new.select("k", F.when(F.col("q") < 45, F.col("px")).alias("v"), F.when(F.col("n") > 3, F.col("rf")).alias("s"))
 
 
 @register("upsert", f"""WITH {_UP} SELECT coalesce(old.k, new.k) AS k, coalesce(new.v, old.v) AS v,
@@ -167,7 +168,7 @@ def override_counts(spark, sf):
     CASE WHEN n_nationkey % 2 = 0 THEN DATE '2000-01-01' + CAST(n_nationkey AS INTEGER) END AS dd,
     CASE WHEN n_nationkey % 4 = 0 THEN n_name END AS succ FROM nation WHERE n_regionkey IN (0, 2))
 SELECT catalyst_id, CASE WHEN t IS NOT NULL THEN CAST(coalesce(del, 0) AS DOUBLE) END AS delisted, CAST(dd AS VARCHAR) AS delist_date,
-  succ AS successor_ticker, CASE WHEN t IS NOT NULL THEN 'ticker_delist_map' ELSE 'companies_table' END AS map_source
+  succ AS successor_ticker, CASE WHEN t IS NOT NULL THEN 'delist_map' ELSE 'companies_table' END AS map_source
 FROM evts LEFT JOIN meta ON upper(t) = upper(ticker)""")
 def delist_sync(spark, sf):
     k = F.col("n_nationkey")
@@ -187,7 +188,7 @@ fin AS (SELECT l_orderkey AS pid, l_returnflag AS t, CAST(l_shipdate AS DATE) AS
     ORDER BY CAST(l_shipdate AS DATE), l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn FROM lineitem WHERE l_returnflag <> 'N'),
 n AS (SELECT l_orderkey AS pid, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
 mig AS (SELECT o.*, fin.t, coalesce(fin.d, CASE WHEN k % 3 = 0 THEN o.d + 5 END, o.d) AS ann, coalesce(n.n, 0) AS ns, fin.d IS NOT NULL AS linked
-  FROM o LEFT JOIN fin ON fin.pid = k AND rn = 1 LEFT JOIN n ON n.pid = k WHERE k % 6 <> 0)"""
+  FROM o LEFT JOIN fin ON fin.pid = k AND rn = 1 LEFT JOIN n ON n.pid = k WHERE prio <> '5-LOW')"""
 
 
 @register("registry_migrate", f"""WITH {_MIG} SELECT 'CAT-' || k AS catalyst_id, coalesce(t, 'PHASE2_READOUT') AS catalyst_type,
@@ -209,7 +210,7 @@ def registry_migrate(spark, sf):
         F.col("l_orderkey").alias("program_id"), F.col("l_returnflag").alias("event_type"),
         F.to_date("l_shipdate").alias("event_date"),
         F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("pos"))
-    done = o.filter(k % 6 == 0).select(k.alias("program_id"))
+    done = o.filter("prio = '5-LOW'").select(k.alias("program_id"))
     return registry.migrate_programs(progs, done, fin).select(
         "catalyst_id", "catalyst_type", F.col("announcement_date").cast("string"), F.col("trading_cutoff_date").cast("string"),
         "outcome_category", "preclinical_evidence_found", "linked_event")
@@ -320,7 +321,7 @@ def phase_predicates(spark, sf):
 
 
 _SEARCH = _O + """,
-c AS (SELECT k AS pid, CASE k % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'red' WHEN 2 THEN 'blue' ELSE 'old' END AS drug,
+c AS (SELECT k AS pid, prio, price, CASE k % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'red' WHEN 2 THEN 'blue' ELSE 'old' END AS drug,
     CASE k % 3 WHEN 0 THEN 'ECONOMY_x' WHEN 1 THEN 'PROMO' ELSE 'SMALL' END AS hint,
     CASE k % 3 WHEN 0 THEN 'PHASE3' WHEN 1 THEN 'PHASE2' ELSE '' END AS pref FROM o),
 s AS (SELECT l_orderkey AS pid, 'NCT' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS nct, p_name AS title, p_type AS cond,
@@ -338,7 +339,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s
 def _search(spark, sf):
     k = F.col("k")
     cand = _orders(spark, sf).select(
-        k.alias("program_id"),
+        k.alias("program_id"), "prio", "price",
         F.when(k % 4 == 0, "small").when(k % 4 == 1, "red").when(k % 4 == 2, "blue").otherwise("old").alias("drug"),
         F.when(k % 3 == 0, "ECONOMY_x").when(k % 3 == 1, "PROMO").otherwise("SMALL").alias("indication_hint"),
         F.when(k % 3 == 0, "PHASE3").when(k % 3 == 1, "PHASE2").otherwise("").alias("prefer_phase"))
@@ -385,18 +386,17 @@ def pre_t0_publications(spark, sf):
 
 @register("cohort_load", f"""WITH {_SEARCH}, {_PUBS}, q AS (SELECT c.pid, nct, score, coalesce(st, fp) AS t0,
     CASE WHEN st IS NOT NULL THEN 'TRIAL_START' WHEN nct IS NOT NULL THEN 'OTHER' END AS def,
-    CASE WHEN c.pid % 20 = 1 AND nct IS NOT NULL THEN 1 WHEN rf = 'A' AND ls = 'F' THEN 1 WHEN nct IS NOT NULL THEN 0 END AS cs
-  FROM c LEFT JOIN best ON best.pid = c.pid WHERE c.pid % 6 <> 0),
+    CASE WHEN c.price > 450000 AND nct IS NOT NULL THEN 1 WHEN rf = 'A' AND ls = 'F' THEN 1 WHEN nct IS NOT NULL THEN 0 END AS cs
+  FROM c LEFT JOIN best ON best.pid = c.pid WHERE c.prio <> '5-LOW'),
 np AS (SELECT q.pid, least(count(*), 8) AS n FROM q JOIN pubs ON pubs.pid = q.pid AND pd <= t0 GROUP BY 1)
 SELECT q.pid AS program_id, nct AS nct_id, CAST(t0 AS VARCHAR) AS t0_date, def AS t0_definition, CAST(cs AS DOUBLE) AS clinical_success,
   coalesce(np.n, 0) AS n_publications, CASE WHEN nct IS NULL THEN 'no_study' WHEN year(t0) NOT BETWEEN 2010 AND 2020 THEN 't0_out_of_window'
     ELSE 'loaded' END AS status FROM q LEFT JOIN np USING (pid)""")
 def cohort_load(spark, sf):
     cand, studies = _search(spark, sf)
-    k = F.col("program_id")
-    done = cand.filter(k % 6 == 0).select("program_id")
-    decisions = cand.filter(k % 20 == 1).select("program_id", F.lit(1).alias("clinical_success"))
-    out = registry.cohort_load(cand, done, studies, _landed_pubs(spark, sf), decisions, None, 8)
+    done = cand.filter("prio = '5-LOW'").select("program_id")
+    decisions = cand.filter("price > 450000").select("program_id", F.lit(1).alias("clinical_success"))
+    out = registry.cohort_load(cand.drop("prio", "price"), done, studies, _landed_pubs(spark, sf), decisions, None, 8)
     return out.select("program_id", "nct_id", F.col("t0_date").cast("string"), "t0_definition",
                       F.col("clinical_success").cast("double"), "n_publications", "status")
 
@@ -429,7 +429,8 @@ def abstract_cues(spark, sf):
 _EXT = """st AS (SELECT l_orderkey AS pid, l_partkey AS pmid, min(l_returnflag) AS sp, min(l_linestatus) AS dm FROM lineitem GROUP BY 1, 2),
 spec0 AS (SELECT l_orderkey AS pid, CASE WHEN l_quantity > 40 THEN l_partkey + 1000000 ELSE l_partkey END AS pmid,
     max(CASE WHEN l_tax > 0.04 THEN 'PDX' END) AS sp FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
-inh AS (SELECT o_orderkey AS pid, o_orderkey - 1 AS parent FROM orders WHERE o_orderkey % 3 = 0),
+inh AS (SELECT o_orderkey AS pid, o_orderkey - 1 AS parent FROM orders WHERE o_orderstatus = 'P'),
+rall AS (SELECT o_orderkey AS pid FROM orders WHERE o_totalprice > 480000),
 spec AS (SELECT * FROM spec0 UNION ALL SELECT i.pid, s.pmid, s.sp FROM inh i JOIN spec0 s ON s.pid = i.parent WHERE i.pid NOT IN (SELECT pid FROM spec0)),
 rej0 AS (SELECT DISTINCT l_orderkey AS pid, l_partkey AS pmid FROM lineitem WHERE l_linenumber = 7),
 rej AS (SELECT * FROM rej0 UNION SELECT i.pid, r.pmid FROM inh i JOIN rej0 r ON r.pid = i.parent),
@@ -438,8 +439,8 @@ u AS (SELECT coalesce(st.pid, spec.pid) AS pid, coalesce(st.pmid, spec.pmid) AS
 
 
 @register("extractions_apply", f"""WITH {_EXT} SELECT u.pid AS program_id, u.pmid, species, disease_model,
-  CASE WHEN has THEN 'verified' WHEN r.pid IS NOT NULL OR u.pid % 50 = 0 THEN 'rejected' ELSE 'pending' END AS verification_status,
-  CASE WHEN has AND old THEN 'updated' WHEN has THEN 'added' WHEN r.pid IS NOT NULL OR u.pid % 50 = 0 THEN 'rejected' ELSE 'kept' END AS action
+  CASE WHEN has THEN 'verified' WHEN r.pid IS NOT NULL OR u.pid IN (SELECT pid FROM rall) THEN 'rejected' ELSE 'pending' END AS verification_status,
+  CASE WHEN has AND old THEN 'updated' WHEN has THEN 'added' WHEN r.pid IS NOT NULL OR u.pid IN (SELECT pid FROM rall) THEN 'rejected' ELSE 'kept' END AS action
 FROM u LEFT JOIN rej r ON r.pid = u.pid AND r.pmid = u.pmid""")
 def extractions_apply(spark, sf):
     return _extractions(spark, sf)
@@ -454,15 +455,15 @@ def _extractions(spark, sf):
     spec = li.filter("l_linenumber = 1").withColumn("pmid", pm).groupBy(*key).agg(
         F.max(F.when(F.col("l_tax") > 0.04, "PDX")).alias("species")).withColumns(
         {"disease_model": F.lit(None).cast("string"), "verification_status": F.lit(None).cast("string")})
-    progs = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("program_id"))
-    inherit = progs.filter("program_id % 3 = 0").withColumn("inherit_from", F.col("program_id") - 1)
+    progs = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("program_id"), "o_orderstatus", "o_totalprice")
+    inherit = progs.filter("o_orderstatus = 'P'").select("program_id").withColumn("inherit_from", F.col("program_id") - 1)
     rej = li.filter("l_linenumber = 7").select(*key).distinct()
     return registry.apply_extractions(
-        st, registry.effective_specs(spec, inherit), registry.effective_rejects(rej, inherit), progs.filter("program_id % 50 = 0"))
+        st, registry.effective_specs(spec, inherit), registry.effective_rejects(rej, inherit), progs.filter("o_totalprice > 480000").select("program_id"))
 
 
 @register("extraction_summary", f"""WITH {_EXT}, a AS (SELECT u.pid, CASE WHEN has AND old THEN 'updated' WHEN has THEN 'added'
-    WHEN r.pid IS NOT NULL OR u.pid % 50 = 0 THEN 'rejected' ELSE 'kept' END AS action FROM u LEFT JOIN rej r ON r.pid = u.pid AND r.pmid = u.pmid)
+    WHEN r.pid IS NOT NULL OR u.pid IN (SELECT pid FROM rall) THEN 'rejected' ELSE 'kept' END AS action FROM u LEFT JOIN rej r ON r.pid = u.pid AND r.pmid = u.pmid)
 SELECT c_mktsegment AS drug_name, action, count(*) AS n, count(DISTINCT pid) AS n_programs FROM a JOIN orders ON o_orderkey = pid
 JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
 def extraction_summary(spark, sf):
@@ -637,12 +638,12 @@ def largest_drifts(spark, sf):
     return fuzzy.largest_drifts(_lev(spark, sf)).select("catalyst_id", "date_delta_days")
 
 
-@register("new_candidates", f"""WITH {_FUZZY}, half AS (SELECT DISTINCT tk, name FROM reg WHERE catalyst_id % 10 = 0),
+@register("new_candidates", f"""WITH {_FUZZY}, half AS (SELECT DISTINCT upper(p_brand) AS tk, p_name AS name FROM part WHERE p_size <= 5),
 once AS (SELECT tk, other, ed, min(event_id) AS event_id FROM ext GROUP BY 1, 2, 3)
 SELECT tk AS ticker, other AS name, CAST(ed AS VARCHAR) AS event_date, event_id FROM once o WHERE NOT EXISTS (SELECT 1 FROM half h JOIN sc ON sc.name = h.name
   AND sc.other = o.other WHERE h.tk = o.tk AND (sc.score >= 0.6 OR contains(h.name, o.other) OR contains(o.other, h.name)))""")
 def new_candidates(spark, sf):
-    reg, ev = _fuzzy_sides(spark, sf)
-    known = reg.filter("catalyst_id % 10 = 0")
+    _, ev = _fuzzy_sides(spark, sf)
+    known = inputs.table(spark, sf, "part").filter("p_size <= 5").select(F.col("p_brand").alias("ticker"), F.col("p_name").alias("drug_name"))
     out = fuzzy.new_candidates(ev, known, None, ratio=fuzzy.levenshtein_ratio)
     return out.select("ticker", "name", F.col("event_date").cast("string"), "event_id")
