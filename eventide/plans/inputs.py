@@ -15,29 +15,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, key: str = "p_brand", by_provider: bool = False) -> DataFrame:
-    """Daily bars: one row per (ticker, date), or per (ticker, date, provider)."""
+def daily_prints(spark: SparkSession, sf_dir: str, key: str = "p_brand") -> DataFrame:
+    """Line items reduced to (ticker, date, flag, provider) sums, the shared base of bars and benchmarks:
+    both branches read the same exchange, so the large table is scanned once. The explicit null
+    filter keeps the branches alike whatever filters their later joins imply."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_extendedprice", "l_quantity", "l_linestatus", F.to_date("l_shipdate").alias("date")
+        "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("date")
     )
     part = table(spark, sf_dir, "part").select("p_partkey", F.col(key).alias("ticker"))
+    return (
+        li.join(part, li.l_partkey == part.p_partkey)
+        .filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
+        .groupBy("ticker", "date", F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("provider"))
+        .agg(
+            F.sum("l_extendedprice").alias("px"),
+            F.count("l_extendedprice").alias("n"),
+            F.sum("l_quantity").alias("qty"),
+            F.min("l_extendedprice").alias("lo"),
+            F.max("l_extendedprice").alias("hi"),
+        )
+    )
+
+
+def bars(spark: SparkSession, sf_dir: str, key: str = "p_brand", by_provider: bool = False) -> DataFrame:
+    """Daily bars: one row per (ticker, date), or per (ticker, date, provider)."""
     keys = ["ticker", "date"] + (["provider"] if by_provider else [])
-    joined = li.join(part, li.l_partkey == part.p_partkey).withColumnRenamed("l_linestatus", "provider")
-    return joined.groupBy(*keys).agg(
-        F.avg("l_extendedprice").alias("adj_close"),
-        F.sum("l_quantity").alias("volume"),
-        F.min("l_extendedprice").alias("low"),
-        F.max("l_extendedprice").alias("high"),
+    return daily_prints(spark, sf_dir, key).groupBy(*keys).agg(
+        (F.sum("px") / F.sum("n")).alias("adj_close"),
+        F.sum("qty").alias("volume"),
+        F.min("lo").alias("low"),
+        F.max("hi").alias("high"),
     )
 
 
-def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmarks(spark: SparkSession, sf_dir: str, key: str = "p_brand") -> DataFrame:
     """Long (benchmark, date, adj_close): SPY over all line items, XBI over returned ones."""
-    px = F.col("l_extendedprice")
+    returned = F.col("flag") == "A"
     daily = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.to_date("l_shipdate").alias("date"))
-        .agg(F.avg(px).alias("spy"), F.avg(F.when(F.col("l_returnflag") == "A", px)).alias("xbi"))
+        daily_prints(spark, sf_dir, key)
+        .groupBy("date")
+        .agg(
+            (F.sum("px") / F.sum("n")).alias("spy"),
+            F.try_divide(F.sum(F.when(returned, F.col("px"))), F.sum(F.when(returned, F.col("n")))).alias("xbi"),
+        )
     )
     pair = F.array(
         F.struct(F.lit("SPY").alias("benchmark"), F.col("spy").alias("adj_close")),

@@ -26,7 +26,7 @@ def register(name, sql=None):
 
 def _aligned(spark, sf, key="p_brand"):
     bars = inputs.bars(spark, sf, key)
-    bench = series.benchmark_returns(inputs.benchmarks(spark, sf))
+    bench = series.benchmark_returns(inputs.benchmarks(spark, sf, key))
     return bars, series.align(series.simple_returns(bars), bench)
 
 
