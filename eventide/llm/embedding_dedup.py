@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.components import connected_components
+from eventide.llm.runs import runs
 from eventide.llm.tables import written
 
 CODE = np.uint32
@@ -90,7 +91,7 @@ def near_duplicates(
     parted = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "own_block", "rep")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, 3):
+        for part in runs(batches, 3):
             t = (int(part.column(0)[0].as_py()) >> 32) & 1023
             yield from _links(part, t, cosine, form)
 
@@ -108,36 +109,6 @@ def near_duplicates(
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Whole runs of rows with equal leading columns, from batches sorted by them; at most a run and a batch are held."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy() for i in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(change).tolist()
-        first = tuple(c[0] for c in columns)
-        if held and first != last:
-            yield _joined(held)
-            held = []
-        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            if start and held:
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 def _links(part: pa.RecordBatch, t: int, cosine: float, form: type) -> Iterator[pa.RecordBatch]:
     """Weighted link counts and a spanning star of each linked group, of one bucket or pair of blocks."""
     n = part.num_rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import embedding_dedup, packing, url_filter
+from eventide.llm import embedding_dedup, ngram_join, packing, url_filter
 from eventide.llm.tables import table
 
 
@@ -27,7 +27,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, url_filter.page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_packing, op7_url_filter)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_packing, op7_url_filter, op9_ngram_jaccard_join)}
 
 _RULE_FITS = {
     "net/": "(host = 'net' or ends_with(host, '.net')) and starts_with(path, '/')",
