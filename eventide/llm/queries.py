@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import embedding_dedup, ngram_join, packing, url_filter
+from eventide.llm import embedding_dedup, ngram_join, packing, quality, toxicity, url_filter
 from eventide.llm.tables import table
 
 
@@ -18,10 +18,19 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_verdicts(pages, url_filter.page_outcomes(pages, table(spark, sf_dir, "labels")))
@@ -31,7 +40,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_packing, op7_url_filter, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op4_packing, op7_url_filter, op9_ngram_jaccard_join, op10_quality_classifier)}
 
 _RULE_FITS = {
     "net/": "(host = 'net' or ends_with(host, '.net')) and starts_with(path, '/')",
