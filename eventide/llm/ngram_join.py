@@ -58,27 +58,50 @@ def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield first, tokens, of, sizes, tk.mix(sums + sizes.astype(np.uint64) * tk._STEP).view(np.int64)
 
 
+def parity_bitmaps(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set, a bitmap of about as many bits as tokens; a bit is the parity of the tokens that hash to it.
+
+    Tokens that two sets share cancel out, so differing bits never outnumber the tokens of the symmetric difference.
+    """
+    bits = np.left_shift(np.int64(1), np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    place = base[of] + (tokens & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[b // 8 : (b + w) // 8] for b, w in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def most_shared(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """An upper bound on the intersection of two sets from their sizes and bitmaps; a longer bitmap is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, width = int.from_bytes(a, "little"), 8 * len(a)
+    while width > 8 * len(b):
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (na + nb - (x ^ int.from_bytes(b, "little")).bit_count()) // 2
+
+
 def required(a, b, percent: int):
     """Least intersection of sets of sizes a and b with 100 * intersection >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: set id (null for an empty set), size, min-hashes. Further rows, without a set, hold tokens
+    """Per document: set id (null for an empty set), size, min-hashes, parity bitmap. Further rows, without a set, hold tokens
     that are common inside a mapper's window, with their count there."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, held = [], 0
         for batch in batches:
             ids = batch.column(0)
-            for first, tokens, _, sizes, set_ids in token_sets(batch.column(1), k):
+            for first, tokens, of, sizes, set_ids in token_sets(batch.column(1), k):
                 some = np.flatnonzero(sizes)
                 at = (np.cumsum(sizes) - sizes)[some]
                 mins = np.zeros((HASHES, len(sizes)), np.int64)
                 for i in range(HASHES if len(some) else 0):
                     mins[i, some] = np.minimum.reduceat(tokens * _FACTORS[i], at).view(np.int64)
                 none = pa.nulls(len(sizes), pa.int64())
-                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none]
+                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none, pa.array(parity_bitmaps(tokens, of, sizes), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 window.append(tokens)
                 held += len(tokens)
@@ -94,10 +117,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             count = np.diff(np.append(at, len(values)))
             pick = count >= SEEN
             none = pa.nulls(int(pick.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * (3 + HASHES) + [pa.array(values[at[pick]].view(np.int64)), pa.array(count[pick])], names)
+            yield pa.RecordBatch.from_arrays([none] * (3 + HASHES) + [pa.array(values[at[pick]].view(np.int64)), pa.array(count[pick]), pa.nulls(int(pick.sum()), pa.binary())], names)
 
-    names = ["doc_id", "set_id", "n", *_MINS, "token", "seen"]
-    return docs.select("doc_id", "text").mapInArrow(sign, ", ".join(f"{c} long" for c in names))
+    names = ["doc_id", "set_id", "n", *_MINS, "token", "seen", "bitmap"]
+    return docs.select("doc_id", "text").mapInArrow(sign, ", ".join(f"{c} long" for c in names[:-1]) + ", bitmap binary")
 
 
 def common_tokens(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -343,13 +366,35 @@ def leader_answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, simil
     return written(_both(pairs, tokens, "a", "leader").mapInArrow(answer, "a long, leader long, na long, lacks binary, adds binary, alike boolean"), "answers")
 
 
-def unit_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The unit pairs between which at least one pair of sets is similar, answered through the leaders."""
-    tokens = written(tokens_of(docs, sets, pairs.select(F.col("ua").alias("set_id")).union(pairs.select("ub")), k), "tokens")
+def within_bound(na: int, nb: int, both: int, a: tuple[int | None, int | None], b: tuple[int | None, int | None], percent: int) -> bool:
+    """Whether any two sets of two units may be similar, when their leaders share `both` tokens at most. a and b: the most tokens
+    that a member adds to the leader and the least size of a member; None without members."""
+    least = required(min(na, a[1] or na), min(nb, b[1] or nb), percent)
+    return both + (a[0] or 0) + (b[0] or 0) >= least
+
+
+def unit_links(docs: DataFrame, sets: DataFrame, marks: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The unit pairs between which at least one pair of sets is similar, answered through the leaders. The bound by
+    the parity bitmaps comes first, so whole sets are only shuffled for pairs that it leaves open."""
     stats = members.groupBy("unit").agg(F.max(F.length("adds") / 8).cast("long").alias("adds"), F.min("na").alias("least"), F.count("*").alias("members"))
     bounded = pairs
     for side in "ab":
-        bounded = bounded.join(stats.select(F.col("unit").alias(f"u{side}"), F.col("adds").alias(f"adds_{side}"), F.col("least").alias(f"least_{side}"), F.col("members").alias(f"members_{side}")), f"u{side}", "left")
+        bounded = bounded.join(stats.select(F.col("unit").alias(f"u{side}"), F.col("adds").alias(f"adds_{side}"), F.col("least").alias(f"least_{side}")), f"u{side}", "left")
+
+        bounded = bounded.join(marks.select(F.col("set_id").alias(f"u{side}"), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), f"u{side}")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("n_a", "bitmap_a", "n_b", "bitmap_b", "adds_a", "least_a", "adds_b", "least_b")
+        for batch in batches:
+            keep = [
+                within_bound(na, nb, most_shared(na, a, nb, b), (adds_a, least_a), (adds_b, least_b), percent)
+                for na, a, nb, b, adds_a, least_a, adds_b, least_b in zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(kept)
+
+    kept = ["ua", "ub", "adds_a", "least_a", "adds_b", "least_b"]
+    bounded = written(bounded.mapInArrow(prune, ", ".join(f"{c} long" for c in kept)), "open_pairs")
+    tokens = written(tokens_of(docs, sets, bounded.select(F.col("ua").alias("set_id")).union(bounded.select("ub")), k), "tokens")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ua", "ub", "ta", "tb", "adds_a", "adds_b", "least_a", "least_b")
@@ -359,8 +404,7 @@ def unit_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: Data
                 x, y = _set(ta), _set(tb)
                 both = int(_hits(x, y).sum())
                 linked = both >= required(len(x), len(y), percent)
-                least = required(min(len(x), least_a or len(x)), min(len(y), least_b or len(y)), percent)
-                if linked or ((least_a or least_b) and both + (adds_a or 0) + (adds_b or 0) >= least):
+                if linked or ((least_a or least_b) and within_bound(len(x), len(y), both, (adds_a, least_a), (adds_b, least_b), percent)):
                     rows.append((ua, ub, linked))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["ua", "ub", "linked"])
@@ -429,7 +473,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, similar:
     info = connected.select(F.col("node").alias("set_id"), "component").join(members.select(F.col("a").alias("set_id"), "unit"), "set_id", "left")
     entries = written(shared_lists(prefixes(docs, k, percent, common_tokens(signed))), "lists")
     pairs = written(candidate_units(entries, info, percent), "unit_pairs")
-    links = unit_links(docs, sets, pairs, members, k, percent)
+    marks = named.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select("set_id", "n", "bitmap")
+    links = unit_links(docs, sets, marks, pairs, members, k, percent)
     edges = answers.select("a", F.col("leader").alias("b")).union(links)
     parts = connected_components(edges, "a", "b")
     placed = sets.select("set_id", "rep").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -109,7 +109,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, docs: int, k: int = 5) -> tupl
         spot = where + j
         there = at[where] + j < n[of]
         part = hashes[np.minimum(spot, len(hashes) - 1)] * (powers(_MULTIPLIER, 64)[7 * j + 3])
-        out += np.where(there, part, np.uint64(j + 1) * _STEP)
+        out += np.where(there, part, np.uint64((j + 1) * int(_STEP) % (1 << 64)))
     return mix(out), of
 
 
