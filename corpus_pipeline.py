@@ -3,24 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventide.llm import packing
+from eventide.llm import decontamination, ngram_join, packing, quality, toxicity
 from eventide.llm.queries import _tokenizer
 from eventide.llm.tables import table, written
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, whose doc_id is not rejected; rows without doc_id stay."""
+    gone = rejected.select(F.col("doc_id").alias("gone_doc")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("gone_doc"), "left_anti")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labelled documents of the stage's input, does not reject."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.scores(docs, model).filter("predicted = 1"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return _without(docs, quality.scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id, one row of it. Documents with an
+    empty shingle set are in no group."""
+    found = ngram_join.similar_components(docs).filter("doc_id is not null and doc_id <> component_id")
+    return _without(docs, found)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within the edit budget."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the documents that are left."""
     return packing.pack(docs, _tokenizer())
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", distinct_documents),
+    ("benchmark decontamination", not_in_benchmark),
+    ("packing", packed),
+]
 
 #: The classifiers, the edit matching and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents; what a stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))

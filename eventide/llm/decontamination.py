@@ -1,8 +1,9 @@
 """Benchmark passages in documents, up to a share of edits.
 
 Method: pigeonhole edit matching. A test item with an error budget of k edits is split into k + 1 pieces; any
-passage within the budget holds one piece unchanged. The pieces' exact hits are found on the bytes of whole
-texts, and each hit's surroundings are verified with Myers' bit-parallel edit distance. Documents are read in one
+passage within the budget holds one piece unchanged. The principle also holds at every level of a tree of halves:
+some unchanged piece lies in a run of 2 pieces with 1 edit at most, this in a run of 4 with 3, and so on. The pieces' exact hits are
+found on the bytes of whole texts, and their surroundings are verified level by level, up to the whole item, with Myers' bit-parallel edit distance. Documents are read in one
 narrow pass per block of items; nothing is shuffled but the matches.
 """
 
@@ -40,6 +41,38 @@ def normal_text(text: str) -> str:
     return normal(data, np.array([0, len(data)]))[0].tobytes().decode().strip(" ")
 
 
+def _runs_around(i: int, n: int) -> list[tuple[int, int]]:
+    """The runs of a tree of halves over n pieces that hold piece i, from small to large, without the piece and the whole."""
+    lo, hi, out = 0, n, []
+    while hi - lo > 1:
+        out.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if i < mid else (mid, hi)
+    return out[:0:-1]
+
+
+def _window(raw: bytes, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+    """The span cut to a document and widened to whole characters."""
+    a, b = max(a, low), min(b, high)
+    while a > low and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < high and raw[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def _holds(raw: bytes, p: int, low: int, high: int, n: int, index: Pieces, i: int, matchers: dict) -> bool:
+    """Whether every run around a hit of piece i at byte p keeps within its edits."""
+    for first, end, before, after, most in index.runs[i]:
+        if (matcher := matchers.get((n, first, end))) is None:
+            matcher = matchers[n, first, end] = Myers(index.items[n][1][first:end])
+        margin = most if raw[max(low, p - before - most) : p + after + most].isascii() else 4 * most
+        a, b = _window(raw, p - before - margin, p + after + margin, low, high)
+        if matcher.best(raw[a:b].decode())[0] > most:
+            return False
+    return True
+
+
 class Myers:
     """Least edit distance of a pattern to any part of a text, a character at a time on words as wide as the pattern."""
 
@@ -80,6 +113,9 @@ class Pieces:
     item: np.ndarray
     at: np.ndarray
     bodies: list[bytes]
+    runs: list[list[tuple[int, int, int, int, int]]]
+    """Per piece, the runs of pieces that hold it, from small to large: (first character, end, bytes of the run before the piece, bytes
+    from the piece on, most edits)."""
     bitmap: np.ndarray
     whole: dict[bytes, list[int]]
 
@@ -100,18 +136,20 @@ def pieces(items: list[tuple[int, str]], rate: float) -> Pieces:
             continue
         k = min(int(rate * m), m // HEAD - 1)
         cuts = [m * i // (k + 1) for i in range(k + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        at = [len(text[:c].encode()) for c in cuts]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             body = text[a:b].encode()
-            rows.append((int.from_bytes(body[:HEAD], "little"), len(kept), len(text[:a].encode()), body))
+            runs = [(cuts[lo], cuts[hi], at[i] - at[lo], at[hi] - at[i], hi - lo - 1) for lo, hi in _runs_around(i, k + 1)]
+            rows.append((int.from_bytes(body[:HEAD], "little"), len(kept), at[i], body, runs))
         kept.append((item_id, text, k))
     rows.sort(key=lambda r: r[0])
     heads = np.array([r[0] for r in rows], np.uint64)
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[_slot(heads)] = True
-    return Pieces(kept, heads, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], bitmap, whole)
+    return Pieces(kept, heads, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], [r[4] for r in rows], bitmap, whole)
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, index: Pieces, matchers: dict[int, Myers]) -> Iterator[tuple[int, int, int, int]]:
+def matches(data: np.ndarray, offsets: np.ndarray, index: Pieces, matchers: dict) -> Iterator[tuple[int, int, int, int]]:
     """(document, item number or -1 - item id of a short item, distance, byte after the passage) of a chunk, best per document and item."""
     text, offsets = normal(data, offsets)
     if index.whole:
@@ -132,23 +170,24 @@ def matches(data: np.ndarray, offsets: np.ndarray, index: Pieces, matchers: dict
         p = int(place[h])
         for i in range(first[h], last[h]):
             body = index.bodies[i]
-            if p + len(body) <= offsets[d + 1] and raw.startswith(body, p):
-                hits.setdefault((d, int(index.item[i])), []).append(p - int(index.at[i]))
+            if not raw.startswith(body, p) or p + len(body) > offsets[d + 1]:
+                continue
+            n = int(index.item[i])
+            if _holds(raw, p, int(offsets[d]), int(offsets[d + 1]), n, index, i, matchers):
+                hits.setdefault((d, n), []).append(p - int(index.at[i]))
     for (d, n), starts in hits.items():
         _, pattern, k = index.items[n]
-        size, margin = len(pattern.encode()), 4 * k
+        size = len(pattern.encode())
         if n not in matchers:
             matchers[n] = Myers(pattern)
         best, end, done = k + 1, 0, -1
         for start in sorted(starts):
+            # an edit moves the rest of a passage by a character, that is by 4 bytes at most
+            margin = k if raw[max(0, start - 4 * k) : start + size + 8 * k].isascii() else 4 * k
             if start + size + margin <= done:
                 continue
-            # one window for this hit and all that start within it
-            a, b = max(int(offsets[d]), start - margin), min(int(offsets[d + 1]), start + size + 2 * margin + size)
-            while a < b and text[a] & 0xC0 == 0x80:
-                a += 1
-            while b < offsets[d + 1] and text[b] & 0xC0 == 0x80:
-                b += 1
+            # one window for this hit and all that start within a margin of it
+            a, b = _window(raw, start - margin, start + size + 2 * margin, int(offsets[d]), int(offsets[d + 1]))
             window = raw[a:b].decode()
             distance, stop = matchers[n].best(window)
             done = b

@@ -52,8 +52,8 @@ def counts(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray]
 
 
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = (np.log1p(count) * idf).astype(np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    x = count.astype(np.float32) * idf.astype(np.float32)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import embedding_dedup, ngram_join, packing, quality, toxicity, url_filter
+from eventide.llm import decontamination, embedding_dedup, html_text, language, licenses, ngram_join, packing, quality, toxicity, url_filter
 from eventide.llm.tables import table
 
 
@@ -23,10 +23,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predictions(docs, language.train(docs))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +57,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op4_packing, op7_url_filter, op9_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup, op2_toxicity, op3_benchmark_decontamination, op4_packing, op5_license_scan, op6_language_id, op7_url_filter,
+        op8_html_extraction, op9_ngram_jaccard_join, op10_quality_classifier,
+    )
+}
 
 _RULE_FITS = {
     "net/": "(host = 'net' or ends_with(host, '.net')) and starts_with(path, '/')",
