@@ -152,7 +152,7 @@ def predictions(docs: DataFrame, model: Centroids) -> DataFrame:
                 known = letters[first : first + n] & (pick >= 0)
                 lang = np.where(known, pick, len(names) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([names[i] for i in lang]), pa.array(np.where(known, share, 0.0)), pa.array(far | ~known)],
+                    [batch.column(0).slice(first, n), pa.array([names[i] for i in lang]), pa.array(np.where(known, share, 0.0).astype(np.float64)), pa.array(far | ~known)],
                     ["doc_id", "lang_pred", "score", "rejected"],
                 )
 
