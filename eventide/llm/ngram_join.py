@@ -33,6 +33,8 @@ HASHES = 8
 WINDOW, SEEN, COMMON = 2_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
 BLOCK, MEMBERS = 4096, 256
+#: 64-bit words of a parity bitmap.
+WORDS = 32
 _FACTORS = tk.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _MINS = [f"m{i}" for i in range(HASHES)]
 
@@ -58,27 +60,26 @@ def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield first, tokens, of, sizes, tk.mix(sums + sizes.astype(np.uint64) * tk._STEP).view(np.int64)
 
 
-def parity_bitmaps(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per set, a bitmap of about as many bits as tokens; a bit is the parity of the tokens that hash to it.
+def parity_bitmaps(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Per set, WORDS * 64 bits; a bit is the parity of the tokens that hash to it.
 
     Tokens that two sets share cancel out, so differing bits never outnumber the tokens of the symmetric difference.
     """
-    bits = np.left_shift(np.int64(1), np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64))
-    base = np.cumsum(bits) - bits
-    place = base[of] + (tokens & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
-    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little").tobytes()
-    return [packed[b // 8 : (b + w) // 8] for b, w in zip(base.tolist(), bits.tolist(), strict=True)]
+    width = 64 * WORDS
+    out = np.empty((n, WORDS), np.uint64)
+    for at in range(0, n, 1024):
+        rows = min(1024, n - at)
+        lo, hi = np.searchsorted(of, [at, at + rows])
+        place = (of[lo:hi] - at) * width + (tokens[lo:hi] % np.uint64(width)).astype(np.int64)
+        odd = (np.bincount(place, minlength=rows * width) & 1).astype(bool)
+        out[at : at + rows] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(rows, WORDS)
+    return out
 
 
-def most_shared(na: int, a: bytes, nb: int, b: bytes) -> int:
-    """An upper bound on the intersection of two sets from their sizes and bitmaps; a longer bitmap is folded."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, width = int.from_bytes(a, "little"), 8 * len(a)
-    while width > 8 * len(b):
-        width //= 2
-        x = (x >> width) ^ (x & ((1 << width) - 1))
-    return (na + nb - (x ^ int.from_bytes(b, "little")).bit_count()) // 2
+def may_link(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets the bitmaps leave open: their bound on the intersection reaches the required one."""
+    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    return (size[i] + size[j] - differ) // 2 >= required(size[i], size[j], percent)
 
 
 def required(a, b, percent: int):
@@ -101,7 +102,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for i in range(HASHES if len(some) else 0):
                     mins[i, some] = np.minimum.reduceat(tokens * _FACTORS[i], at).view(np.int64)
                 none = pa.nulls(len(sizes), pa.int64())
-                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none, pa.array(parity_bitmaps(tokens, of, sizes), pa.binary())]
+                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none, pa.array([r.tobytes() for r in parity_bitmaps(tokens, of, len(sizes))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 window.append(tokens)
                 held += len(tokens)
@@ -161,7 +162,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """Entries of the tokens that more than one set has, with a mark on the entries of lists longer than a block."""
+    """Entries of the tokens that more than one set has. A list longer than a block is passed on as it streams."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, long_token = None, None
@@ -177,7 +178,7 @@ def shared_lists(postings: DataFrame) -> DataFrame:
             if rows[0, -1] != long_token:
                 long_token = None if held.shape[1] <= BLOCK else rows[0, -1]
             if long_token is not None:
-                yield out(held, True)
+                yield from lists(held, long_token)
                 held = None
         if held is not None:
             yield from lists(held, long_token)
@@ -190,34 +191,32 @@ def shared_lists(postings: DataFrame) -> DataFrame:
         rows = rows[:, new]
         start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
         size = np.diff(np.append(start, rows.shape[1]))
-        size = np.repeat(size, size)
-        is_long = (size > BLOCK) | (rows[0] == long_token if long_token is not None else False)
-        pick = (size > 1) | is_long
-        for flag in (False, True):
-            if (part := pick & (is_long == flag)).any():
-                yield out(rows[:, part], flag)
-
-    def out(rows: np.ndarray, flag: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(rows.shape[1], flag))], ["token", "set_id", "packed", "long_list"])
+        pick = np.repeat(size, size) > 1
+        if long_token is not None:
+            pick |= rows[0] == long_token
+        if pick.any():
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows[:, pick])], ["token", "set_id", "packed"])
 
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", "set_id")
-    return sorted_lists.mapInArrow(keep, "token long, set_id long, packed long, long_list boolean")
+    return sorted_lists.mapInArrow(keep, "token long, set_id long, packed long")
 
 
-def candidate_units(entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (ua < ub) of leaders some of whose sets may be similar and are not connected yet."""
-    blocks = entries.filter("long_list").groupBy("token").count().select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = blocks.filter("blocks > 1")
-    rows = entries.join(info, "set_id", "left").select(
-        "token", "packed", "long_list", F.coalesce("unit", "set_id").alias("unit"), F.coalesce("component", "set_id").alias("component")
-    )
-    long_rows = rows.filter("long_list").join(blocks, "token", "left").withColumn("side", F.pmod(F.xxhash64("unit"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
-    long_rows = long_rows.select("token", "packed", "unit", "component", "side", other).select(
-        "token", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "unit", "component", "packed"
+def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (ua < ub) of leaders some of whose sets may be similar and are not connected yet.
+
+    Lists whose sets are all connected already are dropped; the sets of the others bring their bitmaps along, so a pair is
+    only emitted when sizes, positions and bitmaps leave it open.
+    """
+    own = F.coalesce("component", "set_id").alias("component")
+    rows = written(entries.join(info, "set_id", "left").select("token", "set_id", "packed", F.coalesce("unit", "set_id").alias("unit"), own), "placed")
+    crossing = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count")).filter("lo <> hi")
+    crossing = crossing.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(crossing, "token").join(marks.select("set_id", "bitmap"), "set_id")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("token", "side", other, "unit", "component", "packed", "bitmap").select(
+        "token", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "unit", "component", "packed", "bitmap"
     )
-    zero = F.lit(0)
-    rows = rows.filter("not long_list").select("token", zero.alias("one"), zero.alias("two"), zero.alias("side"), "unit", "component", "packed").union(long_rows)
     parted = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "side", "unit")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +225,19 @@ def candidate_units(entries: DataFrame, info: DataFrame, percent: int) -> DataFr
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WORDS)
             if held is not None:
-                rows = np.concatenate([held, rows], axis=1)
-            last = int(np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))[-1:].sum() + 1) if (rows[:3] != rows[:3, -1:]).any() else 0
-            part = _list_pairs(rows[:, :last], percent)
-            found.append(part)
-            n += part.shape[1]
-            held = rows[:, last:]
+                rows, bits = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], bits])
+            before = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))
+            last = int(before[-1]) + 1 if len(before) else 0
+            found.append(_list_pairs(rows[:, :last], bits[:last], percent))
+            n += found[-1].shape[1]
+            held = rows[:, last:], bits[last:]
             if n > 200_000:
                 yield from out(found)
                 found, n = [], 0
         if held is not None:
-            found.append(_list_pairs(held, percent))
+            found.append(_list_pairs(*held, percent))
         yield from out(found)
 
     def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def candidate_units(entries: DataFrame, info: DataFrame, percent: int) -> DataFr
     return parted.mapInArrow(pairs, "ua long, ub long").distinct()
 
 
-def _list_pairs(rows: np.ndarray, percent: int, short: int = 32) -> np.ndarray:
+def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 32) -> np.ndarray:
     """Candidate unit pairs of whole lists, sorted by key, side and unit."""
     n = rows.shape[1]
     if n < 2:
@@ -257,54 +257,51 @@ def _list_pairs(rows: np.ndarray, percent: int, short: int = 32) -> np.ndarray:
     count = np.bincount(group)
     _, one, two, side, unit, comp, packed = rows
     size, rest = packed >> 32, (packed >> 32) - (packed & 0xFFFFFFFF)
-    crossing = one != two
-    found = []
-    small = count[group] <= short
-    idx = np.flatnonzero(small)
+    across = one != two
+    found = [np.zeros((2, 0), np.int64)]
+    idx = np.flatnonzero(count[group] <= short)
     for step in range(1, short):
         i, j = idx[:-step], idx[step:]
-        same = group[i] == group[j] if len(i) else np.zeros(0, bool)
+        same = group[i] == group[j]
         if not same.any():
             break
         i, j = i[same], j[same]
-        keep = (comp[i] != comp[j]) & (unit[i] != unit[j]) & ~(crossing[i] & (side[i] == side[j]))
+        keep = (comp[i] != comp[j]) & ~(across[i] & (side[i] == side[j]))
         keep &= np.minimum(rest[i], rest[j]) >= required(size[i], size[j], percent)
+        i, j = i[keep], j[keep]
+        keep = may_link(size, bits, i, j, percent)
         found.append(np.stack([unit[i[keep]], unit[j[keep]]]))
     starts = np.flatnonzero(new)
     for g in np.flatnonzero(count > short):
         at = slice(starts[g], starts[g] + count[g])
-        found.append(_long_list(unit[at], comp[at], size[at], rest[at], side[at], bool(crossing[starts[g]]), percent))
-    both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return np.unique(np.sort(both, axis=0), axis=1)
-
-
-def _long_list(unit, comp, size, rest, side, crossing: bool, percent: int, block: int = 64) -> np.ndarray:
-    """Pairs of one long list. Entries of a unit are joined, ordered by position and cut in blocks; two blocks
-    are skipped when the tokens their positions leave cannot reach the overlap that their sizes require."""
-    none = np.zeros((2, 0), np.int64)
-    if (comp == comp[0]).all():
-        return none
-    at = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-    least, most, rest = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(rest, at)
-    unit, comp, side = unit[at], comp[at], side[at]
+        found.append(_long_list(unit[at], comp[at], size[at], rest[at], side[at], bits[at], bool(across[starts[g]]), percent))
+    return np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+
+
+def _long_list(unit, comp, size, rest, side, bits, across: bool, percent: int, block: int = 256) -> np.ndarray:
+    """Pairs of one long list, ordered by position and cut in blocks; two blocks are skipped when the tokens that their
+    positions leave cannot reach the overlap that their sizes require."""
+    found = [np.zeros((2, 0), np.int64)]
     by = np.argsort(-rest, kind="stable")
-    least, most, rest, unit, comp, side = (x[by] for x in (least, most, rest, unit, comp, side))
-    found = [none]
+    size, rest, unit, comp, side, bits = (x[by] for x in (size, rest, unit, comp, side, bits))
     edges = list(range(0, len(unit), block))
-    low = np.minimum.reduceat(least, edges)
+    low = np.minimum.reduceat(size, edges)
     for p, a in enumerate(edges):
         for q in range(p, len(edges)):
             b = edges[q]
             if rest[b] < required(low[p], low[q], percent):  # rest falls from block to block
                 continue
             x, y = np.arange(a, min(a + block, len(unit))), np.arange(b, min(b + block, len(unit)))
-            ok = np.minimum(rest[x][:, None], rest[y]) >= required(least[x][:, None], least[y], percent)
+            ok = np.minimum(rest[x][:, None], rest[y]) >= required(size[x][:, None], size[y], percent)
             ok &= comp[x][:, None] != comp[y]
-            ok &= (100 * most[x][:, None] >= percent * least[y]) & (100 * most[y] >= percent * least[x][:, None])
-            if crossing:
+            if across:
                 ok &= side[x][:, None] != side[y]
+            if p == q:
+                ok &= x[:, None] < y
             i, j = np.nonzero(ok)
-            found.append(np.stack([unit[x[i]], unit[y[j]]]))
+            i, j = x[i], y[j]
+            keep = may_link(size, bits, i, j, percent)
+            found.append(np.unique(np.sort(np.stack([unit[i[keep]], unit[j[keep]]]), axis=0), axis=1))
     return np.concatenate(found, axis=1)
 
 
@@ -373,28 +370,14 @@ def within_bound(na: int, nb: int, both: int, a: tuple[int | None, int | None],
     return both + (a[0] or 0) + (b[0] or 0) >= least
 
 
-def unit_links(docs: DataFrame, sets: DataFrame, marks: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The unit pairs between which at least one pair of sets is similar, answered through the leaders. The bound by
-    the parity bitmaps comes first, so whole sets are only shuffled for pairs that it leaves open."""
+def unit_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The unit pairs between which at least one pair of sets is similar, answered through the leaders."""
+    tokens = written(tokens_of(docs, sets, pairs.select(F.col("ua").alias("set_id")).union(pairs.select("ub")), k), "tokens")
     stats = members.groupBy("unit").agg(F.max(F.length("adds") / 8).cast("long").alias("adds"), F.min("na").alias("least"), F.count("*").alias("members"))
     bounded = pairs
     for side in "ab":
         bounded = bounded.join(stats.select(F.col("unit").alias(f"u{side}"), F.col("adds").alias(f"adds_{side}"), F.col("least").alias(f"least_{side}")), f"u{side}", "left")
 
-        bounded = bounded.join(marks.select(F.col("set_id").alias(f"u{side}"), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), f"u{side}")
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("n_a", "bitmap_a", "n_b", "bitmap_b", "adds_a", "least_a", "adds_b", "least_b")
-        for batch in batches:
-            keep = [
-                within_bound(na, nb, most_shared(na, a, nb, b), (adds_a, least_a), (adds_b, least_b), percent)
-                for na, a, nb, b, adds_a, least_a, adds_b, least_b in zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(kept)
-
-    kept = ["ua", "ub", "adds_a", "least_a", "adds_b", "least_b"]
-    bounded = written(bounded.mapInArrow(prune, ", ".join(f"{c} long" for c in kept)), "open_pairs")
-    tokens = written(tokens_of(docs, sets, bounded.select(F.col("ua").alias("set_id")).union(bounded.select("ub")), k), "tokens")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ua", "ub", "ta", "tb", "adds_a", "adds_b", "least_a", "least_b")
@@ -472,9 +455,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, similar:
     connected = connected_components(answers.select("a", "leader"), "a", "leader")
     info = connected.select(F.col("node").alias("set_id"), "component").join(members.select(F.col("a").alias("set_id"), "unit"), "set_id", "left")
     entries = written(shared_lists(prefixes(docs, k, percent, common_tokens(signed))), "lists")
-    pairs = written(candidate_units(entries, info, percent), "unit_pairs")
-    marks = named.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select("set_id", "n", "bitmap")
-    links = unit_links(docs, sets, marks, pairs, members, k, percent)
+    marks = named.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select("set_id", "bitmap")
+    pairs = written(candidate_units(entries, info, marks, percent), "unit_pairs")
+    links = unit_links(docs, sets, pairs, members, k, percent)
     edges = answers.select("a", F.col("leader").alias("b")).union(links)
     parts = connected_components(edges, "a", "b")
     placed = sets.select("set_id", "rep").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
