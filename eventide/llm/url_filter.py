@@ -71,7 +71,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
     outcomes: (host, good 0/1). The registered domain is the last two labels of the host, the suffix the
     last one; an empty host is its own. Null outcomes or hosts are left out. The bound is mean - z * sd of the
-    beta posterior. The prior strengths are scalar subqueries over the written table of host counts.
+    beta posterior, 0 at least. The prior strengths are scalar subqueries over the written table of host counts.
     """
     hosts = outcomes.filter("host is not null and good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     hosts = written(hosts, "hosts").withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
@@ -84,7 +84,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     weight = F.col("n") + F.col("host_strength")
     return h.select(
         "host", "domain", "suffix", "n", "good", F.col("host_mean").alias("mean"),
-        (F.col("host_mean") - z * F.sqrt(F.col("host_mean") * (1 - F.col("host_mean")) / (weight + 1))).alias("bound"),
+        F.greatest(F.lit(0.0), F.col("host_mean") - z * F.sqrt(F.col("host_mean") * (1 - F.col("host_mean")) / (weight + 1))).alias("bound"),
     )
 
 
