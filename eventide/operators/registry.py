@@ -233,9 +233,10 @@ def pre_t0_publications(pubs: DataFrame, t0: DataFrame, n: int, key: str = "prog
     return dated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def abstract_cues(text: Column) -> dict[str, Column]:
+def abstract_cues(text: Column, sentence_chars: int | None = None) -> dict[str, Column]:
     """Species, model, confidence and placeholder features read off an abstract. The word list is
-    matched anywhere, also inside words."""
+    matched anywhere, also inside words. The source sentence is the whole text, or its first `sentence_chars`."""
+    source = F.coalesce(text, F.lit(""))
     low = F.lower(F.coalesce(text, F.lit("")))
     hit = low.rlike("xenograft|mice|mouse|murine|rat")
     return {
@@ -244,7 +245,7 @@ def abstract_cues(text: Column) -> dict[str, Column]:
         "extraction_confidence": F.when(hit, 0.5).otherwise(0.3),
         "primary_endpoint": F.when(hit, "tumor growth inhibition").otherwise("antitumor activity"),
         "face_validity": hit.cast("int"),
-        "source_sentence": F.substring(F.coalesce(text, F.lit("")), 1, 200),
+        "source_sentence": source if sentence_chars is None else F.substring(source, 1, sentence_chars),
     }
 
 
@@ -308,16 +309,19 @@ def repair_dates(studies: DataFrame, known: DataFrame, fetched: DataFrame, t0: D
     return j.select("program_id", "pmid", d.alias("publication_date"), action.alias("action"))
 
 
-def candidate_filter(candidates: DataFrame, excluded: Sequence[str], years: tuple[int, int], limit: int) -> DataFrame:
-    """First `limit` candidates in id order that are dated, in range, phase 2/3, not excluded and whose
-    notes mention a read-out."""
+def candidate_filter(
+    candidates: DataFrame, excluded: Sequence[str], years: tuple[int, int], limit: int | None = None
+) -> DataFrame:
+    """Candidates that are dated, in range, phase 2/3, not excluded and whose notes mention a read-out; with a `limit`,
+    the first of them in id order."""
     ok = (
         ~F.upper("ticker").isin(*excluded)
         & F.year("announcement_date").between(*years)
         & F.coalesce("stage", F.lit("")).rlike(r"(?i)Phase\s*[23]")
         & F.coalesce("notes", F.lit("")).rlike(READOUT)
     )
-    return candidates.filter(ok).orderBy("candidate_id").limit(limit)
+    kept = candidates.filter(ok)
+    return kept if limit is None else kept.orderBy("candidate_id").limit(limit)
 
 
 def gap_programs(programs: DataFrame, counts: DataFrame, minimum: int) -> DataFrame:

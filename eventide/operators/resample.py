@@ -1,10 +1,8 @@
 """Deterministic resampling: bootstrap, block bootstrap and sign permutation.
 
-Draws come from a counter-based mix of (seed, replicate, position) in plain 64-bit integer
-arithmetic, so they stay in generated code and any engine reproduces them. Frames up to
-`EXACT_ROWS` rows are drawn with replacement exactly: the rows, then small enough to broadcast, are
-looked up by drawn position. Above that each row gets an independent Poisson(1) weight per
-replicate, the usual form of the bootstrap at scale: no row moves, partial sums are combined map-side.
+Draws come from a counter-based mix of (seed, replicate, row id) in plain 64-bit integer arithmetic, so they stay in
+generated code and any engine reproduces them at any size. The bootstrap gives each row an independent Poisson(1)
+weight per replicate, its usual form at scale: no row is numbered or moved, partial sums are combined map-side.
 """
 
 from __future__ import annotations
@@ -14,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.operators.ordered import numbered
+from eventide.operators.ordered import quantiles
 from eventide.session import spread, stable
 
-EXACT_ROWS = 200_000
 # A prime modulus and odd multipliers of the mix.
 PRIME = 2147483647
 # Cumulative probabilities of a Poisson(1) variable.
@@ -40,46 +37,28 @@ def with_draw(df: DataFrame, seed: int, replicate: str, position: str, out: str)
     )
 
 
-def positions(df: DataFrame, group: Sequence[str], id_col: str, keep: Sequence[str]) -> DataFrame:
-    """0-based position by id and group size `n`, materialised once."""
-    rows = numbered(df.select(*group, id_col, *keep), group, [id_col], "_no", totals=True)
-    return stable(
-        rows.select(*group, id_col, *keep, (F.col("_no") - 1).alias("pos"), F.col("_no_total").alias("n"))
-    )
-
-
 def _replicates(n_boot: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
 
 
-def resampled(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Rows of every replicate, drawn with replacement inside each group: (group, b, keep…, w)."""
-    if pos.count() <= EXACT_ROWS:
-        slots = spread(pos.select(*group, "n", "pos")).withColumn("b", _replicates(n_boot))
-        slots = with_draw(slots, seed, "b", "pos", "_d").select(*group, "b", (F.col("_d") % F.col("n")).alias("pos"))
-        values = F.broadcast(pos.select(*group, "pos", *keep))
-        return slots.join(values, [*group, "pos"]).select(*group, "b", *keep, F.lit(1).alias("w"))
-    return poisson_weights(pos, group, keep, n_boot, seed)
-
-
-def poisson_weights(pos: DataFrame, group: Sequence[str], keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Each row once per replicate with its Poisson(1) weight `w`."""
-    each = spread(pos.select(*group, "pos", *keep)).withColumn("b", _replicates(n_boot))
+def poisson_weights(df: DataFrame, id_col: str, keep: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Each row once per replicate `b` with its Poisson(1) weight `w`. `id_col` must be an integer key; rows that share an id
+    share their weights."""
+    each = spread(df.select(id_col, *keep), id_col).withColumn("b", _replicates(n_boot))
     u = F.col("_d") / F.lit(float(PRIME))
     weight = sum(((u >= F.lit(c)).cast("int") for c in POISSON_CDF), F.lit(0))
-    drawn = with_draw(each, seed, "b", "pos", "_d").withColumn("w", weight)
+    drawn = with_draw(each, seed, "b", id_col, "_d").withColumn("w", weight)
     # A filter on w would be pushed below the draw and evaluate it many times over.
-    return drawn.select(*group, "b", *keep, "w")
+    return drawn.select("b", *keep, "w")
 
 
 def bootstrap_means(
     df: DataFrame, value: str, id_col: str, group: Sequence[str] = (), n_boot: int = 500, seed: int = 42
 ) -> DataFrame:
-    """(group, b, mean): bootstrap means of `value` per group."""
-    pos = positions(df.filter(F.col(value).isNotNull()), list(group), id_col, [value])
-    rows = resampled(pos, list(group), [value], n_boot, seed)
-    mean = F.sum(F.col(value) * F.col("w")) / F.sum("w")
-    return rows.groupBy(*group, "b").agg(mean.alias("mean"))
+    """(group, b, mean): bootstrap means of `value` per group. A replicate that draws no row of a group has none."""
+    rows = poisson_weights(df.filter(F.col(value).isNotNull()), id_col, [*group, value], n_boot, seed)
+    sums = rows.groupBy(*group, "b").agg(F.sum(F.col(value) * F.col("w")).alias("s"), F.sum("w").alias("n"))
+    return sums.filter("n > 0").select(*group, "b", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def interval(means: DataFrame, group: Sequence[str] = (), value: str = "mean") -> DataFrame:
@@ -98,7 +77,7 @@ def bootstrap_correlations(
 ) -> DataFrame:
     """(b, mean): bootstrap correlations; replicates without variance are dropped."""
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = resampled(positions(ok, [], id_col, [x, y]), [], [x, y], n_boot, seed)
+    rows = poisson_weights(ok, id_col, [x, y], n_boot, seed)
     a, b, w = F.col(x), F.col(y), F.col("w")
     sums = rows.groupBy("b").agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"),
@@ -113,13 +92,13 @@ def bootstrap_correlations(
 
 def sign_permutation(df: DataFrame, value: str, id_col: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
     """Share of sign-flipped means at least as large as the observed mean."""
-    pos = positions(df.filter(F.col(value).isNotNull()), [], id_col, [value])
-    each = spread(pos.select("pos", value)).withColumn("b", _replicates(n_perm))
+    rows = df.filter(F.col(value).isNotNull()).select(id_col, value)
+    each = spread(rows, id_col).withColumn("b", _replicates(n_perm))
     sign = F.when(F.col("_d") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     means = (
-        with_draw(each, seed, "b", "pos", "_d").groupBy("b").agg(F.avg(F.col(value) * sign).alias("mean"))
+        with_draw(each, seed, "b", id_col, "_d").groupBy("b").agg(F.avg(F.col(value) * sign).alias("mean"))
     )
-    observed = pos.agg(F.avg(value)).scalar()
+    observed = rows.agg(F.avg(value)).scalar()
     return means.agg(F.avg((F.col("mean") >= observed).cast("double")).alias("permutation_p"))
 
 
@@ -141,24 +120,12 @@ def block_bootstrap(
     return drawn.groupBy("b").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
 
-def residual_intervals(
-    preds: DataFrame, residuals: DataFrame, id_col: str, estimate: str, residual: str,
-    residual_id: str, n_boot: int = 500, seed: int = 42,
-) -> DataFrame:
-    """(id, lo, hi): estimate plus the 2.5/97.5 percentiles of residuals drawn for that row.
+def residual_intervals(preds: DataFrame, residuals: DataFrame, id_col: str, estimate: str, residual: str) -> DataFrame:
+    """(id, lo, hi): estimate plus the 2.5/97.5 percentiles of resampled residuals, for every prediction.
 
-    `id_col` must be an integer key: it is the position of the row's own draw sequence.
+    Residuals are drawn alike for each row, so the percentiles of unboundedly many draws are those of the residuals
+    themselves: they are taken once, exactly, and no row is expanded. Without residuals both ends are the estimate.
     """
-    pos = positions(residuals.filter(F.col(residual).isNotNull()), [], residual_id, [residual])
-    n = pos.count()
-    values = pos.select("pos", residual)
-    values = F.broadcast(values) if n <= EXACT_ROWS else values
-    slots = spread(preds.select(id_col, estimate)).withColumn("b", _replicates(n_boot))
-    slots = with_draw(slots, seed, "b", id_col, "_d").select(
-        id_col, estimate, (F.col("_d") % F.lit(max(n, 1))).alias("pos")
-    )
-    noise = slots.join(values, "pos", "left").withColumn(
-        "v", F.col(estimate) + F.coalesce(F.col(residual), F.lit(0.0))
-    )
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    return noise.groupBy(id_col).agg(q[0].alias("lo"), q[1].alias("hi"))
+    q = stable(quantiles(residuals.filter(F.col(residual).isNotNull()), [], residual, {"lo": 0.025, "hi": 0.975}))
+    end = {c: F.col(estimate) + F.coalesce(q.select(c).scalar(), F.lit(0.0)) for c in ("lo", "hi")}
+    return preds.select(id_col, *[e.alias(c) for c, e in end.items()])

@@ -152,15 +152,20 @@ def r_wide(expr: str) -> str:
     return f"CASE WHEN abs({expr}) < 1e5 THEN {r(expr)} ELSE {r(expr, 0)} END"
 
 
+POISSON_CDF = (
+    0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846,
+    0.996340153172656, 0.999405815182418, 0.999916758850712, 0.999989750803325,
+)
+
+
 def boot(src: str, value: str, order: str, n_boot: int = 500, seed: int = 42, name: str = "boot",
          group: str | None = None) -> str:
-    """CTEs `<name>(group, b, mean)`: bootstrap means of `value` over rows of `src` ordered by `order`."""
+    """CTEs `<name>(group, b, mean)`: bootstrap means of `value` over rows of `src` with the integer key `order`."""
     g = group or "1"
-    return f"""{name}_v AS (SELECT {g} AS g, {value} AS v, row_number() OVER (PARTITION BY {g} ORDER BY {order}) - 1 AS pos,
-    count(*) OVER (PARTITION BY {g}) AS n FROM {src} WHERE {value} IS NOT NULL),
-{name}_d AS (SELECT g, b, n, pos AS i FROM {name}_v, (SELECT unnest(range({n_boot})) AS b)),
-{name}_u AS (SELECT g, b, {draw(seed, 'b', 'i')} % n AS pos FROM {name}_d),
-{name} AS (SELECT u.g, u.b, avg(v.v) AS mean FROM {name}_u u JOIN {name}_v v ON v.g = u.g AND v.pos = u.pos GROUP BY 1, 2)"""
+    return f"""{name}_u AS (SELECT {g} AS g, {value} AS v, b, {draw(seed, 'b', order)} / 2147483647e0 AS u
+    FROM {src}, (SELECT unnest(range({n_boot})) AS b) WHERE {value} IS NOT NULL),
+{name}_w AS (SELECT g, b, v, {' + '.join(f'CAST(u >= {c!r}::DOUBLE AS INTEGER)' for c in POISSON_CDF)} AS w FROM {name}_u),
+{name} AS (SELECT g, b, sum(v * w) / sum(w) AS mean FROM {name}_w GROUP BY 1, 2 HAVING sum(w) > 0)"""
 
 
 SIGNALS = LEDGER + """,

@@ -293,10 +293,9 @@ def _candidates(spark, sf):
 
 @register("candidate_filter", f"""WITH {_CAND} SELECT candidate_id, ticker FROM cand WHERE upper(ticker) NOT IN ('BRAND#1', 'BRAND#2')
   AND year(d) BETWEEN 2010 AND 2014 AND regexp_matches(coalesce(stage, ''), 'Phase\\s*[23]', 'i')
-  AND regexp_matches(notes, 'top.?line|primary endpoint|did not meet|met primary|phase [23]|readout|trial data', 'i')
-  ORDER BY candidate_id LIMIT 200""")
+  AND regexp_matches(notes, 'top.?line|primary endpoint|did not meet|met primary|phase [23]|readout|trial data', 'i')""")
 def candidate_filter(spark, sf):
-    return registry.candidate_filter(_candidates(spark, sf), ("BRAND#1", "BRAND#2"), (2010, 2014), 200).select("candidate_id", "ticker")
+    return registry.candidate_filter(_candidates(spark, sf), ("BRAND#1", "BRAND#2"), (2010, 2014)).select("candidate_id", "ticker")
 
 
 @register("phase_predicates", f"""WITH {TRIALS}, {_CAND} SELECT 'phase_has_2' AS rule, count(*) AS n FROM trials WHERE contains(upper(phase), '2')
@@ -418,7 +417,7 @@ def literature_gap(spark, sf):
 @register("abstract_cues", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'mouse|mice') THEN 'mouse' END AS species,
   CASE WHEN contains(lower(text), 'xenograft') THEN 'xenograft' WHEN contains(lower(text), 'transgenic') THEN 'GEMM' END AS disease_model,
   CASE WHEN regexp_matches(lower(text), 'xenograft|mice|mouse|murine|rat') THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS extraction_confidence,
-  md5(substr(text, 1, 200)) AS sentence_md5 FROM documents""")
+  md5(text) AS sentence_md5 FROM documents""")
 def abstract_cues(spark, sf):
     cues = registry.abstract_cues(F.col("text"))
     return spread(inputs.table(spark, sf, "documents").select("doc_id", "text")).select(

@@ -60,10 +60,10 @@ def _bars_sql(adj, provider, where="true"):
   {r(adj, 4)} AS adj_close, volume, '{provider}' AS provider FROM bars WHERE {where}"""
 
 
-@register("src_local_csv", _bars_sql("high", "local_csv", "date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
+@register("src_local_csv", _bars_sql("high", "local_csv"))
 def src_local_csv(spark, sf):
     path = _stage_csv(spark, sf, " Date ,Open,High,Low,Close,Adj Close,Volume", True)
-    return _bars_out(price_files.read_local_csv(spark, path, TICKER_DIR, "1996-01-01", "1999-12-31"))
+    return _bars_out(price_files.read_local_csv(spark, path, TICKER_DIR))
 
 
 @register("src_stooq", _bars_sql("adj_close", "stooq"))
@@ -105,11 +105,11 @@ def src_vendor_frame(spark, sf):
 
 
 @register("src_archive_scan", """WITH raw AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, l_linestatus AS st, l_extendedprice AS px
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#7', 'Brand#25')),
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT ticker, date, count(*) AS n, max(CASE WHEN st = 'O' THEN 1 ELSE 0 END) AS o FROM raw GROUP BY 1, 2)
 SELECT upper(ticker) AS ticker, count(*) AS n_days, CAST(min(date) AS VARCHAR) AS first_date, CAST(sum(o) AS BIGINT) AS n_from_existing FROM n GROUP BY 1""")
 def src_archive_scan(spark, sf):
-    """Two archive folders scanned for three symbols, then merged under the stored bars."""
+    """Two archive folders scanned for all symbols, then merged under the stored bars."""
     li = inputs.table(spark, sf, "lineitem")
     part = inputs.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     px = F.col("l_extendedprice")
@@ -119,8 +119,7 @@ def src_archive_scan(spark, sf):
     paths = [staging_path(spark, f"archive{i}") for i in (0, 1)]
     sinks.export(rows.filter("l_linestatus = 'F'").drop("l_linestatus"), paths[0])
     sinks.export(rows.filter("l_linestatus = 'O'").drop("l_linestatus"), paths[1])
-    wanted = inputs.table(spark, sf, "nation").filter("n_nationkey in (0, 6, 24)").select(
-        F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string")).alias("ticker"))
+    wanted = inputs.table(spark, sf, "part").select(F.col("p_brand").alias("ticker")).distinct()
     fresh = price_files.scan_archive(spark, paths[0], wanted).withColumn("origin", F.lit("fresh"))
     stored = price_files.scan_archive(spark, paths[1], wanted).withColumn("origin", F.lit("existing"))
     out = price_files.merge_bars(stored, fresh)
@@ -247,11 +246,11 @@ def src_base_rates(spark, sf):
     return documents.read_base_rates(spark, path).select("phase", "indication_group", rnd("success_rate").alias("success_rate"), "n_programs")
 
 
-@register("src_delisted", """SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_custkey LIMIT 200""")
+@register("src_delisted", """SELECT c_custkey AS id, c_name AS name FROM customer""")
 def src_delisted(spark, sf):
     path = staging_path(spark, "delisted")
     inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.json(path)
-    return documents.read_delisted(spark, path, "id bigint, name string", "id", 200)
+    return documents.read_delisted(spark, path, "id bigint, name string", "id")
 
 
 @register("src_lookup", f"""WITH {EVTS}, t AS (SELECT 'Brand#' || (n_nationkey + 1) AS ticker, CASE n_regionkey WHEN 0 THEN 'large_pharma' ELSE 'mid_cap' END AS tier FROM nation)

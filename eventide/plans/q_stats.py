@@ -41,23 +41,13 @@ def bootstrap_ci(spark, sf):
     return _rounded(resample.interval(resample.bootstrap_means(inputs.ledger(spark, sf), "realized_car", "catalyst_id")))
 
 
-_POISSON = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in resample.POISSON_CDF)
-
-
-@register("bootstrap_poisson", f"""WITH v AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_orderkey,
-    l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem),
-d AS (SELECT b, v, {draw(42, 'b', 'i')} / 2147483647e0 AS u FROM v, (SELECT unnest(range(50)) AS b)),
-m AS (SELECT b, sum(v * ({_POISSON})) / sum({_POISSON}) AS mean FROM d GROUP BY 1)
-SELECT b, {r('mean', 4)} AS mean FROM m""")
+@register("bootstrap_poisson", f"""WITH {boot('lineitem', 'l_extendedprice', 'l_orderkey', group='l_returnflag')}
+SELECT g AS l_returnflag, b, {r('mean', 4)} AS mean FROM boot""")
 def bootstrap_poisson(spark, sf):
-    """The large-frame path on every line item: independent weights, no row is moved per replicate."""
-    li = inputs.table(spark, sf, "lineitem").select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"),
-        F.col("l_extendedprice").alias("v"))
-    pos = resample.positions(li, [], "id", ["v"])
-    rows = resample.poisson_weights(pos, [], ["v"], 50, 42)
-    m = rows.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    return m.select(F.col("b").cast("long").alias("b"), rnd("mean", 4).alias("mean"))
+    """Bootstrap means of every line item's price by return flag; the lines of an order are drawn together."""
+    li = inputs.table(spark, sf, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice").cast("double"))
+    m = resample.bootstrap_means(li, "l_extendedprice", "l_orderkey", ["l_returnflag"])
+    return m.select("l_returnflag", F.col("b").cast("long").alias("b"), rnd("mean", 4).alias("mean"))
 
 
 @register("bootstrap_significance", f"""WITH {SIGNALS}, {boot('traded', 'net_return', 'catalyst_id', 1000)}
@@ -80,7 +70,7 @@ def strategy_bootstrap(spark, sf):
     return _rounded(ci.withColumns({"observed_mean": one.select("mean").scalar(), "t_stat": one.select("t_stat").scalar()}))
 
 
-@register("sign_permutation", f"""WITH {SHORT}, v AS (SELECT rsr AS v, row_number() OVER (ORDER BY catalyst_id) - 1 AS i FROM top20),
+@register("sign_permutation", f"""WITH {SHORT}, v AS (SELECT rsr AS v, catalyst_id AS i FROM top20),
 m AS (SELECT b, avg(CASE WHEN {draw(42, 'b', 'i')} % 2 = 0 THEN v ELSE -v END) AS m FROM v,
   (SELECT unnest(range(2000)) AS b) GROUP BY 1)
 SELECT {r('avg(CASE WHEN m >= (SELECT avg(v) FROM v) THEN 1e0 ELSE 0e0 END)')} AS permutation_p FROM m""")
@@ -99,15 +89,14 @@ def block_bootstrap(spark, sf):
 
 
 @register("stratification_ci", f"""WITH {_STRATA}, s2 AS (SELECT catalyst_id, stratification || '/' || bucket AS sb,
-    -realized_car - {_COST} AS ret FROM st), {boot('s2', 'ret', 'catalyst_id', 60, group='sb')}
+    -realized_car - {_COST} AS ret FROM st), {boot('s2', 'ret', 'catalyst_id', group='sb')}
 SELECT g AS stratum, {_ci()} FROM boot GROUP BY 1""")
 def stratification_ci(spark, sf):
-    """Interval of the mean short return per stratum (60 replicates keep the check quick; the
-    operator takes any number)."""
+    """Interval of the mean short return per stratum."""
     st = trades.strata(risk_frame(spark, sf)).select(
         "catalyst_id", F.concat_ws("/", "stratification", "bucket").alias("stratum"),
         sc.short_return(F.col("realized_car")).alias("ret"))
-    m = resample.bootstrap_means(stable(st), "ret", "catalyst_id", ["stratum"], n_boot=60)
+    m = resample.bootstrap_means(stable(st), "ret", "catalyst_id", ["stratum"])
     return _rounded(resample.interval(m, ["stratum"]))
 
 
@@ -135,16 +124,12 @@ def conformal(spark, sf):
         sc.confidence_signal(lo * dep, hi * dep).alias("confidence_signal"))
 
 
-@register("residual_bootstrap", f"""WITH {SHORT}, v AS (SELECT realized_car - expected_car AS v, row_number() OVER (ORDER BY catalyst_id) - 1
-    AS pos, count(*) OVER () AS n FROM ledger),
-d AS (SELECT catalyst_id AS i, expected_car AS e, b, (SELECT any_value(n) FROM v) AS n FROM top10, (SELECT unnest(range(500)) AS b)),
-u AS (SELECT i, e, {draw(42, 'b', 'i')} % n AS pos FROM d)
-SELECT i AS catalyst_id, {r('quantile_cont(e + v, 0.025)')} AS lo, {r('quantile_cont(e + v, 0.975)')} AS hi
-FROM u JOIN v USING (pos) GROUP BY 1""")
+@register("residual_bootstrap", f"""WITH {LEDGER}, q AS (SELECT quantile_cont(realized_car - expected_car, 0.025) AS lo,
+    quantile_cont(realized_car - expected_car, 0.975) AS hi FROM ledger)
+SELECT catalyst_id, {r('expected_car + lo')} AS lo, {r('expected_car + hi')} AS hi FROM ledger, q""")
 def residual_bootstrap(spark, sf):
-    preds = trades.top_fraction(short_preds(spark, sf), "net_expected_short_return", 0.10)
     return _rounded(resample.residual_intervals(
-        preds, _residuals(spark, sf), "catalyst_id", "expected_car", "residual", "id"))
+        inputs.ledger(spark, sf), _residuals(spark, sf), "catalyst_id", "expected_car", "residual"))
 
 
 @register("residual_source", f"""WITH {LEDGER} SELECT 'ledger' AS source, count(*) AS n,

@@ -9,7 +9,7 @@ from eventide.functions.rounding import rnd
 from eventide.operators import cutoffs, metrics, resample, trades
 from eventide.operators.ordered import numbered
 from eventide.plans import inputs
-from eventide.plans.oracle_base import LEDGER, SHORT, SIGNALS, boot, draw, r
+from eventide.plans.oracle_base import LEDGER, POISSON_CDF, SHORT, SIGNALS, boot, draw, r
 from eventide.plans.q_features import _RISK, risk_frame
 from eventide.session import stable
 
@@ -170,11 +170,14 @@ _HOLD = LEDGER + """,
 hold AS (SELECT * FROM ledger WHERE test_year BETWEEN 1999 AND 2000)"""
 
 
-@register("holdout_summary", f"""WITH {_HOLD}, v AS (SELECT expected_car AS x, realized_car AS y,
-    row_number() OVER (ORDER BY catalyst_id) - 1 AS pos, count(*) OVER () AS n FROM hold),
-d AS (SELECT b, n, pos AS i FROM v, (SELECT unnest(range(500)) AS b)),
-u AS (SELECT b, {draw(42, 'b', 'i')} % n AS pos FROM d),
-c AS (SELECT b, corr(v.x, v.y) AS c FROM u JOIN v USING (pos) GROUP BY 1)
+@register("holdout_summary", f"""WITH {_HOLD},
+u AS (SELECT expected_car AS x, realized_car AS y, b, {draw(42, 'b', 'catalyst_id')} / 2147483647e0 AS u
+    FROM hold, (SELECT unnest(range(500)) AS b)),
+w AS (SELECT b, x, y, {' + '.join(f'CAST(u >= {c!r}::DOUBLE AS INTEGER)' for c in POISSON_CDF)} AS w FROM u),
+t AS (SELECT b, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy
+    FROM w GROUP BY 1),
+c AS (SELECT (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS c FROM t
+    WHERE n >= 3 AND n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12)
 SELECT count(*) AS n, {r('corr(expected_car, realized_car)')} AS corr,
   {r('(SELECT quantile_cont(c, 0.025) FROM c)', 5)} AS corr_lo, {r('(SELECT quantile_cont(c, 0.975) FROM c)', 5)} AS corr_hi,
   count(*) FILTER (WHERE expected_car > 0.03::DOUBLE) AS n_long, count(*) FILTER (WHERE expected_car < (-0.03)::DOUBLE) AS n_short,

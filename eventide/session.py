@@ -54,8 +54,7 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy work on an input with fewer partitions than cores (a few large row
-    groups, or few rows about to expand); larger inputs pass through without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal narrow rows that are about to expand evenly over the session's shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

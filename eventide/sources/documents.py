@@ -121,8 +121,10 @@ def read_base_rates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BASE_RATES).csv(path, header=True).withColumn("row_pos", F.monotonically_increasing_id())
 
 
-def read_delisted(spark: SparkSession, path: str, schema: str, order: str, limit: int) -> DataFrame:
-    return spark.read.schema(schema).json(path).orderBy(order).limit(limit)
+def read_delisted(spark: SparkSession, path: str, schema: str, order: str, limit: int | None = None) -> DataFrame:
+    """A delisting feed; with a `limit`, its first rows by `order`."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if limit is None else rows.orderBy(order).limit(limit)
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -44,16 +44,23 @@ def test_top_k_row_in_both_ends_is_short(spark):
     assert {r["side"] for r in trades.top_k_sides(df, "x").collect()} == {-1}
 
 
-def test_bootstrap_paths_agree_with_theory(spark, monkeypatch):
+def test_bootstrap_agrees_with_theory(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(0.02, 0.1, 400)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "v": v}))
     se = v.std() / 20
-    exact = resample.bootstrap_means(df, "v", "id", n_boot=300).toPandas()["mean"]
-    monkeypatch.setattr(resample, "EXACT_ROWS", 10)
-    poisson = resample.bootstrap_means(df, "v", "id", n_boot=300).toPandas()["mean"]
-    for m in (exact, poisson):
-        assert len(m) == 300 and abs(m.mean() - v.mean()) < 4 * se / np.sqrt(300) and 0.85 < m.std() / se < 1.15
+    m = resample.bootstrap_means(df, "v", "id", n_boot=300).toPandas()["mean"]
+    assert len(m) == 300 and abs(m.mean() - v.mean()) < 4 * se / np.sqrt(300) and 0.85 < m.std() / se < 1.15
+
+
+def test_residual_intervals_are_the_residuals_percentiles(spark):
+    rng = np.random.default_rng(1)
+    e = rng.normal(0, 1, 301)
+    res = spark.createDataFrame(pd.DataFrame({"i": np.arange(301), "e": e}))
+    preds = spark.createDataFrame([(1, 0.5), (2, None)], "id long, p double")
+    got = {r.id: (r.lo, r.hi) for r in resample.residual_intervals(preds, res, "id", "p", "e").collect()}
+    assert np.allclose(got[1], 0.5 + np.percentile(e, [2.5, 97.5])) and got[2] == (None, None)
+    assert resample.residual_intervals(preds, res.limit(0), "id", "p", "e").first()["lo"] == 0.5
 
 
 def test_block_bootstrap_of_one_year_is_constant(spark):
