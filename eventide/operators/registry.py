@@ -56,8 +56,9 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def latest_snapshot(snapshots: DataFrame, key: str, observed: str, payload: str) -> DataFrame:
+    """The last observed payload per key; of payloads observed at the same time, the greatest."""
     return snapshots.groupBy(key).agg(
-        F.max_by(payload, observed).alias(payload), F.max(observed).alias(observed), F.count(F.lit(1)).alias("n_snapshots")
+        F.max_by(payload, F.struct(observed, payload)).alias(payload), F.max(observed).alias(observed), F.count(F.lit(1)).alias("n_snapshots")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators.ordered import order_statistics, quantiles
 
-VERIFIED = "F"
+VERIFIED = "verified"
 
 
 def verified(studies: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("p_value"),
         F.col("l_returnflag").alias("species"),
         F.col("p_type").alias("disease_model"),
-        F.col("l_linestatus").alias("verification_status"),
+        F.when(F.col("l_linestatus") == "F", "verified").otherwise("pending").alias("verification_status"),
         flag.alias("randomized"),
         F.when(n % 3 != 0, (n % 2).cast("int")).alias("blinded"),
         F.when(n == 7, F.lit(1)).when(n == 6, F.lit(0)).cast("int").alias("survival_benefit"),

@@ -60,7 +60,7 @@ FACTS = """facts AS (
 STUDIES = """studies AS (
   SELECT l_orderkey AS program_id, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
     l_discount AS effect_size, l_tax AS p_value, l_returnflag AS species, p_type AS disease_model,
-    l_linestatus AS verification_status,
+    CASE WHEN l_linestatus = 'F' THEN 'verified' ELSE 'pending' END AS verification_status,
     CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber % 2 END AS randomized,
     CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 2 END AS blinded,
     CASE l_linenumber WHEN 7 THEN 1 WHEN 6 THEN 0 END AS survival_benefit,

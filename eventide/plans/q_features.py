@@ -226,7 +226,7 @@ def feature_set(spark, sf):
                       "is_combination", "wong_pos_rate")
 
 
-@register("study_aggregates_v1", f"""WITH {STUDIES}, v AS (SELECT * FROM studies WHERE verification_status = 'F'),
+@register("study_aggregates_v1", f"""WITH {STUDIES}, v AS (SELECT * FROM studies WHERE verification_status = 'verified'),
 m AS (SELECT program_id, effect_size, row_number() OVER (PARTITION BY program_id ORDER BY effect_size) - 1 AS i,
     count(*) OVER (PARTITION BY program_id) AS n FROM v),
 a AS (SELECT program_id, count(*) AS n, count(DISTINCT species) AS s, count(DISTINCT disease_model) AS dm,
@@ -247,7 +247,7 @@ def study_aggregates_v1(spark, sf):
 
 
 @register("study_aggregates_v2", f"""WITH {STUDIES}, v AS (SELECT *, row_number() OVER (PARTITION BY program_id
-    ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn FROM studies WHERE verification_status = 'F')
+    ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn FROM studies WHERE verification_status = 'verified')
 SELECT program_id, count(*) AS n_animal_studies, count(DISTINCT species) AS n_species,
   count(DISTINCT disease_model) AS n_models, max(effect_size) AS best_effect_size, min(p_value) AS min_p_value,
   max(CASE WHEN coalesce(survival_benefit, 0) > 0 THEN 1 ELSE 0 END) AS survival_benefit_any,
@@ -264,7 +264,7 @@ def study_aggregates_v2(spark, sf):
 @register("study_level_frame", f"""WITH {STUDIES}, {EVTS} SELECT s.program_id, s.l_partkey, s.l_linenumber, e.ticker,
   e.drug_name, CAST(year(e.announcement_date) AS INTEGER) AS t0_year, e.clinical_success, s.effect_size, s.p_value,
   s.species, s.disease_model FROM studies s JOIN evts e ON e.catalyst_id = s.program_id
-WHERE s.verification_status = 'F' AND e.clinical_success IS NOT NULL""")
+WHERE s.verification_status = 'verified' AND e.clinical_success IS NOT NULL""")
 def study_level_frame(spark, sf):
     ev = inputs.catalysts(spark, sf).filter("clinical_success is not null").select(
         F.col("catalyst_id").alias("program_id"), "ticker", "drug_name",
@@ -276,7 +276,7 @@ def study_level_frame(spark, sf):
 
 
 @register("program_table", f"""WITH {STUDIES}, {EVTS}, {TRIALS}, a AS (SELECT program_id, count(*) AS n, avg(randomized) AS pr
-    FROM studies WHERE verification_status = 'F' GROUP BY 1)
+    FROM studies WHERE verification_status = 'verified' GROUP BY 1)
 SELECT e.catalyst_id AS program_id, e.drug_name, e.indication, e.ticker, CAST(e.clinical_success AS DOUBLE) AS clinical_success,
   coalesce(a.n, 0) AS n_animal_studies, {r('a.pr')} AS pct_studies_randomized, t.phase, CAST(t.enrollment AS DOUBLE) AS enrollment
 FROM evts e LEFT JOIN a ON a.program_id = e.catalyst_id LEFT JOIN trials t USING (catalyst_id)""")

@@ -93,7 +93,7 @@ def insert_ignore_bars(spark, sf):
     return out.select("ticker", F.col("date").cast("string"), "provider", "px")
 
 
-@register("latest_snapshot", """SELECT user_id AS nct_id, arg_max(props, ts) AS payload,
+@register("latest_snapshot", """SELECT user_id AS nct_id, arg_max(props, (ts, props)) AS payload,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS observed_at, count(*) AS n_snapshots FROM events GROUP BY 1""")
 def latest_snapshot(spark, sf):
     e = inputs.table(spark, sf, "events").select(F.col("user_id").alias("nct_id"), F.col("ts").alias("observed_at"),

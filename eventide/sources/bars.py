@@ -21,6 +21,12 @@ def _ticker(path: Column, pattern: str) -> Column:
     return F.upper(F.regexp_extract(path, pattern, 1))
 
 
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line; a quoted cell may hold commas, and doubled quotes stand for one."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('(\\s*"(?:[^"]|"")*"\\s*|[^,]*),'), 1)
+    return F.transform(raw, lambda c: F.replace(F.regexp_replace(c, '^\\s*"|"\\s*$', ""), F.lit('""'), F.lit('"')))
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(file, fields): rows of headered CSV files whose columns may differ from file to file.
 
@@ -33,11 +39,11 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("at"),
     ).filter("line <> ''")
     head = lines.groupBy("file").agg(F.min_by("line", "at").alias("header"))
-    names = F.transform(F.split(F.lower("header"), ","), lambda c: F.trim(c))
+    names = F.transform(_cells(F.lower("header")), lambda c: F.trim(c))
     good = head.select("file", "header", names.alias("names")).filter(
         ~F.col("header").startswith("<") & F.array_contains("names", "date"))
     rows = lines.join(good, "file").filter(F.col("line") != F.col("header"))
-    values = F.split("line", ",")
+    values = _cells(F.col("line"))
     padded = F.transform(F.col("names"), lambda c, i: F.get(values, i))
     return rows.select("file", F.map_from_arrays("names", padded).alias("fields"))
 

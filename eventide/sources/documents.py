@@ -118,7 +118,8 @@ def event_manifest(events: DataFrame) -> DataFrame:
 
 def read_base_rates(spark: SparkSession, path: str) -> DataFrame:
     """Base-rate table with its row order kept (the first matching row wins in lookups)."""
-    return spark.read.schema(schemas.BASE_RATES).csv(path, header=True).withColumn("row_pos", F.monotonically_increasing_id())
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return spark.read.schema(schemas.BASE_RATES).csv(path, header=True).withColumn("row_pos", at)
 
 
 def read_delisted(spark: SparkSession, path: str, schema: str, order: str, limit: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,8 +66,11 @@ def bundle_tables(bundles: DataFrame, studies: DataFrame) -> dict[str, DataFrame
     """Fan curated records out to their normalised tables.
 
     `bundles`: program_id, ticker, company_name, drug_name, indication, t0_date, nct_id, clinical_success,
-    event_date. `studies`, one row each: program_id, pmid, species, effect_size.
+    event_date. `studies`, one row each: program_id, pmid, species, effect_size. Studies of one publication are told
+    apart by their number in the order of species and effect.
     """
+    order = Window.partitionBy("program_id", "pmid").orderBy("species", "effect_size")
+    studies = studies.withColumn("study_no", F.row_number().over(order))
     company = bundles.groupBy(F.upper("ticker").alias("ticker")).agg(F.min_by("company_name", "program_id").alias("name"))
     source = studies.select("pmid").distinct()
     counts = studies.groupBy("program_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -82,10 +85,10 @@ def bundle_tables(bundles: DataFrame, studies: DataFrame) -> dict[str, DataFrame
         "publications": source.select(key_of("pmid").alias("publication_id"), key_of("pmid").alias("source_record_id"), "pmid"),
         "publication_program_links": studies.select("program_id", "pmid").distinct().select(
             key_of("program_id", "pmid").alias("link_id"), "program_id", key_of("pmid").alias("publication_id")),
-        "animal_studies": studies.select("program_id", "pmid", "species").select(
-            key_of("program_id", "pmid").alias("study_id"), "program_id", key_of("pmid").alias("publication_id"), "species"),
-        "animal_study_features": studies.select("program_id", "pmid", "effect_size").select(
-            key_of("program_id", "pmid").alias("study_id"), "effect_size"),
+        "animal_studies": studies.select(
+            key_of("program_id", "pmid", "study_no").alias("study_id"), "program_id", key_of("pmid").alias("publication_id"), "species"),
+        "animal_study_features": studies.select(
+            key_of("program_id", "pmid", "study_no").alias("study_id"), "effect_size"),
         "program_preclinical_features": bundles.join(counts, "program_id", "left").select(
             "program_id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_animal_studies")),
         "program_financial_events": bundles.filter("event_date is not null").select(
