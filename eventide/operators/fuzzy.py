@@ -6,14 +6,8 @@ share a ticker and come from neighbouring years. Scored pairs are then joined to
 
 from __future__ import annotations
 
-import sys
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from eventide.functions.scalars import normalize_name
 from eventide.operators.registry import dedupe_first
@@ -27,17 +21,8 @@ INFERRED_SOURCES = ("INFERRED_T0_PLUS_18MO", "INFERRED_CTGOV_RESULTS", "LEGACY_U
 SALT = 16
 
 
-# Workers receive the function itself, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@F.pandas_udf(DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def levenshtein_ratio(a: Column, b: Column) -> Column:
-    """Built-in alternative: one minus the edit distance over the longer length."""
+    """One minus the edit distance over the longer length."""
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
@@ -52,13 +37,13 @@ def _year_block(date: str) -> Column:
 
 
 def possible(a: Column, b: Column, floor: float) -> Column:
-    """False only where lengths alone rule the floor out: no ratio exceeds 2·min/(sum) of the lengths."""
+    """False only where lengths alone rule the floor out: the edit distance is at least their difference."""
     la, lb = F.length(a), F.length(b)
-    return a.contains(b) | b.contains(a) | (F.lit(2.0) * F.least(la, lb) >= F.lit(floor) * (la + lb))
+    return a.contains(b) | b.contains(a) | (F.least(la, lb) >= F.lit(floor) * F.greatest(la, lb))
 
 
 def scored_names(
-    left: DataFrame, right: DataFrame, ratio=name_ratio, dated: bool = True, floor: float = MIN_SCORE
+    left: DataFrame, right: DataFrame, ratio=levenshtein_ratio, dated: bool = True, floor: float = MIN_SCORE
 ) -> DataFrame:
     """(ticker, name, other, score) for distinct names sharing a ticker (and, when dated, lying within
     neighbouring year blocks). Left names are salted so that one busy ticker spreads over tasks; pairs
@@ -80,7 +65,7 @@ def scored_names(
     return pairs.withColumn("score", similarity(F.col("name"), F.col("other"), ratio))
 
 
-def match_events(registry: DataFrame, events: DataFrame, ratio=name_ratio) -> DataFrame:
+def match_events(registry: DataFrame, events: DataFrame, ratio=levenshtein_ratio) -> DataFrame:
     """Best external event per registry row: highest score, then smallest day difference.
 
     `registry`: catalyst_id, ticker, drug_name, announcement_date, announcement_source. `events`:
@@ -135,7 +120,7 @@ def largest_drifts(matches: DataFrame, n: int = 20) -> DataFrame:
     return drift.orderBy(F.abs("date_delta_days").desc(), "catalyst_id").limit(n)
 
 
-def new_candidates(events: DataFrame, registry: DataFrame, cap: int | None, ratio=name_ratio) -> DataFrame:
+def new_candidates(events: DataFrame, registry: DataFrame, cap: int | None, ratio=levenshtein_ratio) -> DataFrame:
     """External events not represented in the registry: one row per (ticker, name, date), dropped when a
     registry name of the same ticker scores 0.6 or more or contains it; numbered by date.
 

@@ -590,14 +590,15 @@ def _fuzzy_sides(spark, sf):
 _FUZZY = """reg AS (SELECT p_partkey AS catalyst_id, upper(p_brand) AS tk, p_brand AS ticker, p_name AS name, DATE '1996-01-01' + CAST(p_partkey % 1500 AS INTEGER) AS d,
     CASE p_partkey % 4 WHEN 0 THEN 'INFERRED_T0_PLUS_18MO' WHEN 1 THEN 'PRESS' WHEN 2 THEN 'LEGACY_UNTAGGED' END AS src FROM part),
 ext AS (SELECT p_partkey AS event_id, upper(p_brand) AS tk, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
-    WHEN 1 THEN replace(p_name, 'e', 'o') ELSE split_part(p_name, ' ', 1) || ' kit' END AS other, DATE '1996-01-01' + CAST((p_partkey * 7) % 1500 AS INTEGER) AS ed FROM part),
+    WHEN 1 THEN replace(p_name, 'e', 'o') ELSE split_part(p_name, ' ', 1) || ' kit' END AS other, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) || '-' || split_part(p_name, ' ', 1)
+    WHEN 1 THEN replace(p_name, 'e', 'o') ELSE split_part(p_name, ' ', 1) || ' kit' END AS drug, DATE '1996-01-01' + CAST((p_partkey * 7) % 1500 AS INTEGER) AS ed FROM part),
 sc AS (SELECT n.name, o.other, CASE WHEN contains(name, other) OR contains(other, name) THEN 0.95::DOUBLE
     ELSE 1 - levenshtein(name, other) / CAST(greatest(length(name), length(other)) AS DOUBLE) END AS score
   FROM (SELECT DISTINCT name FROM reg) n, (SELECT DISTINCT other FROM ext) o),
-mt AS (SELECT r.catalyst_id, r.ticker, r.d, r.src, r.name, e.event_id, e.ed, e.other, sc.score, row_number() OVER (PARTITION BY r.catalyst_id
+mt AS (SELECT r.catalyst_id, r.ticker, r.d, r.src, r.name, e.event_id, e.ed, e.other, e.drug, sc.score, row_number() OVER (PARTITION BY r.catalyst_id
     ORDER BY sc.score DESC, abs(e.ed - r.d), e.ed, e.event_id) AS rn
   FROM reg r JOIN ext e ON e.tk = r.tk AND abs(e.ed - r.d) <= 365 JOIN sc ON sc.name = r.name AND sc.other = e.other WHERE sc.score >= 0.45),
-fm AS (SELECT reg.catalyst_id, reg.ticker, reg.src, m.ed, m.ed - reg.d AS delta, m.score, CASE WHEN m.ed IS NULL THEN 'NO_MATCH'
+fm AS (SELECT reg.catalyst_id, reg.ticker, reg.src, m.ed, m.ed - reg.d AS delta, m.score, m.drug, CASE WHEN m.ed IS NULL THEN 'NO_MATCH'
     WHEN abs(m.ed - reg.d) <= 7 THEN 'EXACT' WHEN abs(m.ed - reg.d) <= 30 THEN 'CLOSE' WHEN abs(m.ed - reg.d) <= 90 THEN 'MODERATE_DRIFT'
     ELSE 'LARGE_DRIFT' END AS match_status FROM reg LEFT JOIN (SELECT * FROM mt WHERE rn = 1) m USING (catalyst_id))"""
 
@@ -613,10 +614,12 @@ def fuzzy_match_edit_distance(spark, sf):
                                   rnd("drug_score", 3).alias("drug_score"), "match_status")
 
 
-@register("fuzzy_match")
+@register("fuzzy_match", f"""WITH {_FUZZY} SELECT catalyst_id, CAST(ed AS VARCHAR) AS matched_date, drug AS matched_drug,
+  CAST(delta AS DOUBLE) AS date_delta_days, {r('score', 3)} AS drug_score, match_status FROM fm""")
 def fuzzy_match(spark, sf):
-    return fuzzy.match_events(*_fuzzy_sides(spark, sf)).select(
-        "catalyst_id", F.col("matched_date").cast("string"), "matched_drug", "date_delta_days", "drug_score", "match_status")
+    return _lev(spark, sf).select(
+        "catalyst_id", F.col("matched_date").cast("string"), "matched_drug", F.col("date_delta_days").cast("double"),
+        rnd("drug_score", 3).alias("drug_score"), "match_status")
 
 
 @register("match_status_counts", f"WITH {_FUZZY} SELECT match_status, count(*) AS n FROM fm GROUP BY 1")

@@ -159,7 +159,6 @@ def test_enhanced_dependency_is_capped(spark):
 
 def test_fuzzy_match_by_brute_force(spark):
     import datetime as dt
-    from difflib import SequenceMatcher
 
     rng = np.random.default_rng(5)
     words = ["alpha mab", "alphamab", "beta nib", "betanib x", "gamma", "delta-one"]
@@ -172,7 +171,13 @@ def test_fuzzy_match_by_brute_force(spark):
     norm = lambda s: " ".join("".join(ch if ch.isalnum() else " " for ch in s.lower()).split())
 
     def score(a, b):
-        return 0.95 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, e in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return 0.95 if a in b or b in a else 1 - row[-1] / max(len(a), len(b))
 
     for cid, tk, name, d, _ in reg:
         cand = [(-score(norm(name), norm(n)), abs((ed - d).days), ed, eid) for eid, t, n, ed in ext
