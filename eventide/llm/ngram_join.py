@@ -28,7 +28,7 @@ from eventide.llm.components import connected_components
 from eventide.llm.id_filter import id_bitmap, wanted
 from eventide.llm.tables import written
 
-HASHES = 8
+HASHES = 16
 #: Tokens per window in which a mapper looks for common ones; how often one must occur there; how many are kept.
 WINDOW, SEEN, COMMON = 2_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
@@ -338,13 +338,31 @@ def _hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
 
+def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8) -> DataFrame:
+    """(a, leader): each set with the most central sets of every run of equal min-hashes that it is in, one for each
+    hashed part of the run.
+
+    A set's centrality is the number of sets that share its min-hashes: in a group of edited copies, the least edited
+    ones share the most, and a copy is similar to them if to any. Pairs with fewer than `equal` equal min-hashes are left out.
+    """
+    each = sets.select("set_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("m")) for i, m in enumerate(_MINS)])).alias("e"))
+    each = written(each.select("set_id", "e.*"), "runs")
+    shared = each.groupBy("i", "m").agg(F.count("*").alias("n")).filter("n > 1")
+    central = each.join(shared, ["i", "m"]).groupBy("set_id").agg(F.sum("n").alias("central"))
+    each = each.filter(F.col("i") < runs)
+    top = each.join(central, "set_id").groupBy("i", "m", F.pmod("set_id", F.lit(parts))).agg(F.max_by("set_id", "central").alias("leader"))
+    top = top.select("i", "m", "leader")
+    pairs = each.join(top, ["i", "m"]).filter("set_id <> leader").select(F.col("set_id").alias("a"), "leader").distinct()
+    for side in ("a", "leader"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.array(*_MINS).alias(f"mins_{side}")), side)
+    same = F.size(F.filter(F.zip_with("mins_a", "mins_leader", lambda x, y: x == y), lambda x: x))
+    return pairs.filter(same >= equal).select("a", "leader")
+
+
 def leader_answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, similar: int) -> DataFrame:
-    """(a, leader, na, lacks, adds, alike) of sets similar to the first set of a min-hash group. lacks and adds hold
-    the tokens of the leader that a lacks, and those it adds; alike says that the pair is highly similar."""
-    each = sets.select("set_id", F.posexplode(F.array(*_MINS)).alias("i", "m"))
-    first = each.groupBy("i", "m").agg(F.min("set_id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    pairs = each.join(first, ["i", "m"]).filter("set_id > leader").groupBy(F.col("set_id").alias("a"), "leader").count().filter("count >= 3")
-    pairs = written(pairs.select("a", "leader"), "leaders")
+    """(a, leader, na, lacks, adds, alike) of the likely pairs that are similar. lacks and adds hold the tokens of the leader that a
+    lacks, and those it adds; alike says that the pair is highly similar."""
+    pairs = written(likely_pairs(sets), "leaders")
     tokens = written(tokens_of(docs, sets, pairs.select(F.col("a").alias("set_id")).union(pairs.select("leader")), k), "tokens")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +467,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, similar:
     named = signed.filter("doc_id is not null and set_id is not null")
     sets = written(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in _MINS]), "sets")
     answers = leader_answers(docs, sets, k, percent, similar)
-    alike = answers.filter("alike")
+    alike = answers.filter("alike and leader < a")
     members = alike.join(alike.select(F.col("a").alias("leader")), "leader", "left_anti").groupBy("a").agg(F.min("leader").alias("unit"))
     members = written(members.join(alike, (members.a == alike.a) & (members.unit == alike.leader)).select(members.a, "unit", "na", "lacks", "adds"), "members")
     connected = connected_components(answers.select("a", "leader"), "a", "leader")
