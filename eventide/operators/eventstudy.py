@@ -109,7 +109,8 @@ def _measures(span: str) -> dict[str, tuple[Column, str | None]]:
 
 
 def match_events(events: DataFrame, measures: DataFrame, bars: DataFrame) -> DataFrame:
-    """Attach the matched session's measures and the guard status to each event.
+    """Attach the matched session's measures and the guard status to each event; one without ticker or date, for which
+    no price can be looked up, is kept as `price_fetch_error`.
 
     Sessions, distinct (ticker, date) probes and one marker per priced ticker form a single timeline
     per ticker; one pass from the latest date back carries the next session's payload to each probe.
@@ -156,7 +157,8 @@ def match_events(events: DataFrame, measures: DataFrame, bars: DataFrame) -> Dat
         .otherwise("ok")
     )
     keyed = found.select("ticker", "announcement_date", "_s.*", status.alias("price_status"))
-    return events.join(keyed, ["ticker", "announcement_date"])
+    matched = events.join(keyed, ["ticker", "announcement_date"], "left")
+    return matched.withColumn("price_status", F.coalesce("price_status", F.lit("price_fetch_error")))
 
 
 def event_study(events: DataFrame, aligned: DataFrame, bars: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def precision_at_k(df: DataFrame, y: str, score: str, id_col: str, k: int) -> Da
 
 
 def welch(df: DataFrame, flag: str, value: str) -> DataFrame:
-    """Two-sample comparison of flag = 1 against flag = 0: means, Welch t and df, Cohen's d."""
+    """Two-sample comparison of flag = 1 against flag = 0: means, Welch t, df and p-value, Cohen's d."""
     v = F.col(value)
     parts = []
     for k in (1, 0):
@@ -117,7 +117,7 @@ def welch(df: DataFrame, flag: str, value: str) -> DataFrame:
         div(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t_stat"),
         div((a + b) * (a + b), div(a * a, F.col("n1") - 1) + div(b * b, F.col("n0") - 1)).alias("df"),
         div(F.col("m1") - F.col("m0"), pooled).alias("cohens_d"),
-    )
+    ).withColumn("p_value", t_p_value("t_stat", "df"))
 
 
 def one_sample_t(df: DataFrame, value: str) -> DataFrame:
@@ -127,7 +127,7 @@ def one_sample_t(df: DataFrame, value: str) -> DataFrame:
 
 
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation with its t statistic; null below five complete pairs."""
+    """Correlation with its t statistic and p-value; null below five complete pairs."""
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     s = ok.agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("r"))
     r, n = F.col("r"), F.col("n")
@@ -136,7 +136,7 @@ def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
         F.when(n >= 5, r).alias("correlation"),
         F.when(n >= 5, r * F.sqrt(F.try_divide(n - 2, 1 - r * r))).alias("t_stat"),
         (n - 2).cast("double").alias("df"),
-    )
+    ).withColumn("p_value", t_p_value("t_stat", "df"))
 
 
 def _beta_fraction(x: float, a: float, b: float) -> float:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as sc
+from eventide.operators.cutoffs import before_locked_holdout
 from eventide.operators.ordered import quantiles
 
 # Penalties, minimum sample sizes, defaults and thresholds of the study.
@@ -28,6 +29,8 @@ SHORT_SUCCESS_DEFAULT, SHORT_FAILURE_DEFAULT = -0.003, -0.10
 SHRINKAGE_K = 8.0
 MAJOR_DROP = -0.20
 MIN_TRAIN, MIN_SHORT_TRAIN = 10, 15
+# Fixed value: first day of the locked holdout.
+LOCKED_FROM = "2022-01-01"
 THRESHOLDS = (0.35, 0.45, 0.50, 0.55, 0.65)
 CONFIG_THRESHOLD = 0.50
 PROVENANCE = "strict_point_in_time_sanitized"
@@ -360,9 +363,13 @@ def walk_forward(
 
 
 def short_walk_forward(
-    frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1
+    frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1,
+    locked_from: str | None = LOCKED_FROM,
 ) -> DataFrame:
-    """Out-of-sample failure, conditional-return and tail predictions with costs applied."""
+    """Out-of-sample failure, conditional-return and tail predictions with costs applied. Rows announced on or after
+    `locked_from`, or without a date, are neither trained nor tested on; None locks nothing."""
+    if locked_from is not None:
+        frame = frame.filter(before_locked_holdout("announcement_date", locked_from))
     plan = list(folds(frame, first_train_end, step, MIN_SHORT_TRAIN))
     if not plan:
         raise ValueError("no usable fold")

@@ -147,6 +147,14 @@ def draw(seed: int, b: str, i: str) -> str:
     return f"(({u2} * {u2} + {u0}) % {p})"
 
 
+def student_p(t: str, df: str) -> str:
+    """Two-sided p-value of a Student variable: with x = sqrt(df) tan(a) its tail is a ratio of integrals of cos(a)^(df - 1), here
+    by the midpoint rule."""
+    return (f"(SELECT (pi() / 2 - any_value(p.b)) * sum(pow(cos(p.b + (i + 0.5) * (pi() / 2 - p.b) / 200000), {df} - 1)) "
+            f"/ (pi() / 2 * sum(pow(cos((i + 0.5) * (pi() / 2) / 200000), {df} - 1))) "
+            f"FROM range(200000) g(i), (SELECT atan(abs({t}) / sqrt({df})) AS b) p)")
+
+
 def r_wide(expr: str) -> str:
     """Six places, or whole units where the magnitude leaves no room for decimals."""
     return f"CASE WHEN abs({expr}) < 1e5 THEN {r(expr)} ELSE {r(expr, 0)} END"

@@ -8,7 +8,7 @@ from eventide.functions import scalars as sc
 from eventide.functions.rounding import rnd
 from eventide.operators import audits, metrics, models, resample, trades
 from eventide.plans import inputs
-from eventide.plans.oracle_base import EVTS, LEDGER, SHORT, SIGNALS, STUDIES, boot, draw, r
+from eventide.plans.oracle_base import EVTS, LEDGER, SHORT, SIGNALS, STUDIES, boot, draw, r, student_p
 from eventide.plans.q_features import _RISK, risk_frame
 from eventide.plans.q_trades import _STRATA, _COST, primary_trades, short_preds, signal_ledger, traded_ledger
 from eventide.session import stable
@@ -142,30 +142,36 @@ def residual_source(spark, sf):
     return picked.groupBy("source").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("residual")).alias("mean_residual"))
 
 
-@register("welch_t", f"""WITH {SHORT}, s AS (SELECT count(*) FILTER (WHERE clinical_failure = 1) AS n1,
+_WELCH = f"""{SHORT}, s AS (SELECT count(*) FILTER (WHERE clinical_failure = 1) AS n1,
     count(*) FILTER (WHERE clinical_failure = 0) AS n0, avg(realized_car) FILTER (WHERE clinical_failure = 1) AS m1,
     avg(realized_car) FILTER (WHERE clinical_failure = 0) AS m0, var_samp(realized_car) FILTER (WHERE clinical_failure = 1) AS v1,
-    var_samp(realized_car) FILTER (WHERE clinical_failure = 0) AS v0 FROM short)
-SELECT n1 AS n_failure, n0 AS n_success, {r('m1')} AS failure_mean, {r('m0')} AS success_mean,
-  {r('(m1 - m0) / sqrt(v1 / n1 + v0 / n0)')} AS t_stat,
-  {r('pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1))', 3)} AS df,
-  {r('(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))')} AS cohens_d FROM s""")
+    var_samp(realized_car) FILTER (WHERE clinical_failure = 0) AS v0 FROM short),
+w AS (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t,
+    pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS df FROM s),
+p AS (SELECT {student_p('(SELECT t FROM w)', '(SELECT df FROM w)')} AS p_value)"""
+
+
+@register("welch_t", f"""WITH {_WELCH}
+SELECT n1 AS n_failure, n0 AS n_success, {r('m1')} AS failure_mean, {r('m0')} AS success_mean, {r('t')} AS t_stat, {r('df', 3)} AS df,
+  {r('(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))')} AS cohens_d, {r('p_value', 5)} AS p_value FROM w, p""")
 def welch_t(spark, sf):
-    return _rounded(metrics.welch(short_preds(spark, sf), "clinical_failure", "realized_car"), df=3)
+    return _rounded(metrics.welch(short_preds(spark, sf), "clinical_failure", "realized_car"), df=3, p_value=5)
 
 
-@register("welch_p_value")
+@register("welch_p_value", f"""WITH {_WELCH} SELECT {r('t')} AS t_stat, {r('df', 3)} AS df, {r('p_value', 5)} AS p_value FROM w, p""")
 def welch_p_value(spark, sf):
     w = metrics.welch(short_preds(spark, sf), "clinical_failure", "realized_car")
-    return w.select("t_stat", "df", metrics.t_p_value("t_stat", "df").alias("p_value"))
+    return _rounded(w.select("t_stat", "df", "p_value"), df=3, p_value=5)
 
 
 @register("failure_car_vs_dependency", f"""WITH {SHORT}, s AS (SELECT count(*) AS n, corr(company_dependency, realized_car) AS r FROM short
-    WHERE clinical_failure = 1 AND company_dependency IS NOT NULL)
-SELECT n, {r('r')} AS correlation, {r('r * sqrt((n - 2) / (1 - r * r))')} AS t_stat, CAST(n - 2 AS DOUBLE) AS df FROM s""")
+    WHERE clinical_failure = 1 AND company_dependency IS NOT NULL),
+w AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM s),
+p AS (SELECT {student_p('(SELECT t FROM w)', '(SELECT df FROM w)')} AS p_value)
+SELECT n, {r('r')} AS correlation, {r('t')} AS t_stat, df, {r('p_value', 5)} AS p_value FROM w, p""")
 def failure_car_vs_dependency(spark, sf):
     f = short_preds(spark, sf).filter("clinical_failure = 1")
-    return _rounded(metrics.pearson_test(f, "company_dependency", "realized_car"))
+    return _rounded(metrics.pearson_test(f, "company_dependency", "realized_car"), p_value=5)
 
 
 @register("winsor_trim", f"""WITH {SHORT}, k AS (SELECT rsr, row_number() OVER (ORDER BY rsr, catalyst_id) AS rn, count(*) OVER () AS n FROM top20)

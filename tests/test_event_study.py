@@ -57,9 +57,11 @@ def test_event_study_matches_numpy(spark):
     days = [D(2020, 12, 1), D(2020, 9, 1), D(2021, 2, 20), D(2021, 3, 5)]
     ev = spark.createDataFrame(list(enumerate(days)), "catalyst_id int, announcement_date date").withColumn("ticker", F.lit("A"))
     ev = ev.unionByName(spark.createDataFrame([(9, D(2020, 12, 1), "Z")], "catalyst_id int, announcement_date date, ticker string"))
+    odd = spark.createDataFrame([(10, D(2020, 12, 1), None), (11, None, "A")], "catalyst_id int, announcement_date date, ticker string")
+    ev = ev.unionByName(odd)
     out = eventstudy.event_study(ev, series.align(series.simple_returns(sbars), wide), sbars).toPandas()
     status = out.drop_duplicates("catalyst_id").set_index("catalyst_id").price_status.to_dict()
-    assert status == {0: "ok", 1: "insufficient_pre_event_history", 2: "ok", 3: "no_event_date_match", 9: "no_price_data"}
+    assert status == {0: "ok", 1: "insufficient_pre_event_history", 2: "ok", 3: "no_event_date_match", 9: "no_price_data", 10: "price_fetch_error", 11: "price_fetch_error"}
     for cid in (0, 2):
         idx = list(ref.index).index(days[cid])
         est = ref.iloc[idx - 250: idx - 29]
