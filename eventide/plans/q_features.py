@@ -319,13 +319,27 @@ def catalysts_prospective_view(spark, sf):
 _FRAME = ",\n".join((CUTS, FEATURES, ALIGNED_ONLY, MATCHED_ONLY, TRIALS))
 
 
+def _published_rates(ev, trials_):
+    """Base rates by phase as a table published before the study: outcomes of the first year only."""
+    known = ev.filter(F.year("announcement_date") <= 1992).join(trials_.select("catalyst_id", "phase"), "catalyst_id")
+    null = F.lit(None).cast("string")
+    return known.groupBy("phase").agg(F.avg("clinical_success").alias("success_rate")).select(
+        "phase", null.alias("indication_group"), null.alias("modality"), "success_rate", F.col("phase").alias("row_pos"))
+
+
 def modeling_inputs(spark, sf):
-    """(events with cutoffs, market features, CAR, trial design with its snapshot time)."""
+    """(events with cutoffs, market features, CAR, trial design with its snapshot time, history and published base rate)."""
     ev = _with_cutoff(spark, sf)
     bars, al = _aligned(spark, sf)
     mf = features.market_features(ev.select("catalyst_id", "ticker", "cutoff"), bars, _bench(spark, sf))
     car = eventstudy.primary_car(ev.select("catalyst_id", "ticker", "announcement_date"), al, bars)
-    trial = _design(inputs.trials(spark, sf)).drop("endpoint_safety")
+    trials_ = inputs.trials(spark, sf)
+    trial = _design(trials_).drop("endpoint_safety")
+    prior = features.prior_same_drug(ev.select("catalyst_id", "drug_name", "announcement_date", "clinical_success"))
+    trial = trial.join(prior.select("catalyst_id", "n_prior_same_drug", "prior_success_rate_same_drug"), "catalyst_id", "left")
+    phased = trials_.select("catalyst_id", F.col("phase").alias("ph"), F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("mod"))
+    rated = lookup.base_rate(phased, _published_rates(ev, trials_), "ph", "grp", "mod", "wong_pos_rate")
+    trial = trial.join(rated.select("catalyst_id", "wong_pos_rate"), "catalyst_id", "left")
     seen = F.date_add("cutoff", (F.col("catalyst_id") % 5 - 3).cast("int"))
     snap = ev.select("catalyst_id", seen.alias("trial_source_observed_at"))
     return ev, mf.drop("ticker", "cutoff"), car.select("catalyst_id", "car"), trial.join(snap, "catalyst_id")

@@ -41,8 +41,7 @@ def model_frame(spark, sf):
     return stable(features.risk_flags(df))
 
 
-P_COLS = [c for c in features.resolve_features("everything_no_preclinical")
-          if c not in ("wong_pos_rate", "n_prior_same_drug", "prior_success_rate_same_drug")]
+P_COLS = list(features.resolve_features("everything_no_preclinical"))
 CAR_COLS = list(features.MARKET)
 SHORT_CAR_COLS = features.resolve_features("market_plus_company")
 
