@@ -128,7 +128,10 @@ def ranking_report(spark, sf):
     pred = models.predict_expected_car(test, m)
     res = models.predict_expected_car(train, m).select(
         F.col("catalyst_id").alias("id"), (F.col("realized_car") - F.col("expected_car")).alias("residual"))
-    q = metrics.conformal_quantile(metrics.pick_residuals([("in_sample", res)]), "residual").select("q").scalar()
+    ledger = inputs.ledger(spark, sf).select(
+        F.col("catalyst_id").alias("id"), (F.col("realized_car") - F.col("expected_car")).alias("residual"))
+    picked = metrics.pick_residuals([("ledger", ledger), ("in_sample", res)])
+    q = metrics.conformal_quantile(picked, "residual").select("q").scalar()
     dep = F.coalesce("company_dependency", F.lit(0.9))
     adj = stable(pred.withColumns({"_q": q, "adj": F.col("expected_car") * dep, "_dep": dep}))
     pct = percent_ranks(adj, [], "adj", "pct")
@@ -216,8 +219,9 @@ def classifier_sets(spark, sf):
     train, test = df.filter(part < 7), df.filter(part >= 7)
     sets = {"size": (["n_chars", "n_words"], []), "shape": (["chars_per_word", "n_lines"], ["lang"]), "absent": (["nope"], [])}
     fitted, failed = classifier.fit_sets(train, None, sets, "label")
-    scored = reduce(DataFrame.unionByName, [
-        classifier.score(test, m, ["label"]).withColumn("feature_set", F.lit(n)) for n, m in fitted.items()])
+    none = test.select("label").limit(0).withColumns({"p": F.lit(None).cast("double"), "feature_set": F.lit("")})
+    scored = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        classifier.score(test, m, ["label"]).withColumn("feature_set", F.lit(n)) for n, m in fitted.items()], none)
     s = metrics.probability_scores(scored, "label", "p", ["feature_set"]).withColumn("failure", F.lit(None).cast("string"))
     for name, reason in failed.items():
         s = s.unionByName(s.limit(0).unionByName(
