@@ -75,7 +75,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8
     the same total weight.
     """
     rng = np.random.default_rng(seed)
-    docs, pairs_doc, pairs_word, bucket, of = 0, [], [], [], []
+    docs, pairs_doc, pairs_word, bucket, per_word = 0, [], [], [], []
     known = np.zeros(0, np.uint64)  # distinct words so far, in order of first sight
     for first, end, data, offsets in tk.chunks(texts):
         lowered, spans, inverse, doc = distinct_words(data, offsets)
@@ -86,29 +86,34 @@ def fit(texts: pa.Array, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8
             pairs_word.append(own[both[1]])
             new = ~np.isin(own, known)
             b, w = subwords(lowered, spans[:, new], buckets)
-            bucket.append(b)
-            of.append(w + np.int32(len(known)))
+            bucket.append(b[np.argsort(w, kind="stable")])
+            per_word.append(np.bincount(w, minlength=int(new.sum())))
             known = np.concatenate([known, own[new]])
         docs = end
     if not docs or not len(known) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return SubwordModel(np.zeros(buckets), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    bucket, of = np.concatenate(bucket), np.concatenate(of)
-    by = np.argsort(of, kind="stable")
-    bucket, of = bucket[by], of[by]
-    del by
-    sorter = np.argsort(known)
-    per_word = np.bincount(of, minlength=len(known))
+    bucket, per_word = np.concatenate(bucket), np.concatenate(per_word)
     word_at = np.cumsum(per_word) - per_word
+    sorter = np.argsort(known)
     doc = np.concatenate(pairs_doc)
     word = sorter[np.searchsorted(known, np.concatenate(pairs_word), sorter=sorter)].astype(np.int32)
+    del sorter, pairs_doc, pairs_word
     n_toxic = int(toxic.sum())
 
+    def averages(weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights.astype(np.float32)[bucket], word_at) / per_word
+
     # document frequencies of words and, through them, of buckets
-    seen = [np.bincount(word[toxic[doc] == c], minlength=len(known)).astype(float) for c in (0, 1)]
-    by_bucket = [np.bincount(bucket, s[of], buckets) for s in seen]
-    odds = np.log((by_bucket[1] + 1) / (n_toxic + 1)) - np.log((by_bucket[0] + 1) / (len(toxic) - n_toxic + 1))
-    rank = _means(odds[bucket], of, len(known))
+    odds = np.zeros(buckets)
+    for c, n, sign in ((1, n_toxic, 1), (0, len(toxic) - n_toxic, -1)):
+        seen = np.bincount(word[toxic[doc] == c], minlength=len(known))
+        total = np.zeros(buckets)
+        for at in range(0, len(known), 1 << 15):  # a slice of the words at a time
+            size = per_word[at : at + (1 << 15)]
+            total += np.bincount(bucket[word_at[at] : word_at[at] + size.sum()], np.repeat(seen[at : at + len(size)], size), buckets)
+        odds += sign * np.log((total + 1) / (n + 1))
+    rank = averages(odds)
 
     emb = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     out = rng.uniform(-1, 1, dim).astype(np.float32)
@@ -133,7 +138,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8
         out = (out - rate * d_out / np.sqrt(g_out)).astype(np.float32)
         bias -= rate * d_bias / np.sqrt(g_bias)
         weights = (emb @ out).astype(np.float64)
-        rank = _means(weights[bucket], of, len(known))
+        rank = averages(weights)
     # the cut between the classes' highest words, at their true shares, moves to 1/2
     top = np.full(docs, -np.inf)
     np.maximum.at(top, doc, rank[word])
