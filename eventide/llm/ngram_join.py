@@ -338,12 +338,13 @@ def _hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
 
-def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8) -> DataFrame:
+def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8, kept: int = 3) -> DataFrame:
     """(a, leader): each set with the most central sets of every run of equal min-hashes that it is in, one for each
     hashed part of the run.
 
     A set's centrality is the number of sets that share its min-hashes: in a group of edited copies, the least edited
-    ones share the most, and a copy is similar to them if to any. Pairs with fewer than `equal` equal min-hashes are left out.
+    ones share the most, and a copy is similar to them if to any. Of a set's leaders with `equal` equal min-hashes or more, the
+    `kept` most alike are named.
     """
     each = sets.select("set_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("m")) for i, m in enumerate(_MINS)])).alias("e"))
     each = written(each.select("set_id", "e.*"), "runs")
@@ -357,7 +358,10 @@ def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8)
     for side in ("a", "leader"):
         pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.array(*_MINS).alias(f"mins_{side}")), side)
     same = F.size(F.filter(F.zip_with("mins_a", "mins_leader", lambda x, y: x == y), lambda x: x))
-    return pairs.filter(same >= equal).select("a", "leader")
+    pairs = pairs.select("a", "leader", same.alias("same")).filter(F.col("same") >= equal)
+    # a set has runs * parts leaders at most; whole sets are read for its most alike ones only
+    best = F.slice(F.sort_array(F.collect_list(F.struct("same", "leader")), asc=False), 1, kept)
+    return pairs.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.leader").alias("leader"))
 
 
 def leader_answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, similar: int) -> DataFrame:
