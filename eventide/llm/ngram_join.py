@@ -346,12 +346,12 @@ def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8,
     ones share the most, and a copy is similar to them if to any. Of a set's leaders with `equal` equal min-hashes or more, the
     `kept` most alike are named.
     """
-    each = sets.select("set_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("m")) for i, m in enumerate(_MINS)])).alias("e"))
+    each = sets.select("set_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("m")) for i, m in enumerate(_MINS[:runs])])).alias("e"))
     each = written(each.select("set_id", "e.*"), "runs")
     shared = each.groupBy("i", "m").agg(F.count("*").alias("n")).filter("n > 1")
     each = each.join(shared, ["i", "m"])
     central = each.groupBy("set_id").agg(F.sum("n").alias("central"))
-    each = each.filter(F.col("i") < runs).select("set_id", "i", "m")
+    each = each.select("set_id", "i", "m")
     top = each.join(central, "set_id").groupBy("i", "m", F.pmod("set_id", F.lit(parts))).agg(F.max_by("set_id", "central").alias("leader"))
     top = top.select("i", "m", "leader")
     pairs = each.join(top, ["i", "m"]).filter("set_id <> leader").select(F.col("set_id").alias("a"), "leader").distinct()
