@@ -28,10 +28,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, one row of it. Documents with an
-    empty shingle set are in no group."""
-    found = ngram_join.similar_components(docs).filter("doc_id is not null and doc_id <> component_id")
-    return _without(docs, found)
+    """One row of each group of near duplicates: of its rows with the smallest id (rows without one come last) the first by
+    a hash of all columns. Groups are those of texts, so equal texts are one row before they are compared, whatever their ids.
+    Rows whose shingle set is empty are in no group and stay."""
+    full = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("draw"))
+    texts = docs.filter(full).groupBy(F.xxhash64("text").alias("text_key"))
+    texts = written(texts.agg(F.min(order).alias("place"), F.min_by(F.struct(*docs.columns), order).alias("kept")), "texts")
+    found = ngram_join.similar_components(texts.select(F.col("text_key").alias("doc_id"), F.col("kept.text").alias("text")))
+    found = found.select(F.col("doc_id").alias("text_key"), "component_id").join(texts.select("text_key", "place"), "text_key")
+    first = found.groupBy("component_id").agg(F.min(F.struct("place", "text_key")).alias("first")).select("first.text_key")
+    gone = written(texts.select("text_key").join(first, "text_key", "left_anti"), "near_duplicates")
+    return docs.filter(~full).unionByName(texts.join(gone, "text_key", "left_anti").select("kept.*"))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

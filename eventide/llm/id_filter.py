@@ -13,7 +13,7 @@ BITS = 1 << 23
 def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """Which hashes of the ids occur. Words of 64 bits are combined on the executors; at most BITS / 64 of them
     reach the driver. A fuller bitmap lets more rows through, never fewer than the wanted ones."""
-    place = ids.select(F.pmod(F.col(column) * F.lit(2654435761), F.lit(BITS)).alias("place"))
+    place = ids.select(F.pmod(F.pmod(F.col(column), F.lit(BITS)) * F.lit(2654435761), F.lit(BITS)).alias("place"))
     words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from eventide.llm import decontamination, ngram_join
 from eventide.llm.tables import table
+from tests.llm.helpers import awkward, empty
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,16 @@ def test_run_packs_what_is_left(spark):
 
 def test_five_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "packing"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = awkward(spark)
+    got = corpus_pipeline.distinct_documents(spark, docs, SF)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+    a, b, near = (" ".join(f"{c}{i}" for i in range(60)) for c in ("a", "b", "b"))
+    rows = [(5, b), (5, b), (5, a), (9, near + " end"), (None, a), (None, "c d e f g h"), (None, "c d e f g h"), (None, None), (None, None), (1 << 40, a)]
+    rows += [(7, "hot row of the table")] * 50
+    got = corpus_pipeline.distinct_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7), SF)
+    want = [(5, a), (5, b), (None, "c d e f g h"), (None, None), (None, None), (7, "hot row of the table")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.distinct_documents(spark, empty(spark), SF).count() == 0
