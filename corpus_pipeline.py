@@ -1,4 +1,7 @@
-"""A corpus pipeline in stages, each one operator of `eventide.llm` over all that the stage before kept."""
+"""A corpus pipeline in stages, each one operator of `eventide.llm` over all that the stage before kept.
+
+Every stage judges rows, not ids: a row without doc_id, or with one that other rows have too, stays or goes by its own text.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +13,14 @@ from eventide.llm.queries import _tokenizer
 from eventide.llm.tables import table, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id is not rejected; rows without doc_id stay."""
-    gone = rejected.select(F.col("doc_id").alias("gone_doc")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone_doc"), "left_anti")
-
-
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled documents of the stage's input, does not reject."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.scores(docs, model).filter("predicted = 1"))
+    return toxicity.clean_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return _without(docs, quality.scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
+from eventide.llm.tables import written
 
 #: Bytes of a piece that are looked up, and the shortest piece in characters.
 HEAD = 8
@@ -238,7 +239,10 @@ def _scan(docs: DataFrame, index: Pieces) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item_id long, distance long, budget long, passage_end long")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The rows of docs in which no benchmark item is found, with their columns; rows without doc_id stay."""
-    hit = contaminated(docs, benchmark, rate).select(F.col("doc_id").alias("hit_doc")).distinct()
-    return docs.join(hit, docs.doc_id == F.col("hit_doc"), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs in which no benchmark item is found, with their columns. Rows are numbered in a written copy and
+    judged one by one, whether their doc_id is null or occurs again."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_number")), "numbered")
+    hit = contaminated(rows.select(F.col("row_number").alias("doc_id"), "doc.text"), benchmark, rate, block_chars)
+    hit = hit.select(F.col("doc_id").alias("row_number")).distinct()
+    return rows.join(hit, "row_number", "left_anti").select("doc.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
-from eventide.llm.tables import fold, written
+from eventide.llm.tables import fold, rows_with, written
 
 FEATURES = (
     "words", "word_length", "word_length_spread", "distinct_words", "top_word", "distinct_pairs", "repeated_next", "distinct_lines",
@@ -180,3 +180,14 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
 
     rated = stats.mapInArrow(score, "doc_id long, score double")
     return rated.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The rows of docs that `scores` accepts, with their columns. The texts are read twice: for the model, and row by row for the decision."""
+    model = train(document_statistics(docs), labels)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        odds = [model.log_odds(x) for _, x in statistics(texts)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *odds]), -500, 500))) < cut
+
+    return rows_with(docs, keep)

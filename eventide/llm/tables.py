@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; labels of fold 0 are never learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def rows_with(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs, with their columns, for whose text keep is true; each row is judged by itself."""
+    at = docs.columns.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(read, docs.schema)

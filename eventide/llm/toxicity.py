@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
-from eventide.llm.tables import fold
+from eventide.llm.tables import fold, rows_with
 
 NGRAMS = range(3, 7)
 
@@ -183,7 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives:
     return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64))
 
 
-def scores(docs: DataFrame, model: SubwordModel) -> DataFrame:
+def text_scores(model: SubwordModel, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, scores) of the chunks of a column of texts."""
+    for first, end, data, offsets in tk.chunks(texts):
+        odds, doc = word_scores(model, data, offsets)
+        best = np.full(end - first, -np.inf)
+        if len(doc):
+            at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            best[doc[at]] = np.maximum.reduceat(odds, at)
+        with np.errstate(over="ignore"):
+            yield first, 1 / (1 + np.exp(-best))
+
+
+def scores(docs: DataFrame, model: SubwordModel, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text.
 
     A null or empty text, or one without a word, scores 0. Only the text is an input. A null doc_id gives a null held_out. Repeated rows are
@@ -192,14 +204,13 @@ def scores(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in tk.chunks(batch.column(1)):
-                odds, doc = word_scores(model, data, offsets)
-                best = np.full(end - first, -np.inf)
-                if len(doc):
-                    at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                    best[doc[at]] = np.maximum.reduceat(odds, at)
-                with np.errstate(over="ignore"):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(1 / (1 + np.exp(-best)))], ["doc_id", "score"])
+            for first, value in text_scores(model, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(value)), pa.array(value)], ["doc_id", "score"])
 
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
-    return rated.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rated.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, model: SubwordModel, cut: float = 0.5) -> DataFrame:
+    """The rows of docs that `scores` does not predict toxic, with their columns."""
+    return rows_with(docs, lambda texts: np.concatenate([np.zeros(0, bool), *(value < cut for _, value in text_scores(model, texts))]))

@@ -39,3 +39,25 @@ def test_one_row_of_each_group_stays(spark):
     want = [(5, a), (5, b), (None, "c d e f g h"), (None, None), (None, None), (7, "hot row of the table")]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert corpus_pipeline.distinct_documents(spark, empty(spark), SF).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    data = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    model = corpus_pipeline.toxicity.train(data, labels)
+    bad = corpus_pipeline.toxicity.scores(data, model).filter("predicted = 1").first().doc_id
+    junk = corpus_pipeline.quality.scores(data, labels).filter("predicted = 1").first().doc_id
+    leak = table(spark, SF, "benchmark").filter("length(text) > 50").first().text
+    texts = {r.doc_id: r.text for r in data.filter(data.doc_id.isin(bad, junk)).collect()}
+    for name, text in (("toxicity", texts[bad]), ("quality classifier", texts[junk]), ("benchmark decontamination", leak)):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        # at ids without a label, so that the models stay as they are
+        more = awkward(spark, extra=False).limit(0).union(spark.createDataFrame([(None, text, "", "", 1), (-5, text, "", "", 1), (-5, "", "", "", 1), (-5, text, "", "", 1)], awkward(spark, extra=False).schema))
+        docs = data.select(more.columns).union(more)
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert got.filter(got.text == text).isEmpty(), name
+        if name != "quality classifier":
+            assert got.filter("doc_id = -5").count() == 1, name
+        assert stage(spark, awkward(spark), SF).columns == awkward(spark).columns
+        assert stage(spark, empty(spark), SF).count() == 0
