@@ -1,7 +1,7 @@
 """Licence statements in texts by ordered signature rules.
 
 Method: hundreds of regexes, made of the licences' names and the wordings that state a licence, are gated by
-keywords: a rule runs only on texts that hold its keyword. Detections carry their rule's priority; where detections
+keywords: a rule runs only on texts that hold its keyword, over any white space. Detections carry their rule's priority; where detections
 overlap, one contained in another of the same or a higher priority is suppressed, and so is the lower of two that
 cover the same span. Base phrases are counted apart, on word sequences, and keep their labels whatever the rules find.
 """
@@ -47,7 +47,8 @@ NAMES = {
     "mpl-2.0": ("mpl", [r"mpl(?:[- ]?v?\.? ?(?:2\.0|1\.1))?"]),
     "epl": ("eclipse", [r"eclipse public", r"eclipse distribution"]),
     "cddl": ("common development", [r"common development and distribution"]),
-    "isc": ("isc", [r"isc", r"internet systems consortium"]),
+    "isc": ("isc", [r"isc"]),
+    "isc-long": ("systems consortium", [r"internet systems consortium"]),
     "zlib": ("zlib", [r"zlib", r"zlib/libpng"]),
     "boost": ("boost", [r"boost software", r"boost"]),
     "unlicense": ("unlicense", [r"unlicense"]),
@@ -69,10 +70,10 @@ NAMES = {
     "cc-long": ("creative commons", [r"creative commons attribution", r"creative commons"]),
 }
 #: Labels of long names are those of the short ones.
-SAME = {"gpl-long": "gpl", "lgpl-long": "lgpl", "agpl-long": "agpl", "cc-long": "creative-commons"}
+SAME = {"gpl-long": "gpl", "lgpl-long": "lgpl", "agpl-long": "agpl", "isc-long": "isc", "cc-long": "creative-commons"}
 
 #: Names that are also ordinary words: only a wording that says licence counts for them.
-ORDINARY = {"mit", "expat", "isc", "zlib", "boost", "artistic", "python", "postgresql"}
+ORDINARY = {"mit", "expat", "isc", "isc-long", "zlib", "boost", "artistic", "python", "postgresql"}
 _LICENCE = r"[- ]licen[sc]ed?"
 
 #: (priority, words one of which the wording holds, wording around a name, confidence); a lower number is stronger.
@@ -92,7 +93,7 @@ STATEMENTS = (
     ("public-domain", 6, "public domain", r"(?:in|is) (?:the )?public domain", 0.6),
     ("mit", 2, "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0.95),
     ("isc", 2, "permission to use", r"permission to use, copy, modify, and/or distribute this software for any purpose", 0.95),
-    ("bsd", 2, "redistribution and use", r"redistributions? and use in source and binary forms", 0.95),
+    ("bsd", 2, "and use in source", r"redistributions? and use in source and binary forms", 0.95),
     ("gpl", 2, "free software", r"this program is free software[:;] you can redistribute it and/or modify", 0.9),
     ("cc-by", 3, "creativecommons.org", r"creativecommons\.org/licenses/by/[1-4]\.0", 0.95),
     ("cc-by-sa", 3, "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[1-4]\.0", 0.95),
@@ -107,7 +108,7 @@ class Rule:
     label: str
     priority: int
     keywords: tuple[str, ...]
-    """The rule runs only on a text that holds the first of these and, if there are more, one of the others."""
+    """The rule runs only on a text that holds the first of these and, if there are more, one of the others, where any white space counts as one space."""
     pattern: re.Pattern
     confidence: float
 
@@ -135,7 +136,8 @@ _WORDS = tuple(dict.fromkeys(w for g in _GATES for w in g))
 
 def detections(text: str) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of a lower-cased text, by start, after suppression."""
-    there = {w for w in _WORDS if w in text}
+    spaced = " ".join(text.split())
+    there = {w for w in _WORDS if w in spaced}
     found = []
     for gate, gated in _GATES.items():
         if gate[0] in there and (len(gate) == 1 or not there.isdisjoint(gate[1:])):

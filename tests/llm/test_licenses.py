@@ -45,3 +45,39 @@ def test_rules_are_gated_by_words_they_need():
 def test_awkward_rows(spark):
     df = awkward(spark)
     assert licenses.scan(df).count() == df.count() and licenses.scan(empty(spark)).count() == 0
+
+
+def example(pattern, space, longest):
+    """A text that the regex matches, with `space` for white space and the first or last of its alternatives."""
+
+    def text(items):
+        out = ""
+        for kind, value in items:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "MAX_REPEAT":
+                least, most, body = value
+                out += text(body) * max(least, int(longest and most > 0))
+            elif kind == "BRANCH":
+                out += text(value[1][-1 if longest else 0])
+            elif kind == "SUBPATTERN":
+                out += text(value[3])
+            elif kind == "IN":
+                first, of = value[0]
+                out += space if str(first) == "CATEGORY" else chr(of[0] if str(first) == "RANGE" else of)
+            else:
+                assert kind == "ASSERT_NOT", kind
+        return out
+
+    return text(re._parser.parse(pattern.pattern))
+
+
+def test_gated_rules_find_what_ungated_rules_find(monkeypatch):
+    texts = [(rule, example(rule.pattern, space, longest)) for rule in licenses.RULES for space in (" ", "\n", "  ", "\u00a0") for longest in (False, True)]
+    assert all(rule.pattern.fullmatch(text) for rule, text in texts)
+    gated = [licenses.detections(text) for _, text in texts]
+    monkeypatch.setattr(licenses, "_WORDS", ("",))
+    monkeypatch.setattr(licenses, "_GATES", {("",): list(enumerate(licenses.RULES))})
+    for (_, text), got in zip(texts, gated, strict=True):
+        assert got and got == licenses.detections(text), text
