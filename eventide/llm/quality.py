@@ -186,8 +186,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Data
     """The rows of docs that `scores` accepts, with their columns. The texts are read twice: for the model, and row by row for the decision."""
     model = train(document_statistics(docs), labels)
 
-    def keep(texts: pa.Array) -> np.ndarray:
-        odds = [model.log_odds(x) for _, x in statistics(texts)]
-        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *odds]), -500, 500))) < cut
+    def keep(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        for first, x in statistics(texts):
+            yield first, 1 / (1 + np.exp(-np.clip(model.log_odds(x), -500, 500))) >= cut
 
     return rows_with(docs, keep)

@@ -30,12 +30,13 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def rows_with(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of docs, with their columns, for whose text keep is true; each row is judged by itself."""
+def rows_with(docs: DataFrame, keep: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """The rows of docs, with their columns, for whose text keep, which gives (first row, marks) by chunks, is true; each row is judged by itself."""
     at = docs.columns.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+            for first, marks in keep(batch.column(at)):
+                yield batch.slice(first, len(marks)).filter(pa.array(marks, pa.bool_()))
 
     return docs.mapInArrow(read, docs.schema)

@@ -213,4 +213,4 @@ def scores(docs: DataFrame, model: SubwordModel, cut: float = 0.5) -> DataFrame:
 
 def clean_documents(docs: DataFrame, model: SubwordModel, cut: float = 0.5) -> DataFrame:
     """The rows of docs that `scores` does not predict toxic, with their columns."""
-    return rows_with(docs, lambda texts: np.concatenate([np.zeros(0, bool), *(value < cut for _, value in text_scores(model, texts))]))
+    return rows_with(docs, lambda texts: ((first, value < cut) for first, value in text_scores(model, texts)))
