@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import decontamination, embedding_dedup, html_text, language, licenses, ngram_join, packing, quality, toxicity, url_filter
+from eventide.llm import (
+    decontamination, embedding_dedup, html_text, language, licenses, ngram_join, packing, personal_data, quality, toxicity, url_filter,
+)
 from eventide.llm.tables import table
 
 
@@ -57,11 +59,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_benchmark_decontamination, op4_packing, op5_license_scan, op6_language_id, op7_url_filter,
-        op8_html_extraction, op9_ngram_jaccard_join, op10_quality_classifier,
+        op8_html_extraction, op9_ngram_jaccard_join, op10_quality_classifier, op11_pii,
     )
 }
 
