@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import (
-    decontamination, embedding_dedup, html_text, language, licenses, ngram_join, packing, personal_data, quality, toxicity, url_filter,
+    decontamination, embedding_dedup, filter_audit, html_text, language, licenses, ngram_join, packing, personal_data, quality, toxicity,
+    url_filter,
 )
 from eventide.llm.tables import table
 
@@ -63,11 +64,16 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_benchmark_decontamination, op4_packing, op5_license_scan, op6_language_id, op7_url_filter,
         op8_html_extraction, op9_ngram_jaccard_join, op10_quality_classifier, op11_pii,
+        op12_filter_interaction_audit,
     )
 }
 
@@ -118,4 +124,39 @@ select page_id, ruled.host, path, rule,
 from ruled left join hm on ruled.host = hm.host
 """
 
-ORACLE = {"op7_url_filter": OP7_SQL}
+OP12_SQL = r"""
+with recursive docs as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+split as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first_id from docs),
+masks as (
+  select doc_id, part,
+         case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+         + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 4 else 0 end
+         + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when doc_id > first_id then 16 else 0 end as mask
+  from split
+), marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id
+), counts as (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from masks left join marks on masks.doc_id = marks.doc_id group by part, mask
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select '' as o union all select o || x from orders, letters where instr(o, x) = 0),
+steps as (
+  select o as filter_order, step, instr('ABCDE', substr(o, step, 1)) as filter, 1 << (instr('ABCDE', substr(o, step, 1)) - 1) as f,
+         (select coalesce(sum(1 << (instr('ABCDE', substr(o, i, 1)) - 1)), 0)::int from range(1, 5) r(i) where i < step) as p
+  from orders, range(1, 6) s(step) where length(o) = 5
+), figures as (
+  select part, filter_order, step::int as step, filter,
+         sum(case when mask & (p | f) = 0 then n else 0 end)::bigint as kept,
+         sum(case when mask & f <> 0 and mask & p = 0 then n else 0 end)::bigint as removed,
+         sum(case when mask & f <> 0 and mask & p <> 0 then n else 0 end)::bigint as redundant,
+         sum(case when mask = f then n else 0 end)::bigint as unique_fails,
+         sum(case when mask & f <> 0 and mask & p = 0 then good else 0 end)::bigint as good_lost,
+         sum(case when mask & f <> 0 and mask & p = 0 then toxic else 0 end)::bigint as toxic_lost
+  from counts, steps group by part, filter_order, step, filter
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, filter)::bigint as shapley
+from figures
+"""
+
+ORACLE = {"op7_url_filter": OP7_SQL, "op12_filter_interaction_audit": OP12_SQL}
