@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import (
     decontamination, embedding_dedup, filter_audit, html_text, language, licenses, ngram_join, packing, personal_data, quality, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 from eventide.llm.tables import table
 
@@ -68,12 +68,16 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_benchmark_decontamination, op4_packing, op5_license_scan, op6_language_id, op7_url_filter,
         op8_html_extraction, op9_ngram_jaccard_join, op10_quality_classifier, op11_pii,
-        op12_filter_interaction_audit,
+        op12_filter_interaction_audit, op13_embedding_whitening,
     )
 }
 
