@@ -1,25 +1,20 @@
-"""Success, conditional-return and tail models on Spark ML, and the expanding walk-forward.
+"""Success, conditional-return and tail models, and the expanding walk-forward.
 
-Every fit is a distributed Spark job; only medians, means and coefficients reach the driver, whose
-number is the number of features. The fold loop runs over calendar years.
+All training windows of a walk-forward are fitted together (`operators/windows.py`): two passes give medians, scalers and
+ridge fits, one pass per Newton step all logistic fits, one pass all predictions. Sums and coefficients reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as sc
 from eventide.operators.cutoffs import before_locked_holdout
-from eventide.operators.ordered import quantiles
+from eventide.operators.windows import Fitted, LinearScore, Logistic, Scaler, logistic_fits, scored_by_year, statistics
 
 # Penalties, minimum sample sizes, defaults and thresholds of the study.
 RETURN_ALPHA, SHORT_ALPHA = 1.0, 5.0
@@ -36,124 +31,38 @@ CONFIG_THRESHOLD = 0.50
 PROVENANCE = "strict_point_in_time_sanitized"
 
 
-@dataclass
-class Scaler:
-    """Median imputation and population standardisation with parameters frozen at fit time."""
-
-    cols: list[str]
-    median: dict[str, float]
-    mean: dict[str, float]
-    scale: dict[str, float]
-
-    def columns(self) -> dict[str, Column]:
-        return {
-            c: (F.coalesce(F.col(c).cast("double"), F.lit(self.median[c])) - self.mean[c]) / self.scale[c]
-            for c in self.cols
-        }
-
-
 def fit_scalers(df: DataFrame, subsets: dict[str, Column], cols: Sequence[str]) -> dict[str, Scaler]:
-    """Scalers of several row subsets in two passes: exact medians over (subset, column, value), then
-    means and deviations of the imputed columns per subset.
+    """Scalers of several row subsets in two passes over df: exact medians, then means and deviations of the imputed columns.
 
     A column without values is imputed with 0 and a constant column is scaled by 1.
     """
-    cols = list(dict.fromkeys(cols))
-    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in subsets.items()]))
-    each = df.select(F.explode(tags).alias("_s"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("v")) for i in range(len(cols))])
-    long = each.select("_s", F.explode(pairs).alias("p")).select("_s", "p.*").filter("v is not null")
-    found = {(r["_s"], r["i"]): float(r["m"]) for r in quantiles(long, ["_s", "i"], "v", {"m": 0.5}).collect()}
-    median = {s: [found.get((s, i), 0.0) for i in range(len(cols))] for s in subsets}
-    fill = F.create_map(*[x for s, m in median.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in m]))])
-    filled = each.withColumn("_m", fill[F.col("_s")]).select(
-        "_s", *[F.coalesce(F.col(f"_v{i}"), F.col("_m")[i]).alias(f"_v{i}") for i in range(len(cols))])
-    stats = filled.groupBy("_s").agg(
-        F.array(*[F.avg(f"_v{i}") for i in range(len(cols))]).alias("mean"),
-        F.array(*[F.stddev_pop(f"_v{i}") for i in range(len(cols))]).alias("sd"),
-    )
-    out = {
-        r["_s"]: Scaler(
-            cols, dict(zip(cols, median[r["_s"]])), dict(zip(cols, r["mean"])),
-            {c: (sd if sd and sd > 1e-12 else 1.0) for c, sd in zip(cols, r["sd"])},
-        )
-        for r in stats.collect()
-    }
-    blank = Scaler(cols, dict.fromkeys(cols, 0.0), dict.fromkeys(cols, 0.0), dict.fromkeys(cols, 1.0))
-    return {s: out.get(s, blank) for s in subsets}
+    found = statistics(df, cols, subsets, [(name, None) for name in subsets])
+    return {name: found.scaler((name, None)) for name in subsets}
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
     return fit_scalers(df, {"all": F.lit(True)}, cols)["all"]
 
 
-def _vectors(df: DataFrame, scaler: Scaler, keep: Sequence[str] = ()) -> DataFrame:
-    names = {f"_z{i}": e for i, e in enumerate(scaler.columns().values())}
-    z = df.withColumns(names)
-    return VectorAssembler(inputCols=list(names), outputCol="_x").transform(z).drop(*names)
-
-
-@dataclass
-class LinearScore:
-    """Coefficients on the scaled features; scoring is a plain column expression."""
-
-    scaler: Scaler
-    coef: list[float]
-    intercept: float
-
-    def linear(self) -> Column:
-        terms = [e * float(w) for e, w in zip(self.scaler.columns().values(), self.coef)]
-        return reduce(lambda a, b: a + b, terms, F.lit(float(self.intercept)))
-
-    def probability(self) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.linear()))
-
-
 def fit_logistic(
-    df: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, balanced: bool = True,
-    scaler: Scaler | None = None,
+    df: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100, balanced: bool = True, scaler: Scaler | None = None,
 ) -> LinearScore:
-    """L2 logistic with balanced class weights n / (2·n_k); the weights sum to n, so the penalty per
-    weighted row is 1 / (C·n)."""
+    """L2 logistic with balanced class weights n / (2·n_k) by default, penalty 1 / (2·C), free intercept."""
     rows = df.filter(F.col(label).isNotNull())
-    counts = {int(r[label]): r["count"] for r in rows.groupBy(label).count().collect()}
-    if len(counts) < 2:
-        raise ValueError("logistic fit needs both classes")
-    n = sum(counts.values())
-    weight = F.lit(1.0)
-    if balanced:
-        weight = F.when(F.col(label) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
+    parts = {"all": F.lit(True)}
     scaler = scaler or fit_scaler(rows, cols)
-    data = _vectors(rows.select(*dict.fromkeys([*cols, label])), scaler).select(
-        "_x", F.col(label).cast("double").alias("_y"), weight.cast("double").alias("_w")
-    )
-    model = LogisticRegression(
-        featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-7,
-    ).fit(data)
-    return LinearScore(scaler, [float(v) for v in model.coefficients], float(model.intercept))
+    found = logistic_fits(rows, {"all": Logistic(("all", None), label, scaler, balanced)}, parts, c=c, max_iter=max_iter)
+    if not found:
+        raise ValueError("logistic fit needs both classes")
+    return found["all"]
 
 
 def fit_ridge(
     df: DataFrame, cols: Sequence[str], label: str, alpha: float, scaler: Scaler | None = None
 ) -> LinearScore:
-    """Ridge with an unpenalised intercept, by one pass of normal equations.
-
-    Spark divides the target by its deviation, hence regParam = alpha · sd(y) / n.
-    """
+    """Ridge with an unpenalised intercept, by one pass of normal equations."""
     rows = df.filter(F.col(label).isNotNull())
-    n, sd, mean = rows.agg(F.count(label), F.stddev_pop(label), F.avg(label)).first()
-    scaler = scaler or fit_scaler(rows, cols)
-    if not sd:
-        return LinearScore(scaler, [0.0] * len(list(cols)), float(mean or 0.0))
-    data = _vectors(rows.select(*dict.fromkeys([*cols, label])), scaler).select(
-        "_x", F.col(label).cast("double").alias("_y")
-    )
-    model = LinearRegression(
-        featuresCol="_x", labelCol="_y", regParam=alpha * sd / n, elasticNetParam=0.0,
-        standardization=False, solver="normal",
-    ).fit(data)
-    return LinearScore(scaler, [float(v) for v in model.coefficients], float(model.intercept))
+    return statistics(rows, cols, {"all": F.lit(True)}, [("all", None)], label).ridge(("all", None), alpha, scaler=scaler)
 
 
 def outcome_means(df: DataFrame, outcome: str, car: str, success: float, failure: float) -> tuple[float, float]:
@@ -182,22 +91,35 @@ class ExpectedCar:
     metrics: dict = field(default_factory=dict)
 
 
-def fit_expected_car(
-    train: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], scalers: dict[str, Scaler] | None = None
-) -> ExpectedCar:
-    """`scalers`: optional pre-computed ones under p, 1 and 0 (success model, successes, failures)."""
-    y, car = F.col("clinical_success"), "realized_car"
-    sc_of = scalers or {}
-    n1, n0 = train.agg(F.count(F.when(y == 1, F.col(car))), F.count(F.when(y == 0, F.col(car)))).first()
-    parts = {}
-    for k, n in ((1, n1), (0, n0)):
-        parts[k] = (
-            fit_ridge(train.filter(y == k), car_cols, car, RETURN_ALPHA, sc_of.get(str(k)))
-            if n >= MIN_RETURN_ROWS else None
+def fit_expected_cars(
+    frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], ends: Sequence[int | None] = (None,), year: str | None = None
+) -> dict[int | None, ExpectedCar]:
+    """The models of every training window (rows up to each end year), fitted together. `frame` should be materialised."""
+    y, car = F.col("clinical_success"), F.col("realized_car").isNotNull()
+    parts = {"p": y.isNotNull(), "1": (y == 1) & car, "0": (y == 0) & car}
+    found = statistics(frame, [*p_cols, *car_cols], parts, [(p, e) for e in ends for p in parts], "realized_car", year)
+    return _expected_cars(frame, found, parts, p_cols, car_cols, ends, year)
+
+
+def _expected_cars(
+    frame: DataFrame, found: Fitted, parts: dict[str, Column], p_cols: Sequence[str], car_cols: Sequence[str], ends: Sequence[int | None], year: str | None
+) -> dict[int | None, ExpectedCar]:
+    fits = {e: Logistic(("p", e), "clinical_success", found.scaler(("p", e), p_cols)) for e in ends}
+    p_models = logistic_fits(frame, fits, parts, year)
+    out = {}
+    for e in ends:
+        if e not in p_models:
+            raise ValueError("logistic fit needs both classes")
+        ridge = {k: found.ridge((k, e), RETURN_ALPHA, car_cols) if found.count((k, e)) >= MIN_RETURN_ROWS else None for k in "10"}
+        s, f = found.target_mean(("1", e)), found.target_mean(("0", e))
+        out[e] = ExpectedCar(
+            p_models[e], ridge["1"], ridge["0"], SUCCESS_DEFAULT if s is None else s, FAILURE_DEFAULT if f is None else f, PROVENANCE
         )
-    s, f = outcome_means(train, "clinical_success", car, SUCCESS_DEFAULT, FAILURE_DEFAULT)
-    p_model = fit_logistic(train, p_cols, "clinical_success", scaler=sc_of.get("p"))
-    return ExpectedCar(p_model, parts[1], parts[0], s, f, PROVENANCE)
+    return out
+
+
+def fit_expected_car(train: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str]) -> ExpectedCar:
+    return fit_expected_cars(train, p_cols, car_cols)[None]
 
 
 def predict_expected_car(df: DataFrame, m: ExpectedCar) -> DataFrame:
@@ -229,22 +151,41 @@ class TailRisk:
     magnitude: LinearScore | None
     constant_probability: float
     fallback_magnitude: float
+    n_rows: int = 0
+    n_drops: int = 0
+
+
+def _tail_parts(threshold: float) -> dict[str, Column]:
+    car = F.col("realized_car")
+    return {"all": car.isNotNull(), "drop": car <= threshold}
+
+
+def _tail_risks(
+    frame: DataFrame, found: Fitted, parts: dict[str, Column], cols: Sequence[str], ends: Sequence[int | None], threshold: float, year: str | None,
+) -> dict[int | None, TailRisk]:
+    flagged = frame.withColumn("_drop", (F.col("realized_car") <= threshold).cast("int"))
+    fits = {e: Logistic(("all", e), "_drop", found.scaler(("all", e), cols)) for e in ends}
+    classifiers = logistic_fits(flagged, fits, parts, year)
+    out = {}
+    for e in ends:
+        n, k, mean = found.count(("all", e)), found.count(("drop", e)), found.target_mean(("drop", e))
+        magnitude = found.ridge(("drop", e), SHORT_ALPHA, cols) if k >= MIN_TAIL_ROWS else None
+        out[e] = TailRisk(classifiers.get(e), magnitude, k / n if n else 0.0, threshold if mean is None else mean, n, k)
+    return out
 
 
-def fit_tail_risk(
-    train: DataFrame, cols: Sequence[str], threshold: float = MAJOR_DROP, scalers: dict[str, Scaler] | None = None
-) -> TailRisk:
-    """Drop classifier (a constant rate when the fold has one class) and drop magnitude (the training
-    mean when there are fewer than five drops)."""
-    sc_of = scalers or {}
-    drop = F.col("realized_car") <= threshold
-    n, k, mean = train.agg(
-        F.count("realized_car"), F.count(F.when(drop, 1)), F.avg(F.when(drop, F.col("realized_car")))
-    ).first()
-    flagged = train.withColumn("_drop", drop.cast("int"))
-    clf = fit_logistic(flagged, cols, "_drop", max_iter=2000, scaler=sc_of.get("all")) if 0 < k < n else None
-    mag = fit_ridge(train.filter(drop), cols, "realized_car", SHORT_ALPHA, sc_of.get("drop")) if k >= MIN_TAIL_ROWS else None
-    return TailRisk(clf, mag, k / n if n else 0.0, threshold if mean is None else float(mean))
+def fit_tail_risks(
+    frame: DataFrame, cols: Sequence[str], ends: Sequence[int | None] = (None,), threshold: float = MAJOR_DROP, year: str | None = None
+) -> dict[int | None, TailRisk]:
+    """Drop classifier (a constant rate when the window has one class) and drop magnitude (the training mean when there are
+    fewer than five drops) of every training window, fitted together."""
+    parts = _tail_parts(threshold)
+    found = statistics(frame, cols, parts, [(p, e) for e in ends for p in parts], "realized_car", year)
+    return _tail_risks(frame, found, parts, cols, ends, threshold, year)
+
+
+def fit_tail_risk(train: DataFrame, cols: Sequence[str], threshold: float = MAJOR_DROP) -> TailRisk:
+    return fit_tail_risks(train, cols, threshold=threshold)[None]
 
 
 def predict_tail_risk(df: DataFrame, m: TailRisk) -> DataFrame:
@@ -264,17 +205,20 @@ class ConditionalCar:
     success_mean: float
 
 
-def fit_conditional_car(
-    train: DataFrame, cols: Sequence[str], scalers: dict[str, Scaler] | None = None
-) -> ConditionalCar:
-    y, sc_of = F.col("clinical_failure"), scalers or {}
-    n1, n0 = train.agg(
-        F.count(F.when(y == 1, F.col("realized_car"))), F.count(F.when(y == 0, F.col("realized_car")))
-    ).first()
-    fail = fit_ridge(train.filter(y == 1), cols, "realized_car", SHORT_ALPHA, sc_of.get("1")) if n1 >= MIN_SHORT_ROWS else None
-    ok = fit_ridge(train.filter(y == 0), cols, "realized_car", SHORT_ALPHA, sc_of.get("0")) if n0 >= MIN_SHORT_ROWS else None
-    f, s = outcome_means(train, "clinical_failure", "realized_car", SHORT_FAILURE_DEFAULT, SHORT_SUCCESS_DEFAULT)
-    return ConditionalCar(fail, ok, f, s)
+def _conditional_parts() -> dict[str, Column]:
+    y, car = F.col("clinical_failure"), F.col("realized_car").isNotNull()
+    return {"1": (y == 1) & car, "0": (y == 0) & car}
+
+
+def _conditional_car(found: Fitted, cols: Sequence[str], end: int | None) -> ConditionalCar:
+    ridge = {k: found.ridge((k, end), SHORT_ALPHA, cols) if found.count((k, end)) >= MIN_SHORT_ROWS else None for k in "10"}
+    f, s = found.target_mean(("1", end)), found.target_mean(("0", end))
+    return ConditionalCar(ridge["1"], ridge["0"], SHORT_FAILURE_DEFAULT if f is None else f, SHORT_SUCCESS_DEFAULT if s is None else s)
+
+
+def fit_conditional_car(train: DataFrame, cols: Sequence[str]) -> ConditionalCar:
+    parts = _conditional_parts()
+    return _conditional_car(statistics(train, cols, parts, [(p, None) for p in parts], "realized_car"), cols, None)
 
 
 def conditional_columns(m: ConditionalCar) -> tuple[Column, Column]:
@@ -284,124 +228,140 @@ def conditional_columns(m: ConditionalCar) -> tuple[Column, Column]:
     return f, s
 
 
-def nested_threshold(
-    train: DataFrame, cols: Sequence[str], year: str = "catalyst_year",
-    scalers: dict[int, dict[str, Scaler]] | None = None,
-) -> float:
-    """P(drop) threshold with the best mean short return over the last three training years.
+def _inner_years(years: Sequence[int], end: int) -> list[int]:
+    """The last three training years of a window, which its threshold is judged on; none if there are fewer."""
+    known = [y for y in sorted(years) if y <= end]
+    return known[-3:] if len(known) >= 3 else []
+
 
-    Each inner fold is scored once and judged at all five thresholds in one aggregate; the smallest
-    threshold wins ties.
+def nested_thresholds(
+    frame: DataFrame, tails: dict[int | None, TailRisk], ends: Sequence[int], years: Sequence[int], year: str = "catalyst_year"
+) -> dict[int, float]:
+    """Per training window, the P(drop) threshold with the best mean short return over its last three years.
+
+    `tails` holds the tail model of the window before each of these years. Windows share inner years, so each year is scored
+    once, at all thresholds, in one pass for all windows. The smallest threshold wins ties.
     """
-    years = [r[0] for r in train.select(year).where(f"{year} is not null").distinct().orderBy(year).collect()]
-    if len(years) < 3:
-        return CONFIG_THRESHOLD
-    scored = []
-    for y in years[-3:]:
-        inner, test = train.filter(F.col(year) < y), train.filter(F.col(year) == y)
-        n, k = inner.agg(F.count(F.lit(1)), F.count(F.when(F.col("realized_car") <= MAJOR_DROP, 1))).first()
-        if n < MIN_SHORT_TRAIN or k < 2:
-            continue
-        part = predict_tail_risk(test, fit_tail_risk(inner, cols, scalers=(scalers or {}).get(y - 1)))
-        scored.append(part.select(F.lit(y).alias("_y"), "p_major_drop", "realized_car"))
-    if not scored:
-        return THRESHOLDS[0]
-    each = reduce(DataFrame.unionByName, scored).withColumn("t", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-    per_year = each.filter(F.col("p_major_drop") >= F.col("t")).groupBy("t", "_y").agg(
-        F.avg(sc.short_return(F.col("realized_car"))).alias("m")
-    )
-    rows = per_year.groupBy("t").agg(F.avg("m").alias("score")).collect()
-    return max(rows, key=lambda r: (r["score"], -r["t"]))["t"] if rows else THRESHOLDS[0]
+    inner = sorted({y for e in ends for y in _inner_years(years, e)})
+    usable = {y: tails[y - 1] for y in inner if tails[y - 1].n_rows >= MIN_SHORT_TRAIN and tails[y - 1].n_drops >= 2}
+    means: dict[int, list[float | None]] = {}
+    if usable:
+        scored = with_tail_probability(frame, year, usable)
+        short = sc.short_return(F.col("realized_car"))
+        aggs = [F.avg(F.when(F.col("p_major_drop") >= t, short)).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)]
+        means = {r[year]: [r[f"t{i}"] for i in range(len(THRESHOLDS))] for r in scored.groupBy(year).agg(*aggs).collect()}
+    out = {}
+    for e in ends:
+        mine = _inner_years(years, e)
+        per_t = [[means[y][i] for y in mine if y in means and means[y][i] is not None] for i in range(len(THRESHOLDS))]
+        scores = [(sum(v) / len(v), -t) for v, t in zip(per_t, THRESHOLDS, strict=True) if v]
+        out[e] = CONFIG_THRESHOLD if not mine else -max(scores)[1] if scores else THRESHOLDS[0]
+    return out
+
+
+def with_tail_probability(frame: DataFrame, year: str, tails: dict[int, TailRisk]) -> DataFrame:
+    """`p_major_drop` and `expected_drop_magnitude` of each row by the tail model of its year, in one pass."""
+    scores = {
+        y: {
+            "_drop_linear": t.classifier, "_drop_rate": None if t.classifier else t.constant_probability,
+            "expected_drop_magnitude": t.magnitude if t.magnitude else t.fallback_magnitude,
+        }
+        for y, t in tails.items()
+    }
+    out = scored_by_year(frame, year, scores)
+    return out.withColumn("p_major_drop", F.coalesce("_drop_rate", _sigmoid(F.col("_drop_linear")))).drop("_drop_rate", "_drop_linear")
 
 
-def folds(df: DataFrame, first_train_end: int, step: int, minimum: int, year: str = "catalyst_year"):
-    """(train_end, test_year, train, test) of an expanding walk-forward; thin or empty folds are skipped.
-    Sizes of all folds come from one count per year."""
+def _sigmoid(x: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
+def fold_years(df: DataFrame, first_train_end: int, step: int, minimum: int, year: str = "catalyst_year") -> tuple[dict[int, int], list[int]]:
+    """(train_end -> test_year of an expanding walk-forward, all years); thin or empty folds are skipped. One count per year."""
     counts = {r[0]: r[1] for r in df.where(f"{year} is not null").groupBy(year).count().collect()}
-    end = first_train_end
+    out, end = {}, first_train_end
     while counts and end < max(counts):
-        test_year = end + step
-        if sum(c for y, c in counts.items() if y <= end) >= minimum and counts.get(test_year, 0):
-            yield end, test_year, df.filter(F.col(year) <= end), df.filter(F.col(year) == test_year)
+        if sum(c for y, c in counts.items() if y <= end) >= minimum and counts.get(end + step, 0):
+            out[end] = end + step
         end += step
-
-
-def fold_scalers(
-    frame: DataFrame, ends: Sequence[int], parts: dict[str, Column], cols: Sequence[str], year: str = "catalyst_year"
-) -> dict[int, dict[str, Scaler]]:
-    """Scalers of every training window (rows up to each end year) and part of it, computed together."""
-    subsets = {f"{e}:{name}": (F.col(year) <= e) & cond for e in ends for name, cond in parts.items()}
-    flat = fit_scalers(frame, subsets, cols)
-    return {e: {name: flat[f"{e}:{name}"] for name in parts} for e in ends}
+    if not out:
+        raise ValueError("no usable fold")
+    return out, sorted(counts)
 
 
 def walk_forward(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1,
-    keep: Sequence[str] = ("catalyst_id", "ticker", "clinical_success", "realized_car", "company_dependency"),
+    keep: Sequence[str] = ("catalyst_id", "ticker", "clinical_success", "realized_car", "company_dependency"), year: str = "catalyst_year",
 ) -> DataFrame:
-    """Out-of-sample expected CAR per test year. `frame` should be materialised: every fold reads it."""
-    plan = list(folds(frame, first_train_end, step, MIN_TRAIN))
-    if not plan:
-        raise ValueError("no usable fold")
-    ends, y = [f[0] for f in plan], F.col("clinical_success")
-    p_scalers = fold_scalers(frame, ends, {"p": F.lit(True)}, p_cols)
-    car_scalers = fold_scalers(frame, ends, {"1": y == 1, "0": y == 0}, car_cols)
-    parts = []
-    for end, test_year, train, test in plan:
-        model = fit_expected_car(train, p_cols, car_cols, {**p_scalers[end], **car_scalers[end]})
-        pred = predict_expected_car(test, model)
-        dep = F.coalesce("company_dependency", F.lit(0.9))
-        parts.append(
-            pred.withColumns({
-                "train_end_year": F.lit(end), "test_year": F.lit(test_year),
-                "expected_car_adj": F.col("expected_car") * dep,
-                "model_version": F.lit(f"expected_car_wf_{end}"),
-            }).select(*keep, "p_success", "expected_car", "expected_car_adj", "train_end_year", "test_year",
-                      "model_version")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """Out-of-sample expected CAR per test year. All windows are fitted together and all test rows are scored in one pass.
+    `frame` should be materialised: every pass reads it."""
+    plan, _ = fold_years(frame, first_train_end, step, MIN_TRAIN, year)
+    models = fit_expected_cars(frame, p_cols, car_cols, list(plan), year)
+    return ledger(frame, {test: (end, models[end]) for end, test in plan.items()}, keep, year)
+
+
+def ledger(frame: DataFrame, models: dict[int, tuple[int, ExpectedCar]], keep: Sequence[str], year: str = "catalyst_year") -> DataFrame:
+    """Rows of each test year scored by its (train_end, model)."""
+    scores = {
+        test: {
+            "_p": m.p_success, "_s": m.success if m.success else m.success_mean, "_f": m.failure if m.failure else m.failure_mean, "_end": float(end),
+        }
+        for test, (end, m) in models.items()
+    }
+    p, dep = _sigmoid(F.col("_p")), F.coalesce("company_dependency", F.lit(0.9))
+    end = F.col("_end").cast("int")
+    expected = p * F.col("_s") + (1 - p) * F.col("_f")
+    return scored_by_year(frame, year, scores).select(
+        *keep, p.alias("p_success"), expected.alias("expected_car"), (expected * dep).alias("expected_car_adj"),
+        end.alias("train_end_year"), F.col(year).cast("int").alias("test_year"), F.concat(F.lit("expected_car_wf_"), end).alias("model_version"),
+    )
 
 
 def short_walk_forward(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1,
-    locked_from: str | None = LOCKED_FROM,
+    locked_from: str | None = LOCKED_FROM, year: str = "catalyst_year",
 ) -> DataFrame:
     """Out-of-sample failure, conditional-return and tail predictions with costs applied. Rows announced on or after
-    `locked_from`, or without a date, are neither trained nor tested on; None locks nothing."""
+    `locked_from`, or without a date, are neither trained nor tested on; None locks nothing.
+
+    Windows of the folds and of the inner threshold years share two passes of sums; failure and tail classifiers share theirs.
+    """
     if locked_from is not None:
         frame = frame.filter(before_locked_holdout("announcement_date", locked_from))
-    plan = list(folds(frame, first_train_end, step, MIN_SHORT_TRAIN))
-    if not plan:
-        raise ValueError("no usable fold")
-    ends, y = [f[0] for f in plan], F.col("clinical_failure")
-    inner = sorted({e - back for e in ends for back in range(4)})
-    drop = F.coalesce(F.col("realized_car") <= MAJOR_DROP, F.lit(False))
-    p_scalers = fold_scalers(frame, inner, {"all": F.lit(True), "drop": drop}, p_cols)
-    car_scalers = fold_scalers(frame, ends, {"1": y == 1, "0": y == 0}, car_cols)
-    parts = []
-    for end, test_year, train, test in plan:
-        p_fail = fit_logistic(train, p_cols, "clinical_failure", max_iter=2000, scaler=p_scalers[end]["all"]).probability()
-        car_f, car_s = conditional_columns(fit_conditional_car(train, car_cols, car_scalers[end]))
-        tail = predict_tail_risk(test, fit_tail_risk(train, p_cols, scalers=p_scalers[end]))
-        threshold = nested_threshold(train, p_cols, scalers=p_scalers)
-        exp = sc.expected_car(F.col("p_failure"), F.col("car_failure_pred"), F.col("car_success_pred"),
-                              F.col("company_dependency"))
-        parts.append(
-            tail.withColumns({"p_failure": p_fail, "car_failure_pred": car_f, "car_success_pred": car_s})
-            .withColumn("expected_car", exp)
-            .select(
-                "catalyst_id", "ticker", "announcement_date", "catalyst_year",
-                F.lit(end).alias("train_end_year"), F.lit(test_year).alias("test_year"),
-                "p_failure", (1 - F.col("p_failure")).alias("p_success"), "car_failure_pred", "car_success_pred",
-                "expected_car", (-F.col("expected_car")).alias("expected_short_return"),
-                sc.short_return(F.col("expected_car")).alias("net_expected_short_return"),
-                "p_major_drop", "tail_risk_score", F.lit(float(threshold)).alias("major_drop_threshold"),
-                "company_dependency", "realized_car",
-                sc.short_return(F.col("realized_car")).alias("realized_short_return"),
-                "clinical_failure", "major_negative_event", F.lit(f"short_wf_{end}").alias("model_version"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    plan, years = fold_years(frame, first_train_end, step, MIN_SHORT_TRAIN, year)
+    ends = list(plan)
+    tail_ends = sorted({*ends, *(y - 1 for e in ends for y in _inner_years(years, e))})
+    parts = {**_tail_parts(MAJOR_DROP), **_conditional_parts(), "p": F.col("clinical_failure").isNotNull()}
+    keys = [(p, e) for p in ("all", "drop") for e in tail_ends] + [(p, e) for p in ("1", "0", "p") for e in ends]
+    found = statistics(frame, [*p_cols, *car_cols], parts, keys, "realized_car", year)
+    tails = _tail_risks(frame, found, parts, p_cols, tail_ends, MAJOR_DROP, year)
+    fits = {e: Logistic(("p", e), "clinical_failure", found.scaler(("p", e), p_cols)) for e in ends}
+    failures = logistic_fits(frame, fits, parts, year)
+    if len(failures) < len(ends):
+        raise ValueError("logistic fit needs both classes")
+    thresholds = nested_thresholds(frame, tails, ends, years, year)
+    scores = {}
+    for end, test in plan.items():
+        m = _conditional_car(found, car_cols, end)
+        scores[test] = {
+            "_p": failures[end], "_f": m.failure if m.failure else m.failure_mean, "_cap": 0.0 if m.failure else None,
+            "_s": m.success if m.success else m.success_mean, "_end": float(end), "_t": thresholds[end],
+        }
+    rows = with_tail_probability(scored_by_year(frame, year, scores), year, {test: tails[end] for end, test in plan.items()})
+    end = F.col("_end").cast("int")
+    out = rows.withColumns({
+        # a fitted failure model never predicts a gain; least() skips the missing cap of a constant
+        "p_failure": _sigmoid(F.col("_p")), "car_failure_pred": F.least("_f", "_cap"), "car_success_pred": F.col("_s"),
+        "tail_risk_score": F.col("p_major_drop") * -F.least(F.col("expected_drop_magnitude"), F.lit(0.0)),
+    }).withColumn("expected_car", sc.expected_car(F.col("p_failure"), F.col("car_failure_pred"), F.col("car_success_pred"), F.col("company_dependency")))
+    return out.select(
+        "catalyst_id", "ticker", "announcement_date", "catalyst_year", end.alias("train_end_year"), F.col(year).cast("int").alias("test_year"),
+        "p_failure", (1 - F.col("p_failure")).alias("p_success"), "car_failure_pred", "car_success_pred",
+        "expected_car", (-F.col("expected_car")).alias("expected_short_return"), sc.short_return(F.col("expected_car")).alias("net_expected_short_return"),
+        "p_major_drop", "tail_risk_score", F.col("_t").alias("major_drop_threshold"), "company_dependency", "realized_car",
+        sc.short_return(F.col("realized_car")).alias("realized_short_return"), "clinical_failure", "major_negative_event",
+        F.concat(F.lit("short_wf_"), end).alias("model_version"),
+    )
 
 
 def require_provenance(m: ExpectedCar | None) -> ExpectedCar:
