@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.ordered import order_statistics, quantiles
@@ -56,3 +56,35 @@ def program_aggregates_v2(studies: DataFrame) -> DataFrame:
     )
     med = quantiles(v, ["program_id"], "effect_size", {"median_effect_size": 0.5}).drop("n_values")
     return stats.join(med, "program_id", "left")
+
+
+def preclinical_as_of(events: DataFrame, studies: DataFrame, key: str = "program_id", cutoff: str = "cutoff") -> DataFrame:
+    """Per event, the evidence of its program that was public at its cutoff: `preclinical_evidence_found` (0/1),
+    `n_preclinical_publications` (studies of any status), `n_animal_studies` and the upper median effect of verified ones.
+
+    A study without a publication date is never public; an event without program or cutoff has no evidence. Events that share
+    program and cutoff are one probe, and equal effects of a day are one row, before the two are joined by program.
+    """
+    probes = events.select(key, cutoff).filter(F.col(key).isNotNull() & F.col(cutoff).isNotNull()).distinct()
+    good = F.coalesce(F.col("verification_status") == VERIFIED, F.lit(False))
+    daily = studies.filter("publication_date is not null").groupBy(key, "publication_date", F.when(good, F.col("effect_size")).alias("_effect")).agg(
+        F.count("*").alias("_n"), F.count(F.when(good, 1)).alias("_v")
+    )
+    seen = probes.join(daily, key).filter(F.col("publication_date") <= F.col(cutoff))
+    by_effect = seen.groupBy(key, cutoff, "_effect").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+    ordered = Window.partitionBy(key, cutoff).orderBy(F.col("_effect").asc_nulls_last())
+    known = F.when(F.col("_effect").isNotNull(), F.col("_v")).otherwise(0)
+    walked = by_effect.withColumns({
+        "_upto": F.sum(known).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_known": F.sum(known).over(Window.partitionBy(key, cutoff)),
+    })
+    middle = F.floor(F.col("_known") / 2)
+    hit = F.col("_effect").isNotNull() & (middle < F.col("_upto")) & (middle >= F.col("_upto") - F.col("_v"))
+    found = walked.groupBy(key, cutoff).agg(
+        F.sum("_n").alias("n_preclinical_publications"), F.sum("_v").alias("n_animal_studies"), F.max(F.when(hit, F.col("_effect"))).alias("median_effect_size")
+    )
+    none = F.lit(0).cast("long")
+    return events.join(found, [key, cutoff], "left").select(
+        "catalyst_id", F.coalesce((F.col("n_preclinical_publications") > 0).cast("int"), F.lit(0)).alias("preclinical_evidence_found"),
+        F.coalesce("n_preclinical_publications", none).alias("n_preclinical_publications"), F.coalesce("n_animal_studies", none).alias("n_animal_studies"), "median_effect_size",
+    )

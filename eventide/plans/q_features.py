@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import scalars as sc
 from eventide.functions.rounding import rnd, rnd_wide
-from eventide.operators import audits, cutoffs, eventstudy, features, lookup, series, studies
+from eventide.operators import audits, eventstudy, features, frame, lookup, series, studies
 from eventide.operators.ordered import quantiles
 from eventide.plans import inputs
 from eventide.plans.oracle_base import ALIGNED_ONLY, CUTS, EVTS, FEATURES, LEDGER, STUDIES, TRIALS, endpoint_sql, r, r_wide
@@ -61,9 +61,9 @@ _DESIGN_SQL = f"""CASE upper(phase) WHEN 'PHASE2' THEN 2e0 WHEN 'PHASE3' THEN 3e
   {endpoint_sql('outcome_text')}"""
 
 
-def _design(df):
+def _design(df, *keep):
     return df.select(
-        "catalyst_id",
+        "catalyst_id", *keep,
         sc.phase_numeric(F.col("phase")).alias("phase_numeric"),
         rnd(sc.log_enrollment(F.col("enrollment"))).alias("log_enrollment"),
         sc.is_randomized(F.col("allocation")).alias("is_randomized"),
@@ -316,106 +316,117 @@ def catalysts_prospective_view(spark, sf):
         rnd(pick("MARKET_MODEL")).alias("car_m1_p1_spy"), rnd(pick("XBI_MODEL")).alias("car_m1_p1_xbi"))
 
 
-_FRAME = ",\n".join((CUTS, FEATURES, ALIGNED_ONLY, MATCHED_ONLY, TRIALS))
+_PRIOR_SQL = """drug_days AS (SELECT drug_name, announcement_date, count(clinical_success) AS n, sum(clinical_success) AS s FROM evts GROUP BY 1, 2),
+prior AS (SELECT a.drug_name, a.announcement_date, coalesce(sum(b.n), 0) AS n, sum(b.s) AS s FROM drug_days a LEFT JOIN drug_days b
+  ON a.drug_name = b.drug_name AND b.announcement_date < a.announcement_date GROUP BY 1, 2)"""
+
+#: base: the modelling frame with every column; frame: with exposure and risk flags, rows that have a CAR.
+FRAME_BASE = ",\n".join((CUTS, FEATURES, ALIGNED_ONLY, MATCHED_ONLY, TRIALS, _PRIOR_SQL, STUDIES)) + f""",
+design AS (SELECT catalyst_id, phase, {_DESIGN_SQL} FROM trials),
+rate AS (SELECT phase, avg(clinical_success) AS v FROM evts JOIN trials USING (catalyst_id) WHERE announcement_date < DATE '1993-01-01' GROUP BY 1),
+evidence AS (SELECT c.catalyst_id, count(*) AS n, count(*) FILTER (WHERE verification_status = 'verified') AS v,
+    list_sort(list(effect_size) FILTER (WHERE verification_status = 'verified' AND effect_size IS NOT NULL)) AS effects
+  FROM cuts c JOIN orders o ON o.o_custkey = c.company_id JOIN studies s ON s.program_id = o.o_orderkey AND s.publication_date <= c.cutoff GROUP BY 1),
+base AS (SELECT c.catalyst_id, c.ticker, c.indication, c.announcement_date, CAST(year(c.announcement_date) AS INTEGER) AS catalyst_year, c.clinical_success,
+    c.cutoff, l.car AS realized_car, {', '.join(f'mf.{c}' for c in features.MARKET)}, mf.as_of_date,
+    mf.as_of_date IS NOT NULL AS market_features_point_in_time, c.catalyst_id % 5 <= 3 AS trial_features_point_in_time,
+    {', '.join(f"CASE WHEN c.catalyst_id % 5 <= 3 THEN d.{x} END AS {x}" for x in features.CLINICAL[:8])},
+    CASE WHEN c.catalyst_id % 5 <= 3 AND c.cutoff >= DATE '1993-01-01' THEN rate.v END AS wong_pos_rate,
+    CASE WHEN c.catalyst_id % 5 <= 3 THEN p.n END AS n_prior_same_drug,
+    CASE WHEN c.catalyst_id % 5 <= 3 AND p.n > 0 THEN p.s / p.n END AS prior_success_rate_same_drug,
+    CASE WHEN e.n > 0 THEN 1 ELSE 0 END AS preclinical_evidence_found, coalesce(e.n, 0) AS n_preclinical_publications,
+    coalesce(e.v, 0) AS n_animal_studies, e.effects[len(e.effects) // 2 + 1] AS median_effect_size
+  FROM cuts c JOIN long l ON l.ticker = c.ticker AND l.announcement_date = c.announcement_date
+    AND l.window_label = '[-1,+1]' AND l.benchmark = 'MARKET_MODEL'
+  LEFT JOIN mf ON mf.ticker = c.ticker AND mf.cutoff = c.cutoff LEFT JOIN design d ON d.catalyst_id = c.catalyst_id
+  LEFT JOIN rate ON rate.phase = d.phase LEFT JOIN prior p ON p.drug_name = c.drug_name AND p.announcement_date = c.announcement_date
+  LEFT JOIN evidence e ON e.catalyst_id = c.catalyst_id WHERE c.clinical_success IS NOT NULL AND l.car IS NOT NULL)"""
+FRAME = FRAME_BASE + f""",
+{_TIERS}, exposed AS (SELECT b.*, b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) <= b.cutoff AS company_features_point_in_time,
+    CASE WHEN b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) <= b.cutoff THEN x.company_dependency END AS dep,
+    CASE WHEN b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) <= b.cutoff THEN x.is_lead_asset END AS is_lead_asset,
+    CASE WHEN b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) <= b.cutoff THEN x.is_lead_asset END AS is_single_asset_company,
+    CASE WHEN b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) <= b.cutoff
+      THEN b.announcement_date + CAST(b.catalyst_id % 6 - 5 AS INTEGER) END AS expo_date,
+    CASE WHEN b.catalyst_id % 5 <= 3 THEN b.cutoff + CAST(b.catalyst_id % 5 - 3 AS INTEGER) END AS trial_date
+  FROM base b JOIN exposure x USING (catalyst_id)),
+frame AS MATERIALIZED (SELECT * EXCLUDE (dep), coalesce(dep, 0.9::DOUBLE) AS company_dependency, greatest(as_of_date, expo_date, trial_date) AS feature_as_of_date,
+    CASE WHEN coalesce(realized_vol_20d, 0) > (SELECT quantile_cont(realized_vol_20d, 0.5) FROM exposed) THEN 1 ELSE 0 END AS high_volatility,
+    CASE WHEN realized_car <= (-0.20)::DOUBLE THEN 1 ELSE 0 END AS major_negative_event,
+    CASE WHEN clinical_success = 0 THEN 1 ELSE 0 END AS clinical_failure FROM exposed)"""
+
+
+#: The base-rate table counts as published on this day; it averages outcomes of the years before.
+RATES_PUBLISHED = "1993-01-01"
 
 
 def _published_rates(ev, trials_):
-    """Base rates by phase as a table published before the study: outcomes of the first year only."""
-    known = ev.filter(F.year("announcement_date") <= 1992).join(trials_.select("catalyst_id", "phase"), "catalyst_id")
+    """Base rates by phase as a table published before the study: outcomes before its date only."""
+    known = ev.filter(F.col("announcement_date") < F.lit(RATES_PUBLISHED).cast("date")).join(trials_.select("catalyst_id", "phase"), "catalyst_id")
     null = F.lit(None).cast("string")
     return known.groupBy("phase").agg(F.avg("clinical_success").alias("success_rate")).select(
         "phase", null.alias("indication_group"), null.alias("modality"), "success_rate", F.col("phase").alias("row_pos"))
 
 
 def modeling_inputs(spark, sf):
-    """(events with cutoffs, market features, CAR, trial design with its snapshot time, history and published base rate)."""
+    """(events with cutoffs, market features, CAR, trial design with its snapshot time, history and published base rate,
+    preclinical evidence of the issuer's studies at the cutoff). An event whose cutoff precedes the rate table has no rate."""
     ev = _with_cutoff(spark, sf)
     bars, al = _aligned(spark, sf)
     mf = features.market_features(ev.select("catalyst_id", "ticker", "cutoff"), bars, _bench(spark, sf))
     car = eventstudy.primary_car(ev.select("catalyst_id", "ticker", "announcement_date"), al, bars)
     trials_ = inputs.trials(spark, sf)
-    trial = _design(trials_).drop("endpoint_safety")
-    prior = features.prior_same_drug(ev.select("catalyst_id", "drug_name", "announcement_date", "clinical_success"))
-    trial = trial.join(prior.select("catalyst_id", "n_prior_same_drug", "prior_success_rate_same_drug"), "catalyst_id", "left")
-    phased = trials_.select("catalyst_id", F.col("phase").alias("ph"), F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("mod"))
-    rated = lookup.base_rate(phased, _published_rates(ev, trials_), "ph", "grp", "mod", "wong_pos_rate")
-    trial = trial.join(rated.select("catalyst_id", "wong_pos_rate"), "catalyst_id", "left")
     seen = F.date_add("cutoff", (F.col("catalyst_id") % 5 - 3).cast("int"))
-    snap = ev.select("catalyst_id", seen.alias("trial_source_observed_at"))
-    return ev, mf.drop("ticker", "cutoff"), car.select("catalyst_id", "car"), trial.join(snap, "catalyst_id")
+    prior = features.prior_same_drug(ev.select("catalyst_id", "drug_name", "announcement_date", "clinical_success", "cutoff"))
+    trial = _design(trials_, "phase").drop("endpoint_safety").join(
+        prior.select("catalyst_id", "n_prior_same_drug", "prior_success_rate_same_drug", "cutoff", seen.alias("trial_source_observed_at")), "catalyst_id")
+    none = F.lit(None).cast("string")
+    trial = lookup.base_rate(trial.withColumns({"_grp": none, "_mod": none}), _published_rates(ev, trials_), "phase", "_grp", "_mod", "_rate")
+    published = F.col("cutoff") >= F.lit(RATES_PUBLISHED).cast("date")
+    trial = trial.withColumn("wong_pos_rate", F.when(published, F.col("_rate"))).drop("_grp", "_mod", "_rate", "phase", "cutoff")
+    issuer = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("program_id"), F.col("o_custkey").alias("company_id"))
+    evidence = inputs.studies(spark, sf).join(issuer, "program_id")
+    pre = studies.preclinical_as_of(ev.select("catalyst_id", "company_id", "cutoff"), evidence, "company_id")
+    return ev, mf.drop("ticker", "cutoff"), car.select("catalyst_id", "car"), trial, pre
 
 
 def modeling_frame(spark, sf, labelled_only=True, car_join="left"):
-    """Events with CAR, market and trial features; a family unproven at the cutoff is nulled."""
-    ev, mf, car, trial = modeling_inputs(spark, sf)
-    df = (
-        ev.select("catalyst_id", "ticker", "drug_name", "indication", "announcement_date", "clinical_success",
-                  F.col("cutoff").alias("feature_cutoff_date"), F.year("announcement_date").alias("catalyst_year"))
-        .join(car.withColumnRenamed("car", "realized_car"), "catalyst_id", car_join)
-        .join(mf.withColumnRenamed("as_of_date", "market_feature_as_of"), "catalyst_id", "left")
-        .join(trial, "catalyst_id", "left")
-    )
-    if labelled_only:
-        df = df.filter(cutoffs.labelled_only("clinical_success", "realized_car"))
-    df = cutoffs.sanitize_family(df, features.MARKET, "market_feature_as_of", "feature_cutoff_date",
-                                 "market_features_point_in_time")
-    df = cutoffs.sanitize_family(df, features.CLINICAL, "trial_source_observed_at", "feature_cutoff_date",
-                                 "trial_features_point_in_time")
-    both = F.col("market_features_point_in_time") & F.col("trial_features_point_in_time")
-    return df.withColumn("structured_features_point_in_time", both)
-
-
-@register("modeling_frame", f"""WITH {_FRAME} SELECT c.catalyst_id, {r('l.car')} AS realized_car,
-  {r('mf.return_20d')} AS return_20d, {r('mf.realized_vol_20d')} AS realized_vol_20d,
-  mf.as_of_date IS NOT NULL AS market_features_point_in_time, c.catalyst_id % 5 <= 3 AS trial_features_point_in_time,
-  CASE WHEN c.catalyst_id % 5 <= 3 THEN CASE upper(t.phase) WHEN 'PHASE3' THEN 3e0 WHEN 'PHASE1/PHASE2'
-    THEN 1.5::DOUBLE ELSE 2e0 END END AS phase_numeric
-FROM cuts c JOIN long l ON l.ticker = c.ticker AND l.announcement_date = c.announcement_date
-  AND l.window_label = '[-1,+1]' AND l.benchmark = 'MARKET_MODEL'
-LEFT JOIN mf ON mf.ticker = c.ticker AND mf.cutoff = c.cutoff LEFT JOIN trials t ON t.catalyst_id = c.catalyst_id
-WHERE c.clinical_success IS NOT NULL""")
+    """Events with CAR, market, trial and preclinical features; a family unproven at the cutoff is nulled."""
+    ev, mf, car, trial, pre = modeling_inputs(spark, sf)
+    return frame.modelling_rows(ev, car, mf, trial, pre, labelled_only, car_join)
+
+
+_FRAME_OUT = ("realized_car", *features.MARKET, *(c for c in features.CLINICAL if c not in ("n_prior_same_drug",)), "median_effect_size")
+_FRAME_WHOLE = ("n_prior_same_drug", "preclinical_evidence_found", "n_preclinical_publications", "n_animal_studies")
+_FRAME_FLAGS = ("market_features_point_in_time", "trial_features_point_in_time")
+
+
+@register("modeling_frame", f"""WITH {FRAME_BASE} SELECT catalyst_id, {', '.join(f"{r_wide(c)} AS {c}" for c in _FRAME_OUT)},
+  {', '.join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FRAME_WHOLE)}, {', '.join(_FRAME_FLAGS)} FROM base""")
 def modeling_frame_query(spark, sf):
     return modeling_frame(spark, sf).select(
-        "catalyst_id", rnd("realized_car").alias("realized_car"), rnd("return_20d").alias("return_20d"),
-        rnd("realized_vol_20d").alias("realized_vol_20d"), "market_features_point_in_time",
-        "trial_features_point_in_time", "phase_numeric")
+        "catalyst_id", *[rnd_wide(F.col(c).cast("double")).alias(c) for c in _FRAME_OUT], *[F.col(c).cast("double") for c in _FRAME_WHOLE], *_FRAME_FLAGS)
 
 
 def short_edge_frame(spark, sf):
-    """Modelling rows with a CAR, exposure sanitised as a third family, and the derived risk flags."""
+    """Modelling rows with a CAR and exposure sanitised as a third family; the risk flags are derived from it."""
     base = modeling_frame(spark, sf, labelled_only=True, car_join="inner")
     expo = _exposure(spark, sf).select("catalyst_id", "company_dependency", "is_lead_asset", "is_single_asset_company",
                                        F.date_add("announcement_date", (F.col("catalyst_id") % 6 - 5).cast("int"))
                                        .alias("exposure_as_of"))
-    df = base.join(expo, "catalyst_id", "left")
-    df = cutoffs.sanitize_family(df, features.COMPANY, "exposure_as_of", "feature_cutoff_date",
-                                 "company_features_point_in_time")
-    fam = {"market_features_point_in_time": "market_feature_as_of", "company_features_point_in_time": "exposure_as_of",
-           "trial_features_point_in_time": "trial_source_observed_at"}
-    df = df.withColumn("feature_as_of_date", cutoffs.latest_safe_date(fam))
-    df = df.withColumn("outcome_category", F.when(F.col("clinical_success") == 0, "EFFICACY_FAILURE").otherwise("SUCCESS"))
-    return df
-
-
-@register("short_edge_frame", f"""WITH {_FRAME}, {_TIERS}, z AS (SELECT c.catalyst_id, c.cutoff, mf.as_of_date,
-    CASE WHEN x.company_dependency IS NOT NULL AND c.announcement_date + CAST(c.catalyst_id % 6 - 5 AS INTEGER) <= c.cutoff
-      THEN x.company_dependency END AS dep,
-    CASE WHEN c.announcement_date + CAST(c.catalyst_id % 6 - 5 AS INTEGER) <= c.cutoff THEN
-      c.announcement_date + CAST(c.catalyst_id % 6 - 5 AS INTEGER) END AS expo_date,
-    CASE WHEN c.catalyst_id % 5 <= 3 THEN c.cutoff + CAST(c.catalyst_id % 5 - 3 AS INTEGER) END AS trial_date,
-    mf.realized_vol_20d AS vol, l.car
-  FROM cuts c JOIN long l ON l.ticker = c.ticker AND l.announcement_date = c.announcement_date
-    AND l.window_label = '[-1,+1]' AND l.benchmark = 'MARKET_MODEL'
-  LEFT JOIN mf ON mf.ticker = c.ticker AND mf.cutoff = c.cutoff JOIN exposure x ON x.catalyst_id = c.catalyst_id
-  WHERE c.clinical_success IS NOT NULL), m AS (SELECT quantile_cont(vol, 0.5) AS m FROM z)
-SELECT catalyst_id, coalesce(dep, 0.9::DOUBLE) AS company_dependency,
-  CAST(greatest(as_of_date, expo_date, trial_date) AS VARCHAR) AS feature_as_of_date,
-  CASE WHEN coalesce(vol, 0) > m THEN 1 ELSE 0 END AS high_volatility,
-  CASE WHEN car <= (-0.20)::DOUBLE THEN 1 ELSE 0 END AS major_negative_event FROM z, m""")
+    return frame.with_exposure(base, expo)
+
+
+@register("short_edge_frame", f"""WITH {FRAME} SELECT catalyst_id, company_dependency, CAST(feature_as_of_date AS VARCHAR) AS feature_as_of_date,
+  high_volatility, major_negative_event, {r('wong_pos_rate')} AS wong_pos_rate, CAST(n_prior_same_drug AS DOUBLE) AS n_prior_same_drug,
+  {r('prior_success_rate_same_drug')} AS prior_success_rate_same_drug, CAST(n_animal_studies AS DOUBLE) AS n_animal_studies,
+  {r('median_effect_size')} AS median_effect_size FROM frame""")
 def short_edge_frame_query(spark, sf):
     df = features.risk_flags(stable(short_edge_frame(spark, sf)))
-    return df.select("catalyst_id", "company_dependency", F.col("feature_as_of_date").cast("string"),
-                     "high_volatility", "major_negative_event")
+    return df.select("catalyst_id", "company_dependency", F.col("feature_as_of_date").cast("string"), "high_volatility", "major_negative_event",
+                     rnd("wong_pos_rate").alias("wong_pos_rate"), F.col("n_prior_same_drug").cast("double"),
+                     rnd("prior_success_rate_same_drug").alias("prior_success_rate_same_drug"), F.col("n_animal_studies").cast("double"),
+                     rnd("median_effect_size").alias("median_effect_size"))
 
 
 @register("enrich_missing", f"WITH {_RISK} SELECT catalyst_id, test_year, phase_2, phase_3, is_small_cap FROM risk")
