@@ -11,6 +11,7 @@ from eventide.operators.asof import backward_state
 from eventide.operators.ordered import quantiles
 from eventide.operators.series import trailing_features
 
+# Columns of the feature families.
 MARKET = (
     "return_1d",
     "return_5d",
@@ -60,6 +61,7 @@ FEATURE_SETS: dict[str, tuple[str, ...]] = {
     "market_plus_company": ("@market_only", "@company_only"),
     "market_plus_trial": ("@market_only", "@clinical_only"),
     "market_plus_preclinical": ("@market_only", "@preclinical_only"),
+    "market_plus_trial_plus_preclinical": ("@market_only", "@clinical_only", "@preclinical_only"),
     "clinical_plus_market": ("@clinical_only", "@market_only"),
     "clinical_plus_human": ("@clinical_only", "@human_evidence_only"),
     "everything_no_preclinical": ("@market_only", "@company_only", "@clinical_only"),

@@ -6,7 +6,7 @@ ridge fits, one pass per Newton step all logistic fits, one pass all predictions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -91,37 +91,44 @@ class ExpectedCar:
     metrics: dict = field(default_factory=dict)
 
 
+def expected_parts() -> dict[str, Column]:
+    """Training rows of the success model (p) and of the two return models (1, 0)."""
+    y, car = F.col("clinical_success"), F.col("realized_car").isNotNull()
+    return {"p": y.isNotNull(), "1": (y == 1) & car, "0": (y == 0) & car}
+
+
+def expected_car_of(found: Fitted, p_model: LinearScore, car_cols: Sequence[str], end: int | None) -> ExpectedCar:
+    """A fitted success model with the return models of its window."""
+    ridge = {k: found.ridge((k, end), RETURN_ALPHA, car_cols) if found.count((k, end)) >= MIN_RETURN_ROWS else None for k in "10"}
+    s, f = found.target_mean(("1", end)), found.target_mean(("0", end))
+    return ExpectedCar(p_model, ridge["1"], ridge["0"], SUCCESS_DEFAULT if s is None else s, FAILURE_DEFAULT if f is None else f, PROVENANCE)
+
+
 def fit_expected_cars(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], ends: Sequence[int | None] = (None,), year: str | None = None
 ) -> dict[int | None, ExpectedCar]:
     """The models of every training window (rows up to each end year), fitted together. `frame` should be materialised."""
-    y, car = F.col("clinical_success"), F.col("realized_car").isNotNull()
-    parts = {"p": y.isNotNull(), "1": (y == 1) & car, "0": (y == 0) & car}
+    parts = expected_parts()
     found = statistics(frame, [*p_cols, *car_cols], parts, [(p, e) for e in ends for p in parts], "realized_car", year)
-    return _expected_cars(frame, found, parts, p_cols, car_cols, ends, year)
-
-
-def _expected_cars(
-    frame: DataFrame, found: Fitted, parts: dict[str, Column], p_cols: Sequence[str], car_cols: Sequence[str], ends: Sequence[int | None], year: str | None
-) -> dict[int | None, ExpectedCar]:
     fits = {e: Logistic(("p", e), "clinical_success", found.scaler(("p", e), p_cols)) for e in ends}
     p_models = logistic_fits(frame, fits, parts, year)
-    out = {}
-    for e in ends:
-        if e not in p_models:
-            raise ValueError("logistic fit needs both classes")
-        ridge = {k: found.ridge((k, e), RETURN_ALPHA, car_cols) if found.count((k, e)) >= MIN_RETURN_ROWS else None for k in "10"}
-        s, f = found.target_mean(("1", e)), found.target_mean(("0", e))
-        out[e] = ExpectedCar(
-            p_models[e], ridge["1"], ridge["0"], SUCCESS_DEFAULT if s is None else s, FAILURE_DEFAULT if f is None else f, PROVENANCE
-        )
-    return out
+    if len(p_models) < len(fits):
+        raise ValueError("logistic fit needs both classes")
+    return {e: expected_car_of(found, p_models[e], car_cols, e) for e in ends}
 
 
 def fit_expected_car(train: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str]) -> ExpectedCar:
     return fit_expected_cars(train, p_cols, car_cols)[None]
 
 
+def expected_car_columns(m: ExpectedCar) -> tuple[Column, Column]:
+    """(probability of success, expected CAR)."""
+    p = m.p_success.probability()
+    s = m.success.linear() if m.success else F.lit(float(m.success_mean))
+    f = m.failure.linear() if m.failure else F.lit(float(m.failure_mean))
+    return p, p * s + (1 - p) * f
+
+
 def predict_expected_car(df: DataFrame, m: ExpectedCar) -> DataFrame:
     p = m.p_success.probability()
     s = m.success.linear() if m.success else F.lit(float(m.success_mean))
@@ -160,18 +167,14 @@ def _tail_parts(threshold: float) -> dict[str, Column]:
     return {"all": car.isNotNull(), "drop": car <= threshold}
 
 
-def _tail_risks(
-    frame: DataFrame, found: Fitted, parts: dict[str, Column], cols: Sequence[str], ends: Sequence[int | None], threshold: float, year: str | None,
-) -> dict[int | None, TailRisk]:
-    flagged = frame.withColumn("_drop", (F.col("realized_car") <= threshold).cast("int"))
-    fits = {e: Logistic(("all", e), "_drop", found.scaler(("all", e), cols)) for e in ends}
-    classifiers = logistic_fits(flagged, fits, parts, year)
-    out = {}
-    for e in ends:
-        n, k, mean = found.count(("all", e)), found.count(("drop", e)), found.target_mean(("drop", e))
-        magnitude = found.ridge(("drop", e), SHORT_ALPHA, cols) if k >= MIN_TAIL_ROWS else None
-        out[e] = TailRisk(classifiers.get(e), magnitude, k / n if n else 0.0, threshold if mean is None else mean, n, k)
-    return out
+def _tail_risk(found: Fitted, classifier: LinearScore | None, cols: Sequence[str], end: int | None, threshold: float) -> TailRisk:
+    n, k, mean = found.count(("all", end)), found.count(("drop", end)), found.target_mean(("drop", end))
+    magnitude = found.ridge(("drop", end), SHORT_ALPHA, cols) if k >= MIN_TAIL_ROWS else None
+    return TailRisk(classifier, magnitude, k / n if n else 0.0, threshold if mean is None else mean, n, k)
+
+
+def _flagged(frame: DataFrame, threshold: float) -> DataFrame:
+    return frame.withColumn("_drop", (F.col("realized_car") <= threshold).cast("int"))
 
 
 def fit_tail_risks(
@@ -181,7 +184,9 @@ def fit_tail_risks(
     fewer than five drops) of every training window, fitted together."""
     parts = _tail_parts(threshold)
     found = statistics(frame, cols, parts, [(p, e) for e in ends for p in parts], "realized_car", year)
-    return _tail_risks(frame, found, parts, cols, ends, threshold, year)
+    fits = {e: Logistic(("all", e), "_drop", found.scaler(("all", e), cols)) for e in ends}
+    classifiers = logistic_fits(_flagged(frame, threshold), fits, parts, year)
+    return {e: _tail_risk(found, classifiers.get(e), cols, e, threshold) for e in ends}
 
 
 def fit_tail_risk(train: DataFrame, cols: Sequence[str], threshold: float = MAJOR_DROP) -> TailRisk:
@@ -321,10 +326,19 @@ def short_walk_forward(
     frame: DataFrame, p_cols: Sequence[str], car_cols: Sequence[str], first_train_end: int, step: int = 1,
     locked_from: str | None = LOCKED_FROM, year: str = "catalyst_year",
 ) -> DataFrame:
-    """Out-of-sample failure, conditional-return and tail predictions with costs applied. Rows announced on or after
+    """Out-of-sample failure, conditional-return and tail predictions with costs applied; see `short_walk_forwards`."""
+    return short_walk_forwards(frame, {"": (p_cols, car_cols)}, first_train_end, step, locked_from, year)[""]
+
+
+def short_walk_forwards(
+    frame: DataFrame, sets: Mapping[str, tuple[Sequence[str], Sequence[str]]], first_train_end: int, step: int = 1,
+    locked_from: str | None = LOCKED_FROM, year: str = "catalyst_year",
+) -> dict[str, DataFrame]:
+    """The short ledger of every feature set (failure and tail columns, conditional-return columns). Rows announced on or after
     `locked_from`, or without a date, are neither trained nor tested on; None locks nothing.
 
-    Windows of the folds and of the inner threshold years share two passes of sums; failure and tail classifiers share theirs.
+    Windows of the folds and of the inner threshold years, and all sets, share two passes of sums over the union of columns; all
+    failure and tail classifiers share the Newton passes. `frame` should be materialised.
     """
     if locked_from is not None:
         frame = frame.filter(before_locked_holdout("announcement_date", locked_from))
@@ -333,21 +347,32 @@ def short_walk_forward(
     tail_ends = sorted({*ends, *(y - 1 for e in ends for y in _inner_years(years, e))})
     parts = {**_tail_parts(MAJOR_DROP), **_conditional_parts(), "p": F.col("clinical_failure").isNotNull()}
     keys = [(p, e) for p in ("all", "drop") for e in tail_ends] + [(p, e) for p in ("1", "0", "p") for e in ends]
-    found = statistics(frame, [*p_cols, *car_cols], parts, keys, "realized_car", year)
-    tails = _tail_risks(frame, found, parts, p_cols, tail_ends, MAJOR_DROP, year)
-    fits = {e: Logistic(("p", e), "clinical_failure", found.scaler(("p", e), p_cols)) for e in ends}
-    failures = logistic_fits(frame, fits, parts, year)
-    if len(failures) < len(ends):
-        raise ValueError("logistic fit needs both classes")
-    thresholds = nested_thresholds(frame, tails, ends, years, year)
-    scores = {}
-    for end, test in plan.items():
-        m = _conditional_car(found, car_cols, end)
-        scores[test] = {
-            "_p": failures[end], "_f": m.failure if m.failure else m.failure_mean, "_cap": 0.0 if m.failure else None,
-            "_s": m.success if m.success else m.success_mean, "_end": float(end), "_t": thresholds[end],
-        }
-    rows = with_tail_probability(scored_by_year(frame, year, scores), year, {test: tails[end] for end, test in plan.items()})
+    union = [c for p_cols, car_cols in sets.values() for c in (*p_cols, *car_cols)]
+    found = statistics(frame, union, parts, keys, "realized_car", year)
+    fits: dict[tuple, Logistic] = {}
+    for name, (p_cols, _) in sets.items():
+        fits |= {(name, "tail", e): Logistic(("all", e), "_drop", found.scaler(("all", e), p_cols)) for e in tail_ends}
+        fits |= {(name, "failure", e): Logistic(("p", e), "clinical_failure", found.scaler(("p", e), p_cols)) for e in ends}
+    fitted = logistic_fits(_flagged(frame, MAJOR_DROP), fits, parts, year)
+    out = {}
+    for name, (p_cols, car_cols) in sets.items():
+        if any((name, "failure", e) not in fitted for e in ends):
+            raise ValueError("logistic fit needs both classes")
+        tails = {e: _tail_risk(found, fitted.get((name, "tail", e)), p_cols, e, MAJOR_DROP) for e in tail_ends}
+        thresholds = nested_thresholds(frame, tails, ends, years, year)
+        scores = {}
+        for end, test in plan.items():
+            m = _conditional_car(found, car_cols, end)
+            scores[test] = {
+                "_p": fitted[name, "failure", end], "_f": m.failure if m.failure else m.failure_mean, "_cap": 0.0 if m.failure else None,
+                "_s": m.success if m.success else m.success_mean, "_end": float(end), "_t": thresholds[end],
+            }
+        out[name] = _short_ledger(frame, scores, {test: tails[end] for end, test in plan.items()}, year)
+    return out
+
+
+def _short_ledger(frame: DataFrame, scores: dict[int, dict], tails: dict[int, TailRisk], year: str) -> DataFrame:
+    rows = with_tail_probability(scored_by_year(frame, year, scores), year, tails)
     end = F.col("_end").cast("int")
     out = rows.withColumns({
         # a fitted failure model never predicts a gain; least() skips the missing cap of a constant

@@ -1,6 +1,6 @@
 """Queries: fitted models, walk-forward ledgers, ablations, holdout, classifier and ranking.
 
-Fits are iterative, so most of these have no SQL oracle; their algebra is tested in tests/.
+Fits are iterative; their oracles run the same steps in recursive SQL (`oracle_models.py`).
 """
 
 from __future__ import annotations
@@ -10,13 +10,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions import scalars as sc
 from eventide.functions.rounding import rnd
-from eventide.operators import classifier, features, lookup, metrics, models, trades
-from eventide.operators.ordered import numbered, percent_ranks
-from eventide.plans import inputs
+from eventide.operators import ablation as ab
+from eventide.operators import classifier, features, metrics, models, ranking, trades
+from eventide.plans import inputs, oracle_models as om
 from eventide.plans.oracle_base import LEDGER, r
-from eventide.plans.q_features import short_edge_frame
+from eventide.plans.q_features import FRAME, short_edge_frame
 from eventide.session import stable
 
 QUERIES, ORACLE = {}, {}
@@ -50,18 +49,57 @@ def _out(df):
     return df.withColumns({c: rnd(c) for c, t in df.dtypes if t == "double"})
 
 
-@register("walk_forward")
+def _folds_sql(first: int, minimum: int) -> str:
+    """folds (win), train and test rows of an expanding walk-forward."""
+    return f"""folds AS (SELECT y - 1 AS win FROM (SELECT DISTINCT catalyst_year AS y FROM frame) WHERE y - 1 >= {first}
+    AND (SELECT count(*) FROM frame f WHERE f.catalyst_year <= y - 1) >= {minimum}),
+train AS MATERIALIZED (SELECT k.win, f.* FROM frame f JOIN folds k ON f.catalyst_year <= k.win),
+test AS MATERIALIZED (SELECT catalyst_year - 1 AS win, * FROM frame WHERE catalyst_year - 1 IN (SELECT win FROM folds))"""
+
+
+def _one_window_sql(train: str, test: str) -> str:
+    return f"""train AS MATERIALIZED (SELECT 0 AS win, * FROM frame WHERE {train}),
+test AS MATERIALIZED (SELECT 0 AS win, * FROM frame WHERE {test})"""
+
+
+_COST = "2e0 * (25e0 / 10000e0) - (300e0 / 10000e0) * (3e0 / 252e0)"
+
+
+@register("walk_forward", f"""WITH RECURSIVE {FRAME}, {_folds_sql(FIRST_TRAIN_END, 10)},
+{om.expected_car('m', 'train', 'folds', P_COLS, CAR_COLS, 'test')},
+adj AS MATERIALIZED (SELECT *, expected_car * company_dependency AS expected_car_adj, CAST(win + 1 AS INTEGER) AS test_year FROM m),
+pct AS (SELECT *, (rank() OVER (PARTITION BY test_year ORDER BY expected_car_adj) + (count(*) OVER (PARTITION BY test_year, expected_car_adj) - 1) / 2e0)
+    / count(*) OVER (PARTITION BY test_year) AS q FROM adj)
+SELECT catalyst_id, ticker, clinical_success, {r('realized_car')} AS realized_car, {r('company_dependency')} AS company_dependency, {r('p_success')} AS p_success,
+  {r('expected_car')} AS expected_car, {r('expected_car_adj')} AS expected_car_adj, CAST(win AS INTEGER) AS train_end_year, test_year,
+  'expected_car_wf_' || win AS model_version, {r('q')} AS expected_car_pct, CASE WHEN q >= 0.90::DOUBLE THEN 'STRONG LONG' WHEN q >= 0.75::DOUBLE THEN 'LONG'
+    WHEN q <= 0.10::DOUBLE THEN 'STRONG SHORT' WHEN q <= 0.25::DOUBLE THEN 'SHORT' ELSE 'NO TRADE' END AS trade_signal FROM pct""")
 def walk_forward(spark, sf):
     wf = models.walk_forward(model_frame(spark, sf), P_COLS, CAR_COLS, FIRST_TRAIN_END)
     return _out(trades.percentile_signals(stable(wf), "expected_car_adj", ["test_year"]))
 
 
-@register("short_walk_forward")
-def short_walk_forward(spark, sf):
-    return _out(models.short_walk_forward(model_frame(spark, sf), P_COLS, SHORT_CAR_COLS, FIRST_TRAIN_END + 1))
+def _tail_sql(name: str, source: str, cols) -> str:
+    """Fits of the drop classifier and of the drop magnitude."""
+    rows = f"SELECT win, %s AS y, {', '.join(cols)} FROM {source} WHERE realized_car IS NOT NULL"
+    return ",\n".join((
+        om.logistic(f"{name}_c", rows % "CASE WHEN realized_car <= (-0.20)::DOUBLE THEN 1 ELSE 0 END", cols),
+        om.ridge(f"{name}_g", rows % "realized_car" + " AND realized_car <= (-0.20)::DOUBLE", cols, 5.0),
+    ))
+
+
+def _tail_scores_sql(name: str, cols) -> str:
+    p = f"coalesce({om.sigmoid(om.line(f'{name}_c', cols, 't'))}, {name}_c_s.y_mean)"
+    g = f"CASE WHEN {name}_g_s.n_rows >= 5 THEN {om.line(f'{name}_g', cols, 't')} ELSE coalesce({name}_g_s.y_mean, (-0.20)::DOUBLE) END"
+    return f"{p} AS p_major_drop, {g} AS magnitude"
+
 
+_HOLDOUT_TAIL = f"""{FRAME}, {_one_window_sql(f'catalyst_year < {HOLDOUT[0]}', f'catalyst_year >= {HOLDOUT[0]}')}, {_tail_sql('d', 'train', P_COLS)},
+drops AS MATERIALIZED (SELECT t.*, {_tail_scores_sql('d', P_COLS)} FROM test t {om.joined('d_c', 't')} {om.joined('d_g', 't')})"""
 
-@register("tail_risk")
+
+@register("tail_risk", f"""WITH RECURSIVE {_HOLDOUT_TAIL} SELECT catalyst_id, {r('p_major_drop')} AS p_major_drop,
+  {r('magnitude')} AS expected_drop_magnitude, {r('p_major_drop * -least(magnitude, 0)')} AS tail_risk_score, major_negative_event FROM drops""")
 def tail_risk(spark, sf):
     df = model_frame(spark, sf)
     train, test = df.filter(F.col("catalyst_year") < HOLDOUT[0]), df.filter(F.col("catalyst_year") >= HOLDOUT[0])
@@ -69,7 +107,13 @@ def tail_risk(spark, sf):
     return _out(out.select("catalyst_id", "p_major_drop", "expected_drop_magnitude", "tail_risk_score", "major_negative_event"))
 
 
-@register("tail_risk_metrics")
+@register("tail_risk_metrics", f"""WITH RECURSIVE {_HOLDOUT_TAIL}, k AS (SELECT major_negative_event AS y, {r('p_major_drop')} AS p FROM drops),
+ranked AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS rk FROM k),
+d AS (SELECT p, CAST(sum(y) AS BIGINT) AS pos, count(*) AS n FROM k GROUP BY 1),
+c AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS seen FROM d)
+SELECT (SELECT {r('avg(y)')} FROM k) AS base_rate,
+  (SELECT {r('(sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y)))')} FROM ranked) AS roc_auc,
+  (SELECT {r('sum(pos * tp / seen) / sum(pos)')} FROM c) AS average_precision""")
 def tail_risk_metrics(spark, sf):
     t = stable(tail_risk(spark, sf))
     auc = metrics.roc_auc(t, "major_negative_event", "p_major_drop").select("roc_auc").scalar()
@@ -78,7 +122,53 @@ def tail_risk_metrics(spark, sf):
     return _out(base.withColumns({"roc_auc": auc, "average_precision": ap}))
 
 
-@register("expected_car")
+def _short_sql(p_cols, car_cols) -> str:
+    """CTE short: the short ledger with its nested thresholds."""
+    def rows(y, where, cols):
+        return f"SELECT win, {y} AS y, {', '.join(cols)} FROM train WHERE {where}"
+
+    def mean_car(fit, default):
+        return f"CASE WHEN {fit}_s.n_rows >= 8 THEN {om.line(fit, car_cols, 't')} ELSE coalesce({fit}_s.y_mean, {default}::DOUBLE) END"
+
+    capped = f"CASE WHEN cf_s.n_rows >= 8 THEN least({om.line('cf', car_cols, 't')}, 0) ELSE coalesce(cf_s.y_mean, (-0.10)::DOUBLE) END"
+    best = ", ".join(f"({t}::DOUBLE)" for t in models.THRESHOLDS)
+    return f"""years AS (SELECT DISTINCT catalyst_year AS y FROM frame),
+inner_years AS MATERIALIZED (SELECT win, y FROM (SELECT k.win, y, row_number() OVER (PARTITION BY k.win ORDER BY y DESC) AS rn, count(*) OVER (PARTITION BY k.win) AS n
+    FROM folds k JOIN years ON y <= k.win) WHERE rn <= 3 AND n >= 3),
+tail_wins AS (SELECT win FROM folds UNION SELECT y - 1 FROM inner_years),
+tail_train AS MATERIALIZED (SELECT k.win, f.* FROM frame f JOIN tail_wins k ON f.catalyst_year <= k.win),
+{_tail_sql('d', 'tail_train', p_cols)},
+{om.logistic('pf', rows('clinical_failure', 'clinical_failure IS NOT NULL', p_cols), p_cols)},
+{om.ridge('cf', rows('realized_car', 'clinical_failure = 1', car_cols), car_cols, 5.0)},
+{om.ridge('cs', rows('realized_car', 'clinical_failure = 0', car_cols), car_cols, 5.0)},
+inner_rows AS (SELECT y - 1 AS win, f.* FROM frame f JOIN (SELECT DISTINCT y FROM inner_years) ON y = f.catalyst_year),
+judged AS MATERIALIZED (SELECT t.catalyst_year, t.realized_car, {_tail_scores_sql('d', p_cols)} FROM inner_rows t {om.joined('d_c', 't')} {om.joined('d_g', 't')}
+  WHERE d_c_s.n_rows >= 15 AND round(d_c_s.n_rows * d_c_s.y_mean) >= 2),
+per_year AS (SELECT catalyst_year AS y, h.t, avg(-realized_car - {_COST}) AS m FROM judged JOIN (SELECT unnest([{best}]) AS t) h ON p_major_drop >= h.t GROUP BY 1, 2),
+per_win AS (SELECT i.win, t, avg(m) AS score FROM inner_years i JOIN per_year USING (y) GROUP BY 1, 2),
+thresholds AS (SELECT k.win, CASE WHEN NOT EXISTS (SELECT 1 FROM inner_years i WHERE i.win = k.win) THEN 0.5::DOUBLE
+    ELSE coalesce((SELECT t FROM per_win p WHERE p.win = k.win ORDER BY score DESC, t LIMIT 1), {models.THRESHOLDS[0]}::DOUBLE) END AS threshold FROM folds k),
+scored AS MATERIALIZED (SELECT t.*, {om.sigmoid(om.line('pf', p_cols, 't'))} AS p_failure, {capped} AS car_failure_pred, {mean_car('cs', -0.003)} AS car_success_pred,
+    {_tail_scores_sql('d', p_cols)}, threshold
+  FROM test t {om.joined('pf', 't')} {om.joined('cf', 't')} {om.joined('cs', 't')} {om.joined('d_c', 't')} {om.joined('d_g', 't')} JOIN thresholds h ON h.win = t.win),
+short AS MATERIALIZED (SELECT *, p_failure * car_failure_pred * company_dependency + (1 - p_failure) * car_success_pred * company_dependency AS expected_car FROM scored)"""
+
+
+@register("short_walk_forward", f"""WITH RECURSIVE {FRAME}, {_folds_sql(FIRST_TRAIN_END + 1, 15)}, {_short_sql(P_COLS, SHORT_CAR_COLS)}
+SELECT catalyst_id, ticker, announcement_date, catalyst_year, CAST(win AS INTEGER) AS train_end_year, CAST(win + 1 AS INTEGER) AS test_year,
+  {r('p_failure')} AS p_failure, {r('1 - p_failure')} AS p_success, {r('car_failure_pred')} AS car_failure_pred, {r('car_success_pred')} AS car_success_pred,
+  {r('expected_car')} AS expected_car, {r('-expected_car')} AS expected_short_return, {r(f'-expected_car - {_COST}')} AS net_expected_short_return,
+  {r('p_major_drop')} AS p_major_drop, {r('p_major_drop * -least(magnitude, 0)')} AS tail_risk_score, {r('threshold')} AS major_drop_threshold,
+  {r('company_dependency')} AS company_dependency, {r('realized_car')} AS realized_car, {r(f'-realized_car - {_COST}')} AS realized_short_return,
+  clinical_failure, major_negative_event, 'short_wf_' || win AS model_version FROM short""")
+def short_walk_forward(spark, sf):
+    return _out(models.short_walk_forward(model_frame(spark, sf), P_COLS, SHORT_CAR_COLS, FIRST_TRAIN_END + 1))
+
+
+@register("expected_car", f"""WITH RECURSIVE {FRAME}, {_one_window_sql('true', 'true')}, {om.expected_car('m', 'train', '', P_COLS, CAR_COLS, 'test')}
+SELECT count(*) AS n, CAST(sum(clinical_success) AS BIGINT) AS n_success, {r('avg(realized_car)')} AS realized_car_mean, {r('avg(expected_car)')} AS expected_car_mean,
+  {r('corr(expected_car, realized_car)')} AS correlation, count(*) FILTER (WHERE market_features_point_in_time) AS market_verified,
+  count(*) FILTER (WHERE trial_features_point_in_time) AS trial_verified FROM m""")
 def expected_car(spark, sf):
     """In-sample fit with its monitoring metrics."""
     df = model_frame(spark, sf)
@@ -102,47 +192,106 @@ def base_rate_model(spark, sf):
     return _out(out.select("catalyst_id", "p_success", "expected_car"))
 
 
-@register("ablation")
+_SETS = {name: features.resolve_features(name) for name in ab.EXPECTED_CAR_SETS}
+_BASE_RATE = "coalesce(wong_pos_rate, p)"
+
+
+def _base_rate_sql(name: str, rows: str, calibration: str) -> str:
+    return f"""{name}_c AS (SELECT avg(clinical_success) AS p, avg(realized_car) FILTER (WHERE clinical_success = 1) AS s,
+    avg(realized_car) FILTER (WHERE clinical_success = 0) AS f FROM {calibration}),
+{name} AS (SELECT x.*, {_BASE_RATE} AS p_success, {_BASE_RATE} * s + (1 - {_BASE_RATE}) * f AS expected_car FROM {rows} x, {name}_c)"""
+
+
+def _ablation_sql() -> str:
+    fits, out = [], []
+    for tag, split in (("i", "in_sample"), ("h", "locked_holdout")):
+        for i, (name, cols) in enumerate(_SETS.items()):
+            fits.append(om.expected_car(f"{tag}{i}", f"{tag}_train", "", cols, CAR_COLS, f"{tag}_test"))
+            out.append((f"{tag}{i}", name, split))
+        fits.append(_base_rate_sql(f"{tag}b", f"{tag}_test", f"{tag}_train"))
+        out.append((f"{tag}b", "base_rate", split))
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS model, '{split}' AS split, expected_car, realized_car FROM {cte}" for cte, name, split in out)
+    return f"""WITH RECURSIVE {FRAME}, i_train AS MATERIALIZED (SELECT 0 AS win, * FROM frame), i_test AS (SELECT * FROM i_train),
+h_train AS MATERIALIZED (SELECT 0 AS win, * FROM frame WHERE catalyst_year < {HOLDOUT[0]}),
+h_test AS MATERIALIZED (SELECT 0 AS win, * FROM frame WHERE catalyst_year BETWEEN {HOLDOUT[0]} AND {HOLDOUT[1]}),
+{(","+chr(10)).join(fits)}
+SELECT model, split, count(*) AS n, {r('corr(expected_car, realized_car)')} AS corr, {r('avg(expected_car)')} AS mean_expected,
+  {r('avg(realized_car)')} AS mean_realized FROM ({rows}) GROUP BY ALL"""
+
+
+@register("ablation", _ablation_sql())
 def ablation(spark, sf):
-    """Holdout comparison of feature sets."""
+    """Four feature sets and the base rate, in sample and on the locked years."""
     df = model_frame(spark, sf)
-    train, test = df.filter(F.col("catalyst_year") < HOLDOUT[0]), stable(df.filter(F.col("catalyst_year").between(*HOLDOUT)))
+    held = (df.filter(F.col("catalyst_year") < HOLDOUT[0]), df.filter(F.col("catalyst_year").between(*HOLDOUT)))
     parts = []
-    for name in ("market_only", "clinical_only", "market_plus_company"):
-        cols = [c for c in features.resolve_features(name) if c in P_COLS]
-        m = models.fit_expected_car(train, cols, CAR_COLS)
-        parts.append(models.predict_expected_car(test, m).select(
-            F.lit(name).alias("model"), F.lit("holdout").alias("split"), "expected_car", "realized_car"))
-    scored = reduce(DataFrame.unionByName, parts)
-    return _out(scored.groupBy("model", "split").agg(
-        F.count(F.lit(1)).alias("n"), metrics.correlation("expected_car", "realized_car").alias("corr"),
-        F.avg("expected_car").alias("mean_expected"), F.avg("realized_car").alias("mean_realized")))
-
-
-@register("ranking_report")
+    for split, (train, test) in {"in_sample": (df, df), "locked_holdout": held}.items():
+        scored = ab.scored_sets(test, ab.expected_car_models(train, _SETS, CAR_COLS), ["realized_car"]).drop("p_success")
+        base = models.predict_base_rate(test, train, "wong_pos_rate").select("realized_car", F.lit("base_rate").alias("model"), "expected_car")
+        parts.append(scored.unionByName(base).withColumn("split", F.lit(split)))
+    return _out(ab.summary(reduce(DataFrame.unionByName, parts), ["model", "split"]))
+
+
+_SHORT_SETS = {name: features.resolve_features(name) for name in ab.SHORT_SETS}
+
+
+def _short_ablation_sql(names) -> str:
+    """Every set is fitted in a subquery of its own."""
+    def one(name):
+        cols = _SHORT_SETS[name]
+        picks = " UNION ALL ".join(
+            f"""SELECT 'short_top_{f}pct' AS strategy, rsr FROM (SELECT rsr, row_number() OVER (PARTITION BY win ORDER BY nesr DESC, catalyst_id) AS rn,
+    count(*) OVER (PARTITION BY win) AS cnt FROM s) WHERE rn <= greatest(1, ceil(cnt * 0.{f}::DOUBLE))""" for f in (10, 20))
+        return f"""SELECT '{name}' AS feature_set, * FROM (WITH RECURSIVE {_short_sql(cols, cols)},
+s AS (SELECT *, -expected_car - {_COST} AS nesr, -realized_car - {_COST} AS rsr FROM short) {picks})"""
+
+    return f"""WITH RECURSIVE {FRAME}, {_folds_sql(FIRST_TRAIN_END + 1, 15)}
+SELECT feature_set, strategy, count(*) AS n, {r('avg(rsr)')} AS mean_short_return, {r('avg(CASE WHEN rsr > 0 THEN 1e0 ELSE 0e0 END)')} AS hit_rate, {r('min(rsr)')} AS worst
+FROM ({" UNION ALL ".join(one(n) for n in names)}) GROUP BY ALL"""
+
+
+@register("short_ablation", _short_ablation_sql(ab.SHORT_SETS))
+def short_ablation(spark, sf):
+    """Eight feature sets by two short strategies over the walk-forward."""
+    sets = {name: (cols, cols) for name, cols in _SHORT_SETS.items()}
+    return _out(ab.short_ablation(model_frame(spark, sf), sets, FIRST_TRAIN_END + 1))
+
+
+_AS_OF = f"{HOLDOUT[0]}-01-01"
+
+
+@register("ranking_report", f"""WITH RECURSIVE {FRAME}, folds AS (SELECT {FIRST_TRAIN_END} AS win),
+w_train AS MATERIALIZED (SELECT {FIRST_TRAIN_END} AS win, * FROM frame WHERE catalyst_year <= {FIRST_TRAIN_END}),
+w_test AS MATERIALIZED (SELECT {FIRST_TRAIN_END} AS win, * FROM frame WHERE catalyst_year = {FIRST_TRAIN_END + 1}),
+{_one_window_sql(f'catalyst_year < {HOLDOUT[0]}', f"announcement_date IS NULL OR announcement_date >= DATE '{_AS_OF}'")},
+{om.expected_car('w', 'w_train', '', P_COLS, CAR_COLS, 'w_test')},
+{om.expected_car('m', 'train', '', P_COLS, CAR_COLS, 'test')},
+res AS (SELECT abs(realized_car - expected_car) AS a, row_number() OVER (ORDER BY abs(realized_car - expected_car)) - 1 AS i, count(*) OVER () AS n FROM w),
+q AS (SELECT a AS q FROM res WHERE i = ceil(least(1e0, ceil((n + 1) * 0.9::DOUBLE) / n) * (n - 1))),
+x AS MATERIALIZED (SELECT *, expected_car * company_dependency AS adj, (expected_car - q) * company_dependency AS lo, (expected_car + q) * company_dependency AS hi FROM m, q),
+pct AS (SELECT *, (rank() OVER (ORDER BY adj) + (count(*) OVER (PARTITION BY adj) - 1) / 2e0) / count(*) OVER () AS pc,
+    row_number() OVER (ORDER BY adj DESC, catalyst_id) AS "rank" FROM x)
+SELECT "rank", catalyst_id, ticker, {r('p_success')} AS p_success, {r('expected_car')} AS expected_car, {r('adj')} AS expected_car_exposure_adj, {r('lo')} AS lo, {r('hi')} AS hi,
+  market_features_point_in_time AND trial_features_point_in_time AND company_features_point_in_time AS point_in_time_verified,
+  CASE WHEN pc >= 0.90::DOUBLE THEN 'STRONG LONG' WHEN pc >= 0.75::DOUBLE THEN 'LONG' WHEN pc <= 0.10::DOUBLE THEN 'STRONG SHORT'
+    WHEN pc <= 0.25::DOUBLE THEN 'SHORT' ELSE 'NO TRADE' END AS signal,
+  CASE WHEN lo > 0 THEN 'CONFIDENT LONG' WHEN hi < 0 THEN 'CONFIDENT SHORT' ELSE 'UNCERTAIN' END AS confidence_signal,
+  'strict_point_in_time_sanitized' AS model_training_policy, 'export' AS interval_source FROM pct""")
 def ranking_report(spark, sf):
-    """Prospective ranking: provenance check, exposure, conformal interval, percentile and confidence signal."""
+    """Prospective ranking: provenance check, exposure, interval from exported out-of-sample residuals, signals."""
     df = model_frame(spark, sf)
-    train, test = df.filter(F.col("catalyst_year") < HOLDOUT[0]), df.filter(F.col("catalyst_year") >= HOLDOUT[0])
-    m = models.require_provenance(models.fit_expected_car(train, P_COLS, CAR_COLS))
-    pred = models.predict_expected_car(test, m)
-    res = models.predict_expected_car(train, m).select(
-        F.col("catalyst_id").alias("id"), (F.col("realized_car") - F.col("expected_car")).alias("residual"))
-    ledger = inputs.ledger(spark, sf).select(
-        F.col("catalyst_id").alias("id"), (F.col("realized_car") - F.col("expected_car")).alias("residual"))
-    picked = metrics.pick_residuals([("ledger", ledger), ("in_sample", res)])
-    q = metrics.conformal_quantile(picked, "residual").select("q").scalar()
-    dep = F.coalesce("company_dependency", F.lit(0.9))
-    adj = stable(pred.withColumns({"_q": q, "adj": F.col("expected_car") * dep, "_dep": dep}))
-    pct = percent_ranks(adj, [], "adj", "pct")
-    ranked = numbered(pct, [], [F.col("adj").desc(), F.col("catalyst_id").asc()], "rank")
-    lo, hi = (F.col("expected_car") - F.col("_q")) * F.col("_dep"), (F.col("expected_car") + F.col("_q")) * F.col("_dep")
+    train = df.filter(F.col("catalyst_year") < HOLDOUT[0])
+    m = models.fit_expected_car(train, P_COLS, CAR_COLS)
+    wf = models.walk_forward(train, P_COLS, CAR_COLS, FIRST_TRAIN_END)
+    fitted = models.predict_expected_car(train, m)
+    in_sample, ledger = (
+        x.select(F.col("catalyst_id").alias("id"), (F.col("realized_car") - F.col("expected_car")).alias("residual")) for x in (fitted, inputs.ledger(spark, sf)))
+    sources = [("export", ranking.export_residuals(wf)), ("ledger", ledger), ("in_sample", in_sample)]
+    ranked = ranking.rank(df, m, sources, _AS_OF)
     verified = F.col("structured_features_point_in_time") & F.col("company_features_point_in_time")
     return _out(ranked.select(
-        "rank", "catalyst_id", "ticker", "p_success", "expected_car", F.col("adj").alias("expected_car_exposure_adj"),
-        lo.alias("lo"), hi.alias("hi"), verified.alias("point_in_time_verified"),
-        sc.percentile_signal(F.col("pct")).alias("signal"), sc.confidence_signal(lo, hi).alias("confidence_signal"),
-        F.lit(m.policy).alias("model_training_policy")))
+        "rank", "catalyst_id", "ticker", "p_success", "expected_car", "expected_car_exposure_adj", "lo", "hi", verified.alias("point_in_time_verified"),
+        "signal", "confidence_signal", "model_training_policy", "interval_source"))
 
 
 def _docs(spark, sf):
@@ -186,29 +335,39 @@ def exploratory_logistic(spark, sf):
     return _out(metrics.probability_scores(coded.withColumn("p", m.probability()), "label", "p"))
 
 
-@register("holdout_models")
+_HOLDOUT_SETS = {"market_only": CAR_COLS, "market_plus_trial": P_COLS, "trial_only": features.resolve_features("trial_only")}
+
+
+def _holdout_sql() -> str:
+    fits = [om.expected_car(f"h{i}", "train", "", cols, CAR_COLS, "test") for i, cols in enumerate(_HOLDOUT_SETS.values())]
+    rows = [(f"h{i}", name) for i, name in enumerate(_HOLDOUT_SETS)] + [("hb", "base_rate"), ("hm", "training_mean")]
+    keep = "clinical_success, realized_car, p_success, expected_car"
+    return f"""WITH RECURSIVE {FRAME}, {_one_window_sql(f'catalyst_year < {HOLDOUT[0]}', f'catalyst_year BETWEEN {HOLDOUT[0]} AND {HOLDOUT[1]}')},
+{(","+chr(10)).join(fits)},
+c AS (SELECT avg(clinical_success) AS p, avg(realized_car) FILTER (WHERE clinical_success = 1) AS s, avg(realized_car) FILTER (WHERE clinical_success = 0) AS f FROM train),
+g AS (SELECT indication, avg(clinical_success) AS v FROM train GROUP BY 1),
+hb AS (SELECT t.*, coalesce(v, p) AS p_success, coalesce(v, p) * s + (1 - coalesce(v, p)) * f AS expected_car FROM c, test t LEFT JOIN g ON g.indication = t.indication),
+hm AS (SELECT t.*, p AS p_success, p * s + (1 - p) * f AS expected_car FROM c, test t),
+scored AS (SELECT *, least(greatest(p_success, 1e-6), 1 - 1e-6) AS q FROM ({" UNION ALL ".join(f"SELECT '{n}' AS model, {keep} FROM {t}" for t, n in rows)}))
+SELECT model, count(*) AS n, {r('CASE WHEN stddev_pop(expected_car) > 0 AND count(DISTINCT expected_car) > 1 THEN corr(expected_car, realized_car) END')} AS corr,
+  {r('avg(expected_car)')} AS mean_expected, {r('avg(realized_car)')} AS mean_realized, {r('avg(pow(p_success - clinical_success, 2))')} AS brier,
+  {r('avg(CASE WHEN clinical_success = 1 THEN -ln(q) ELSE -ln(1 - q) END)')} AS log_loss FROM scored GROUP BY 1"""
+
+
+@register("holdout_models", _holdout_sql())
 def holdout_models(spark, sf):
-    """Five models on the locked years: three feature sets, the base rate and the training mean."""
+    """Five models on the locked years: three feature sets, the base rate of the indication and the training mean."""
     df = model_frame(spark, sf)
-    train = stable(df.filter(F.col("catalyst_year") < HOLDOUT[0]))
-    test = stable(df.filter(F.col("catalyst_year").between(*HOLDOUT)))
-    keep = ["catalyst_id", "clinical_success", "realized_car", "p_success", "expected_car"]
-    parts = []
-    for name, cols in (("market_only", CAR_COLS), ("market_plus_trial", P_COLS), ("trial_only", [
-            c for c in features.resolve_features("trial_only") if c in P_COLS])):
-        p = models.predict_expected_car(test, models.fit_expected_car(train, cols, CAR_COLS))
-        parts.append(p.select(*keep, F.lit(name).alias("model")))
+    train, test = df.filter(F.col("catalyst_year") < HOLDOUT[0]), df.filter(F.col("catalyst_year").between(*HOLDOUT))
+    keep = ["catalyst_id", "clinical_success", "realized_car"]
+    parts = [ab.scored_sets(test, ab.expected_car_models(train, _HOLDOUT_SETS, CAR_COLS), keep)]
     rates = train.groupBy("indication").agg(F.avg("clinical_success").alias("_rate"))
-    with_rate = test.join(rates, "indication", "left")
-    parts.append(models.predict_base_rate(with_rate, train, "_rate").select(*keep, F.lit("base_rate").alias("model")))
     none = test.withColumn("_none", F.lit(None).cast("double"))
-    parts.append(models.predict_base_rate(none, train, "_none").select(*keep, F.lit("training_mean").alias("model")))
+    for name, rows, rate in (("base_rate", test.join(rates, "indication", "left"), "_rate"), ("training_mean", none, "_none")):
+        parts.append(models.predict_base_rate(rows, train, rate).select(*keep, F.lit(name).alias("model"), "p_success", "expected_car"))
     scored = stable(reduce(DataFrame.unionByName, parts))
-    m = scored.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), metrics.correlation("expected_car", "realized_car").alias("corr"),
-        F.avg("expected_car").alias("mean_expected"), F.avg("realized_car").alias("mean_realized"))
     brier = metrics.probability_scores(scored, "clinical_success", "p_success", ["model"]).select("model", "brier", "log_loss")
-    return _out(m.join(brier, "model"))
+    return _out(ab.summary(scored, ["model"]).join(brier, "model"))
 
 
 @register("classifier_sets")
