@@ -121,11 +121,16 @@ hm as (select host, (good + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) as
 ruled as (
   select *, case when {_RULE_FITS["example.net/en/"]} then 'example.net/en/' when {_RULE_FITS["example.com/de/"]} then 'example.com/de/'
                  when {_RULE_FITS["org/fr/"]} then 'org/fr/' when {_RULE_FITS["net/"]} then 'net/' end as rule from parts
+), judged as (
+  select ruled.*, coalesce(hm.mean, dm.mean, sm.mean, overall.prior) as m, coalesce(hm.weight, (1 - rho) / rho) as w
+  from ruled left join hm on ruled.host = hm.host
+  left join dm on dm.domain = array_to_string(list_slice(string_split(ruled.host, '.'), -2, -1), '.')
+  left join sm on sm.suffix = string_split(ruled.host, '.')[-1], overall, hk
 )
-select page_id, ruled.host, path, rule,
+select page_id, host, path, rule,
        case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-            when mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) < 0.65 then 'block' else 'allow' end as verdict
-from ruled left join hm on ruled.host = hm.host
+            when m - 1.645 * sqrt(m * (1 - m) / (w + 1)) < 0.65 then 'block' else 'allow' end as verdict
+from judged
 """
 
 OP12_SQL = r"""

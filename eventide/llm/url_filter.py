@@ -12,6 +12,7 @@ host, which the engine broadcasts when small and splits when skewed.
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _with_posterior(units: DataFrame, prior: Column, name: str) -> DataFrame:
-    """Add <name>_strength and <name>_mean: (good + strength * prior) / (n + strength).
+def _with_posterior(units: DataFrame, prior: Column, name: str) -> tuple[DataFrame, Column]:
+    """The units with <name>_mean = (good + strength * prior) / (n + strength), and the level's strength.
 
     Strength by moments over the level's units: with rate r of n outcomes, Q = sum n (r - prior)^2,
     V = sum prior (1 - prior), M = sum n prior (1 - prior), the share of variance between units is
@@ -61,47 +62,85 @@ def _with_posterior(units: DataFrame, prior: Column, name: str) -> DataFrame:
     )
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(F.try_divide(F.col("q") - F.col("v"), F.col("m") - F.col("v")), F.lit(0.001))))
     strength = total.select((1 - rho) / rho).scalar()
-    return units.withColumn(f"{name}_strength", strength).withColumn(
-        f"{name}_mean", (F.col("good") + F.col(f"{name}_strength") * prior) / (F.col("n") + F.col(f"{name}_strength"))
-    )
+    return units.withColumn("_strength", strength).withColumn(
+        f"{name}_mean", (F.col("good") + F.col("_strength") * prior) / (F.col("n") + F.col("_strength"))
+    ).drop("_strength"), strength
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain: the last two labels; an empty host is its own."""
+    return F.substring_index(host, ".", -2)
+
+
+def suffix_of(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def lower_bound(mean: Column, weight: Column, z: float = 1.645) -> Column:
+    """mean - z * sd of a beta posterior of this mean and weight, 0 at least; null without a mean."""
+    return F.when(mean.isNotNull(), F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (weight + 1))))
+
+
+@dataclass(frozen=True)
+class Reputation:
+    """Posterior means per host (with n and good), registered domain and suffix, the overall rate, and the host level's strength.
+
+    A host without an outcome has n = 0: its mean is its domain's, else its suffix's, else the overall one, its weight the strength.
+    """
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    overall: Column
+    strength: Column
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """One row per host with an outcome: n, good, posterior mean and lower bound.
+    """One row per host with an outcome: n, good, posterior mean and lower bound; see `reputation`."""
+    found = reputation(outcomes)
+    rows = found.hosts.withColumn("_strength", found.strength)
+    return rows.withColumn("bound", lower_bound(F.col("mean"), F.col("n") + F.col("_strength"), z)).drop("_strength")
+
 
-    outcomes: (host, good 0/1). The registered domain is the last two labels of the host, the suffix the
-    last one; an empty host is its own. Null outcomes or hosts are left out. The bound is mean - z * sd of the
-    beta posterior, 0 at least. The prior strengths are scalar subqueries over the written table of host counts.
+def reputation(outcomes: DataFrame) -> Reputation:
+    """outcomes: (host, good 0/1). The registered domain is the last two labels of the host, the suffix the
+    last one; an empty host is its own. Null outcomes or hosts are left out. The prior strengths are scalar subqueries
+    over the written table of host counts.
     """
     hosts = outcomes.filter("host is not null and good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    hosts = written(hosts, "hosts").withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = written(hosts, "hosts").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall = hosts.agg((F.sum("good") + 1) / (F.sum("n") + 2)).scalar()
-    s = _with_posterior(suffixes.withColumn("all_mean", overall), F.col("all_mean"), "suffix").select("suffix", "suffix_mean")
-    d = _with_posterior(domains.join(s, "suffix"), F.col("suffix_mean"), "domain").select("domain", "domain_mean")
-    h = _with_posterior(hosts.join(d, "domain"), F.col("domain_mean"), "host")
-    weight = F.col("n") + F.col("host_strength")
-    return h.select(
-        "host", "domain", "suffix", "n", "good", F.col("host_mean").alias("mean"),
-        F.greatest(F.lit(0.0), F.col("host_mean") - z * F.sqrt(F.col("host_mean") * (1 - F.col("host_mean")) / (weight + 1))).alias("bound"),
-    )
+    s, _ = _with_posterior(suffixes.withColumn("all_mean", overall), F.col("all_mean"), "suffix")
+    s = s.select("suffix", "suffix_mean")
+    d, _ = _with_posterior(domains.join(s, "suffix"), F.col("suffix_mean"), "domain")
+    d = d.select("domain", "domain_mean")
+    h, strength = _with_posterior(hosts.join(d, "domain"), F.col("domain_mean"), "host")
+    h = h.select("host", "domain", "suffix", "n", "good", F.col("host_mean").alias("mean"))
+    return Reputation(h, d, s, overall, strength)
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, threshold: float = 0.65, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
-    A rule decides first; else the host's bound (block below the threshold). A host with no outcome, an
-    empty one included, is allowed, since nothing speaks against it. Null urls give empty host and path. Repeated rows
-    are kept; other columns are left behind.
+    A rule decides first; else the lower bound of the host's posterior (block below the threshold). A host without an outcome, an
+    empty one included, takes its domain's posterior, else its suffix's, else the overall one, at the host level's strength; without
+    any outcome at all pages are allowed. Null urls give empty host and path. Repeated rows are kept; other columns are left behind.
     """
     parts = pages.select("page_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    reputation = host_reputation(outcomes).select("host", "bound")
+    known = reputation(outcomes)
+    # one row per host of the pages is judged, then joined back: the levels are looked up once per host, not per page
+    hosts = parts.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.join(known.hosts.select("host", "n", "mean"), "host", "left").join(known.domains, "domain", "left").join(known.suffixes, "suffix", "left")
+    hosts = hosts.withColumns({"_overall": known.overall, "_strength": known.strength})
+    mean, weight = F.coalesce("mean", "domain_mean", "suffix_mean", "_overall"), F.coalesce("n", F.lit(0)) + F.col("_strength")
+    hosts = hosts.select("host", lower_bound(mean, weight).alias("bound"))
     judged = F.when(F.col("bound") < threshold, "block").otherwise("allow")
     return (
         parts.withColumns({"rule": text, "said": verdict})
-        .join(reputation, "host", "left")
+        .join(hosts, "host", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("said", judged).alias("verdict"))
     )
 

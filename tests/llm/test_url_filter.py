@@ -31,11 +31,28 @@ def test_parts_and_rules(spark):
 def test_hosts_shrink_towards_their_domain(spark):
     seen = [("bad.a.com", 0)] * 40 + [("new.a.com", 0)] * 2 + [("good.b.com", 1)] * 60 + [("new.b.com", 1)] * 30 + [("h.c.org", 1)] * 50 + [(None, 1), ("x", None)]
     got = judged(spark, ["http://bad.a.com/", "http://new.a.com/", "http://good.b.com/", "http://h.c.org/", "http://none.z/"], seen)
-    assert [got[i].verdict for i in range(5)] == ["block", "block", "allow", "allow", "allow"]
+    assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"]
     rows = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(seen, "host string, good int")).collect()}
     assert all(0 <= r.bound <= r.mean <= 1 for r in rows.values()) and rows["bad.a.com"].mean < rows["new.a.com"].mean < 0.6
 
 
+def test_unseen_hosts_take_their_domain_then_suffix_then_all(spark):
+    seen = [(f"h{i}.bad.com", 0) for i in range(30)] * 3 + [(f"h{i}.good.com", 1) for i in range(30)] * 3
+    seen += [(f"h.d{i}.dirty", 0) for i in range(30)] * 3 + [(f"h.d{i}.clean", 1) for i in range(60)] * 3
+    urls = ["http://new.bad.com/", "http://new.good.com/", "http://x.new.dirty/", "http://x.new.clean/", "http://x.y.unknown/", "no url", None]
+    got = judged(spark, urls, seen)
+    assert [got[i].verdict for i in range(4)] == ["block", "allow", "block", "allow"]
+    assert len({got[i].verdict for i in (4, 5, 6)}) == 1 and got[5].host == got[6].host == ""
+    few = judged(spark, ["http://a.b.c/"], [("h.x.y", 0)] * 50)
+    assert few[0].verdict == "block" and judged(spark, ["http://a.b.c/"])[0].verdict == "allow"
+
+
+def test_awkward_pages(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/1", "x", "y"), (1, "http://a.com/1", "x", "y"), (1, "http://a.com/1", "x", "y"), (2, None, None, None)], PAGES)
+    got = url_filter.url_verdicts(pages, url_filter.page_outcomes(pages, labels(spark))).collect()
+    assert sorted(str(r.page_id) for r in got) == ["1", "1", "2", "None"] and {r.host for r in got} == {"a.com", ""}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "host string, good int")
     assert url_filter.url_verdicts(empty(spark, PAGES), none).count() == 0
