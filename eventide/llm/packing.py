@@ -153,7 +153,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, group_size: i
     """
     pieces = written(tokenised_pieces(docs, tokenizer_path, length), "pieces")
     groups = max(1, round(pieces.count() / group_size))
-    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)))
+    # drawn per written row, so that neither a hot id nor a repeated row makes a group grow
+    row = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(17))
+    keyed = pieces.withColumn("pack_group", F.pmod(row, F.lit(groups)))
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
