@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
-from eventide.llm.tables import fold
+from eventide.llm.tables import SAMPLE_CHARS, fold
 
 BUCKETS = 1 << 12
 _SHIFT = np.uint64(64 - 12)
@@ -114,15 +114,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame, per_language: int = 800, centres: int = 4, seed: int = 11, slack: float = 0.5) -> Centroids:
     """Inverse document frequencies over all learnable texts; centroids from at most `per_language` texts a language,
-    drawn by a hash of the id. A language's floor is `slack` times the lowest of 99 % of its sample's cosines."""
+    drawn by a hash. A language's floor is `slack` times the lowest of 99 % of its sample's cosines."""
     rows = learnable(docs)
     df, n = document_frequencies(rows)
     idf = np.log((n + 1) / (df + 1)) + 1
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rn", F.row_number().over(draw)).filter(F.col("rn") <= per_language)
-    # bounded by per_language times the number of languages
-    picked = F.broadcast(ids.select("doc_id").distinct())
-    sample = rows.select("doc_id", "lang", "text").join(picked, "doc_id").orderBy("lang", "doc_id").toArrow()
+    sample = _sample(rows, per_language).toArrow()
     if not sample.num_rows:
         return Centroids([], idf, np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(0))
     x = np.concatenate([vectors(c, idf) for _, c in counts(sample.column("text").combine_chunks())])
@@ -133,6 +129,22 @@ def train(docs: DataFrame, per_language: int = 800, centres: int = 4, seed: int
     return Centroids(languages, idf, np.concatenate(each), np.repeat(np.arange(len(each)), [len(c) for c in each]), np.array(floor))
 
 
+def _sample(rows: DataFrame, per_language: int, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, lang, text): at most `per_language` rows a language with different ids or texts, by a hash of both.
+
+    A language's count of rows gives the share of hashes that holds twice as many as are wanted; only those are ranked, so no
+    task ranks a language. Repeated rows are one. Texts of more than `most_chars` characters are not taken.
+    """
+    short = rows.filter(F.length("text") <= most_chars).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"))
+    counted = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(None).cast("double")
+    for lang, n in counted.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * per_language / n)).otherwise(share)
+    near = short.filter(F.pmod("draw", F.lit(1 << 40)) < share * float(1 << 40)).dropDuplicates(["lang", "doc_id", "draw"])
+    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
+    return ranked.filter(F.col("rn") <= per_language).orderBy("lang", "doc_id", "draw").select("doc_id", "lang", "text")
+
+
 def predictions(docs: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every whole text.
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from eventide.session import staging_path
 
+#: Longer texts are scored but not learned from, so that a sample of rows has a bounded size.
+SAMPLE_CHARS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
-from eventide.llm.tables import fold, rows_with
+from eventide.llm.tables import SAMPLE_CHARS, fold, rows_with
 
 NGRAMS = range(3, 7)
 
@@ -167,14 +167,21 @@ def word_scores(model: SubwordModel, data: np.ndarray, offsets: np.ndarray) -> t
     return (_means(model.weights[bucket], of, spans.shape[1]) + model.bias)[inverse], doc
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str, positives: int, negatives: int) -> DataFrame:
-    """(text, label): a bounded sample of labelled documents outside fold 0, in the order of a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, column: str, positives: int, negatives: int, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, label): a bounded sample of labelled documents outside fold 0, in the order of the id.
+
+    Ids are drawn by a hash. Of rows that share an id one is taken, by a hash of the text; texts of more than `most_chars`
+    characters are not learned from. So rows and bytes are bounded, however often an id occurs and however long texts are.
+    """
     marked = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     marked = marked.groupBy("doc_id").agg(F.max(column).alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(5)))
     picked = [marked.filter(F.col("label") == c).orderBy("draw", "doc_id").limit(n) for c, n in ((1, positives), (0, negatives))]
     # the bound on the sample is the bound on what is broadcast
     sample = F.broadcast(picked[0].union(picked[1]).select(F.col("doc_id").alias("label_doc"), "label"))
-    return docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("label_doc")).select("text", "label")
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_chars)
+    rows = short.join(sample, F.col("doc_id") == F.col("label_doc"))
+    one = rows.groupBy("label_doc", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.orderBy("label_doc").select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000) -> SubwordModel:

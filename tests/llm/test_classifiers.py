@@ -102,3 +102,17 @@ def test_language_takes_awkward_rows(spark):
 
 def test_letters_of_any_script():
     assert language.has_letter(pa.array(["abc", "12 ½", "日", None, "", "é", "!\u0301"])).tolist() == [True, False, True, False, False, True, False]
+
+
+def test_hot_ids_do_not_grow_the_samples(spark):
+    words = "the quick brown fox jumps over lazy dogs while every good clerk writes".split()
+    rows = [(1, f"{words[i % 12]} {words[i * 7 % 12]} hot {i}", "en", None, None) for i in range(3000)] + [(2, "the same row again", "de", None, None)] * 3000
+    rows += [(i, f"{words[i % 12]} text {i}", "en" if i % 2 else "de", None, None) for i in range(3, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(1, 400)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, marks, "toxic", 50, 80)
+    assert got.count() == 130
+    sample = language._sample(language.learnable(docs), 60).groupBy("lang").count().collect()
+    assert {r["lang"] for r in sample} == {"en", "de"} and all(r["count"] <= 60 for r in sample)
+    long = spark.createDataFrame([(6, "x" * 30, "en"), (7, "short", "en")], "doc_id long, text string, lang string")
+    assert [r.text for r in language._sample(long, 5, most_chars=10).collect()] == ["short"]
