@@ -166,14 +166,22 @@ POISSON_CDF = (
 )
 
 
+def fixed(v: str) -> str:
+    """A value as a whole multiple of 2^-40, so that sums do not depend on the order of rows."""
+    return f"CAST(floor(({v}) * 1099511627776e0) AS HUGEINT)"
+
+
 def boot(src: str, value: str, order: str, n_boot: int = 500, seed: int = 42, name: str = "boot",
          group: str | None = None) -> str:
     """CTEs `<name>(group, b, mean)`: bootstrap means of `value` over rows of `src` with the integer key `order`."""
     g = group or "1"
-    return f"""{name}_u AS (SELECT {g} AS g, {value} AS v, b, {draw(seed, 'b', order)} / 2147483647e0 AS u
-    FROM {src}, (SELECT unnest(range({n_boot})) AS b) WHERE {value} IS NOT NULL),
-{name}_w AS (SELECT g, b, v, {' + '.join(f'CAST(u >= {c!r}::DOUBLE AS INTEGER)' for c in POISSON_CDF)} AS w FROM {name}_u),
-{name} AS (SELECT g, b, sum(v * w) / sum(w) AS mean FROM {name}_w GROUP BY 1, 2 HAVING sum(w) > 0)"""
+    low = 1 << 30
+    return f"""{name}_v AS (SELECT {g} AS g, {order} AS i, {fixed(value)} AS v FROM {src} WHERE {value} IS NOT NULL),
+{name}_u AS (SELECT g, ((v % {low}) + {low}) % {low} AS lo, v, b, {draw(seed, 'b', 'i')} / 2147483647e0 AS u
+    FROM {name}_v, (SELECT unnest(range({n_boot})) AS b)),
+{name}_w AS (SELECT g, b, (v - lo) // {low} AS hi, lo, {' + '.join(f'CAST(u >= {c!r}::DOUBLE AS INTEGER)' for c in POISSON_CDF)} AS w FROM {name}_u),
+{name} AS (SELECT g, b, (CAST(sum(hi * w) AS DOUBLE) * {low}e0 + CAST(sum(lo * w) AS DOUBLE)) / 1099511627776e0 / sum(w) AS mean
+  FROM {name}_w GROUP BY 1, 2 HAVING sum(w) > 0)"""
 
 
 SIGNALS = LEDGER + """,

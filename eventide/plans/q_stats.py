@@ -8,7 +8,7 @@ from eventide.functions import scalars as sc
 from eventide.functions.rounding import rnd
 from eventide.operators import audits, metrics, models, resample, trades
 from eventide.plans import inputs
-from eventide.plans.oracle_base import EVTS, LEDGER, SHORT, SIGNALS, STUDIES, boot, draw, r, student_p
+from eventide.plans.oracle_base import EVTS, LEDGER, SHORT, SIGNALS, STUDIES, boot, draw, fixed, r, student_p
 from eventide.plans.q_features import _RISK, risk_frame
 from eventide.plans.q_trades import _STRATA, _COST, primary_trades, short_preds, signal_ledger, traded_ledger
 from eventide.session import stable
@@ -70,10 +70,10 @@ def strategy_bootstrap(spark, sf):
     return _rounded(ci.withColumns({"observed_mean": one.select("mean").scalar(), "t_stat": one.select("t_stat").scalar()}))
 
 
-@register("sign_permutation", f"""WITH {SHORT}, v AS (SELECT rsr AS v, catalyst_id AS i FROM top20),
-m AS (SELECT b, avg(CASE WHEN {draw(42, 'b', 'i')} % 2 = 0 THEN v ELSE -v END) AS m FROM v,
+@register("sign_permutation", f"""WITH {SHORT}, v AS (SELECT {fixed('rsr')} AS v, catalyst_id AS i FROM top20),
+m AS (SELECT b, sum(CASE WHEN {draw(42, 'b', 'i')} % 2 = 0 THEN v ELSE -v END) AS m FROM v,
   (SELECT unnest(range(2000)) AS b) GROUP BY 1)
-SELECT {r('avg(CASE WHEN m >= (SELECT avg(v) FROM v) THEN 1e0 ELSE 0e0 END)')} AS permutation_p FROM m""")
+SELECT {r('avg(CASE WHEN m >= (SELECT sum(v) FROM v) THEN 1e0 ELSE 0e0 END)')} AS permutation_p FROM m""")
 def sign_permutation(spark, sf):
     return _rounded(resample.sign_permutation(primary_trades(spark, sf), "realized_short_return", "catalyst_id"))
 
