@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.operators import models
+from eventide.operators.windows import Scaler
 
 MIN_CALIBRATION = 3
 
@@ -45,7 +46,12 @@ def _one_hot(df: DataFrame, categories: dict[str, tuple[str, list[str]]]) -> tup
 def fit(train: DataFrame, validation: DataFrame | None, nums: Sequence[str], cats: Sequence[str], label: str) -> Classifier:
     categories = _modes(train, cats)
     hot, names = _one_hot(train, categories)
-    score = models.fit_logistic(hot, [*nums, *names], label)
+    rows = hot.filter(F.col(label).isNotNull())
+    # numbers are imputed and scaled, 0/1 columns stay as they are
+    of_nums = models.fit_scaler(rows, nums)
+    zero, one = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+    scaler = Scaler([*of_nums.cols, *names], {**of_nums.median, **zero}, {**of_nums.mean, **zero}, {**of_nums.scale, **one})
+    score = models.fit_logistic(hot, scaler.cols, label, scaler=scaler)
     calibrator = None
     if validation is not None:
         n, k = validation.agg(F.count(label), F.sum(label)).first()
@@ -67,9 +73,9 @@ def score(df: DataFrame, m: Classifier, keep: Sequence[str]) -> DataFrame:
     return out.select(*keep, "p_raw", "p")
 
 
-def cross_validate(df: DataFrame, nums: Sequence[str], cats: Sequence[str], label: str, id_col: str, k: int) -> DataFrame:
-    """Out-of-fold probabilities; the fold is a hash of the id (k = n gives leave-one-out on small frames)."""
-    folded = df.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(k)))
+def cross_validate(df: DataFrame, nums: Sequence[str], cats: Sequence[str], label: str, id_col: str, k: int, fold: Column | None = None) -> DataFrame:
+    """Out-of-fold probabilities; the fold is a hash of the id unless given (k = n gives leave-one-out on small frames)."""
+    folded = df.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(k)) if fold is None else fold)
     parts = []
     for i in range(k):
         m = fit(folded.filter(F.col("_fold") != i), None, nums, cats, label)

@@ -17,12 +17,13 @@ def _solved(matrix: str, k: int) -> str:
     )
 
 
-def scaled(name: str, rows: str, cols: Sequence[str], balanced: bool = True) -> str:
-    """CTEs <name>_r, _s and _z: rows, parameters of the scaler, scaled rows with class weights."""
+def scaled(name: str, rows: str, cols: Sequence[str], balanced: bool = True, plain: Sequence[str] = ()) -> str:
+    """CTEs <name>_r, _s and _z: rows, parameters of the scaler, scaled rows with class weights. `plain` columns stay as they are."""
     weight = "count(*) OVER (PARTITION BY win) / (2e0 * count(*) OVER (PARTITION BY win, y))" if balanced else "1e0"
     med = ", ".join(f"coalesce(quantile_cont(CAST({c} AS DOUBLE), 0.5), 0e0) AS m_{c}" for c in cols)
     filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in cols)
-    stats = ", ".join(f"avg({c}) AS a_{c}, CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1e0 END AS s_{c}" for c in cols)
+    stats = ", ".join(
+        f"0e0 AS a_{c}, 1e0 AS s_{c}" if c in plain else f"avg({c}) AS a_{c}, CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1e0 END AS s_{c}" for c in cols)
     z = ", ".join(f"({c} - a_{c}) / s_{c} AS x{i + 1}" for i, c in enumerate(cols))
     return f"""{name}_r AS MATERIALIZED (SELECT win, CAST(y AS DOUBLE) AS y, {', '.join(cols)} FROM ({rows})),
 {name}_m AS MATERIALIZED (SELECT win, {med} FROM {name}_r GROUP BY win),
@@ -47,7 +48,7 @@ def ridge(name: str, rows: str, cols: Sequence[str], alpha: float) -> str:
   FROM (SELECT z.win, y_mean, {sums} FROM {name}_z z JOIN (SELECT win, y_mean FROM {name}_s) USING (win) GROUP BY z.win, y_mean)))"""
 
 
-def logistic(name: str, rows: str, cols: Sequence[str], balanced: bool = True, steps: int = 14) -> str:
+def logistic(name: str, rows: str, cols: Sequence[str], balanced: bool = True, plain: Sequence[str] = (), steps: int = 14) -> str:
     """L2 logistic (C = 1, free intercept) by `steps` Newton steps from 0. Needs WITH RECURSIVE."""
     xs = ["1e0", *(f"x{i + 1}" for i in range(len(cols)))]
     sums, k = _sums(xs, "w * p * (1 - p)", "w * (p - y)")
@@ -56,7 +57,7 @@ def logistic(name: str, rows: str, cols: Sequence[str], balanced: bool = True, s
         "[" + ", ".join([f"h{min(i, j)}_{max(i, j)}" + (" + 1e0" if i == j and i else "") for j in range(k)] + [f"g{i}" + (f" + b[{i + 1}]" if i else "")]) + "]"
         for i in range(k)
     )
-    return f"""{scaled(name, rows, cols, balanced)},
+    return f"""{scaled(name, rows, cols, balanced, plain)},
 {name}_it AS (SELECT 0 AS it, win, {[0.0] * k}::DOUBLE[] AS b FROM (SELECT win FROM {name}_z GROUP BY win HAVING count(DISTINCT y) = 2)
 UNION ALL SELECT it + 1, win, list_transform(b, lambda v, i: v - s[i][{k + 1}]) FROM (SELECT it, win, b, {_solved(f'[{m}]', k)} AS s FROM (
   SELECT it, win, b, {sums} FROM (SELECT i.it, i.win, i.b, z.* EXCLUDE (win), 1 / (1 + exp(-({line}))) AS p

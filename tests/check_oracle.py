@@ -47,7 +47,7 @@ def compare(spark, con, sf, query, sql):
     want = rows_of(ocols, res.fetchall())
     t = time.time() - t
     if got == want:
-        return "ok", len(got), t
+        return ("ok" if got else "EMPTY on both sides"), len(got), t
     diff = [(g, w) for g, w in zip(got, want) if g != w][:2]
     return f"DIFF {len(got)} vs {len(want)} rows; first {diff}", len(got), t
 
