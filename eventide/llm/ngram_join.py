@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import text_kernel as tk
@@ -33,7 +33,7 @@ HASHES = 16
 WINDOW, SEEN, COMMON = 2_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
 BLOCK, MEMBERS = 4096, 256
-#: 64-bit words of a parity bitmap.
+#: 64-bit words of a parity bitmap, at most, inside the lists.
 WORDS = 32
 _FACTORS = tk.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _MINS = [f"m{i}" for i in range(HASHES)]
@@ -76,10 +76,70 @@ def parity_bitmaps(tokens: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def may_link(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def fold(bits: np.ndarray, words: np.ndarray, to: int) -> np.ndarray:
+    """Bitmaps, padded with zeros, of `words` words each, cut to `to` words: the halves of a parity bitmap add up bit by bit."""
+    out = bits.copy()
+    words = words.copy()
+    while (words > to).any():
+        w = int(words.max())
+        rows = np.flatnonzero(words == w)
+        out[rows, : w // 2] ^= out[rows, w // 2 : w]
+        out[rows, w // 2 : w] = 0
+        words[rows] = w // 2
+    return out[:, :to]
+
+
+def sized_bitmaps(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set a parity bitmap of as many bits as it has tokens (the next power of two, one word at least): wide enough to tell
+    sets apart, and an eighth of a byte a token."""
+    n = len(sizes)
+    bits = parity_bitmaps(tokens, of, n)
+    words = np.maximum(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 64) // 64
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out: list[bytes] = [b""] * n
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        if w <= WORDS:
+            for r, b in zip(rows.tolist(), fold(bits[rows], np.full(len(rows), WORDS), w), strict=True):
+                out[r] = b.tobytes()
+        else:
+            for r in rows.tolist():
+                odd = (np.bincount((tokens[at[r] : at[r + 1]] % np.uint64(64 * w)).astype(np.int64), minlength=64 * w) & 1).astype(bool)
+                out[r] = np.packbits(odd, bitorder="little").tobytes()
+    return out
+
+
+def bitmap_rows(column: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of different lengths as rows padded with zeros, and their words; longer ones than `most` words are folded."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    words = np.diff(offsets) // 8
+    out = np.zeros((len(column), most or int(words.max(initial=1))), np.uint64)
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        wide = raw[offsets[rows][:, None] + np.arange(8 * w)].view(np.uint64)
+        k = min(w, out.shape[1])
+        out[rows, :k] = fold(wide, np.full(len(rows), w), k)
+    return out, np.minimum(words, out.shape[1])
+
+
+def may_link(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, words: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of sets the bitmaps leave open: their bound on the intersection reaches the required one."""
-    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-    return (size[i] + size[j] - differ) // 2 >= required(size[i], size[j], percent)
+    return most_common(size, bits, i, j, words) >= required(size[i], size[j], percent)
+
+
+def most_common(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """The most tokens that each pair can share; bitmaps of different widths are compared at the smaller one."""
+    if words is None:
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    else:
+        differ = np.zeros(len(i), np.int64)
+        least = np.minimum(words[i], words[j])
+        for w in np.unique(least).tolist():
+            at = np.flatnonzero(least == w)
+            a, b = (fold(bits[x[at]], words[x[at]], w) for x in (i, j))
+            differ[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (size[i] + size[j] - differ) // 2
 
 
 def required(a, b, percent: int):
@@ -102,7 +162,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for i in range(HASHES if len(some) else 0):
                     mins[i, some] = np.minimum.reduceat(tokens * _FACTORS[i], at).view(np.int64)
                 none = pa.nulls(len(sizes), pa.int64())
-                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none, pa.array([r.tobytes() for r in parity_bitmaps(tokens, of, len(sizes))], pa.binary())]
+                columns = [ids.slice(first, len(sizes)), pa.array(set_ids, mask=sizes == 0), pa.array(sizes), *map(pa.array, mins), none, none, pa.array(sized_bitmaps(tokens, of, sizes), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 window.append(tokens)
                 held += len(tokens)
@@ -211,7 +271,7 @@ def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, perce
     rows = written(entries.join(info, "set_id", "left").select("token", "set_id", "packed", F.coalesce("unit", "set_id").alias("unit"), own), "placed")
     crossing = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count")).filter("lo <> hi")
     crossing = crossing.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(crossing, "token").join(marks.select("set_id", "bitmap"), "set_id")
+    rows = rows.join(crossing, "token").join(_folded(marks), "set_id")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("token", "side", other, "unit", "component", "packed", "bitmap").select(
@@ -225,7 +285,8 @@ def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, perce
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WORDS)
+            bits, words = bitmap_rows(batch.column(7), WORDS)
+            rows = np.concatenate([rows, words[None, :]])
             if held is not None:
                 rows, bits = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], bits])
             before = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))
@@ -247,6 +308,18 @@ def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, perce
     return parted.mapInArrow(pairs, "ua long, ub long").distinct()
 
 
+def _folded(marks: DataFrame) -> DataFrame:
+    """set_id and its bitmap, WORDS words at most: lists carry one with every entry."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, words = bitmap_rows(batch.column(1), WORDS)
+            short = pa.array([b[:w].tobytes() for b, w in zip(bits, words.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), short], ["set_id", "bitmap"])
+
+    return marks.select("set_id", "bitmap").mapInArrow(cut, "set_id long, bitmap binary")
+
+
 def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 32) -> np.ndarray:
     """Candidate unit pairs of whole lists, sorted by key, side and unit."""
     n = rows.shape[1]
@@ -255,7 +328,7 @@ def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 3
     new = np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
     group = np.cumsum(new) - 1
     count = np.bincount(group)
-    _, one, two, side, unit, comp, packed = rows
+    _, one, two, side, unit, comp, packed, words = rows
     size, rest = packed >> 32, (packed >> 32) - (packed & 0xFFFFFFFF)
     across = one != two
     found = [np.zeros((2, 0), np.int64)]
@@ -269,21 +342,21 @@ def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 3
         keep = (comp[i] != comp[j]) & ~(across[i] & (side[i] == side[j]))
         keep &= np.minimum(rest[i], rest[j]) >= required(size[i], size[j], percent)
         i, j = i[keep], j[keep]
-        keep = may_link(size, bits, i, j, percent)
+        keep = may_link(size, bits, i, j, percent, words)
         found.append(np.stack([unit[i[keep]], unit[j[keep]]]))
     starts = np.flatnonzero(new)
     for g in np.flatnonzero(count > short):
         at = slice(starts[g], starts[g] + count[g])
-        found.append(_long_list(unit[at], comp[at], size[at], rest[at], side[at], bits[at], bool(across[starts[g]]), percent))
+        found.append(_long_list(unit[at], comp[at], size[at], rest[at], side[at], bits[at], words[at], bool(across[starts[g]]), percent))
     return np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
 
 
-def _long_list(unit, comp, size, rest, side, bits, across: bool, percent: int, block: int = 256) -> np.ndarray:
+def _long_list(unit, comp, size, rest, side, bits, words, across: bool, percent: int, block: int = 256) -> np.ndarray:
     """Pairs of one long list, ordered by position and cut in blocks; two blocks are skipped when the tokens that their
     positions leave cannot reach the overlap that their sizes require."""
     found = [np.zeros((2, 0), np.int64)]
     by = np.argsort(-rest, kind="stable")
-    size, rest, unit, comp, side, bits = (x[by] for x in (size, rest, unit, comp, side, bits))
+    size, rest, unit, comp, side, bits, words = (x[by] for x in (size, rest, unit, comp, side, bits, words))
     edges = list(range(0, len(unit), block))
     low = np.minimum.reduceat(size, edges)
     for p, a in enumerate(edges):
@@ -300,7 +373,7 @@ def _long_list(unit, comp, size, rest, side, bits, across: bool, percent: int, b
                 ok &= x[:, None] < y
             i, j = np.nonzero(ok)
             i, j = x[i], y[j]
-            keep = may_link(size, bits, i, j, percent)
+            keep = may_link(size, bits, i, j, percent, words)
             found.append(np.unique(np.sort(np.stack([unit[i[keep]], unit[j[keep]]]), axis=0), axis=1))
     return np.concatenate(found, axis=1)
 
@@ -329,7 +402,7 @@ def _both(pairs: DataFrame, tokens: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(one, a).join(two, b)
 
 
-def _set(raw: bytes) -> np.ndarray:
+def _set(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
@@ -338,6 +411,11 @@ def _hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
 
+def _sketch() -> Column:
+    """A byte of each min-hash, in one binary value: enough to rank leaders, which only decides the amount of work."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.pmod(m, F.lit(256))), 2, "0") for m in _MINS]))
+
+
 def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8, kept: int = 3) -> DataFrame:
     """(a, leader): each set with the most central sets of every run of equal min-hashes that it is in, one for each
     hashed part of the run.
@@ -356,25 +434,59 @@ def likely_pairs(sets: DataFrame, runs: int = 4, parts: int = 8, equal: int = 8,
     top = top.select("i", "m", "leader")
     pairs = each.join(top, ["i", "m"]).filter("set_id <> leader").select(F.col("set_id").alias("a"), "leader").distinct()
     for side in ("a", "leader"):
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.array(*_MINS).alias(f"mins_{side}")), side)
-    same = F.size(F.filter(F.zip_with("mins_a", "mins_leader", lambda x, y: x == y), lambda x: x))
-    pairs = pairs.select("a", "leader", same.alias("same")).filter(F.col("same") >= equal)
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), _sketch().alias(f"sketch_{side}")), side)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sketch_a", "sketch_leader"))
+            same = (x == y).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("leader"), pa.array(same)], ["a", "leader", "same"])
+
+    pairs = pairs.select("a", "leader", "sketch_a", "sketch_leader").mapInArrow(count, "a long, leader long, same int").filter(F.col("same") >= equal)
     # a set has runs * parts leaders at most; whole sets are read for its most alike ones only
     best = F.slice(F.sort_array(F.collect_list(F.struct("same", "leader")), asc=False), 1, kept)
     return pairs.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.leader").alias("leader"))
 
 
-def leader_answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, similar: int) -> DataFrame:
+def open_pairs(pairs: DataFrame, marks: DataFrame, a: str, b: str, percent: int, bounds: bool = False) -> DataFrame:
+    """The pairs that the bitmaps of their two sets leave open, before whole sets are shuffled. With `bounds`, a pair of units stays
+    if any two of their members may be similar (columns adds_* and least_*)."""
+    for side, name in (("a", a), ("b", b)):
+        pairs = pairs.join(marks.select(F.col("set_id").alias(name), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bits_{side}")), name)
+    kept = [c for c in pairs.columns if c not in ("n_a", "n_b", "bits_a", "bits_b")]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            size = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+            column = pa.chunked_array([batch.column("bits_a"), batch.column("bits_b")]).combine_chunks()
+            bits, words = bitmap_rows(column)
+            i, j = np.arange(n), np.arange(n) + n
+            both = most_common(size, bits, i, j, words)
+            keep = both >= required(size[i], size[j], percent)
+            if bounds:
+                limits = zip(*(batch.column(c).to_pylist() for c in ("adds_a", "adds_b", "least_a", "least_b")), strict=True)
+                for row, (adds_a, adds_b, least_a, least_b) in enumerate(limits):
+                    if not keep[row] and (least_a or least_b):
+                        keep[row] = within_bound(int(size[row]), int(size[n + row]), int(both[row]), (adds_a, least_a), (adds_b, least_b), percent)
+            yield batch.select(kept).filter(pa.array(keep))
+
+    return pairs.mapInArrow(check, pairs.select(*kept).schema)
+
+
+def leader_answers(docs: DataFrame, sets: DataFrame, marks: DataFrame, k: int, percent: int, similar: int) -> DataFrame:
     """(a, leader, na, lacks, adds, alike) of the likely pairs that are similar. lacks and adds hold the tokens of the leader that a
     lacks, and those it adds; alike says that the pair is highly similar."""
-    pairs = written(likely_pairs(sets), "leaders")
+    pairs = written(open_pairs(likely_pairs(sets), marks, "a", "leader", percent), "leaders")
     tokens = written(tokens_of(docs, sets, pairs.select(F.col("a").alias("set_id")).union(pairs.select("leader")), k), "tokens")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, leader, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "leader", "ta", "tb")), strict=True):
-                x, y = _set(ta), _set(tb)
+            for a, leader, ta, tb in zip(*(batch.column(c) for c in ("a", "leader", "ta", "tb")), strict=True):
+                a, leader, x, y = a.as_py(), leader.as_py(), _set(ta.as_buffer()), _set(tb.as_buffer())
                 in_y, in_x = _hits(x, y), _hits(y, x)
                 both, union = int(in_y.sum()), len(x) + len(y) - int(in_y.sum())
                 if 100 * both >= percent * union:
@@ -393,21 +505,22 @@ def within_bound(na: int, nb: int, both: int, a: tuple[int | None, int | None],
     return both + (a[0] or 0) + (b[0] or 0) >= least
 
 
-def unit_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+def unit_links(docs: DataFrame, sets: DataFrame, marks: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """The unit pairs between which at least one pair of sets is similar, answered through the leaders."""
-    tokens = written(tokens_of(docs, sets, pairs.select(F.col("ua").alias("set_id")).union(pairs.select("ub")), k), "tokens")
     stats = members.groupBy("unit").agg(F.max(F.length("adds") / 8).cast("long").alias("adds"), F.min("na").alias("least"), F.count("*").alias("members"))
     bounded = pairs
     for side in "ab":
         bounded = bounded.join(stats.select(F.col("unit").alias(f"u{side}"), F.col("adds").alias(f"adds_{side}"), F.col("least").alias(f"least_{side}")), f"u{side}", "left")
-
+    bounded = written(open_pairs(bounded, marks, "ua", "ub", percent, bounds=True), "open_units")
+    tokens = written(tokens_of(docs, sets, bounded.select(F.col("ua").alias("set_id")).union(bounded.select("ub")), k), "tokens")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ua", "ub", "ta", "tb", "adds_a", "adds_b", "least_a", "least_b")
         for batch in batches:
             rows = []
-            for ua, ub, ta, tb, adds_a, adds_b, least_a, least_b in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                x, y = _set(ta), _set(tb)
+            sets_of = (batch.column(c) for c in ("ta", "tb"))
+            for ua, ub, ta, tb, adds_a, adds_b, least_a, least_b in zip(*(batch.column(c).to_pylist() for c in names[:2]), *sets_of, *(batch.column(c).to_pylist() for c in names[4:]), strict=True):
+                x, y = _set(ta.as_buffer()), _set(tb.as_buffer())
                 both = int(_hits(x, y).sum())
                 linked = both >= required(len(x), len(y), percent)
                 if linked or ((least_a or least_b) and within_bound(len(x), len(y), both, (adds_a, least_a), (adds_b, least_b), percent)):
@@ -471,16 +584,17 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, similar:
     signed = written(signatures(docs, k), "signatures")
     named = signed.filter("doc_id is not null and set_id is not null")
     sets = written(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in _MINS]), "sets")
-    answers = leader_answers(docs, sets, k, percent, similar)
+    marks = named.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select("set_id", "n", "bitmap")
+    marks = written(marks.dropDuplicates(["set_id"]), "marks")
+    answers = leader_answers(docs, sets, marks, k, percent, similar)
     alike = answers.filter("alike and leader < a")
     members = alike.join(alike.select(F.col("a").alias("leader")), "leader", "left_anti").groupBy("a").agg(F.min("leader").alias("unit"))
     members = written(members.join(alike, (members.a == alike.a) & (members.unit == alike.leader)).select(members.a, "unit", "na", "lacks", "adds"), "members")
     connected = connected_components(answers.select("a", "leader"), "a", "leader")
     info = connected.select(F.col("node").alias("set_id"), "component").join(members.select(F.col("a").alias("set_id"), "unit"), "set_id", "left")
     entries = written(shared_lists(prefixes(docs, k, percent, common_tokens(signed))), "lists")
-    marks = named.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select("set_id", "bitmap")
     pairs = written(candidate_units(entries, info, marks, percent), "unit_pairs")
-    links = unit_links(docs, sets, pairs, members, k, percent)
+    links = unit_links(docs, sets, marks, pairs, members, k, percent)
     edges = answers.select("a", F.col("leader").alias("b")).union(links)
     parts = connected_components(edges, "a", "b")
     placed = sets.select("set_id", "rep").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
