@@ -29,8 +29,10 @@ from eventide.llm.id_filter import id_bitmap, wanted
 from eventide.llm.tables import written
 
 HASHES = 16
+#: Bytes of text that a task works on at once; several arrays of 8 bytes a byte of text exist at a time.
+TEXT = 1 << 18
 #: Tokens per window in which a mapper looks for common ones; how often one must occur there; how many are kept.
-WINDOW, SEEN, COMMON = 2_000_000, 3, 100_000
+WINDOW, SEEN, COMMON = 1_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
 BLOCK, MEMBERS = 4096, 256
 #: 64-bit words of a parity bitmap, at most, inside the lists.
@@ -45,7 +47,7 @@ def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.n
     Words are runs of anything but ASCII white space, with A-Z lower-cased; tokens are hashes of k
     consecutive words. A set id is a 64-bit hash of the whole set and its size.
     """
-    for first, end, data, offsets in tk.chunks(column):
+    for first, end, data, offsets in tk.chunks(column, TEXT):
         lowered = tk.LOWER[data]
         starts, ends, doc = tk.words(lowered, offsets, tk.NOT_WHITE)
         n_docs = end - first
