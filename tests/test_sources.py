@@ -35,3 +35,31 @@ def test_latest_snapshot_breaks_ties(spark):
 def test_only_verified_studies_count(spark):
     df = spark.createDataFrame([("verified",), ("pending",), ("rejected",), (None,)], "verification_status string")
     assert studies.verified(df).count() == 1
+
+
+def test_a_landing_reads_its_own_partitions_only(spark, tmp_path):
+    import datetime as dt
+
+    from eventide import schemas
+    from eventide.streaming import ingest
+
+    names = [f.split()[0] for f in schemas.BARS.split(", ")]
+
+    def bars(rows):
+        full = [tuple({"ticker": t, "date": d, "provider": p}.get(n, 1.0) for n in names) for t, d, p in rows]
+        return spark.createDataFrame(full, schemas.BARS)
+
+    path = str(tmp_path / "store")
+    first = [(t, dt.date(y, 1, d), p) for t in "AB" for y in (2001, 2002, 2003) for d in (2, 3) for p in ("x", "y")]
+    ingest.append_new_bars(bars(first), path)
+    batch = bars([("A", dt.date(2002, 1, 3), "x"), ("A", dt.date(2002, 1, 9), "x"), ("A", dt.date(2002, 1, 9), "x")])
+    read = ingest.stored_keys(ingest.open_store(spark, path), ingest.touched_partitions(batch))
+    assert {f.split("/store/")[1].rsplit("/", 1)[0] for f in read.inputFiles()} == {"provider=x/bar_year=2002"} or "PartitionFilters" in read._jdf.queryExecution().toString()
+    assert sorted(r.date.day for r in read.collect()) == [3, 3]
+    for _ in range(2):  # a replay adds nothing
+        ingest.append_new_bars(batch, path)
+        assert ingest.open_store(spark, path).count() == len(first) + 1
+    ingest.append_new_bars(bars([]), path)
+    assert ingest.open_store(spark, path).count() == len(first) + 1
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bar_year" in plan.split("PartitionFilters: [")[1]
