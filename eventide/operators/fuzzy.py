@@ -2,6 +2,9 @@
 
 Names repeat far more often than rows, so similarity is scored once per distinct pair of names that
 share a ticker and come from neighbouring years. Scored pairs are then joined to the dated rows.
+
+Most pairs are ruled out before they are scored, inside the join, by a bound that never exceeds the edit distance: letters that
+one name has and the other lacks. A busy ticker is dealt over as many tasks as its number of pairs asks for.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ DUPLICATE_SCORE = 0.6
 EXACT_DAYS, CLOSE_DAYS, MODERATE_DAYS = 7, 30, 90
 SUGGEST_SCORE, SUGGEST_DAYS = 0.7, 30
 INFERRED_SOURCES = ("INFERRED_T0_PLUS_18MO", "INFERRED_CTGOV_RESULTS", "LEGACY_UNTAGGED")
-SALT = 16
+#: Pairs of names that one task compares, about.
+PAIRS_A_TASK = 2_000_000
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -36,32 +40,56 @@ def _year_block(date: str) -> Column:
     return F.floor(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) / (WINDOW_DAYS + 1))
 
 
-def possible(a: Column, b: Column, floor: float) -> Column:
-    """False only where lengths alone rule the floor out: the edit distance is at least their difference."""
-    la, lb = F.length(a), F.length(b)
-    return a.contains(b) | b.contains(a) | (F.least(la, lb) >= F.lit(floor) * F.greatest(la, lb))
+def letters(name: Column) -> Column:
+    """A 64-bit signature: for each letter a-z whether it occurs once and whether it occurs again, and which digits occur (0 and 1
+    as one, 2 and 3, ...), with the last bit for any other character but a space."""
+    kinds = [(chr(c), 2) for c in range(ord("a"), ord("z") + 1)]
+    out, bit = F.lit(0).cast("long"), 0
+    for c, most in kinds:
+        n = F.length(name) - F.length(F.replace(name, F.lit(c), F.lit("")))
+        for k in range(1, most + 1):
+            out = out.bitwiseOR(F.when(n >= k, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+            bit += 1
+    for low in range(0, 10, 2):
+        out = out.bitwiseOR(F.when(name.rlike(f"[{low}{low + 1}]"), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        bit += 1
+    return out.bitwiseOR(F.when(name.rlike("[^a-z0-9 ]"), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+
+
+def least_edits(a: Column, b: Column, sig_a: Column, sig_b: Column) -> Column:
+    """A lower bound of the edit distance: each edit adds at most one letter of a signature to a name, or takes one from it."""
+    lacks = F.greatest(F.bit_count(sig_a.bitwiseAND(F.bitwise_not(sig_b))), F.bit_count(sig_b.bitwiseAND(F.bitwise_not(sig_a))))
+    return F.greatest(lacks, F.abs(F.length(a) - F.length(b)))
+
+
+def possible(a: Column, b: Column, sig_a: Column, sig_b: Column, floor: float) -> Column:
+    """False only where the bound on the edit distance rules the floor out and neither name contains the other."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return (F.lit(1.0) - least_edits(a, b, sig_a, sig_b) / longest >= floor) | a.contains(b) | b.contains(a)
+
+
+def candidate_names(left: DataFrame, right: DataFrame, dated: bool = True, floor: float = MIN_SCORE) -> DataFrame:
+    """(ticker, name, other) of distinct names sharing a ticker (and, when dated, lying within neighbouring year blocks) that may
+    reach `floor`. The names of a key are dealt out by its number of pairs, so ordinary keys are not copied."""
+    cols = ["ticker", "block"] if dated else ["ticker"]
+    block = {"block": F.explode(F.array(*[_year_block("event_date") + d for d in (-1, 0, 1)]))} if dated else {}
+    l = left.select(*cols, "name").distinct()
+    r = right.withColumns(block).select(*cols, F.col("name").alias("other")).distinct()
+    count = {side: df.groupBy(*cols).agg(F.count("*").alias(f"_n_{side}")) for side, df in (("l", l), ("r", r))}
+    salts = F.ceil(F.col("_n_l") * F.col("_n_r") / PAIRS_A_TASK).cast("int")
+    busy = count["l"].join(count["r"], cols).select(*cols, F.least(salts, F.col("_n_l").cast("int")).alias("_salts"))
+    l = l.join(busy, cols).withColumn("_salt", F.pmod(F.xxhash64("name"), F.col("_salts")).cast("int")).drop("_salts")
+    r = r.join(busy, cols).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    l, r = l.withColumn("_sig_l", letters(F.col("name"))), r.withColumn("_sig_r", letters(F.col("other")))
+    near_enough = possible(F.col("name"), F.col("other"), F.col("_sig_l"), F.col("_sig_r"), floor)
+    return l.join(r, [*cols, "_salt"]).filter(near_enough).select("ticker", "name", "other").distinct()
 
 
 def scored_names(
     left: DataFrame, right: DataFrame, ratio=levenshtein_ratio, dated: bool = True, floor: float = MIN_SCORE
 ) -> DataFrame:
-    """(ticker, name, other, score) for distinct names sharing a ticker (and, when dated, lying within
-    neighbouring year blocks). Left names are salted so that one busy ticker spreads over tasks; pairs
-    whose lengths rule out `floor` are dropped before they are scored."""
-    cols_l, cols_r = ["ticker", "name"], ["ticker", "other"]
-    if dated:
-        near = F.explode(F.array(*[_year_block("event_date") + d for d in (-1, 0, 1)]))
-        l = left.select("ticker", "name", F.col("block")).distinct()
-        r = right.select("ticker", F.col("name").alias("other"), near.alias("block")).distinct()
-        cols = ["ticker", "block"]
-    else:
-        l = left.select("ticker", "name").distinct()
-        r = right.select("ticker", F.col("name").alias("other")).distinct()
-        cols = ["ticker"]
-    l = l.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int"))
-    r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    near_enough = possible(F.col("name"), F.col("other"), floor)
-    pairs = l.join(r, [*cols, "salt"]).filter(near_enough).select(*cols_l, cols_r[1]).distinct()
+    """(ticker, name, other, score) of the candidate pairs of names. The bound holds for edit ratios, the default."""
+    pairs = candidate_names(left, right, dated, floor)
     return pairs.withColumn("score", similarity(F.col("name"), F.col("other"), ratio))
 
 

@@ -184,3 +184,20 @@ def test_fuzzy_match_by_brute_force(spark):
                 if t == tk.upper() and abs((ed - d).days) <= 365 and score(norm(name), norm(n)) >= 0.45]
         want = (min(cand)[2], round(-min(cand)[0], 3)) if cand else (None, None)
         assert got[cid] == want
+
+
+def test_name_candidates_lose_no_pair_and_are_few(spark):
+    rng = np.random.default_rng(9)
+    alphabet = list("abcdefghijklmnopqrstuvwxyz0123456789 é")
+    names = ["".join(rng.choice(alphabet, int(rng.integers(1, 14)))) for _ in range(150)]
+    names += [n[:-1] + "x" for n in names[:60]] + ["", "aa", "aaa", "alpha mab", "alphamab"]
+    left = spark.createDataFrame([("T", n) for n in names[:120]], "ticker string, name string")
+    right = spark.createDataFrame([("T", n) for n in names], "ticker string, name string")
+    scored = left.join(right.withColumnRenamed("name", "other"), "ticker").withColumn("score", fuzzy.similarity(F.col("name"), F.col("other"), fuzzy.levenshtein_ratio))
+    for floor in (0.45, 0.6):
+        want = {(r.name, r.other) for r in scored.filter(F.col("score") >= floor).collect()}
+        for task in (2_000_000, 50):
+            fuzzy.PAIRS_A_TASK, kept = task, fuzzy.PAIRS_A_TASK
+            got = {(r.name, r.other) for r in fuzzy.candidate_names(left, right, dated=False, floor=floor).collect()}
+            fuzzy.PAIRS_A_TASK = kept
+            assert want <= got and len(got) < (0.5 if floor < 0.5 else 0.25) * scored.count()
