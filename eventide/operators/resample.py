@@ -152,7 +152,11 @@ def bootstrap_means(
     df: DataFrame, value: str, id_col: str, group: Sequence[str] = (), n_boot: int = 500, seed: int = 42
 ) -> DataFrame:
     """(group, b, mean): bootstrap means of `value` per group. A replicate that draws no row of a group has none."""
-    sums = replicate_sums(df, [value], id_col, group, n_boot, seed)
+    return means_of(replicate_sums(df, [value], id_col, group, n_boot, seed), group)
+
+
+def means_of(sums: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, b, mean) of the first value of `replicate_sums`."""
     return sums.filter("n > 0").select(*group, "b", (_total(0) / F.col("n")).alias("mean"))
 
 

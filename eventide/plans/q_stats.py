@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import scalars as sc
 from eventide.functions.rounding import rnd
-from eventide.operators import audits, metrics, models, resample, trades
+from eventide.operators import audits, metrics, models, resample, robustness, trades
 from eventide.plans import inputs
 from eventide.plans.oracle_base import EVTS, LEDGER, SHORT, SIGNALS, STUDIES, boot, draw, fixed, r, student_p
 from eventide.plans.q_features import _RISK, risk_frame
@@ -317,24 +317,43 @@ def volume_audit(spark, sf):
         F.count(F.when(sc.side_of(F.col("trade_signal")) != 0, 1)).alias("n_trades")))
 
 
-@register("robustness_suite", f"""WITH {SHORT}, k AS (SELECT rsr, row_number() OVER (ORDER BY rsr, catalyst_id) AS rn, count(*) OVER () AS n FROM top20)
-SELECT 'n_trades' AS metric, CAST(count(*) AS DOUBLE) AS value FROM k
-UNION ALL SELECT 'winsorized_50pct', {r('avg(greatest(least(rsr, 0.50::DOUBLE), (-0.50)::DOUBLE))')} FROM k
-UNION ALL SELECT 'winsorized_30pct', {r('avg(greatest(least(rsr, 0.30::DOUBLE), (-0.30)::DOUBLE))')} FROM k
-UNION ALL SELECT 'winsorized_20pct', {r('avg(greatest(least(rsr, 0.20::DOUBLE), (-0.20)::DOUBLE))')} FROM k
-UNION ALL SELECT 'trimmed_mean_10pct', {r('avg(rsr) FILTER (WHERE rn > floor(n * 0.1::DOUBLE) AND rn <= n - floor(n * 0.1::DOUBLE))')} FROM k
-UNION ALL SELECT 'loo_worst_mean', {r('(sum(rsr) - max(rsr)) / (count(*) - 1)')} FROM k
-UNION ALL SELECT 't_stat', {r('avg(rsr) / (stddev_samp(rsr) / sqrt(count(*)))')} FROM k""")
+_ERA3 = "CASE WHEN test_year <= 1996 THEN 'early' WHEN test_year <= 1998 THEN 'middle' ELSE 'late' END"
+
+
+def _suite_sql() -> str:
+    def ci(prefix, src):
+        return [(f"{prefix}ci_lo", f"quantile_cont(mean, 0.025)", src), (f"{prefix}ci_hi", "quantile_cont(mean, 0.975)", src),
+                (f"{prefix}p_positive", "avg(CASE WHEN mean > 0 THEN 1e0 ELSE 0e0 END)", src)]
+
+    winsor = [(f"winsorized_{c}pct", f"avg(greatest(least(rsr, 0.{c}::DOUBLE), (-0.{c})::DOUBLE))", "k") for c in (50, 30, 20)]
+    rows = [
+        ("n_trades", "count(*)", "k"), ("n_years", "count(DISTINCT test_year)", "k"), ("observed_mean", "avg(rsr)", "k"), ("t_stat", "any_value(t)", "tt"),
+        *ci("bootstrap_", "boot"), ("permutation_p", "avg(CASE WHEN m >= (SELECT sum(v) FROM v) THEN 1e0 ELSE 0e0 END)", "perm"), *ci("block_", "blocks"),
+        ("loo_worst_mean", "(sum(rsr) - max(rsr)) / (count(*) - 1)", "k"), ("loo_best_mean", "(sum(rsr) - min(rsr)) / (count(*) - 1)", "k"), *winsor,
+        ("trimmed_mean_10pct", "avg(rsr) FILTER (WHERE tr > floor(tn * 0.1::DOUBLE) AND tr <= tn - floor(tn * 0.1::DOUBLE))", "k"),
+    ]
+    plain = "\nUNION ALL ".join(f"SELECT '{name}' AS metric, {r(expr)} AS value FROM {src}" for name, expr, src in rows)
+    eras = "\nUNION ALL ".join(f"SELECT 'era_' || era || '_{name}', {r(expr)} FROM k GROUP BY era" for name, expr in (
+        ("n", "count(*)"), ("mean", "avg(rsr)"), ("win_rate", "avg(CASE WHEN rsr > 0 THEN 1e0 ELSE 0e0 END)")))
+    bounds = "\nUNION ALL ".join(f"SELECT 'era_' || g || '_{name}', {r(f'quantile_cont(mean, {q})')} FROM eb GROUP BY g" for name, q in (("ci_lo", 0.025), ("ci_hi", 0.975)))
+    return f"""WITH {SHORT}, k AS (SELECT *, row_number() OVER (ORDER BY rsr, catalyst_id) AS tr, count(*) OVER () AS tn, {_ERA3} AS era FROM top20),
+tt AS (SELECT avg(rsr) / (stddev_samp(rsr) / sqrt(count(*))) AS t, CAST(count(*) - 1 AS DOUBLE) AS df FROM k),
+{boot('k', 'rsr', 'catalyst_id', 5000)}, {boot('k', 'rsr', 'catalyst_id', 500, name='eb', group='era')},
+v AS (SELECT {fixed('rsr')} AS v, catalyst_id AS i FROM k),
+perm AS (SELECT b, sum(CASE WHEN {draw(42, 'b', 'i')} % 2 = 0 THEN v ELSE -v END) AS m FROM v, (SELECT unnest(range(2000)) AS b) GROUP BY 1),
+y AS (SELECT row_number() OVER (ORDER BY test_year) - 1 AS pos, count(*) OVER () AS n, sum(rsr) AS s, count(*) AS c FROM k GROUP BY test_year),
+slots AS (SELECT b, n, pos AS i FROM y, (SELECT unnest(range(2000)) AS b)), drawn AS (SELECT b, {draw(42, 'b', 'i')} % n AS pos FROM slots),
+blocks AS (SELECT b, sum(s) / sum(c) AS mean FROM drawn JOIN y USING (pos) GROUP BY 1)
+{plain}
+UNION ALL {eras}
+UNION ALL {bounds}
+UNION ALL SELECT 'ttest_p_value', {r(student_p('(SELECT t FROM tt)', '(SELECT df FROM tt)'), 4)}"""
+
+
+@register("robustness_suite", _suite_sql())
 def robustness_suite(spark, sf):
-    t = primary_trades(spark, sf)
-    ret = "realized_short_return"
-    w = metrics.winsorized_means(t, ret, {"winsorized_50pct": 0.5, "winsorized_30pct": 0.3, "winsorized_20pct": 0.2})
-    loo = trades.leave_one_out(t, ret).agg(F.min("mean_without")).scalar()
-    wide = w.withColumns({
-        "n_trades": t.agg(F.count(ret).cast("double")).scalar(),
-        "trimmed_mean_10pct": metrics.trimmed_mean(t, ret, "catalyst_id").select("trimmed_mean").scalar(),
-        "loo_worst_mean": loo,
-        "t_stat": metrics.one_sample_t(t, ret).select("t_stat").scalar(),
-    })
-    long = wide.unpivot([], wide.columns, "metric", "value")
-    return long.select("metric", rnd("value").alias("value"))
+    """Every member of the suite over the primary short strategy."""
+    era = F.when(F.col("test_year") <= 1996, "early").when(F.col("test_year") <= 1998, "middle").otherwise("late")
+    out = robustness.suite(primary_trades(spark, sf), "realized_short_return", "catalyst_id", "test_year", era)
+    places = F.when(F.col("metric") == "ttest_p_value", rnd("value", 4)).otherwise(rnd("value"))
+    return out.select("metric", places.alias("value"))
