@@ -83,6 +83,24 @@ def temporal_split(year: Column) -> Column:
     )
 
 
+def in_t0_window(date: Column, first_year: int, last_year: int) -> Column:
+    """Start dates inside the cohort's years; an unknown date is not held against a program."""
+    year = F.year(date)
+    return F.coalesce(year.between(first_year, last_year), F.lit(True))
+
+
+def phase_has(phase: Column, number: str) -> Column:
+    """A registry phase such as PHASE2 or PHASE1/PHASE2 has the given phase among its parts; false without a phase."""
+    parts = F.split(F.upper(phase), "/")
+    return F.coalesce(F.exists(parts, lambda p: p.contains(number)), F.lit(False))
+
+
+def stage_mentions(stage: Column, *phases: str) -> Column:
+    """A free-text stage mentions one of the phases; false without a stage."""
+    low = F.lower(stage)
+    return F.coalesce(reduce(lambda a, b: a | b, [low.contains(f"phase {p}") for p in phases]), F.lit(False))
+
+
 def effective_public_date(*dates: str) -> Column:
     """Earliest known publication date."""
     return F.least(*dates)

@@ -306,12 +306,10 @@ UNION ALL SELECT 'split_' || CASE WHEN year(d) <= 2016 - 3 THEN 'train' WHEN yea
 def phase_predicates(spark, sf):
     t, c = inputs.trials(spark, sf), _candidates(spark, sf)
     year = F.year("announcement_date")
-    phases = F.split(F.upper("phase"), "/")
-    low = F.lower("stage")
     rules = [
-        ("phase_has_2", t.filter(F.exists(phases, lambda p: p.contains("2")))),
-        ("stage_2_or_3", c.filter(low.contains("phase 2") | low.contains("phase 3"))),
-        ("t0_window", c.filter(year.isNull() | year.between(2010, 2012))),
+        ("phase_has_2", t.filter(cutoffs.phase_has(F.col("phase"), "2"))),
+        ("stage_2_or_3", c.filter(cutoffs.stage_mentions(F.col("stage"), "2", "3"))),
+        ("t0_window", c.filter(cutoffs.in_t0_window(F.col("announcement_date"), 2010, 2012))),
     ]
     out = c.groupBy(F.concat(F.lit("split_"), cutoffs.temporal_split(year + 3)).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
     for name, df in rules:

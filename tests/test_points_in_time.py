@@ -107,3 +107,10 @@ def test_feature_sets_expand_once():
 def test_temporal_split(spark, year, want):
     df = spark.createDataFrame([(year,)], "y int")
     assert df.select(cutoffs.temporal_split(F.col("y"))).first()[0] == want
+
+
+def test_cohort_predicates(spark):
+    rows = [("PHASE1/PHASE2", "Phase 2b", "2011-05-01"), ("phase3", "phase 1", "2014-01-01"), (None, None, None), ("PHASE3", "in PHASE 3", "2010-01-01")]
+    df = spark.createDataFrame(rows, "phase string, stage string, d string").withColumn("d", F.to_date("d"))
+    got = df.select(cutoffs.phase_has(F.col("phase"), "2"), cutoffs.stage_mentions(F.col("stage"), "2", "3"), cutoffs.in_t0_window(F.col("d"), 2010, 2012)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, False, False), (False, False, True), (False, True, True)]
