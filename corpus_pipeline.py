@@ -5,10 +5,15 @@ Every stage judges rows, not ids: a row without doc_id, or with one that other r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import decontamination, ngram_join, packing, quality, toxicity
+from eventide.llm.id_filter import id_bitmap, wanted
 from eventide.llm.queries import _tokenizer
 from eventide.llm.tables import table, written
 
@@ -25,17 +30,55 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: of its rows with the smallest id (rows without one come last) the first by
-    a hash of all columns. Groups are those of texts, so equal texts are one row before they are compared, whatever their ids.
-    Rows whose shingle set is empty are in no group and stay."""
+    a hash of all columns. Groups are those of texts, so equal texts are one, whatever their ids. Rows whose shingle set is
+    empty are in no group and stay.
+
+    Texts are told apart by 128 bits of hashes. Decisions are made on narrow rows; a bitmap of fixed size lets the rows of texts
+    that nothing was decided about pass where they are, so that only the others are shuffled whole.
+    """
+    columns = docs.columns
     full = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("draw"))
-    texts = docs.filter(full).groupBy(F.xxhash64("text").alias("text_key"))
-    texts = written(texts.agg(F.min(order).alias("place"), F.min_by(F.struct(*docs.columns), order).alias("kept")), "texts")
-    found = ngram_join.similar_components(texts.select(F.col("text_key").alias("doc_id"), F.col("kept.text").alias("text")))
-    found = found.select(F.col("doc_id").alias("text_key"), "component_id").join(texts.select("text_key", "place"), "text_key")
-    first = found.groupBy("component_id").agg(F.min(F.struct("place", "text_key")).alias("first")).select("first.text_key")
-    gone = written(texts.select("text_key").join(first, "text_key", "left_anti"), "near_duplicates")
-    return docs.filter(~full).unionByName(texts.join(gone, "text_key", "left_anti").select("kept.*"))
+    keys = {"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit("second"), "text")}
+    place = F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*columns).alias("d1"), F.xxhash64(F.lit("second"), *columns).alias("d2")
+    ).alias("_place")
+    rows = docs.filter(full).withColumns(keys).select("*", place)
+    texts = written(rows.groupBy("_k1", "_k2").agg(F.min("_place").alias("place"), F.count("*").alias("rows")), "texts")
+    found = ngram_join.similar_components(_named(rows, texts).select(F.col("_node").alias("doc_id"), "text"))
+    groups = found.groupBy(F.col("doc_id").alias("_node")).agg(F.min("component_id").alias("component"))
+    grouped = written(_named(texts, texts).join(groups, "_node"), "groups")
+    first = grouped.groupBy("component").agg(F.min(F.struct("place", "_k1", "_k2")).alias("first")).select("first._k1", "first._k2", F.lit(True).alias("stays"))
+    decided = grouped.join(first, ["_k1", "_k2"], "left").filter("stays is null or rows > 1").select("_k1", "_k2", "place", "stays")
+    decided = written(decided, "decided")
+    touched = id_bitmap(decided, "_k1")
+    chosen = _with_bitmap(rows, touched, True).join(decided.filter("stays"), ["_k1", "_k2"]).filter("_place = place or (_place.no_id and place.no_id and _place.d1 = place.d1 and _place.d2 = place.d2)")
+    chosen = chosen.dropDuplicates(["_k1", "_k2"]).select(*columns)
+    spared = _with_bitmap(rows, touched, True).join(decided, ["_k1", "_k2"], "left_anti").select(*columns)
+    passed = _with_bitmap(rows, touched, False).select(*columns)
+    return docs.filter(~full).unionByName(passed).unionByName(spared).unionByName(chosen)
+
+
+def _named(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with `_node`, a 64-bit name of their text: its first hash, or its second one where two texts share the first (none is
+    expected below 10^9 texts, and then nothing is joined)."""
+    clash = texts.groupBy("_k1").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k1", F.lit(True).alias("_clash"))
+    if clash.isEmpty():
+        return rows.withColumn("_node", F.col("_k1"))
+    return rows.join(clash, "_k1", "left").withColumn("_node", F.when(F.col("_clash"), F.col("_k2")).otherwise(F.col("_k1"))).drop("_clash")
+
+
+def _with_bitmap(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose text key may be in the bitmap, or those whose key surely is not."""
+    at = rows.columns.index("_k1")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = wanted(bitmap, batch.column(at).to_numpy()) == inside
+            # kept rows leave in slices, so that long texts are copied a few at a time
+            for first in range(0, batch.num_rows, 256):
+                yield batch.slice(first, 256).filter(pa.array(marks[first : first + 256]))
+
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
