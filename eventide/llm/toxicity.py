@@ -21,6 +21,8 @@ from eventide.llm import text_kernel as tk
 from eventide.llm.tables import SAMPLE_CHARS, fold, rows_with
 
 NGRAMS = range(3, 7)
+#: Bytes of text that are scored at once; each has several n-grams, so the work arrays are much larger.
+TEXT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives:
 
 def text_scores(model: SubwordModel, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, scores) of the chunks of a column of texts."""
-    for first, end, data, offsets in tk.chunks(texts):
+    for first, end, data, offsets in tk.chunks(texts, TEXT):
         odds, doc = word_scores(model, data, offsets)
         best = np.full(end - first, -np.inf)
         if len(doc):
