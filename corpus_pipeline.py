@@ -6,6 +6,7 @@ Every stage judges rows, not ids: a row without doc_id, or with one that other r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,24 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*columns).alias("d1"), F.xxhash64(F.lit("second"), *columns).alias("d2")
     ).alias("_place")
     rows = docs.filter(full).withColumns(keys).select("*", place)
-    texts = written(rows.groupBy("_k1", "_k2").agg(F.min("_place").alias("place"), F.count("*").alias("rows")), "texts")
+    # equal rows are counted first: of several one has to be taken, which the rows themselves cannot tell
+    equal = rows.groupBy("_k1", "_k2", "_place").agg(F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("_place").alias("place"), "copies")).alias("least")
+    texts = written(equal.groupBy("_k1", "_k2").agg(least, F.sum("copies").alias("rows")).select("_k1", "_k2", "least.place", "least.copies", "rows"), "texts")
     found = ngram_join.similar_components(_named(rows, texts).select(F.col("_node").alias("doc_id"), "text"))
     groups = found.groupBy(F.col("doc_id").alias("_node")).agg(F.min("component_id").alias("component"))
     grouped = written(_named(texts, texts).join(groups, "_node"), "groups")
     first = grouped.groupBy("component").agg(F.min(F.struct("place", "_k1", "_k2")).alias("first")).select("first._k1", "first._k2", F.lit(True).alias("stays"))
-    decided = grouped.join(first, ["_k1", "_k2"], "left").filter("stays is null or rows > 1").select("_k1", "_k2", "place", "stays")
-    decided = written(decided, "decided")
+    decided = grouped.join(first, ["_k1", "_k2"], "left").filter("stays is null or rows > 1")
+    decided = written(decided.select("_k1", "_k2", "stays", "copies", F.col("place.d1").alias("d1"), F.col("place.d2").alias("d2")), "decided")
     touched = id_bitmap(decided, "_k1")
-    chosen = _with_bitmap(rows, touched, True).join(decided.filter("stays"), ["_k1", "_k2"]).filter("_place = place or (_place.no_id and place.no_id and _place.d1 = place.d1 and _place.d2 = place.d2)")
-    chosen = chosen.dropDuplicates(["_k1", "_k2"]).select(*columns)
-    spared = _with_bitmap(rows, touched, True).join(decided, ["_k1", "_k2"], "left_anti").select(*columns)
-    passed = _with_bitmap(rows, touched, False).select(*columns)
-    return docs.filter(~full).unionByName(passed).unionByName(spared).unionByName(chosen)
+    # one join of the touched rows with the decisions: texts that nothing was decided about stay, of the others the first row
+    judged = _with_bitmap(rows, touched, True).join(decided, ["_k1", "_k2"], "left")
+    judged = judged.filter("copies is null or (stays and _place.d1 = d1 and _place.d2 = d2)")
+    several = judged.filter("copies > 1").dropDuplicates(["_k1", "_k2"])
+    passed = _with_bitmap(rows, touched, False)
+    parts = (passed, judged.filter("copies is null or copies = 1"), several)
+    return docs.filter(~full).unionByName(reduce(DataFrame.unionByName, [part.select(*columns) for part in parts]))
 
 
 def _named(rows: DataFrame, texts: DataFrame) -> DataFrame:
