@@ -23,6 +23,8 @@ FEATURES = (
     "words", "word_length", "word_length_spread", "distinct_words", "top_word", "distinct_pairs", "repeated_next", "distinct_lines",
     "line_words", "punctuation", "symbols", "digits", "upper", "beyond_ascii", "white", "byte_entropy", "ends",
 )
+#: Bytes of text whose statistics are taken at once.
+TEXT = 1 << 18
 _PUNCT, _SYMBOL, _DIGIT, _UPPER, _END, _LINE = (np.zeros(256, bool) for _ in range(6))
 _PUNCT[[*b"!\"'(),-.:;?"]] = True
 _SYMBOL[[*b"#$%&*+/<=>@[\\]^_`{|}~"]] = True
@@ -55,7 +57,7 @@ def _logit(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 def statistics(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, documents x FEATURES) per chunk; counts as logs, shares as smoothed log-odds."""
-    for first, end, data, offsets in tk.chunks(column):
+    for first, end, data, offsets in tk.chunks(column, TEXT):
         n = end - first
         size = np.diff(offsets).astype(float)
         starts, ends, doc = tk.words(data, offsets, tk.NOT_WHITE)
