@@ -1,7 +1,7 @@
 """Name matching between event registries.
 
 Names repeat far more often than rows, so similarity is scored once per distinct pair of names that
-share a ticker and come from neighbouring years. Scored pairs are then joined to the dated rows.
+share a ticker and come from neighbouring years. Scored pairs are then joined to the dated rows, each with the nearest event only.
 
 Most pairs are ruled out before they are scored, inside the join, by a bound that never exceeds the edit distance: letters that
 one name has and the other lacks. A busy ticker is dealt over as many tasks as its number of pairs asks for.
@@ -9,11 +9,12 @@ one name has and the other lacks. A busy ticker is dealt over as many tasks as i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.scalars import normalize_name
 from eventide.operators.registry import dedupe_first
+from eventide.session import spread
 
 # Score floors, day limits and status bounds of the matcher.
 MIN_SCORE, CONTAIN_SCORE, WINDOW_DAYS = 0.45, 0.95, 365
@@ -93,6 +94,25 @@ def scored_names(
     return pairs.withColumn("score", similarity(F.col("name"), F.col("other"), ratio))
 
 
+def nearest_days(pairs: DataFrame, days: DataFrame) -> DataFrame:
+    """(ticker, other, announcement_date, gap, event_date, drug, event_id): the event of `other` nearest to each date in `pairs`, the
+    earlier one of a tie. `days` holds one row per (ticker, other, event_date); one ordered pass per (ticker, other), which the
+    calendar bounds, finds the event before and after each date, so that events are never paired with dates."""
+    probes = pairs.select("ticker", "other", F.col("announcement_date").alias("_d")).distinct().withColumn("_probe", F.lit(1))
+    marks = days.where("event_date is not null").select(
+        "ticker", "other", F.col("event_date").alias("_d"), F.struct("event_date", "drug", "event_id").alias("_e"), F.lit(0).alias("_probe"))
+    line = spread(marks.unionByName(probes, allowMissingColumns=True), "ticker", "other")
+    name, span = Window.partitionBy("ticker", "other"), (Window.unboundedPreceding, Window.currentRow)
+    both = line.withColumns({
+        "_prev": F.last("_e", ignorenulls=True).over(name.orderBy("_d", "_probe").rowsBetween(*span)),
+        "_next": F.last("_e", ignorenulls=True).over(name.orderBy(F.col("_d").desc(), "_probe").rowsBetween(*span)),
+    }).filter("_probe = 1")
+    back, ahead = F.datediff("_d", "_prev.event_date"), F.datediff("_next.event_date", "_d")
+    near = F.when(F.col("_prev").isNull() | (ahead < back), F.col("_next")).otherwise(F.col("_prev"))
+    found = both.select("ticker", "other", F.col("_d").alias("announcement_date"), F.least(back, ahead).alias("gap"), near.alias("_e"))
+    return found.select("ticker", "other", "announcement_date", "gap", "_e.*")
+
+
 def match_events(registry: DataFrame, events: DataFrame, ratio=levenshtein_ratio) -> DataFrame:
     """Best external event per registry row: highest score, then smallest day difference.
 
@@ -105,17 +125,13 @@ def match_events(registry: DataFrame, events: DataFrame, ratio=levenshtein_ratio
         F.upper("ticker").alias("ticker"), normalize_name(F.col("drug")).alias("name"), "event_date", "event_id", "drug")
     names = scored_names(
         reg.select(F.col("tk").alias("ticker"), "name", "block"), ext, ratio).filter(F.col("score") >= MIN_SCORE)
-    # Distinct (ticker, name, date) keys carry the match; rows sharing one are joined back once.
-    keys = reg.select(F.col("tk").alias("ticker"), "name", "announcement_date").distinct()
+    # Distinct (ticker, name, date) keys carry the match; rows sharing one are joined back once. A key meets each name that scores
+    # once, with that name's nearest event: no other event of the name can be better.
+    dated = reg.select(F.col("tk").alias("ticker"), "name", "announcement_date").filter("announcement_date is not null")
+    keys = spread(dated.distinct(), "ticker", "name")  # the calendar bounds a name's dates
     days = dedupe_first(ext, ["ticker", "name", "event_date"], ["event_id"]).withColumnRenamed("name", "other")
-    near = F.explode(F.array(*[_year_block("event_date") + d for d in (-1, 0, 1)])).alias("block")
-    cand = (
-        keys.withColumn("block", _year_block("announcement_date"))
-        .join(names, ["ticker", "name"])
-        .join(days.select("*", near), ["ticker", "other", "block"])
-        .withColumn("gap", F.abs(F.datediff("event_date", "announcement_date")))
-        .filter(F.col("gap") <= WINDOW_DAYS)
-    )
+    pairs = keys.join(names, ["ticker", "name"])
+    cand = pairs.join(nearest_days(pairs, days), ["ticker", "other", "announcement_date"]).filter(F.col("gap") <= WINDOW_DAYS)
     best = dedupe_first(
         cand.select("ticker", "name", "announcement_date", "score", "gap", "event_date", "drug", "event_id"),
         ["ticker", "name", "announcement_date"], [-F.col("score"), F.col("gap"), F.col("event_date"), F.col("event_id")],

@@ -201,3 +201,24 @@ def test_name_candidates_lose_no_pair_and_are_few(spark):
             got = {(r.name, r.other) for r in fuzzy.candidate_names(left, right, dated=False, floor=floor).collect()}
             fuzzy.PAIRS_A_TASK = kept
             assert want <= got and len(got) < (0.5 if floor < 0.5 else 0.25) * scored.count()
+
+
+def test_fuzzy_match_pairs_dates_with_the_nearest_event_only(spark):
+    """A ticker with one name and an event every day: pairs of dates with all events within a year would be 1,600 x 730 rows."""
+    import datetime as dt
+
+    day = lambda i: dt.date(2010, 1, 1) + dt.timedelta(days=i)
+    reg = spark.createDataFrame(
+        [(i, "T", "alpha mab", day(i), None) for i in range(400, 2000)] + [(5000, "T", "alpha mab", None, None), (5001, "T", "alpha mab", day(3000), None)],
+        "catalyst_id int, ticker string, drug_name string, announcement_date date, announcement_source string")
+    ext = spark.createDataFrame([(7 * i, "t", "Alpha-Mab", day(i)) for i in range(2400) if i % 4] + [(3, "T", "alpha mab", day(401))],
+                                "event_id int, ticker string, drug string, event_date date")
+    got = {r.catalyst_id: r for r in fuzzy.match_events(reg, ext).collect()}
+    assert len(got) == 1602 and got[5000].match_status == got[5001].match_status == "NO_MATCH"
+    for i in range(400, 2000):  # each fourth day has no event: the day before wins the tie
+        assert got[i].matched_date == (day(i) if i % 4 else day(i - 1)) and got[i].match_status == "EXACT"
+    assert got[401].matched_drug == "alpha mab" and got[402].matched_drug == "Alpha-Mab"
+    pairs = spark.createDataFrame([("T", "alpha mab", day(i)) for i in range(400, 2000)], "ticker string, other string, announcement_date date")
+    days = ext.selectExpr("upper(ticker) as ticker", "'alpha mab' as other", "event_date", "event_id", "drug").filter("event_id > 3")
+    near = fuzzy.nearest_days(pairs, days).collect()
+    assert len(near) == 1600 and all(r.gap == (r.announcement_date - r.event_date).days for r in near)
