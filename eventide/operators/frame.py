@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.operators import cutoffs, features
+from eventide.session import spread
 
 #: Observation date of each family, by its flag.
 FAMILIES = {
@@ -21,12 +22,13 @@ def modelling_rows(
 
     events: catalyst_id, ticker, drug_name, indication, announcement_date, clinical_success, cutoff. The others hold one row per
     catalyst_id: car (car), market (as_of_date and MARKET), trial (trial_source_observed_at and CLINICAL), preclinical (PRECLINICAL,
-    already as of the cutoff). They are joined on the one key, so adaptive execution sees co-partitioned sides.
+    already as of the cutoff). They are joined on the one key, dealt out by the number of events, so that the rows a task sorts do
+    not grow with the tables.
     """
-    df = events.select(
+    df = spread(events.select(
         "catalyst_id", "ticker", "drug_name", "indication", "announcement_date", "clinical_success",
         F.col("cutoff").alias("feature_cutoff_date"), F.year("announcement_date").alias("catalyst_year"),
-    )
+    ), "catalyst_id", rows=events.count())
     df = df.join(car.select("catalyst_id", F.col("car").alias("realized_car")), "catalyst_id", car_join)
     if labelled_only:
         df = df.filter(cutoffs.labelled_only("clinical_success", "realized_car"))

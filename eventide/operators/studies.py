@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.ordered import order_statistics, quantiles
+from eventide.session import spread, stable
 
 VERIFIED = "verified"
+#: Probes (program and cutoff) of one task, about.
+PROBES_A_TASK = 100_000
 
 
 def verified(studies: DataFrame) -> DataFrame:
@@ -63,11 +66,16 @@ def preclinical_as_of(events: DataFrame, studies: DataFrame, key: str = "program
     `n_preclinical_publications` (studies of any status), `n_animal_studies` and the upper median effect of verified ones.
 
     A study without a publication date is never public; an event without program or cutoff has no evidence. Events that share
-    program and cutoff are one probe, and equal effects of a day are one row, before the two are joined by program.
+    program and cutoff are one probe, and equal effects of a day are one row, before the two are joined by program. The number of
+    tasks follows the number of probes, so the groups that a task holds do not grow with the tables.
     """
-    probes = events.select(key, cutoff).filter(F.col(key).isNotNull() & F.col(cutoff).isNotNull()).distinct()
+    probes = stable(events.select(key, cutoff).filter(F.col(key).isNotNull() & F.col(cutoff).isNotNull()).distinct())
+    n_probes = probes.count()
+    probes = spread(probes, key, rows=n_probes, a_task=PROBES_A_TASK)
     good = F.coalesce(F.col("verification_status") == VERIFIED, F.lit(False))
-    daily = studies.filter("publication_date is not null").groupBy(key, "publication_date", F.when(good, F.col("effect_size")).alias("_effect")).agg(
+    dated = studies.select(key, "publication_date", "verification_status", "effect_size").filter(f"publication_date is not null and {key} is not null")
+    dated = spread(dated, key, rows=n_probes, a_task=PROBES_A_TASK)
+    daily = dated.groupBy(key, "publication_date", F.when(good, F.col("effect_size")).alias("_effect")).agg(
         F.count("*").alias("_n"), F.count(F.when(good, 1)).alias("_v")
     )
     seen = probes.join(daily, key).filter(F.col("publication_date") <= F.col(cutoff))

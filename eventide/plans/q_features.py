@@ -384,7 +384,8 @@ def modeling_inputs(spark, sf):
     trial = lookup.base_rate(trial.withColumns({"_grp": none, "_mod": none}), _published_rates(ev, trials_), "phase", "_grp", "_mod", "_rate")
     published = F.col("cutoff") >= F.lit(RATES_PUBLISHED).cast("date")
     trial = trial.withColumn("wong_pos_rate", F.when(published, F.col("_rate"))).drop("_grp", "_mod", "_rate", "phase", "cutoff")
-    issuer = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("program_id"), F.col("o_custkey").alias("company_id"))
+    orders = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("program_id"), F.col("o_custkey").alias("company_id"))
+    issuer = spread(orders, "program_id", rows=orders.count())
     evidence = inputs.studies(spark, sf).join(issuer, "program_id")
     pre = studies.preclinical_as_of(ev.select("catalyst_id", "company_id", "cutoff"), evidence, "company_id")
     return ev, mf.drop("ticker", "cutoff"), car.select("catalyst_id", "car"), trial, pre

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.operators import ablation, models, ranking, resample, studies, windows
+from eventide.session import spread
 
 COLS = ["a", "b", "big", "const", "empty"]
 SCHEMA = "id long, year int, y int, car double, a double, b double, big double, const double, empty double"
@@ -167,6 +168,21 @@ def test_preclinical_evidence_is_what_was_public(spark):
     assert got == {1: (1, 2, 2, 0.3), 2: (1, 6, 5, 0.2), 3: (0, 0, 0, None), 4: (0, 0, 0, None), 5: (0, 0, 0, None)}
 
 
+def test_preclinical_evidence_is_dealt_out_by_its_probes(spark):
+    """The groups of a task do not grow with the table: ten times the probes are ten times the tasks, with the same results."""
+    base = spark.range(40).selectExpr("id as catalyst_id", "id % 20 as program_id", "date_add(date'2010-01-01', int(id * 37)) as cutoff")
+    s = spark.range(400).selectExpr("id % 20 as program_id", "date_add(date'2009-06-01', int(id * 5)) as publication_date", "(id % 7) / 10 as effect_size", "'verified' as verification_status")
+    n, kept = int(spark.conf.get("spark.sql.shuffle.partitions")), studies.PROBES_A_TASK
+    want = sorted(map(tuple, studies.preclinical_as_of(base, s).collect()))
+    try:
+        studies.PROBES_A_TASK = 1
+        assert sorted(map(tuple, studies.preclinical_as_of(base, s).collect())) == want and len(want) == 40 and any(r[3] for r in want)
+    finally:
+        studies.PROBES_A_TASK = kept
+    assert spread(base, "program_id").rdd.getNumPartitions() == spread(base, "program_id", rows=40, a_task=40).rdd.getNumPartitions() == n
+    assert spread(base, "program_id", rows=400, a_task=10).rdd.getNumPartitions() == 40
+
+
 def test_replicate_sums_are_exact_and_order_free(spark):
     rng = np.random.default_rng(8)
     rows = [(int(i), str(g), float(v)) for i, g, v in zip(rng.integers(0, 10_000, 700), rng.choice(["x", "y"], 700), np.round(rng.normal(50_000, 9_000, 700), 2), strict=True)]
