@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.session import spread
+
 
 def cutoff_violations(cutoffs: DataFrame, observations: list[tuple[str, str, DataFrame]]) -> DataFrame:
     """Rows observed on a later calendar day than the event's cutoff.
 
     `cutoffs`: catalyst_id, cutoff_date. `observations`: (check, severity, frame with catalyst_id and
-    observed_at). The observation frames are stacked first, so the cutoffs are joined once.
+    observed_at). The observation frames are stacked first, so the cutoffs are joined once. They are dealt out by event over as many
+    tasks as the number of cutoffs asks for; counts of events in the findings need no other shuffle.
     """
     stacked = [
         obs.select(
@@ -24,7 +27,8 @@ def cutoff_violations(cutoffs: DataFrame, observations: list[tuple[str, str, Dat
         for check, severity, obs in observations
     ]
     rows = reduce(DataFrame.unionByName, stacked).filter(F.col("observed_at").isNotNull())
-    return rows.join(cutoffs.select("catalyst_id", "cutoff_date"), "catalyst_id").filter(
+    known = spread(cutoffs.select("catalyst_id", "cutoff_date"), "catalyst_id", rows=cutoffs.count())
+    return rows.join(known, "catalyst_id").filter(
         F.to_date("observed_at") > F.col("cutoff_date")
     )
 

@@ -114,3 +114,14 @@ def test_cohort_predicates(spark):
     df = spark.createDataFrame(rows, "phase string, stage string, d string").withColumn("d", F.to_date("d"))
     got = df.select(cutoffs.phase_has(F.col("phase"), "2"), cutoffs.stage_mentions(F.col("stage"), "2", "3"), cutoffs.in_t0_window(F.col("d"), 2010, 2012)).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (False, False, False), (False, False, True), (False, True, True)]
+
+
+def test_violations_are_dealt_out_by_the_number_of_cutoffs(spark):
+    """A task joins and counts about 250,000 events, however many there are."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = spark.range((n + 2) * 250_000).selectExpr("id as catalyst_id", "date'2020-01-01' as cutoff_date")
+    seen = spark.range(1000).selectExpr("id as catalyst_id", "timestamp'2020-01-02' as observed_at")
+    found = audits.cutoff_violations(many, [("late", "FAIL", seen), ("again", "UNVERIFIED", seen)])
+    assert found.rdd.getNumPartitions() == n + 2
+    got = {tuple(r) for r in audits.audit_summary(found).collect()}
+    assert got == {("late", 1000, 0, 1000), ("again", 0, 1000, 1000), ("ALL", 1000, 1000, 1000)}
