@@ -1,7 +1,8 @@
 """Name matching between event registries.
 
 Names repeat far more often than rows, so similarity is scored once per distinct pair of names that
-share a ticker and come from neighbouring years. Scored pairs are then joined to the dated rows, each with the nearest event only.
+share a ticker and come from neighbouring years. Scored pairs are then joined to the dated rows, each with the nearest event only:
+first the best-scoring names of each name, then, for the rows that these leave without an event in reach, the others.
 
 Most pairs are ruled out before they are scored, inside the join, by a bound that never exceeds the edit distance: letters that
 one name has and the other lacks. A busy ticker is dealt over as many tasks as its number of pairs asks for.
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.scalars import normalize_name
 from eventide.operators.registry import dedupe_first
-from eventide.session import spread
+from eventide.session import spread, stable
 
 # Score floors, day limits and status bounds of the matcher.
 MIN_SCORE, CONTAIN_SCORE, WINDOW_DAYS = 0.45, 0.95, 365
@@ -113,6 +114,16 @@ def nearest_days(pairs: DataFrame, days: DataFrame) -> DataFrame:
     return found.select("ticker", "other", "announcement_date", "gap", "_e.*")
 
 
+def _best_events(keys: DataFrame, names: DataFrame, days: DataFrame) -> DataFrame:
+    """The best event within reach of each dated key, of the names that score with its own: highest score, then nearest. A key meets
+    each name once, with that name's nearest event: no other event of the name can be better."""
+    pairs = keys.join(names, ["ticker", "name"])
+    cand = pairs.join(nearest_days(pairs, days), ["ticker", "other", "announcement_date"]).filter(F.col("gap") <= WINDOW_DAYS)
+    return dedupe_first(
+        cand.select("ticker", "name", "announcement_date", "score", "gap", "event_date", "drug", "event_id"),
+        ["ticker", "name", "announcement_date"], [-F.col("score"), F.col("gap"), F.col("event_date"), F.col("event_id")])
+
+
 def match_events(registry: DataFrame, events: DataFrame, ratio=levenshtein_ratio) -> DataFrame:
     """Best external event per registry row: highest score, then smallest day difference.
 
@@ -125,17 +136,18 @@ def match_events(registry: DataFrame, events: DataFrame, ratio=levenshtein_ratio
         F.upper("ticker").alias("ticker"), normalize_name(F.col("drug")).alias("name"), "event_date", "event_id", "drug")
     names = scored_names(
         reg.select(F.col("tk").alias("ticker"), "name", "block"), ext, ratio).filter(F.col("score") >= MIN_SCORE)
-    # Distinct (ticker, name, date) keys carry the match; rows sharing one are joined back once. A key meets each name that scores
-    # once, with that name's nearest event: no other event of the name can be better.
+    names = stable(spread(names, "ticker", "name"))  # dealt out like the keys, which expand where they meet
+    # Distinct (ticker, name, date) keys carry the match; rows sharing one are joined back once.
+    key, rows = ["ticker", "name", "announcement_date"], registry.count()
     dated = reg.select(F.col("tk").alias("ticker"), "name", "announcement_date").filter("announcement_date is not null")
-    keys = spread(dated.distinct(), "ticker", "name")  # the calendar bounds a name's dates
+    keys = spread(dated.distinct(), "ticker", "name", rows=rows)  # the calendar bounds a name's dates
     days = dedupe_first(ext, ["ticker", "name", "event_date"], ["event_id"]).withColumnRenamed("name", "other")
-    pairs = keys.join(names, ["ticker", "name"])
-    cand = pairs.join(nearest_days(pairs, days), ["ticker", "other", "announcement_date"]).filter(F.col("gap") <= WINDOW_DAYS)
-    best = dedupe_first(
-        cand.select("ticker", "name", "announcement_date", "score", "gap", "event_date", "drug", "event_id"),
-        ["ticker", "name", "announcement_date"], [-F.col("score"), F.col("gap"), F.col("event_date"), F.col("event_id")],
-    ).withColumnRenamed("ticker", "tk")
+    # An event of the best-scoring names beats all others: only keys that have none in reach meet the other names.
+    top = names.groupBy("ticker", "name").agg(F.max("score").alias("_top"))
+    ranked = names.join(top, ["ticker", "name"])
+    first = stable(_best_events(keys, ranked.filter("score = _top").drop("_top"), days))
+    rest = spread(keys.join(first.select(*key), key, "left_anti"), "ticker", "name", rows=rows)
+    best = first.unionByName(_best_events(rest, ranked.filter("score < _top").drop("_top"), days)).withColumnRenamed("ticker", "tk")
     out = reg.join(best, ["tk", "name", "announcement_date"], "left")
     status = (
         F.when(F.col("gap").isNull(), "NO_MATCH").when(F.col("gap") <= EXACT_DAYS, "EXACT")

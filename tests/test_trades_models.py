@@ -222,3 +222,23 @@ def test_fuzzy_match_pairs_dates_with_the_nearest_event_only(spark):
     days = ext.selectExpr("upper(ticker) as ticker", "'alpha mab' as other", "event_date", "event_id", "drug").filter("event_id > 3")
     near = fuzzy.nearest_days(pairs, days).collect()
     assert len(near) == 1600 and all(r.gap == (r.announcement_date - r.event_date).days for r in near)
+
+
+def test_fuzzy_match_meets_lower_names_only_where_the_best_are_out_of_reach(spark, monkeypatch):
+    """One name with its equal and 20 near ones, all with an event a day: 300 dates meet one name each, but for those a year off its events."""
+    import datetime as dt
+
+    day = lambda i: dt.date(2010, 1, 1) + dt.timedelta(days=i)
+    reg = spark.createDataFrame([(i, "T", "alpha mab", day(3 * i), None) for i in range(300)],
+                                "catalyst_id int, ticker string, drug_name string, announcement_date date, announcement_source string")
+    near = [f"alphx ma{c}" for c in "acdefghijklmnopqrstu"]
+    ext = [(i, "T", "Alpha-Mab", day(i)) for i in range(0, 500)] + [(1000 * k + i, "T", n, day(i)) for k, n in enumerate(near, 1) for i in range(0, 890)]
+    events = spark.createDataFrame(ext, "event_id int, ticker string, drug string, event_date date")
+    met, nearest = [], fuzzy.nearest_days
+    monkeypatch.setattr(fuzzy, "nearest_days", lambda pairs, days: met.append(pairs.count()) or nearest(pairs, days))
+    got = {r.catalyst_id: r for r in fuzzy.match_events(reg, events).collect()}
+    far = [i for i in range(300) if 3 * i > 499 + 365]
+    for i in range(300):
+        want = (day(3 * i) if 3 * i < 890 else day(889), 0.778) if i in far else (day(min(3 * i, 499)), 0.95)
+        assert (got[i].matched_date, got[i].drug_score) == want
+    assert got[far[0]].matched_drug == "alphx maa" and sum(met) == 300 + 20 * len(far)
