@@ -30,7 +30,7 @@ from eventide.llm.tables import written
 
 HASHES = 16
 #: Bytes of text that a task works on at once; several arrays of 8 bytes a byte of text exist at a time.
-TEXT = 1 << 18
+TEXT = 1 << 17
 #: Tokens per window in which a mapper looks for common ones; how often one must occur there; how many are kept.
 WINDOW, SEEN, COMMON = 1_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
@@ -149,6 +149,25 @@ def required(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def frequent(window: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur SEEN times or more in a window, sorted, and how often. The window is emptied, and sorted in place: it is
+    the largest array that a mapper holds."""
+    values = np.concatenate(window) if window else np.zeros(0, np.uint64)
+    window.clear()
+    values.sort()
+    tokens = values[: max(0, len(values) - SEEN + 1)]
+    tokens = tokens[tokens == values[SEEN - 1 :]]
+    tokens = np.unique(tokens)
+    return tokens, np.searchsorted(values, tokens, "right") - np.searchsorted(values, tokens, "left")
+
+
+def _with_ids(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows with an id, in slices, so that long texts are copied a few at a time."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part.filter(part.column(0).is_valid()) if part.column(0).null_count else part
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Per document: set id (null for an empty set), size, min-hashes, parity bitmap. Further rows, without a set, hold tokens
     that are common inside a mapper's window, with their count there."""
@@ -170,17 +189,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 held += len(tokens)
                 if held >= WINDOW:
                     yield from common(window)
-                    window, held = [], 0
+                    held = 0
         yield from common(window)
 
     def common(window: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values = np.sort(np.concatenate(window)) if window else np.zeros(0, np.uint64)
-        if len(values):
-            at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            count = np.diff(np.append(at, len(values)))
-            pick = count >= SEEN
-            none = pa.nulls(int(pick.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * (3 + HASHES) + [pa.array(values[at[pick]].view(np.int64)), pa.array(count[pick]), pa.nulls(int(pick.sum()), pa.binary())], names)
+        tokens, count = frequent(window)
+        if len(tokens):
+            none = pa.nulls(len(tokens), pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * (3 + HASHES) + [pa.array(tokens.view(np.int64)), pa.array(count), pa.nulls(len(tokens), pa.binary())], names)
 
     names = ["doc_id", "set_id", "n", *_MINS, "token", "seen", "bitmap"]
     return docs.select("doc_id", "text").mapInArrow(sign, ", ".join(f"{c} long" for c in names[:-1]) + ", bitmap binary")
@@ -201,8 +217,8 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = common
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            for _, tokens, of, sizes, set_ids in token_sets(batch.column(1), k):
+            chunks = (chunk for part in _with_ids(batch) for chunk in token_sets(part.column(1), k))
+            for _, tokens, of, sizes, set_ids in chunks:
                 one = np.zeros(len(sizes), bool)
                 one[np.unique(set_ids, return_index=True)[1]] = True
                 keep = one[of]
@@ -387,12 +403,12 @@ def tokens_of(docs: DataFrame, sets: DataFrame, ids: DataFrame, k: int) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(wanted(bitmap, batch.column(0).to_numpy())))
-            for first, tokens, of, sizes, set_ids in token_sets(batch.column(1), k):
-                at = np.concatenate(([0], np.cumsum(sizes)))
-                raw = [tokens[at[i] : at[i + 1]].tobytes() for i in range(len(sizes))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(set_ids), pa.array(raw, pa.binary())], ["rep", "set_id", "tokens"])
+            for part in _with_ids(batch):
+                part = part.filter(pa.array(wanted(bitmap, part.column(0).to_numpy())))
+                for first, tokens, of, sizes, set_ids in token_sets(part.column(1), k):
+                    at = np.concatenate(([0], np.cumsum(sizes)))
+                    raw = [tokens[at[i] : at[i + 1]].tobytes() for i in range(len(sizes))]
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(sizes)), pa.array(set_ids), pa.array(raw, pa.binary())], ["rep", "set_id", "tokens"])
 
     read_sets = docs.select("doc_id", "text").mapInArrow(read, "rep long, set_id long, tokens binary")
     return read_sets.join(want, (read_sets.set_id == want.set_id) & (F.col("rep") == F.col("want_rep"))).select(read_sets.set_id, "tokens")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,3 +85,17 @@ def test_members_follow_from_leaders():
     assert not ngram_join._any_link(x.tobytes(), y.tobytes(), None, None, 80)
     assert ngram_join._any_link(x.tobytes(), y.tobytes(), [member], None, 80)
     assert ngram_join._any_link(y.tobytes(), x.tobytes(), None, [member], 80)
+
+
+def test_frequent_tokens_of_a_window_take_little_more_than_the_window():
+    rng = np.random.default_rng(3)
+    window = [np.concatenate([rng.integers(0, 2000, 5_000), rng.integers(0, 1 << 62, 45_000)]).astype(np.uint64) for _ in range(20)]
+    values, count = np.unique(np.concatenate(window), return_counts=True)
+    keep = count >= ngram_join.SEEN
+    tracemalloc.start()
+    tokens, seen = ngram_join.frequent(window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (tokens == values[keep]).all() and (seen == count[keep]).all() and not window
+    assert peak < 1.5 * 8_000_000  # sorted copies, places and counts took four times the window
+    assert len(ngram_join.frequent([])[0]) == len(ngram_join.frequent([np.ones(2, np.uint64)])[0]) == 0
