@@ -17,8 +17,9 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def wanted(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return bitmap[(ids * np.int64(2654435761)) % BITS]
+    place = (ids * np.int64(2654435761)) % BITS
+    return ((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from eventide.llm import text_kernel as tk
 from eventide.llm.components import connected_components
 from eventide.llm.id_filter import id_bitmap, wanted
-from eventide.llm.tables import written
+from eventide.llm.tables import small_batches, written
 
 HASHES = 16
 #: Bytes of text that a task works on at once; several arrays of 8 bytes a byte of text exist at a time.
@@ -555,17 +555,22 @@ def unit_links(docs: DataFrame, sets: DataFrame, marks: DataFrame, pairs: DataFr
         rows = rows.join(grouped.select(F.col("unit").alias(f"u{side}"), F.col("list").alias(f"list_{side}")), f"u{side}", "left")
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("ua", "ub", "ta", "tb", "list_a", "list_b")
         for batch in batches:
-            rows = [(ua, ub) for ua, ub, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if _any_link(*rest, percent)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ua", "ub"])
+            yield linked_units(batch, percent)
 
     derived = rows.select("ua", "ub", "ta", "tb", "list_a", "list_b").mapInArrow(derive, "ua long, ub long")
     return answered.filter("linked").select("ua", "ub").union(derived)
 
 
-def _any_link(ta: bytes, tb: bytes, list_a: list[dict] | None, list_b: list[dict] | None, percent: int) -> bool:
+def linked_units(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The rows (ua, ub) of a batch that link. Sets are read where they are, and the members of one row at a time become Python values."""
+    keep = np.zeros(batch.num_rows, bool)
+    for row, (ta, tb, list_a, list_b) in enumerate(zip(*(batch.column(c) for c in ("ta", "tb", "list_a", "list_b")), strict=True)):
+        keep[row] = _any_link(ta.as_buffer(), tb.as_buffer(), list_a.as_py(), list_b.as_py(), percent)
+    return batch.select(["ua", "ub"]).filter(pa.array(keep))
+
+
+def _any_link(ta: bytes | pa.Buffer, tb: bytes | pa.Buffer, list_a: list[dict] | None, list_b: list[dict] | None, percent: int) -> bool:
     """Whether a member of one unit is similar to one of the other. Overlaps with the other leader follow from the
     leaders' overlap and the few tokens a member lacks and adds; full sets are built only within the bound."""
     x, y = _set(ta), _set(tb)
@@ -598,7 +603,11 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, similar:
     links with nothing. A row without doc_id links with nothing and has no component. Repeated rows come
     back as often as they occur; other columns are left behind; an empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):  # all Python work is done inside; what is returned reads written tables only
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent, similar)
+
+
+def _components(docs: DataFrame, k: int, percent: int, similar: int) -> DataFrame:
     signed = written(signatures(docs, k), "signatures")
     named = signed.filter("doc_id is not null and set_id is not null")
     sets = written(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in _MINS]), "sets")

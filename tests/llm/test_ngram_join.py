@@ -2,9 +2,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventide.llm import ngram_join
+from eventide.llm.id_filter import BITS, id_bitmap, wanted
+from eventide.llm.tables import small_batches
 from tests.llm.helpers import awkward, empty
 
 
@@ -99,3 +102,44 @@ def test_frequent_tokens_of_a_window_take_little_more_than_the_window():
     assert (tokens == values[keep]).all() and (seen == count[keep]).all() and not window
     assert peak < 1.5 * 8_000_000  # sorted copies, places and counts took four times the window
     assert len(ngram_join.frequent([])[0]) == len(ngram_join.frequent([np.ones(2, np.uint64)])[0]) == 0
+
+
+def test_units_are_linked_a_row_at_a_time():
+    tokens = np.arange(100, dtype=np.uint64)
+    one, other = tokens[:60].tobytes(), tokens[40:].tobytes()  # the leaders share 20 of 100 tokens
+    near = {"lacks": b"", "adds": tokens[60:].tobytes()}  # this member of the first one holds all tokens
+    full = {"lacks": b"", "adds": tokens[:40].tobytes()}
+    far = [{"lacks": b"", "adds": np.arange(1000 + i, 1002 + i, dtype=np.uint64).tobytes()} for i in range(64)]
+    n = 2000
+    lists = pa.list_(pa.struct([("lacks", pa.binary()), ("adds", pa.binary())]))
+    rows = {"list_a": [far] * n + [[near], None], "list_b": [None] * n + [[full], None]}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n + 2)), pa.array(range(n + 2)), pa.array([one] * (n + 2)), pa.array([other] * (n + 2)),
+         pa.array(rows["list_a"], lists), pa.array(rows["list_b"], lists)], ["ua", "ub", "ta", "tb", "list_a", "list_b"])
+    del rows
+    tracemalloc.start()
+    linked = ngram_join.linked_units(batch, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert linked.to_pydict() == {"ua": [n], "ub": [n]}
+    assert peak < 1 << 20, peak  # the members of all rows as Python values take 30 times as much
+
+
+def test_python_gets_small_batches_and_the_setting_comes_back(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (seen.append(spark.conf.get(key)), real(df, name))[1])
+    docs = spark.range(40).selectExpr("id doc_id", "repeat(concat('word', id % 4, ' '), 40000) text")
+    with small_batches(spark):
+        sizes = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) < 6 << 20  # 9 MB in all
+    assert len({r.component_id for r in ngram_join.similar_components(docs).collect()}) == 4
+    assert seen and set(seen) == {"4m"} and spark.conf.get(key) == before
+
+
+def test_bitmap_of_ids_is_a_bit_each(spark):
+    ids = np.array([0, 1, 7, -5, 2**62, -(2**63)])
+    bitmap = id_bitmap(spark.createDataFrame([(int(i),) for i in ids], "id long"), "id")
+    assert bitmap.nbytes == BITS // 8
+    assert wanted(bitmap, ids).all() and not wanted(bitmap, np.arange(100, 200)).any()
