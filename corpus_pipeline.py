@@ -5,8 +5,8 @@ Every stage judges rows, not ids: a row without doc_id, or with one that other r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +16,35 @@ from pyspark.sql import functions as F
 from eventide.llm import decontamination, ngram_join, packing, quality, toxicity
 from eventide.llm.id_filter import id_bitmap, wanted
 from eventide.llm.queries import _tokenizer
-from eventide.llm.tables import table, written
+from eventide.llm.tables import cut_batches, table, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def lean(stage: Stage) -> Stage:
+    """The stage in a session of small Arrow batches. They stay small, since what a stage returns is computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        cut_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@lean
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled documents of the stage's input, does not reject."""
     return toxicity.clean_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@lean
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@lean
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: of its rows with the smallest id (rows without one come last) the first by
     a hash of all columns. Groups are those of texts, so equal texts are one, whatever their ids. Rows whose shingle set is
@@ -87,11 +103,13 @@ def _with_bitmap(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame
     return rows.mapInArrow(keep, rows.schema)
 
 
+@lean
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within the edit budget."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the documents that are left."""
     return packing.pack(docs, _tokenizer())

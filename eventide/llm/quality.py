@@ -185,8 +185,9 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of docs that `scores` accepts, with their columns. The texts are read twice: for the model, and row by row for the decision."""
-    model = train(document_statistics(docs), labels)
+    """The rows of docs that `scores` accepts, with their columns. The texts are read twice: for the model, and row by row for the decision.
+    The statistics are written in between, so that a task has one Python worker at a time."""
+    model = train(written(document_statistics(docs), "statistics"), labels)
 
     def keep(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for first, x in statistics(texts):

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from eventide.llm import decontamination, ngram_join
+from eventide.llm import decontamination, ngram_join, quality
 from eventide.llm.tables import table
 from tests.llm.helpers import awkward, empty
 
@@ -61,3 +61,15 @@ def test_rows_are_judged_by_their_own_text(spark):
             assert got.filter("doc_id = -5").count() == 1, name
         assert stage(spark, awkward(spark), SF).columns == awkward(spark).columns
         assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_stages_hand_out_small_batches_and_quality_chains_no_workers(spark, monkeypatch):
+    key, names = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, real = spark.conf.get(key), quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    try:
+        docs = corpus_pipeline.good_quality(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001")
+        assert names == ["statistics"] and docs.count()  # read back before the moments, which are Python's too
+        assert spark.conf.get(key) == "4m"
+    finally:
+        spark.conf.set(key, before)
