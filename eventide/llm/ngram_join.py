@@ -7,7 +7,8 @@ meet). Two relations between sets save work:
   for the required overlap, or whose sizes do not fit, is skipped whole;
 * answer level: a set that is highly similar to a leader takes its answers from the leader's: with the
   tokens it lacks and adds against the leader, its overlap with any set follows from the leader's overlap, and most
-  answers are settled by that bound alone. Pairs that are already connected need no answer.
+  answers are settled by that bound alone. Pairs that are already connected need no answer: each component first has
+  its likeliest pairs answered, and all pairs that still run between components come after these have joined.
 
 Equal sets are one node from the start. Nothing is capped: a list longer than a block is dealt out as pairs of
 blocks. The hash-ordered prefix is refined by a bounded list of common tokens that go last; the order changes the
@@ -35,6 +36,8 @@ TEXT = 1 << 17
 WINDOW, SEEN, COMMON = 1_000_000, 3, 100_000
 #: Longest list, and most members of a leader, that one task handles as a unit.
 BLOCK, MEMBERS = 4096, 256
+#: Pairs that each component has answered, per batch of lists, before all pairs between components are looked at.
+LIKELY = 8
 #: 64-bit words of a parity bitmap, at most, inside the lists.
 WORDS = 32
 _FACTORS = tk.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -279,14 +282,14 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return sorted_lists.mapInArrow(keep, "token long, set_id long, packed long")
 
 
-def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, percent: int, best: int | None = None) -> DataFrame:
     """Distinct pairs (ua < ub) of leaders some of whose sets may be similar and are not connected yet.
 
     Lists whose sets are all connected already are dropped; the sets of the others bring their bitmaps along, so a pair is
-    only emitted when sizes, positions and bitmaps leave it open.
+    only emitted when sizes, positions and bitmaps leave it open. With `best`, only the pairs that are among the `best` likeliest of
+    one of their components in the lists that a task holds at once: they grow with the components there, not with pairs.
     """
-    own = F.coalesce("component", "set_id").alias("component")
-    rows = written(entries.join(info, "set_id", "left").select("token", "set_id", "packed", F.coalesce("unit", "set_id").alias("unit"), own), "placed")
+    rows = written(entries.join(info, "set_id").select("token", "set_id", "packed", F.coalesce("unit", "set_id").alias("unit"), "component"), "placed")
     crossing = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count")).filter("lo <> hi")
     crossing = crossing.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(crossing, "token").join(_folded(marks), "set_id")
@@ -309,14 +312,14 @@ def candidate_units(entries: DataFrame, info: DataFrame, marks: DataFrame, perce
                 rows, bits = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], bits])
             before = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))
             last = int(before[-1]) + 1 if len(before) else 0
-            found.append(_list_pairs(rows[:, :last], bits[:last], percent))
+            found.append(_list_pairs(rows[:, :last], bits[:last], percent, best))
             n += found[-1].shape[1]
             held = rows[:, last:], bits[last:]
             if n > 200_000:
                 yield from out(found)
                 found, n = [], 0
         if held is not None:
-            found.append(_list_pairs(*held, percent))
+            found.append(_list_pairs(*held, percent, best))
         yield from out(found)
 
     def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +341,19 @@ def _folded(marks: DataFrame) -> DataFrame:
     return marks.select("set_id", "bitmap").mapInArrow(cut, "set_id long, bitmap binary")
 
 
-def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 32) -> np.ndarray:
-    """Candidate unit pairs of whole lists, sorted by key, side and unit."""
+def _likeliest(comp: np.ndarray, pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of the rows i, j, open (how far the overlap may exceed the required one) the pairs that are among the `most` most open ones of
+    one of their components."""
+    ends = np.concatenate([comp[pairs[0]], comp[pairs[1]]])
+    by = np.lexsort((-np.tile(pairs[2], 2), ends))
+    ends = ends[by]
+    top = np.ones(len(by), bool)
+    top[most:] = ends[most:] != ends[:-most]
+    return pairs[:, np.unique(by[top] % max(1, pairs.shape[1]))]
+
+
+def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, best: int | None = None, short: int = 32) -> np.ndarray:
+    """Candidate unit pairs of whole lists, sorted by key, side and unit; with `best`, the `best` likeliest ones of each component."""
     n = rows.shape[1]
     if n < 2:
         return np.zeros((2, 0), np.int64)
@@ -349,7 +363,7 @@ def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 3
     _, one, two, side, unit, comp, packed, words = rows
     size, rest = packed >> 32, (packed >> 32) - (packed & 0xFFFFFFFF)
     across = one != two
-    found = [np.zeros((2, 0), np.int64)]
+    found = [np.zeros((3, 0), np.int64)]
     idx = np.flatnonzero(count[group] <= short)
     for step in range(1, short):
         i, j = idx[:-step], idx[step:]
@@ -359,20 +373,31 @@ def _list_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, short: int = 3
         i, j = i[same], j[same]
         keep = (comp[i] != comp[j]) & ~(across[i] & (side[i] == side[j]))
         keep &= np.minimum(rest[i], rest[j]) >= required(size[i], size[j], percent)
-        i, j = i[keep], j[keep]
-        keep = may_link(size, bits, i, j, percent, words)
-        found.append(np.stack([unit[i[keep]], unit[j[keep]]]))
+        found.append(_open(size, bits, i[keep], j[keep], percent, words))
     starts = np.flatnonzero(new)
     for g in np.flatnonzero(count > short):
         at = slice(starts[g], starts[g] + count[g])
-        found.append(_long_list(unit[at], comp[at], size[at], rest[at], side[at], bits[at], words[at], bool(across[starts[g]]), percent))
-    return np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        pairs = _long_list(unit[at], comp[at], size[at], rest[at], side[at], bits[at], words[at], bool(across[starts[g]]), percent, best)
+        found.append(pairs + np.array([[starts[g]], [starts[g]], [0]]))
+    pairs = np.concatenate(found, axis=1)
+    return _units(unit, _likeliest(comp, pairs, best) if best else pairs)
+
+
+def _open(size, bits, i: np.ndarray, j: np.ndarray, percent: int, words: np.ndarray) -> np.ndarray:
+    """Of the pairs i, j those that the bitmaps leave open, and by how much their bound exceeds the required overlap."""
+    over = most_common(size, bits, i, j, words) - required(size[i], size[j], percent)
+    return np.stack([i, j, over])[:, over >= 0]
+
 
+def _units(unit: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The distinct pairs of units of pairs of rows."""
+    return np.unique(np.sort(unit[pairs[:2]], axis=0), axis=1)
 
-def _long_list(unit, comp, size, rest, side, bits, words, across: bool, percent: int, block: int = 256) -> np.ndarray:
-    """Pairs of one long list, ordered by position and cut in blocks; two blocks are skipped when the tokens that their
-    positions leave cannot reach the overlap that their sizes require."""
-    found = [np.zeros((2, 0), np.int64)]
+
+def _long_list(unit, comp, size, rest, side, bits, words, across: bool, percent: int, best: int | None, block: int = 256) -> np.ndarray:
+    """Rows i, j, open of one long list, a pair of units once a block, ordered by position and cut in blocks; two blocks are skipped
+    when the tokens that their positions leave cannot reach the overlap that their sizes require."""
+    found = [np.zeros((3, 0), np.int64)]
     by = np.argsort(-rest, kind="stable")
     size, rest, unit, comp, side, bits, words = (x[by] for x in (size, rest, unit, comp, side, bits, words))
     edges = list(range(0, len(unit), block))
@@ -390,10 +415,12 @@ def _long_list(unit, comp, size, rest, side, bits, words, across: bool, percent:
             if p == q:
                 ok &= x[:, None] < y
             i, j = np.nonzero(ok)
-            i, j = x[i], y[j]
-            keep = may_link(size, bits, i, j, percent, words)
-            found.append(np.unique(np.sort(np.stack([unit[i[keep]], unit[j[keep]]]), axis=0), axis=1))
-    return np.concatenate(found, axis=1)
+            pairs = _open(size, bits, x[i], y[j], percent, words)
+            once = np.unique(np.sort(unit[pairs[:2]], axis=0), axis=1, return_index=True)[1]
+            found.append(_likeliest(comp, pairs, best) if best else pairs[:, once])
+    pairs = np.concatenate(found, axis=1)
+    pairs[:2] = by[pairs[:2]]
+    return pairs
 
 
 def tokens_of(docs: DataFrame, sets: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -562,6 +589,14 @@ def unit_links(docs: DataFrame, sets: DataFrame, marks: DataFrame, pairs: DataFr
     return answered.filter("linked").select("ua", "ub").union(derived)
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, component) after the links (a, b): the components that a link connects become one, and only they are walked."""
+    for side in "ab":
+        links = links.join(parts.select(F.col("set_id").alias(side), F.col("component").alias(f"of_{side}")), side)
+    merged = connected_components(links, "of_a", "of_b").toDF("component", "into")
+    return written(parts.join(merged, "component", "left").select("set_id", F.coalesce("into", "component").alias("component")), "parts")
+
+
 def linked_units(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     """The rows (ua, ub) of a batch that link. Sets are read where they are, and the members of one row at a time become Python values."""
     keep = np.zeros(batch.num_rows, bool)
@@ -617,14 +652,13 @@ def _components(docs: DataFrame, k: int, percent: int, similar: int) -> DataFram
     alike = answers.filter("alike and leader < a")
     members = alike.join(alike.select(F.col("a").alias("leader")), "leader", "left_anti").groupBy("a").agg(F.min("leader").alias("unit"))
     members = written(members.join(alike, (members.a == alike.a) & (members.unit == alike.leader)).select(members.a, "unit", "na", "lacks", "adds"), "members")
-    connected = connected_components(answers.select("a", "leader"), "a", "leader")
-    info = connected.select(F.col("node").alias("set_id"), "component").join(members.select(F.col("a").alias("set_id"), "unit"), "set_id", "left")
     entries = written(shared_lists(prefixes(docs, k, percent, common_tokens(signed))), "lists")
-    pairs = written(candidate_units(entries, info, marks, percent), "unit_pairs")
-    links = unit_links(docs, sets, marks, pairs, members, k, percent)
-    edges = answers.select("a", F.col("leader").alias("b")).union(links)
-    parts = connected_components(edges, "a", "b")
-    placed = sets.select("set_id", "rep").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    parts = joined(sets.select("set_id", F.col("set_id").alias("component")), answers.select("a", F.col("leader").alias("b")))
+    units = members.select(F.col("a").alias("set_id"), "unit")
+    for best in (LIKELY, None):  # what the likeliest pairs connect leaves no pairs to answer
+        pairs = written(candidate_units(entries, parts.join(units, "set_id", "left"), marks, percent, best), "unit_pairs")
+        parts = joined(parts, unit_links(docs, sets, marks, pairs, members, k, percent).toDF("a", "b"))
+    placed = sets.select("set_id", "rep").join(parts, "set_id")
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = placed.join(least, "component").select("set_id", "component_id")
     rows = signed.filter("token is null").select("doc_id", "set_id", F.col("n").alias("n_shingles"))

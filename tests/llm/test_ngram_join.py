@@ -143,3 +143,35 @@ def test_bitmap_of_ids_is_a_bit_each(spark):
     bitmap = id_bitmap(spark.createDataFrame([(int(i),) for i in ids], "id long"), "id")
     assert bitmap.nbytes == BITS // 8
     assert wanted(bitmap, ids).all() and not wanted(bitmap, np.arange(100, 200)).any()
+
+
+def test_pairs_of_a_group_of_near_copies_follow_its_size(spark, monkeypatch):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3, 3))):
+            copy[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(copy)))
+    counts, written = [], ngram_join.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "unit_pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+    assert sum(counts) <= 4 * len(rows), counts  # 18,015 when all pairs were answered at once
+
+
+def test_likeliest_pairs_cover_every_component():
+    comp = np.array([1, 1, 2, 3, 3, 4])
+    pairs = np.array([[0, 1, 0, 2, 2], [2, 2, 3, 4, 5], [5, 9, 1, 3, 0]])
+    assert ngram_join._likeliest(comp, pairs, 1).tolist() == [[1, 2, 2], [2, 4, 5], [9, 3, 0]]
+    assert ngram_join._likeliest(comp, pairs, 9).tolist() == pairs.tolist()
+    assert ngram_join._likeliest(comp, pairs[:, :0], 1).shape == (3, 0)
