@@ -138,6 +138,15 @@ def test_feature_sets_share_passes_and_equal_single_fits(spark):
     assert {r.model: r["count"] for r in scored} == dict.fromkeys(sets, df.count())
 
 
+def test_a_constant_expectation_has_no_correlation_over_partitions(spark):
+    """Merged over partitions, equal values have a variance above 0; that of the base rate was taken for a spread."""
+    rows = spark.range(0, 300, 1, 7).select(
+        F.lit("base_rate").alias("model"), F.lit(0.0123).alias("expected_car"), F.sin("id").alias("realized_car"))
+    varied = rows.withColumns({"model": F.lit("varied"), "expected_car": F.col("realized_car") * 2 + 1})
+    got = {r.model: r.corr for r in ablation.summary(rows.union(varied), ["model"]).collect()}
+    assert got["base_rate"] is None and abs(got["varied"] - 1) < 1e-9
+
+
 def test_ranking_is_prospective_and_prefers_exported_residuals(spark):
     d = data(120)
     df = frame(spark, d).filter("car is not null").withColumnsRenamed({"y": "clinical_success", "car": "realized_car", "id": "catalyst_id"}).withColumns(
