@@ -97,3 +97,24 @@ def test_repeats_are_found_over_all_windows_of_a_host(spark):
         assert got == want and len(got) == len(rows)
     assert (3, "page 3 has its own words 3 here", 1) in got and (77, "page 77 has its own words 77 here", 1) in got
     assert [g[1].startswith("this very long") for g in got[-2:]] == [True, True] and (200, "the article of a page", 0) in got
+
+
+def test_a_notice_inside_most_articles_of_a_host_goes(spark):
+    """No class name tells it; lines and passages that some articles share, copies and editions of an article stay."""
+    notice = "<p>write to the publisher of this site for rights in any of its texts</p>"
+    line = "<p>one line of ten words or so that some articles share</p>"
+    own = [f"<h1>head {i}</h1><p>" + " ".join(f"p{i}w{j}" for j in range(30)) + "</p>" for i in range(40)]
+    rows = [(i, f"http://h/{i}", f"<article>{own[i]}{line if i % 2 else ''}{notice if i % 8 else ''}</article>") for i in range(40)]
+    rows += [(100 + i, "http://h/copy", rows[0][2]) for i in range(60)]  # copies count once, whatever they lack
+    long = "<p>" + " ".join(f"same{j}" for j in range(60)) + "</p>"
+    rows += [(200 + i, f"http://editions/{i}", f"<article><h1>edition {i} of the text</h1>{long}</article>") for i in range(9)]
+    rows += [(300 + i, f"http://few/{i}", f"<article>{own[i]}{notice}</article>") for i in range(4)]  # too few to tell
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for window, parts in ((256, 1), (4, 7)):
+        got = {r.page_id: (r.text, r.blocks_removed) for r in html_text.extract(pages.repartition(parts), window=window).collect()}
+        assert len(got) == len(rows)
+        for host in ("h", "editions", "few"):
+            mine = [(i, page) for i, url, page in rows if url.startswith(f"http://{host}/")]
+            assert [got[i] for i, _ in mine] == html_text.main_texts([page for _, page in mine])
+        assert not any("publisher" in got[i][0] for i in range(40)) and got[1][0].endswith("some articles share") and got[1][1] == 1
+        assert all("same59" in got[200 + i][0] for i in range(9)) and all("publisher" in got[300 + i][0] for i in range(4))
