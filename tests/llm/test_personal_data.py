@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from dataclasses import replace
 
 from eventide.llm import personal_data as pd
 from tests.llm.helpers import awkward, empty
@@ -85,6 +86,40 @@ def test_checksums_confirm_and_context_decides():
     assert near[3] > far[3] and near[:3] == (far[0], far[1] + 1, far[2] + 1)
 
 
+def samples():
+    """Texts with finds of every kind, and random ones of the letters that the rules' patterns are made of."""
+    yield from texts()
+    yield from (
+        "IBAN DE89 3704 0044 0532 0130 00", "his ssn 123-45-6789", "routing 021000021", "NHS 943 476 5919", "nhs 9434765919", "DNI 12345678Z", "nie X-1234567-L",
+        "nir 1 85 05 78 006 084 91", "nir 185057800608491", "steuer 86095742719", "2001:4860:4860::8888", "ace:ace::cafe:beef", "mac aa:bb:cc:dd:ee:ff", "aa-bb-cc-dd-ee-ff",
+        "btc 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "born 1990-02-28", "born 28.2.1990", "token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
+    )
+    rnd = random.Random(9)
+    parts = ["1", "9", "21", "1990", "000", "-", ":", ".", "/", " ", "a", "Z", "X", "ff", "born ", "nhs ", "token ", "routing ", "steuer "]
+    yield from ("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(6000))
+
+
+def test_pieces_skip_no_find_and_most_rules(monkeypatch):
+    """Rules that are skipped for a text without one of their pieces have no find there; a text without digits or marks is read by none."""
+    kinds = set()
+    skipping = [pd.finds(t.encode()) for t in samples()]
+    for name in ("BASE_RULES", "MORE_RULES"):
+        monkeypatch.setattr(pd, name, tuple(replace(rule, pieces=(b"",)) for rule in getattr(pd, name)))
+    for text, got in zip(samples(), skipping, strict=True):
+        assert got == pd.finds(text.encode()), text
+        kinds |= {f[0] for f in got}
+    assert kinds == set(pd._RANK)
+    monkeypatch.undo()
+
+    class Unread:
+        def finditer(self, raw):
+            raise AssertionError(raw)
+
+    for name in ("BASE_RULES", "MORE_RULES"):
+        monkeypatch.setattr(pd, name, tuple(replace(rule, pattern=Unread()) for rule in getattr(pd, name)))
+    assert pd.finds("plain words, born of a bank; account and token of nobody".encode()) == []
+
+
 def test_finds_beside_base_finds_do_not_overlap_them():
     for text in ("secret 4111111111111111 token", "token aaaa1111bbbb2222cccc3333@mail.example", "routing +021000021000"):
         spans = sorted((s, e) for _, s, e, _, _ in pd.finds(text.encode()))
