@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from eventide.llm import decontamination as dec
 from tests.llm.helpers import awkward, empty
 
@@ -62,3 +64,35 @@ def test_short_item_matches_a_whole_text_only(spark):
     docs = spark.createDataFrame([(1, " Abc  D "), (2, "abc d e")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "abc d")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect()] == [(1, 9)]
+
+
+def found_in(text, index):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [(n, d) for _, n, d, _ in dec.matches(data, np.array([0, len(data)]), index, {})]
+
+
+def test_pieces_alone_and_pieces_of_a_known_passage_are_not_verified(monkeypatch):
+    """Edit distances are computed around few hits: not where a piece stands alone, and not for each piece of a passage."""
+    rng = random.Random(3)
+    item = "".join(rng.choice("abcdefghijklmnopq éü") for _ in range(300)).replace("  ", "a ").strip()
+    index = dec.pieces([(1, item)], 0.1)
+    _, item, k = index.items[0]
+    calls, best = [], dec.Myers.best
+    monkeypatch.setattr(dec.Myers, "best", lambda self, text: (calls.append(text), best(self, text))[1])
+    alone = " ".join(item[len(item) * i // (k + 1) : len(item) * (i + 1) // (k + 1)] + " zzzz zzzz zzzz zzzz zzzz zzzz" for i in range(k + 1))
+    assert found_in(alone, index) == [] and len(index.bodies) > 20 and calls == []
+    assert found_in("zz " + item + " zz", index) == [(0, 0)] and len(calls) < 10
+
+
+def test_passages_within_the_budget_are_found_wherever_their_edits_lie():
+    """As many edits as the budget has, spread or in one place, of characters of one to four bytes."""
+    rng = random.Random(8)
+    for _ in range(150):
+        item = dec.normal_text("".join(rng.choice("abcd éü日😀") for _ in range(rng.randint(60, 200))))
+        index = dec.pieces([(1, item)], 0.1)
+        k = index.items[0][2]
+        at = rng.randrange(len(item) // 2)
+        text = item[:at] + edited(rng, item[at : at + rng.choice((2 * k, len(item)))], k) + item[at + len(item) :]
+        text = dec.normal_text("xxxx " + edited(rng, item, k) + " yyyy " + text + " zzzz")
+        want = distance(item, text)
+        assert found_in(text, index) == ([(0, want)] if want <= k else []) and k > 5
