@@ -96,3 +96,16 @@ def test_passages_within_the_budget_are_found_wherever_their_edits_lie():
         text = dec.normal_text("xxxx " + edited(rng, item, k) + " yyyy " + text + " zzzz")
         want = distance(item, text)
         assert found_in(text, index) == ([(0, want)] if want <= k else []) and k > 5
+
+
+def test_clean_documents_are_judged_where_they_are(spark):
+    """No copy, shuffle or join of the documents, and the same rows in one block or several."""
+    items = spark.createDataFrame([(i, f"item number {i} of the benchmark has its own words w{i * 7} and x{i * 13}") for i in range(6)], "item_id long, text string")
+    docs = [(i % 5 or None, f"before {'it' if i % 3 else f'item number {i % 6} of the benchmark has its own words w{i % 6 * 7} and x{i % 6 * 13}'} after", i) for i in range(30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, more long").repartition(3)
+    want = [i for i in range(30) if i % 3]
+    for block_chars in (10_000, 100):
+        kept = dec.clean_documents(docs, items, block_chars=block_chars)
+        assert kept.columns == docs.columns and sorted(r.more for r in kept.collect()) == want
+    plan = dec.clean_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), items)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
